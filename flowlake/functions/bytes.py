@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _entropy_of(buf) -> float:
@@ -30,7 +31,7 @@ def entropy_array(values) -> np.ndarray:
     return np.array([_entropy_of(v) for v in values], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _entropy_udf(s: pd.Series) -> pd.Series:
     out = entropy_array(s.tolist())
     return pd.Series(out).where(~s.isna(), None)
