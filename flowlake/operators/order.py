@@ -60,12 +60,12 @@ def global_row_number(df: DataFrame, order_cols: Sequence[str], out: str = "row_
     prefix sum of bucket sizes (tiny table)."""
     order_cols = list(order_cols)
     b = with_range_bucket(df, order_cols[0], buckets)
-    b = b.withColumn("__rn", F.row_number().over(Window.partitionBy("__bkt").orderBy(*order_cols)))
+    b = b.withColumn("__grn", F.row_number().over(Window.partitionBy("__bkt").orderBy(*order_cols)))
     sizes = (b.groupBy("__bkt").agg(F.count(F.lit(1)).alias("__n"))
               .withColumn("__off", F.sum("__n").over(Window.orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)))
               .select("__bkt", F.coalesce("__off", F.lit(0)).alias("__off")))
-    b = b.join(F.broadcast(sizes), "__bkt").withColumn(out, (F.col("__rn") + F.col("__off")).cast("long"))
-    return b.drop("__bkt", "__rn", "__off")
+    b = b.join(F.broadcast(sizes), "__bkt").withColumn(out, (F.col("__grn") + F.col("__off")).cast("long"))
+    return b.drop("__bkt", "__grn", "__off")
 
 
 def time_delta(df: DataFrame, order_col: str = "No.", time_col: str = "Time", out: str = "time_delta") -> DataFrame:
