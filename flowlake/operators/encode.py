@@ -43,13 +43,19 @@ def category_codes(df: DataFrame, col: str, out: str | None = None, missing_as_t
     out = out or f"{col}_code"
     val = F.coalesce(_q(col).cast("string"), F.lit("nan")) if missing_as_text else _q(col).cast("string")
     src = df.withColumn("__v", val)
-    levels = src.select("__v").where(F.col("__v").isNotNull()).distinct()
-    levels = global_row_number(_with_sort_key(levels), ["__sk", "__v"], out="__rn", buckets=buckets).select(
-        "__v", (F.col("__rn") - 1).alias(out))
+    levels = category_code_table(src, "__v", out=out, buckets=buckets)
     res = src.join(levels, "__v", "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1)).cast("int"))
     return res.drop("__v")
 
 
+def category_code_table(df: DataFrame, col: str, out: str = "code", buckets: int = 16) -> DataFrame:
+    """(value, code) for the distinct non-missing values of ``col``, codes
+    0.. in sorted text order (bucketed global row number)."""
+    levels = df.select(_q(col).cast("string").alias("__v")).where(F.col("__v").isNotNull()).distinct()
+    numbered = global_row_number(_with_sort_key(levels), ["__sk", "__v"], out="__rn", buckets=buckets)
+    return numbered.select(F.col("__v").alias(col), (F.col("__rn") - 1).cast("int").alias(out))
+
+
 def _with_sort_key(levels: DataFrame) -> DataFrame:
     # numeric bucket key that follows text order: the first 7 bytes as an integer
     first = F.substring(F.col("__v"), 1, 7)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlake.operators.quantiles import exact_quantiles
+from flowlake.operators.quantiles import exact_quantiles, quantile_values
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -165,8 +165,9 @@ def drop_constant_columns(df: DataFrame, cols: Sequence[str] | None = None) -> l
 
 
 def iqr_outliers(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
-    """Rows outside [Q1 - k IQR, Q3 + k IQR] (exact quartiles, one row, broadcast)."""
-    q = exact_quantiles(df, col, [0.25, 0.75], names=["__q1", "__q3"])
-    lo = F.col("__q1") - k * (F.col("__q3") - F.col("__q1"))
-    hi = F.col("__q3") + k * (F.col("__q3") - F.col("__q1"))
-    return (df.crossJoin(F.broadcast(q)).where((_q(col) < lo) | (_q(col) > hi)).drop("__q1", "__q3"))
+    """Rows outside [Q1 - k IQR, Q3 + k IQR] (exact quartiles as literals)."""
+    q1, q3 = quantile_values(df, col, [0.25, 0.75])
+    if q1 is None:
+        return df.where(F.lit(False))
+    lo, hi = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
+    return df.where((_q(col) < F.lit(lo)) | (_q(col) > F.lit(hi)))

@@ -94,3 +94,13 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
 def exact_quantile_value(df: DataFrame, value_col: str, prob: float) -> DataFrame:
     """One row, one column ``q``."""
     return exact_quantiles(df, value_col, [prob], names=["q"])
+
+
+def quantile_values(df: DataFrame, value_col: str, probs: Sequence[float]) -> list:
+    """Exact global quantiles as Python floats (one row to the driver).
+
+    Thresholds used as literals keep the downstream plan small: a lazy
+    quantile table joined back repeats the input's lineage in every branch."""
+    names = [f"q{i}" for i in range(len(probs))]
+    row = exact_quantiles(df, value_col, probs, names=names).first()
+    return [row[n] for n in names]

@@ -30,6 +30,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = "8g"  # local mode: the driver is the executor
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
