@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def counter_rows(df: DataFrame, size: str = "packet_size", protocol: str = "protocol", flow: str = "flow_id",
-                 src: str = "src_ip", dst: str = "dst_ip") -> DataFrame:
+                 src: str = "src_ip", dst: str = "dst_ip", keep: tuple = ()) -> DataFrame:
     """Stack every packet into its counter keys: total, protocol (missing ->
     'Unknown'), flow (missing -> 'unknown'), src and dst (empty skipped)."""
     keys = [F.struct(F.lit("total").alias("kind"), F.lit("packets").alias("key")),
@@ -19,8 +19,10 @@ def counter_rows(df: DataFrame, size: str = "packet_size", protocol: str = "prot
             F.struct(F.lit("flow").alias("kind"), F.coalesce(F.col(flow), F.lit("unknown")).alias("key")),
             F.struct(F.lit("src_ip").alias("kind"), F.when(F.col(src) != "", F.col(src)).alias("key")),
             F.struct(F.lit("dst_ip").alias("kind"), F.when(F.col(dst) != "", F.col(dst)).alias("key"))]
-    rows = df.select(F.coalesce(F.col(size), F.lit(0)).alias("__size"), F.explode(F.array(*keys)).alias("k"))
-    return rows.where(F.col("k.key").isNotNull()).select("k.kind", "k.key", "__size")
+    if flow not in df.columns:
+        keys = [k for i, k in enumerate(keys) if i != 2]
+    rows = df.select(*keep, F.coalesce(F.col(size), F.lit(0)).alias("__size"), F.explode(F.array(*keys)).alias("k"))
+    return rows.where(F.col("k.key").isNotNull()).select(*keep, "k.kind", "k.key", "__size")
 
 
 def counters(df: DataFrame, **cols) -> DataFrame:
