@@ -101,6 +101,13 @@ def quantile_values(df: DataFrame, value_col: str, probs: Sequence[float]) -> li
 
     Thresholds used as literals keep the downstream plan small: a lazy
     quantile table joined back repeats the input's lineage in every branch."""
+    from pyspark import StorageLevel
     names = [f"q{i}" for i in range(len(probs))]
-    row = exact_quantiles(df, value_col, probs, names=names).first()
+    # the quantile plan reads its input several times; keep the one column
+    # (often a model score) instead of recomputing it per branch
+    src = df.select(value_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        row = exact_quantiles(src, value_col, probs, names=names).first()
+    finally:
+        src.unpersist()
     return [row[n] for n in names]

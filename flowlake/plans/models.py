@@ -150,3 +150,19 @@ def random_forest(spark, sf):
     res = supervised.train_forest(data, ["lang", "source", "n_chars", "toxic"], "quality", "doc_id",
                                   test_fraction=0.3, num_trees=100, seed=42)
     return rounded(res["importances"].withColumn("accuracy", F.lit(float(res["accuracy"]))))
+
+
+# ---- batch over groups (M20, A38) ----------------------------------------------
+
+
+@plan("per_group_forest")
+def per_group_forest(spark, sf):
+    """M20 + A38: one isolation forest per event type (the group stands in
+    for a capture file), trained in one job; per-group run summary."""
+    from flowlake.operators.batch import fit_per_group, run_summary
+    from flowlake.operators.detect.prep import fit_prep
+    p = packets(spark, sf, with_flow=False).select("packet_id", "event_type", *PACKET_FEATURES)
+    prep = fit_prep(p, exclude=("packet_id",))
+    X = prep.transform(p, keep=("packet_id", "event_type"))
+    pred = fit_per_group(X, "event_type", "packet_id", n_trees=100, contamination=0.1, seed=42)
+    return run_summary(pred, group="event_type")
