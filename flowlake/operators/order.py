@@ -2,7 +2,7 @@
 
 ``Window.orderBy`` with no partition key moves every row into one task.  The
 global order is split into value ranges instead: bucket bounds come from one
-``percentile_approx`` (a one-row table, broadcast), rows are ordered inside
+``percentile_approx`` (a few dozen numbers, made literals), rows are ordered inside
 their bucket, and a bucket's first row takes its predecessor from a tiny
 per-bucket table.  Equal keys always share a bucket, so the result is exact.
 """
@@ -26,14 +26,19 @@ def _numeric_key(df: DataFrame, col: str):
 
 
 def with_range_bucket(df: DataFrame, order_col: str, buckets: int, out: str = "__bkt") -> DataFrame:
-    """Tag rows with a value-range bucket of ``order_col`` (no driver round trip)."""
+    """Tag rows with a value-range bucket of ``order_col``.  The bounds (one
+    ``percentile_approx``, ``buckets - 1`` numbers) come back to the driver
+    and become a literal binary-search expression, so every later read of
+    the plan sees the same buckets."""
+    from flowlake.operators.quantiles import bucket_of
     key = _numeric_key(df, order_col)
     fr = [i / buckets for i in range(1, buckets)]
     bnd = df.select(key.alias("__k")).agg(
-        F.percentile_approx("__k", F.array(*[F.lit(x) for x in fr]), 10 * buckets).alias("__bnd"))
-    return (df.crossJoin(F.broadcast(bnd))
-              .withColumn(out, F.coalesce(F.size(F.filter("__bnd", lambda b: b < key)), F.lit(0)))
-              .drop("__bnd"))
+        F.percentile_approx("__k", F.array(*[F.lit(x) for x in fr]), 10 * buckets).alias("__bnd")).first()["__bnd"]
+    if not bnd:
+        return df.withColumn(out, F.lit(0))
+    expr, _ = bucket_of(key, bnd)
+    return df.withColumn(out, F.coalesce(expr, F.lit(0)))
 
 
 def global_lag(df: DataFrame, order_cols: Sequence[str], value_col: str, out: str = "prev",

@@ -12,7 +12,10 @@ final task per group, which does not survive a table of 100 TB.  Here:
 4. only the buckets that hold a wanted rank are ranked exactly, by a window
    partitioned by (group, bucket).
 
-No driver round trip, no broadcast of anything that grows with the data.
+For a bounded number of groups the same idea runs as three passes whose
+small results (bounds, bucket sizes, the wanted values) come back to the
+driver; otherwise it stays one lazy distributed plan.  Nothing that grows
+with the rows is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -25,13 +28,126 @@ from pyspark.sql import functions as F
 _G = "__qgrp"
 
 
+def bucket_of(value, bounds: Sequence[float]):
+    """Number of ``bounds`` strictly below ``value``, as a binary-search
+    CASE tree over literal bounds (depth log2 of the bound count, codegen'd)."""
+    b = sorted(set(float(x) for x in bounds))
+
+    def node(lo: int, hi: int):
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value > F.lit(b[mid]), node(mid + 1, hi)).otherwise(node(lo, mid))
+    return node(0, len(b)).cast("int"), b
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                    by: Sequence[str] = (), buckets: int = 256,
-                    names: Sequence[str] | None = None) -> DataFrame:
+                    by: Sequence[str] = (), buckets: int = 64,
+                    names: Sequence[str] | None = None, max_groups: int = 10_000) -> DataFrame:
     """One row per group: ``by`` columns then one double column per prob.
 
-    NULL values are ignored; a group without values gives NULLs.
+    NULL values are ignored; a group without values gives NULLs.  With at
+    most ``max_groups`` groups the three-pass form runs now (bounds and
+    bucket counts come to the driver: groups x buckets numbers); beyond
+    that the fully distributed lazy form is returned.
     """
+    eager = _exact_quantiles_eager(df, value_col, probs, by, buckets, names, max_groups)
+    if eager is not None:
+        return eager
+    return _exact_quantiles_lazy(df, value_col, probs, by, buckets, names)
+
+
+def _exact_quantiles_eager(df, value_col, probs, by, buckets, names, max_groups):
+    import math
+
+    from pyspark.sql import types as T
+    spark = df.sparkSession
+    by = list(by)
+    names = list(names) if names else [f"q{i}" for i in range(len(probs))]
+    keys = by if by else [_G]
+    base = df.select(*[F.col(c) for c in by], F.col(value_col).cast("double").alias("v"))
+    if not by:
+        base = base.withColumn(_G, F.lit(0))
+    vals = base.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    fracs = [i / buckets for i in range(1, buckets)]
+    # pass 1: approximate bounds and counts per group (bounded: checked below)
+    rows = (vals.groupBy(*keys)
+                .agg(F.percentile_approx("v", F.array(*[F.lit(x) for x in fracs]), 10 * buckets).alias("bnd"),
+                     F.count("v").alias("n"))
+                .limit(max_groups + 1).collect())
+    if len(rows) > max_groups:
+        return None
+    key_fields = [base.schema[k] for k in keys]
+    out_schema = T.StructType([base.schema[c] for c in by] + [T.StructField(n, T.DoubleType()) for n in names])
+    if not rows:
+        empty = [tuple([None] * len(names))] if not by else []
+        return spark.createDataFrame(empty, out_schema)
+    if len(rows) <= 32:
+        # literal bounds: one binary-search tree per group, chosen by key
+        expr = None
+        for r in rows:
+            tree, _ = bucket_of(F.col("v"), r["bnd"])
+            cond = F.lit(True)
+            for k in keys:
+                cond = cond & (F.col(k) == F.lit(r[k]))
+            expr = F.when(cond, tree) if expr is None else expr.when(cond, tree)
+        tagged = vals.withColumn("bucket", expr)
+    else:
+        bschema = T.StructType(key_fields + [T.StructField("bnd", T.ArrayType(T.DoubleType()))])
+        bdf = spark.createDataFrame([tuple(r[k] for k in keys) + ([float(x) for x in r["bnd"]],) for r in rows],
+                                    bschema)
+        tagged = (vals.join(F.broadcast(bdf), keys)      # one row per group, at most max_groups
+                      .withColumn("bucket", F.size(F.filter("bnd", lambda b: b < F.col("v")))).drop("bnd"))
+    # pass 2: exact bucket sizes (groups x buckets rows)
+    sizes: dict = {}
+    for r in tagged.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("c")).collect():
+        sizes.setdefault(tuple(r[k] for k in keys), {})[r["bucket"]] = r["c"]
+    want = []        # (keys..., bucket, offset)
+    plan = {}        # group -> list of (lo_ref, hi_ref, frac)
+    for r in rows:
+        g = tuple(r[k] for k in keys)
+        n = r["n"]
+        starts, acc = {}, 0
+        for b in sorted(sizes.get(g, {})):
+            starts[b] = acc
+            acc += sizes[g][b]
+        refs = []
+        for p in probs:
+            pos = p * (n - 1)
+            lo, hi = math.floor(pos), math.ceil(pos)
+            pair = []
+            for rank in (lo, hi):
+                b = max(bb for bb in starts if starts[bb] <= rank)
+                want.append(g + (b, rank - starts[b]))
+                pair.append((b, rank - starts[b]))
+            refs.append((pair[0], pair[1], pos - lo))
+        plan[g] = refs
+    wschema = T.StructType(key_fields + [T.StructField("bucket", T.IntegerType()), T.StructField("off", T.LongType())])
+    wdf = spark.createDataFrame(list(set(want)), wschema)
+    # pass 3: rank the distinct values of the wanted buckets only
+    inb = tagged.join(F.broadcast(wdf.select(*keys, "bucket").distinct()), keys + ["bucket"], "left_semi")
+    vc = inb.groupBy(*keys, "bucket", "v").agg(F.count(F.lit(1)).alias("c"))
+    wv = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    vc = vc.withColumn("cend", F.sum("c").over(wv))
+    hits = (vc.join(F.broadcast(wdf), keys + ["bucket"])
+              .where((F.col("cend") - F.col("c") <= F.col("off")) & (F.col("off") < F.col("cend")))
+              .select(*keys, "bucket", "off", "v").collect())
+    found = {tuple(h[k] for k in keys) + (h["bucket"], h["off"]): h["v"] for h in hits}
+    out = []
+    for r in rows:
+        g = tuple(r[k] for k in keys)
+        qs = []
+        for (blo, olo), (bhi, ohi), frac in plan[g]:
+            vlo, vhi = found[g + (blo, olo)], found[g + (bhi, ohi)]
+            qs.append(vlo + (vhi - vlo) * frac)
+        out.append((g if by else ()) + tuple(qs))
+    return spark.createDataFrame(out, out_schema)
+
+
+def _exact_quantiles_lazy(df: DataFrame, value_col: str, probs: Sequence[float],
+                          by: Sequence[str] = (), buckets: int = 256,
+                          names: Sequence[str] | None = None) -> DataFrame:
+    """Fully distributed form (any number of groups), lazy."""
     by = list(by)
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
     keys = by if by else [_G]

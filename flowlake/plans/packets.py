@@ -49,7 +49,8 @@ def packets_from_events(events: DataFrame) -> DataFrame:
 
 
 def packets(spark, sf_dir: str, with_flow: bool = True) -> DataFrame:
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    from flowlake.plans.registry import table
+    ev = table(spark, sf_dir, "events")
     p = packets_from_events(ev)
     if with_flow:
         p = p.withColumn("flow_id", net.flow_id())

@@ -33,7 +33,17 @@ def plan(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Right-size a scan: a file with a single row group reads as one task,
+    so when a scan has fewer partitions than the cluster has cores it is
+    spread round-robin.  A large input (many splits) is left untouched."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
 
 
 def rounded(df: DataFrame, ndigits: int = 6) -> DataFrame:
