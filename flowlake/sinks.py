@@ -47,10 +47,10 @@ def text_report(spark: SparkSession, total_packets: DataFrame | None = None, fea
                                             F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")).alias("line")),
              _lines(spark, 0, ["", ""]).where("pos = 0").withColumn("pos", F.lit(3))]
     if total_packets is not None:
-        parts.append(total_packets.select(F.explode(F.array(
+        parts.append(total_packets.select(F.posexplode(F.array(
             F.lit("PCAP ANALYSIS SUMMARY:"), F.format_string("Total Packets: %d", F.col("total_packets")),
-            F.lit(f"Features: {feature_count if feature_count is not None else 'N/A'}"), F.lit(""))).alias("line"))
-            .select(F.lit(1).alias("section"), F.monotonically_increasing_id().cast("int").alias("pos"), "line"))
+            F.lit(f"Features: {feature_count if feature_count is not None else 'N/A'}"), F.lit(""))).alias("pos", "line"))
+            .select(F.lit(1).alias("section"), F.col("pos").cast("int").alias("pos"), "line"))
     if accuracy:
         parts.append(_lines(spark, 2, ["MODEL PERFORMANCE:", f"Accuracy: {accuracy}", ""]))
     if anomalies is not None:
