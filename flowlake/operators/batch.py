@@ -12,6 +12,7 @@ to train one shared model instead.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -54,7 +55,7 @@ def fit_per_group(X: DataFrame, group: str, id_col: str, n_trees: int = 100, max
         g, tree = pdf[group].iloc[0], int(pdf["tree"].iloc[0])
         Xn = np.stack(pdf[features].to_numpy()).astype("float64")
         psi_g = len(Xn)
-        rng = np.random.default_rng([seed, abs(hash(str(g))) % (2 ** 31), tree])
+        rng = np.random.default_rng([seed, zlib.crc32(str(g).encode()), tree])  # stable across processes
         nodes = _grow(Xn, rng, int(math.ceil(math.log2(max(psi_g, 2)))))
         arr = np.array(nodes, dtype=object)
         return pd.DataFrame({group: g, "tree": tree, "node": np.arange(len(nodes), dtype="int32"),
@@ -112,3 +113,49 @@ def run_summary(predictions: DataFrame, group: str = "source_file", failures: Da
         group, F.lit("error").alias("status"), F.lit(0).cast("long").alias("packets"),
         F.lit(0).cast("long").alias("anomalies"), F.lit(None).cast("string").alias("anomaly_rate"))
     return ok.unionByName(bad)
+
+
+def generic_features(df: DataFrame, id_col: str, top: int = 50) -> DataFrame:
+    """M19 features: timestamps to epoch seconds (F10), text columns capped
+    at ``top`` levels (A24) and one-hot encoded with the first level dropped
+    (F13), other columns coerced to numbers (P4), missing / inf -> 0 (P5).
+    Returns (id, features array) and the feature names."""
+    from flowlake.functions.time import timestamp_to_epoch
+    from flowlake.operators.encode import cap_categories, clean_number, levels_of, to_number
+    out = df
+    cols = []
+    for f in df.schema.fields:
+        if f.name == id_col:
+            continue
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            out = out.withColumn(f.name, F.floor(timestamp_to_epoch(F.col(f.name).cast("timestamp"))))
+            cols.append((f.name, [f.name]))
+        elif isinstance(f.dataType, (T.StringType, T.BooleanType)):
+            out = cap_categories(out, f.name, top=top)
+            lv = levels_of(out, f.name)[1:]   # at most top + 1 levels; first dropped
+            names = [f"{f.name}_{v}" for v in lv]
+            out = out.withColumns({n: (F.col(f.name) == F.lit(v)).cast("double") for n, v in zip(names, lv)})
+            cols.append((f.name, names))
+        else:
+            cols.append((f.name, [f.name]))
+    names = [n for _, ns in cols for n in ns]
+    feats = F.array(*[clean_number(to_number(F.col(f"`{n}`"))) for n in names])
+    return out.select(F.col(id_col), feats.alias("features")), names
+
+
+def generic_anomaly(df: DataFrame, id_col: str, n_trees: int = 200, contamination: float = 0.05,
+                    seed: int = 42) -> dict:
+    """Generic table -> isolation forest -> summary row and alert row
+    (F16 rate text, F17 severity: medium under 50 anomalies, else high)."""
+    from flowlake.operators.detect.iforest import fit_iforest
+    X, names = generic_features(df, id_col)
+    if len(names) < 2:
+        raise ValueError("not enough features for anomaly detection")
+    model = fit_iforest(X, id_col, n_trees=n_trees, contamination=contamination, seed=seed)
+    pred = model.predict(X, keep=(id_col,))
+    summ = pred.agg(F.count_if(F.col("isolation_forest") == -1).alias("anomalies"),
+                    F.count(F.lit(1)).alias("rows"))
+    summ = summ.select(F.lit("IsolationForest").alias("model"), "anomalies", "rows",
+                       F.format_string("%.2f%%", F.col("anomalies") * 100.0 / F.col("rows")).alias("anomaly_rate"),
+                       F.when(F.col("anomalies") < 50, "medium").otherwise("high").alias("severity"))
+    return {"model": model, "predictions": pred, "summary": summ, "features": names}
