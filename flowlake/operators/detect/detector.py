@@ -80,17 +80,28 @@ class DetectorModel:
         return self.prep.transform(df, keep=(self.id_col,))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """(id, one prediction column per model, ensemble); -1 = anomaly."""
+        """(id, one prediction column per model, ensemble); -1 = anomaly.
+
+        Row-wise scorers (forest, SVM, reconstruction) are chained as
+        columns of one frame, so scoring adds no shuffle; only DBSCAN, whose
+        answer comes from a join against its core points, is joined back."""
         X = self.features(df)
-        out = X.select(self.id_col)
+        out = X
+        carried = [self.id_col, "features"]
         for name in self.model_names:
-            pred = self.models[name].predict(X, keep=(self.id_col,), out=name).select(self.id_col, name)
-            out = out.join(pred, self.id_col, "left")
+            if name == "dbscan":
+                continue
+            out = self.models[name].predict(out, keep=tuple(carried), out=name)
+            carried.append(name)
         names = self.model_names
+        out = out.select(self.id_col, *[n for n in names if n != "dbscan"])
+        if "dbscan" in names:
+            pred = self.models["dbscan"].predict(X, keep=(self.id_col,), out="dbscan")
+            out = out.join(pred, self.id_col, "left")
         if names:
             out = ensemble.with_ensemble(out, names, self.config.ensemble.voting,
                                          list(self.config.ensemble.weights))
-        return out
+        return out.select(self.id_col, *names, *(["ensemble"] if names else []))
 
     def report(self, scored: DataFrame, df: DataFrame) -> dict:
         """Summary per model, agreement, feature gaps, recommendations

@@ -127,13 +127,15 @@ class IsolationForestModel:
                 yield res
 
         schema = T.StructType([df.schema[k] for k in keep] + [T.StructField(out, T.DoubleType())])
-        return df.select(*keep, feat).mapInPandas(run, schema)
+        cols = keep + ([feat] if feat not in keep else [])
+        return df.select(*cols).mapInPandas(run, schema)
 
     def predict(self, df: DataFrame, keep: tuple = (), out: str = "isolation_forest") -> DataFrame:
         scored = self.score(df, keep)
         return scored.withColumn(out, F.when(-F.col("iforest_score") < F.lit(self.threshold), -1).otherwise(1))
 
 
+
 def fit_iforest(df: DataFrame, id_col: str, n_trees: int = 100, max_samples: int = 256,
                 contamination: float = 0.1, seed: int = 42, features: str = "features") -> IsolationForestModel:
     n = df.count()

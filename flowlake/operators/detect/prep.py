@@ -48,7 +48,16 @@ def fit_prep(df: DataFrame, exclude: tuple = (), target_col: str | None = None)
     cols = [c for c in numeric_columns(df) if c not in exclude and c != target_col]
     if not cols:
         raise ValueError("no numeric columns to model")
-    clean = df.select(*[clean_number(F.col(f"`{c}`")).alias(c) for c in cols])
+    from pyspark import StorageLevel
+    # the statistics read the cleaned columns four times: keep them once
+    clean = df.select(*[clean_number(F.col(f"`{c}`")).alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit_clean(clean, cols)
+    finally:
+        clean.unpersist()
+
+
+def _fit_clean(clean: DataFrame, cols: list) -> PrepModel:
     var = clean.agg(*[F.var_samp(F.col(f"`{c}`")).alias(c) for c in cols]).first()
     kept = [c for c in cols if var[c] is None or var[c] != 0]
     if not kept:

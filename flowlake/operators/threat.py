@@ -50,15 +50,17 @@ def reputation(ips: DataFrame, malicious: DataFrame, tor: DataFrame, ip_col: str
 
 def with_endpoint_flags(df: DataFrame, malicious: DataFrame, tor: DataFrame,
                         src: str = "src_ip", dst: str = "dst_ip") -> DataFrame:
-    """List membership of both ends as booleans (two left joins)."""
-    m = _ip_list(malicious)
-    t = _ip_list(tor)
+    """List membership of both ends as booleans.  The two lists become
+    one (ip, malicious, tor) table, joined once per end."""
+    m = _ip_list(malicious).withColumn("__m", F.lit(True))
+    t = _ip_list(tor).withColumn("__t", F.lit(True))
+    flags = m.join(t, "ip", "full").select("ip", F.coalesce("__m", F.lit(False)).alias("__m"),
+                                           F.coalesce("__t", F.lit(False)).alias("__t"))
     out = df
     for end, col in (("src", src), ("dst", dst)):
-        out = (out.join(m.select(F.col("ip").alias(f"__{end}_m"), F.lit(True).alias(f"{end}_malicious")),
-                        F.col(col) == F.col(f"__{end}_m"), "left").drop(f"__{end}_m")
-                  .join(t.select(F.col("ip").alias(f"__{end}_t"), F.lit(True).alias(f"{end}_tor")),
-                        F.col(col) == F.col(f"__{end}_t"), "left").drop(f"__{end}_t"))
+        f = flags.select(F.col("ip").alias(f"__{end}_ip"), F.col("__m").alias(f"{end}_malicious"),
+                         F.col("__t").alias(f"{end}_tor"))
+        out = out.join(f, F.col(col) == F.col(f"__{end}_ip"), "left").drop(f"__{end}_ip")
         out = out.withColumns({f"{end}_malicious": F.coalesce(f"{end}_malicious", F.lit(False)),
                                f"{end}_tor": F.coalesce(f"{end}_tor", F.lit(False))})
     return out
