@@ -127,3 +127,14 @@ def test_histogram(spark):
     df = spark.createDataFrame([(float(i),) for i in range(10)], "x double")
     h = series.histogram(df, "x", 5).orderBy("bin").collect()
     assert [r["count"] for r in h] == [2, 2, 2, 2, 2]
+
+
+def test_sequences_hot_key_split(spark):
+    from flowlake.operators import order
+    rows = [(1 if i % 10 else 2, i, float(i)) for i in range(600)] + [(3, i, float(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "k int, t long, v double")
+    plain = order.sequences(df, "k", ["t"], "v", k=10)
+    split = order.sequences(df, "k", ["t"], "v", k=10, hot_rows=50, buckets=8)
+    a = sorted((r.k, r.t, tuple(r.seq)) for r in plain.collect())
+    b = sorted((r.k, r.t, tuple(r.seq)) for r in split.collect())
+    assert a == b and len(a) == (540 - 9) + (60 - 9)
