@@ -14,7 +14,7 @@ from flowlake.plans.registry import plan, rounded, table
 
 
 def _log(spark, sf):
-    p = packets(spark, sf, with_flow=False)
+    p = packets(spark, sf, with_flow=False, spread_scan=True)
     return p.select(
         F.col("packet_id").alias("No."), F.col("timestamp").alias("Time"),
         F.col("src_ip").alias("Source"), F.col("dst_ip").alias("Destination"),

@@ -48,7 +48,7 @@ def capture_summary(spark, sf):
 def generic_anomaly(spark, sf):
     """M19 on orders: dates to seconds, capped one-hot categories, forest of
     200 trees at contamination 0.05; summary with rate text and severity."""
-    res = batch.generic_anomaly(table(spark, sf, "orders"), "o_orderkey")
+    res = batch.generic_anomaly(table(spark, sf, "orders", spread_scan=True), "o_orderkey")
     return res["summary"]
 
 
@@ -66,7 +66,7 @@ def log_model(spark, sf):
 def sequence_recon(spark, sf):
     """M6: reconstruction error of 10-packet windows per user (flattened
     scaled features), flag at the window's last packet."""
-    p = packets(spark, sf, with_flow=False).select("packet_id", "user_id", "ts", *PACKET_FEATURES)
+    p = packets(spark, sf, with_flow=False, spread_scan=True).select("packet_id", "user_id", "ts", *PACKET_FEATURES)
     prep = fit_prep(p.drop("user_id"), exclude=("packet_id",))
     X = prep.transform(p, keep=("packet_id", "user_id", "ts"))
     seqs = recon.sequence_vectors(X, "user_id", ["ts", "packet_id"], k=10).select("packet_id", "seq_features")

@@ -17,7 +17,7 @@ PACKET_FEATURES = ["packet_size", "ip_ttl", "tcp_window", "src_port", "dst_port"
 
 
 def _packet_table(spark, sf):
-    return packets(spark, sf, with_flow=False).select("packet_id", *PACKET_FEATURES)
+    return packets(spark, sf, with_flow=False, spread_scan=True).select("packet_id", *PACKET_FEATURES)
 
 
 def _detector(spark, sf, models):
@@ -161,7 +161,7 @@ def per_group_forest(spark, sf):
     for a capture file), trained in one job; per-group run summary."""
     from flowlake.operators.batch import fit_per_group, run_summary
     from flowlake.operators.detect.prep import fit_prep
-    p = packets(spark, sf, with_flow=False).select("packet_id", "event_type", *PACKET_FEATURES)
+    p = packets(spark, sf, with_flow=False, spread_scan=True).select("packet_id", "event_type", *PACKET_FEATURES)
     prep = fit_prep(p, exclude=("packet_id",))
     X = prep.transform(p, keep=("packet_id", "event_type"))
     pred = fit_per_group(X, "event_type", "packet_id", n_trees=100, contamination=0.1, seed=42)

@@ -48,9 +48,9 @@ def packets_from_events(events: DataFrame) -> DataFrame:
             ))
 
 
-def packets(spark, sf_dir: str, with_flow: bool = True) -> DataFrame:
+def packets(spark, sf_dir: str, with_flow: bool = True, spread_scan: bool = False) -> DataFrame:
     from flowlake.plans.registry import table
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events", spread_scan=spread_scan)
     p = packets_from_events(ev)
     if with_flow:
         p = p.withColumn("flow_id", net.flow_id())

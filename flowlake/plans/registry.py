@@ -32,8 +32,11 @@ def plan(name: str, sql: str | None = None):
     return deco
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str, spread_scan: bool = False) -> DataFrame:
+    """A driver table; ``spread_scan`` for plans whose per-row work is heavy
+    (UDFs, model scoring), where the shuffle pays for itself."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if spread_scan else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -15,9 +15,9 @@ from flowlake.plans.registry import plan, rounded, table
 
 
 def _payload_texts(spark, sf):
-    pages = table(spark, sf, "pages").select(F.lit("pages").alias("source"),
+    pages = table(spark, sf, "pages", spread_scan=True).select(F.lit("pages").alias("source"),
                                              F.col("page_id").alias("item_id"), F.col("html").alias("payload"))
-    docs = table(spark, sf, "documents").select(F.lit("documents").alias("source"),
+    docs = table(spark, sf, "documents", spread_scan=True).select(F.lit("documents").alias("source"),
                                                 F.col("doc_id").alias("item_id"), F.col("text").alias("payload"))
     return pages.unionByName(docs)
 
@@ -81,7 +81,7 @@ SELECT p.page_id, round(CASE WHEN p.html IS NULL THEN NULL ELSE coalesce(e.h, 0.
 FROM pages p LEFT JOIN e ON p.page_id = e.page_id""")
 def payload_entropy(spark, sf):
     """F2 on every page (UTF-8 bytes)."""
-    return rounded(table(spark, sf, "pages").select("page_id", byte_entropy("html").alias("payload_entropy")))
+    return rounded(table(spark, sf, "pages", spread_scan=True).select("page_id", byte_entropy("html").alias("payload_entropy")))
 
 
 # ---- HTTP requests from page URLs -------------------------------------------
