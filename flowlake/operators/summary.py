@@ -131,6 +131,12 @@ EXTRACTORS: dict[str, tuple[Sequence[str], Callable[[DataFrame], DataFrame]]] =
         port_scan_sources(d).agg(F.count(F.lit(1)).alias("potential_port_scans")), "behavioral")),
     "tcp": (("protocol",), lambda d: _long(tcp_features(d), "tcp")),
     "temporal": (("timestamp",), lambda d: _long(order_ops.gap_stats(d), "temporal")),
+    "dns": (("dns_query",), lambda d: _long(dns_summary(d), "dns_analysis")),
+    "http": (("http_method", "http_host"), lambda d: _long(http_summary(d), "http_analysis")),
+    "http_methods": (("http_method",), lambda d: _long(value_counts(d, "http_method"), "http_methods", "http_method")),
+    "security": (("suspicious_score", "suspicious_patterns", "flow_id"),
+                 lambda d: _long(security_summary(d), "security_analysis")),
+    "attack_patterns": (("suspicious_patterns",), lambda d: _long(pattern_counts(d), "attack_patterns", "pattern")),
 }
 
 
@@ -151,3 +157,28 @@ def summarize(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def hash_sample(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
+    """The k rows with the smallest ``xxhash64(seed, key)``: the same rows
+    whatever the partitioning (a bounded top-k, TakeOrderedAndProject)."""
+    return (df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key)))
+              .orderBy("__h", key).limit(k).drop("__h"))
+
+
+def time_sorted(df: DataFrame, ts: str = "timestamp", partitions: int | None = None) -> DataFrame:
+    """Rows in time order across the output: range partitioning on time,
+    then a sort inside each partition (no single-task sort)."""
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartitionByRange(n, F.col(ts)).sortWithinPartitions(ts)
+
+
+def require_rows(df: DataFrame, min_rows: int = 1, min_cols: int = 1) -> int:
+    """Guard before a model: at least ``min_rows`` rows (counted with
+    ``limit``, so a large table is not scanned) and ``min_cols`` columns."""
+    if len(df.columns) < min_cols:
+        raise ValueError(f"need at least {min_cols} columns, got {len(df.columns)}")
+    n = df.limit(min_rows).count()
+    if n < min_rows:
+        raise ValueError(f"need at least {min_rows} rows, got {n}")
+    return n

@@ -153,3 +153,9 @@ def load_detector(path: str):
         m = meta["one_class_svm"]
         dm.models["one_class_svm"] = OcsvmModel(np.array(m["W"]), np.array(m["b"]), np.array(m["w"]), m["rho"])
     return dm
+
+
+def results_json(df: DataFrame, out: str = "json") -> DataFrame:
+    """each result row as one JSON document (nested structs, arrays and
+    maps kept as JSON objects and lists)."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias(out))

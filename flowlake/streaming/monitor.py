@@ -52,7 +52,9 @@ def capture_stream(spark: SparkSession, path: str) -> DataFrame:
     """ST1: landed capture files, decoded per micro-batch."""
     from flowlake.sources import capture
 
-    files = (spark.readStream.format("binaryFile").option("pathGlobFilter", "*.*cap*").load(path)
+    files = (spark.readStream.format("binaryFile")
+                  .schema("path string, modificationTime timestamp, length long, content binary")
+                  .option("pathGlobFilter", "*.*cap*").load(path)
                   .select(F.col("path"), F.col("content")))
 
     def decode(batches):
