@@ -231,19 +231,28 @@ def _records(buf: bytes, endian: str, res: float):
         pos += 16 + incl
 
 
-def _pcapng_records(buf: bytes):
-    """(timestamp, frame, linktype) of enhanced / simple packet blocks."""
-    pos, endian, ifaces = 0, "<", []
-    while pos + 12 <= len(buf):
-        btype_raw = buf[pos:pos + 4]
-        if btype_raw == b"\x0a\x0d\x0d\x0a":             # section header: byte order
-            bom = buf[pos + 8:pos + 12]
+def _pcapng_records(f):
+    """(timestamp, frame, linktype) of enhanced / simple packet blocks, read
+    block by block from an open file."""
+    endian, ifaces = "<", []
+    while True:
+        head = f.read(8)
+        if len(head) < 8:
+            break
+        if head[:4] == b"\x0a\x0d\x0d\x0a":           # section header: byte order from the magic
+            bom = f.read(4)
             endian = "<" if bom == b"\x4d\x3c\x2b\x1a" else ">"
             ifaces = []
-        btype, blen = struct.unpack(endian + "II", buf[pos:pos + 8])
-        if blen < 12 or pos + blen > len(buf):
+            btype, blen = struct.unpack(endian + "II", head)
+            f.read(blen - 12 if blen >= 12 else 0)  # rest of the section header
+            continue
+        btype, blen = struct.unpack(endian + "II", head)
+        if blen < 12:
             break
-        body = buf[pos + 8: pos + blen - 4]
+        body = f.read(blen - 8)
+        if len(body) < blen - 8:
+            break
+        body = body[:-4]
         if btype == 1 and len(body) >= 8:                # interface description
             lt = struct.unpack(endian + "H", body[:2])[0]
             tsres = 1e-6
@@ -264,11 +273,10 @@ def _pcapng_records(buf: bytes):
         elif btype == 3 and len(body) >= 4:              # simple packet
             lt, res = ifaces[0] if ifaces else (1, 1e-6)
             yield None, body[4:], lt
-        pos += blen
 
 
-def decode_range(path: str, start: int, stop: int, first_index: int) -> list[dict]:
-    rows = []
+def iter_range(path: str, start: int, stop: int, first_index: int):
+    """Decoded rows of one byte range, one at a time (memory stays flat)."""
     with open(path, "rb") as f:
         head = f.read(24)
         hdr = _pcap_header(head)
@@ -279,15 +287,18 @@ def decode_range(path: str, start: int, stop: int, first_index: int) -> list[dic
             recs = ((ts, data, linktype) for ts, data, _ in _records(buf, endian, res))
         else:
             f.seek(0)
-            recs = _pcapng_records(f.read())
+            recs = _pcapng_records(f)
         for i, (ts, data, lt) in enumerate(recs):
             row = {"packet_id": first_index + i, "timestamp": ts, "packet_size": len(data), "source_file": path}
             try:
                 decode_packet(data, lt, row)
             except Exception as e:  # noqa: BLE001 - kept as a bad record
                 row["decode_error"] = f"{type(e).__name__}: {e}"
-            rows.append(row)
-    return rows
+            yield row
+
+
+def decode_range(path: str, start: int, stop: int, first_index: int) -> list[dict]:
+    return list(iter_range(path, start, stop, first_index))
 
 
 def _to_frame(rows: list[dict]) -> pd.DataFrame:
@@ -305,12 +316,17 @@ def _to_frame(rows: list[dict]) -> pd.DataFrame:
     return pdf
 
 
-def _decode_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decode_chunks(batches: Iterator[pd.DataFrame], batch_rows: int = 10000) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for r in pdf.itertuples(index=False):
-            rows = decode_range(r.path, int(r.start), int(r.stop), int(r.first_index))
-            for i in range(0, len(rows), 10000):
-                yield _to_frame(rows[i:i + 10000])
+            rows = []
+            for row in iter_range(r.path, int(r.start), int(r.stop), int(r.first_index)):
+                rows.append(row)
+                if len(rows) >= batch_rows:
+                    yield _to_frame(rows)
+                    rows = []
+            if rows:
+                yield _to_frame(rows)
 
 
 def _chunker(chunk_bytes: int):
@@ -377,7 +393,7 @@ def register(spark: SparkSession) -> None:
 
         def read(self, partition):
             size = os.path.getsize(partition.path)
-            for row in decode_range(partition.path, 24, size, 0):
+            for row in iter_range(partition.path, 24, size, 0):
                 yield tuple(row.get(f.name) for f in DECODED_SCHEMA.fields)
 
     class CaptureSource(DataSource):

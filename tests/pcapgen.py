@@ -62,3 +62,17 @@ def sample_frames():
         eth(ipv4("192.168.1.5", "8.8.8.8", 1, icmp_echo(9, 1, b"abcd"))),
         eth(b"\x00\x01\x08\x00\x06\x04\x00\x01" + b"\0" * 20, ethertype=0x0806),
     ]
+
+
+def write_pcapng(path, frames, t0_us=1700000000000000):
+    """Section header, one Ethernet interface, enhanced packet blocks."""
+    def block(btype, body):
+        pad = (-len(body)) % 4
+        blen = 12 + len(body) + pad
+        return struct.pack("<II", btype, blen) + body + b"\0" * pad + struct.pack("<I", blen)
+    with open(path, "wb") as f:
+        f.write(block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)))
+        f.write(block(1, struct.pack("<HHI", 1, 0, 65535)))
+        for i, fr in enumerate(frames):
+            ts = t0_us + i * 500000
+            f.write(block(6, struct.pack("<IIIII", 0, ts >> 32, ts & 0xFFFFFFFF, len(fr), len(fr)) + fr))

@@ -40,3 +40,11 @@ def test_datasource(spark, tmp_path):
     df = capture.finish(spark.read.format("capture").load(str(tmp_path)))
     assert df.count() == 5
     assert df.where("protocol = 'TCP'").select("flow_id").distinct().count() == 1
+
+
+def test_pcapng(spark, tmp_path):
+    from tests.pcapgen import write_pcapng
+    write_pcapng(str(tmp_path / "n.pcapng"), sample_frames())
+    rows = {r.packet_id: r for r in capture.read_captures(spark, str(tmp_path)).collect()}
+    assert len(rows) == 5 and rows[0].http_host == "example.com" and rows[2].dns_query == "example.org."
+    assert abs(rows[1].timestamp - 1700000000.5) < 1e-6
