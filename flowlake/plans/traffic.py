@@ -267,3 +267,22 @@ def zscores(spark, sf):
     """W3 (one global aggregate, broadcast)."""
     z = flow_ops.zscores(packets(spark, sf, with_flow=False))
     return rounded(z.select("packet_id", "packet_size_zscore", "tcp_window_zscore", "ip_ttl_zscore"))
+
+
+@plan("derived_packets", with_packets("SELECT 1").replace("\nSELECT 1", "," + _FLOW_STATS_SQL + f"""
+SELECT p.packet_id, CAST(hour(p.ts) AS INTEGER) AS hour, CAST(isodow(p.ts) - 1 AS INTEGER) AS day_of_week,
+       isodow(p.ts) - 1 IN (5, 6) AS is_weekend, s.flow_duration, s.flow_rate,
+       {_sql_in('p.dst_port', net.COMMON_PORTS)} AS is_common_port, coalesce(p.dst_port > 1024, false) AS is_high_port,
+       {_sql_is_private('p.src_ip')} AND {_sql_is_private('p.dst_ip')} AS is_internal_traffic,
+       round((p.packet_size - avg(p.packet_size) OVER ()) / (stddev_samp(p.packet_size) OVER () + 0.001::DOUBLE), 6)
+         AS packet_size_zscore,
+       coalesce(p.protocol = 'ICMP', false) AS proto_ICMP, coalesce(p.protocol = 'TCP', false) AS proto_TCP,
+       coalesce(p.protocol = 'UDP', false) AS proto_UDP
+FROM pflows p LEFT JOIN flow_stats s ON p.flow_id = s.flow_id"""))
+def derived_packets(spark, sf):
+    """The derived packet columns of a capture."""
+    p = packets(spark, sf)
+    out = flow_ops.with_derived(p, ts="timestamp", proto_levels=["ICMP", "TCP", "UDP"])
+    return rounded(out.select("packet_id", "hour", "day_of_week", "is_weekend", "flow_duration", "flow_rate",
+                              "is_common_port", "is_high_port", "is_internal_traffic", "packet_size_zscore",
+                              "proto_ICMP", "proto_TCP", "proto_UDP"))
