@@ -117,3 +117,21 @@ def dictionary_lookup(df: DataFrame, col: str, mapping: DataFrame, key: str, val
     broadcasts the mapping when it is small at run time."""
     m = mapping.select(F.col(key).alias("__k"), F.col(value).alias(out))
     return df.join(m, _q(col) == F.col("__k"), "left").drop("__k")
+
+
+# Fixed values of the reference's attack-type map (J4), in its order.
+ATTACK_CATEGORIES = [
+    ("normal", "Normal"),
+    ("back", "DoS"), ("land", "DoS"), ("neptune", "DoS"), ("pod", "DoS"), ("smurf", "DoS"), ("teardrop", "DoS"),
+    ("ipsweep", "Probe"), ("nmap", "Probe"), ("portsweep", "Probe"), ("satan", "Probe"),
+    ("buffer_overflow", "U2R"), ("loadmodule", "U2R"), ("perl", "U2R"), ("rootkit", "U2R"),
+    ("ftp_write", "R2L"), ("guess_passwd", "R2L"), ("imap", "R2L"), ("multihop", "R2L"),
+    ("phf", "R2L"), ("spy", "R2L"), ("warezclient", "R2L"), ("warezmaster", "R2L"),
+]
+
+
+def attack_category(df: DataFrame, col: str = "attack_type", out: str = "attack_category") -> DataFrame:
+    """J4 on a KDD table: attack type -> category, unknown -> NULL."""
+    spark = df.sparkSession
+    mapping = spark.createDataFrame(ATTACK_CATEGORIES, "k string, v string")
+    return dictionary_lookup(df, col, mapping, "k", "v", out)

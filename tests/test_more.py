@@ -85,3 +85,26 @@ def test_capture_stream(spark, tmp_path):
     monitor.complete_to_table(s.groupBy("protocol").count(), out, ck)
     got = {r.protocol: r["count"] for r in spark.read.parquet(out).collect()}
     assert got == {"TCP": 4, "UDP": 2, "ICMP": 2, None: 2}
+
+
+def test_kdd_forests(spark, tmp_path):
+    """M14 (multi-class on attack_type), M16 (logged_in, target not a feature), J4 map."""
+    from flowlake.operators.encode import attack_category
+    from flowlake.sources import csv
+    kinds = ["normal", "neptune", "satan", "rootkit", "mystery"]
+    lines = []
+    for i in range(300):
+        k = kinds[i % 5]
+        vals = ["0", "tcp" if i % 2 else "udp", "http", "SF"] + [str((i * 7 + j) % 5) for j in range(37)]
+        vals[10] = str(i % 5)            # num_failed_logins tracks the class
+        vals[11] = str(i % 2)            # logged_in
+        lines.append(",".join(vals + [k, str(i % 21)]))
+    (tmp_path / "kdd.csv").write_text("\n".join(lines) + "\n")
+    kdd = csv.read_kdd(spark, str(tmp_path / "kdd.csv")).withColumn("rid", F.monotonically_increasing_id())
+    cats = {r.attack_type: r.attack_category for r in attack_category(kdd).select("attack_type", "attack_category").distinct().collect()}
+    assert cats == {"normal": "Normal", "neptune": "DoS", "satan": "Probe", "rootkit": "U2R", "mystery": None}
+    feats = ["num_failed_logins", "hot", "num_access_files", "protocol_type"]
+    multi = supervised.train_forest(kdd, feats, "attack_type", "rid", test_fraction=0.2, num_trees=20)
+    assert multi["accuracy"] > 0.9
+    logged = supervised.train_forest(kdd, ["logged_in"] + feats, "logged_in", "rid", test_fraction=0.2, num_trees=20)
+    assert "logged_in" not in [r.feature for r in logged["importances"].collect()]
