@@ -276,25 +276,32 @@ def _pcapng_records(f):
 
 
 def iter_range(path: str, start: int, stop: int, first_index: int):
-    """Decoded rows of one byte range, one at a time (memory stays flat)."""
+    """Decoded rows of one byte range of a file, one at a time (memory stays flat)."""
     with open(path, "rb") as f:
-        head = f.read(24)
-        hdr = _pcap_header(head)
-        if hdr is not None:
-            endian, res, linktype = hdr
-            f.seek(start)
-            buf = f.read(stop - start)
-            recs = ((ts, data, linktype) for ts, data, _ in _records(buf, endian, res))
-        else:
-            f.seek(0)
-            recs = _pcapng_records(f)
-        for i, (ts, data, lt) in enumerate(recs):
-            row = {"packet_id": first_index + i, "timestamp": ts, "packet_size": len(data), "source_file": path}
-            try:
-                decode_packet(data, lt, row)
-            except Exception as e:  # noqa: BLE001 - kept as a bad record
-                row["decode_error"] = f"{type(e).__name__}: {e}"
-            yield row
+        yield from iter_stream(f, start, stop, first_index, path)
+
+
+def iter_stream(f, start: int, stop: int, first_index: int, source: str):
+    """Decoded rows of a byte range of any seekable binary stream (a file, or
+    an in-memory buffer for streamed captures)."""
+    f.seek(0)
+    head = f.read(24)
+    hdr = _pcap_header(head)
+    if hdr is not None:
+        endian, res, linktype = hdr
+        f.seek(start)
+        buf = f.read(stop - start)
+        recs = ((ts, data, linktype) for ts, data, _ in _records(buf, endian, res))
+    else:
+        f.seek(0)
+        recs = _pcapng_records(f)
+    for i, (ts, data, lt) in enumerate(recs):
+        row = {"packet_id": first_index + i, "timestamp": ts, "packet_size": len(data), "source_file": source}
+        try:
+            decode_packet(data, lt, row)
+        except Exception as e:  # noqa: BLE001 - kept as a bad record
+            row["decode_error"] = f"{type(e).__name__}: {e}"
+        yield row
 
 
 def decode_range(path: str, start: int, stop: int, first_index: int) -> list[dict]:

@@ -58,16 +58,14 @@ def capture_stream(spark: SparkSession, path: str) -> DataFrame:
                   .select(F.col("path"), F.col("content")))
 
     def decode(batches):
-        import tempfile
+        import io
         for pdf in batches:
             rows = []
             for p, content in zip(pdf["path"], pdf["content"]):
-                with tempfile.NamedTemporaryFile(suffix=".pcap") as tmp:
-                    tmp.write(content)
-                    tmp.flush()
-                    for r in capture.decode_range(tmp.name, 24, len(content), 0):
-                        r["source_file"] = p
-                        rows.append(r)
+                rows.extend(capture.iter_stream(io.BytesIO(content), 24, len(content), 0, p))
+                if len(rows) >= 10000:
+                    yield capture._to_frame(rows)
+                    rows = []
             if rows:
                 yield capture._to_frame(rows)
     return capture.finish(files.mapInPandas(decode, capture.DECODED_SCHEMA))
