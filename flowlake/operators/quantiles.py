@@ -160,6 +160,11 @@ def _exact_quantiles_lazy(df: DataFrame, value_col: str, probs: Sequence[float],
     approx = vals.groupBy(*keys).agg(
         F.percentile_approx("v", F.array(*[F.lit(x) for x in fracs]), 10 * buckets).alias("bnd"),
         F.count("v").alias("n"))
+    # the sketch may differ between evaluations; every branch below must
+    # see the same bounds, so the (groups-sized) table is checkpointed once
+    from flowlake.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    approx = approx.checkpoint()
 
     # distinct values with their counts, each tagged with its bucket
     vc = vals.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))

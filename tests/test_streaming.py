@@ -45,3 +45,28 @@ def test_windows_and_alerts(spark, sf_small, tmp_path):
     once = spark.read.parquet(alerts).where("batch_id = 99").count()
     sink(batch, 99)
     assert once >= 1 and spark.read.parquet(alerts).where("batch_id = 99").count() == once
+
+
+def test_current_stats_and_reports(spark, sf_small, tmp_path):
+    stream, batch = _stream(spark, sf_small, tmp_path)
+    alerts, counters_path = str(tmp_path / "al"), str(tmp_path / "co")
+    sink = monitor.alert_writer(alerts, malicious=spark.createDataFrame([("9.9.9.9",)], "ip string"),
+                                tor=spark.createDataFrame([("10.0.0.7",)], "ip string"),
+                                counters_path=counters_path, report_every=2)
+    monitor.run_available_now(stream, sink, str(tmp_path / "ck2"))
+    stats = monitor.current_stats(spark, counters_path, alerts)
+    tot = stats["totals"].where("kind = 'total'").first()
+    assert tot.packets == batch.count()
+    reports = spark.read.parquet(counters_path + "_reports")
+    assert reports.count() >= 1 and set(reports.columns) >= {"total_packets", "packets_per_second", "batch_id"}
+
+
+def test_lazy_quantiles_many_groups(spark):
+    import numpy as np
+    from flowlake.operators.quantiles import exact_quantiles
+    rows = [(i % 40, float((i * 37) % 101)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    got = {r.g: r.q0 for r in exact_quantiles(df, "x", [0.3], by=["g"], max_groups=10, buckets=8).collect()}
+    for g in range(40):
+        v = np.array([x for k, x in rows if k == g])
+        assert abs(got[g] - np.quantile(v, 0.3)) < 1e-9
