@@ -385,6 +385,10 @@ def decode_errors(df: DataFrame) -> DataFrame:
 # ---- Python Data Source: spark.read.format("capture") --------------------------
 
 def register(spark: SparkSession) -> None:
+    """Register ``spark.read.format("capture")``.  Files are chosen by the
+    path (a folder or a glob), so unwanted captures are never planned.  The
+    reader keeps no per-query state: PySpark reuses one reader for every
+    query of a DataFrame, so filter pushdown state would leak between them."""
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
     class _FilePartition(InputPartition):

@@ -48,3 +48,14 @@ def test_pcapng(spark, tmp_path):
     rows = {r.packet_id: r for r in capture.read_captures(spark, str(tmp_path)).collect()}
     assert len(rows) == 5 and rows[0].http_host == "example.com" and rows[2].dns_query == "example.org."
     assert abs(rows[1].timestamp - 1700000000.5) < 1e-6
+
+
+def test_datasource_prunes_files(spark, tmp_path):
+    write_pcap(str(tmp_path / "a.pcap"), sample_frames())
+    write_pcap(str(tmp_path / "b.pcap"), sample_frames()[:2])
+    capture.register(spark)
+    df = spark.read.format("capture").load(str(tmp_path))
+    one = spark.read.format("capture").load(str(tmp_path / "b*.pcap"))
+    assert one.count() == 2
+    assert one.rdd.getNumPartitions() == 1          # the other file was never planned
+    assert df.count() == 7
