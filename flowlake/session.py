@@ -46,11 +46,45 @@ def prepare(spark: SparkSession) -> SparkSession:
 
     Timestamps without zone are turned into epoch seconds through the session
     zone; UTC keeps that arithmetic equal to the wall clock in the data.
+    The package is shipped to the Python workers once per context.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """``addPyFile`` a zip of this package so that pandas UDFs and
+    ``mapInPandas`` functions unpickle on every worker.  The zip is written
+    into the checkpoint folder when that is a file-system path; a cluster
+    whose checkpoint folder is remote ships the package with ``--py-files``."""
+    import zipfile
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    try:
+        base = ensure_checkpoint_dir(spark)
+    except RuntimeError:
+        return
+    local = base[len("file:"):] if base.startswith("file:") else base
+    if "://" in local or not os.path.isdir(local):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(local, f"flowlake-{os.getpid()}-{len(_SHIPPED)}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, setting it on the context if needed.
 
