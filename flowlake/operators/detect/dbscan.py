@@ -14,13 +14,18 @@
    everything else is noise (-1).  Cluster labels are the smallest row id
    of a core point in the cluster.
 
-Open risk: a single cell holding a large share of the rows makes its
-pair count quadratic (see README).
+With at most four columns the pure-cell form runs instead: cells of side
+eps / sqrt(d) hold points that are all within eps of each other, a point
+probes the surrounding cells by box distance and only cells crossing its
+eps sphere compare point pairs, so a dense spot costs no pairs at all.
+Wider tables use the coarse cells above, where one cell holding a large
+share of the rows still makes its pair count quadratic (see README).
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -93,7 +98,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
 
 
 def fit_dbscan(X: DataFrame, id_col: str, eps: float = 0.5, min_samples: int = 5,
-               features: str = "features", max_dims: int = 3) -> DbscanModel:
+               features: str = "features", max_dims: int = 3, pure_cells_up_to: int = 4) -> DbscanModel:
+    """Exact DBSCAN.  With at most ``pure_cells_up_to`` columns the pure-cell
+    form runs (no pairs inside dense regions); otherwise the coarse-cell form."""
     spark = X.sparkSession
     ensure_checkpoint_dir(spark)
     d = len(X.select(features).first()[0])
@@ -101,6 +108,8 @@ def fit_dbscan(X: DataFrame, id_col: str, eps: float = 0.5, min_samples: int = 5
     dims = sorted(range(d), key=lambda j: (-(rng[f"r{j}"] or 0.0), j))[:min(max_dims, d)]
     pts = X.groupBy(features).agg(F.count(F.lit(1)).alias("w"), F.min(id_col).alias("pid"))
     pts = _with_cell(pts, features, dims, eps).checkpoint()
+    if d <= pure_cells_up_to:
+        return _fit_pure(X, id_col, pts, d, dims, eps, min_samples, features)
     nb = _neighbour_keys(pts.select("pid", features, "cell"), len(dims))
     other = pts.select(F.col("pid").alias("qid"), F.col(features).alias("__qf"), F.col("cell").alias("ncell"),
                        F.col("w").alias("qw"))
@@ -124,6 +133,74 @@ def fit_dbscan(X: DataFrame, id_col: str, eps: float = 0.5, min_samples: int = 5
     return DbscanModel(eps, min_samples, dims, core_pts, labels.checkpoint(), features)
 
 
+def _pure_offsets(d: int) -> list:
+    """Cell offsets whose box distance can be within eps (cells of side eps/sqrt(d))."""
+    r = math.ceil(math.sqrt(d))
+    out = []
+    for o in itertools.product(range(-r, r + 1), repeat=d):
+        if sum(max(abs(v) - 1, 0) ** 2 for v in o) <= d:
+            out.append(list(o))
+    return out
+
+
+def _fit_pure(X, id_col, pts, d, dims, eps, min_samples, features):
+    """Pure cells of side eps / sqrt(d): two points of one cell are within eps.
+    Each point probes the cells around it by box distance: a cell wholly
+    within eps adds its weight, a cell wholly beyond eps adds nothing, and
+    only cells crossing the eps sphere compare point pairs.  Components are
+    built over cells holding core points (cores of one cell are connected)."""
+    side = eps / math.sqrt(d)
+    e2 = eps * eps
+    P = pts.withColumn("fc", F.array(*[F.floor(F.col(features)[j] / F.lit(side)).cast("long") for j in range(d)]))
+    P = P.checkpoint()
+    cells = P.groupBy("fc").agg(F.sum("w").alias("W"))
+    offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in _pure_offsets(d)])
+    probe = (P.select("pid", features, "fc", F.explode(offs).alias("__o"))
+              .withColumn("nc", F.zip_with("fc", "__o", lambda a, b: a + b)).drop("__o")
+              .join(cells.withColumnRenamed("fc", "nc"), "nc"))
+    x = F.col(features)
+    lo = [F.col("nc")[j] * F.lit(side) for j in range(d)]
+    hi = [(F.col("nc")[j] + 1) * F.lit(side) for j in range(d)]
+    far = sum(F.greatest(F.abs(x[j] - lo[j]), F.abs(x[j] - hi[j])) ** 2 for j in range(d))
+    near = sum(F.greatest(lo[j] - x[j], F.lit(0.0), x[j] - hi[j]) ** 2 for j in range(d))
+    probe = probe.withColumn("__kind", F.when(far <= F.lit(e2), F.lit(2))
+                             .when(near > F.lit(e2), F.lit(0)).otherwise(F.lit(1))).where("__kind > 0")
+    probe = probe.select("pid", features, "fc", "nc", "W", "__kind").checkpoint()
+    full = probe.where("__kind = 2").select("pid", "fc", "nc", "W")
+    # boundary cells: compare with their points
+    others = P.select(F.col("pid").alias("qid"), F.col(features).alias("__qf"), F.col("fc").alias("nc"),
+                      F.col("w").alias("qw"))
+    pairs = (probe.where("__kind = 1").select("pid", features, "fc", "nc").join(others, "nc")
+                  .where(_dist2(features, "__qf") <= F.lit(e2))
+                  .select("pid", "fc", "qid", "nc", "qw")).checkpoint()
+    counts = (full.select("pid", F.col("W").alias("c")).unionByName(pairs.select("pid", F.col("qw").alias("c")))
+                  .groupBy("pid").agg(F.sum("c").alias("n_eps")))
+    core = counts.where(F.col("n_eps") >= min_samples).select("pid")
+    core_pts = P.join(core, "pid", "left_semi").select("pid", "fc")
+    # one node per cell with cores, named by its smallest core id
+    cnode = core_pts.groupBy("fc").agg(F.min("pid").alias("node")).checkpoint()
+    cn_src = cnode.select(F.col("fc"), F.col("node").alias("a"))
+    cn_dst = cnode.select(F.col("fc").alias("nc"), F.col("node").alias("b"))
+    e_full = (full.join(core, "pid", "left_semi").join(cn_src, "fc").join(cn_dst, "nc").select("a", "b"))
+    e_pair = (pairs.join(core, "pid", "left_semi").join(core.withColumnRenamed("pid", "qid"), "qid", "left_semi")
+                   .join(cn_src, "fc").join(cn_dst, "nc").select("a", "b"))
+    edges = e_full.unionByName(e_pair).where(F.col("a") != F.col("b")).distinct()
+    comp = connected_components(cnode.select("node"), edges)
+    cell_label = cnode.join(comp, "node").select("fc", "label")
+    core_label = core_pts.join(cell_label, "fc").select("pid", F.col("label").alias("clabel"))
+    # border points: smallest label among core neighbours (whole cells or pairs)
+    b_full = full.join(cell_label.withColumnRenamed("fc", "nc"), "nc").select("pid", "label")
+    b_pair = (pairs.join(core.withColumnRenamed("pid", "qid"), "qid", "left_semi")
+                   .join(core_pts.select(F.col("pid").alias("qid"), F.col("fc").alias("qfc")), "qid")
+                   .join(cell_label.withColumnRenamed("fc", "qfc"), "qfc").select("pid", "label"))
+    border = b_full.unionByName(b_pair).groupBy("pid").agg(F.min("label").alias("blabel"))
+    plabel = (P.select("pid", features).join(core_label, "pid", "left").join(border, "pid", "left")
+               .select(features, F.coalesce("clabel", "blabel", F.lit(-1)).alias("cluster")))
+    labels = X.select(F.col(id_col).alias("id"), features).join(plabel, features).select("id", "cluster")
+    core_out = pts.join(core, "pid", "left_semi").select("pid", features, "cell").checkpoint()
+    return DbscanModel(eps, min_samples, dims, core_out, labels.checkpoint(), features)
+
+
 def cluster_sizes(labels: DataFrame, col: str = "cluster") -> DataFrame:
     """Rows per cluster (noise is -1)."""
     return labels.groupBy(col).agg(F.count(F.lit(1)).alias("count"))

@@ -94,3 +94,16 @@ def test_dbscan_brute_force_and_repartition(spark):
     for d in (df, df.repartition(5)):
         got = dict(dbscan.fit_dbscan(d, "id", 0.3, 5).labels.select("id", "cluster").collect())
         assert [got[i] for i in range(len(X))] == list(want)
+
+
+def test_dbscan_hot_spot_matches_brute_force(spark):
+    """A third of the points inside one tiny region (one pure cell) plus a
+    spread: same labels as brute force, in 2 and 3 columns."""
+    rng = np.random.default_rng(5)
+    for d in (2, 3):
+        X = np.concatenate([rng.normal(0, 0.01, (150, d)), rng.uniform(-1, 1, (300, d))])
+        rows = [(i, [float(v) for v in x]) for i, x in enumerate(X)]
+        df = spark.createDataFrame(rows, "id long, features array<double>")
+        want = _brute_dbscan(X, 0.2, 6)
+        got = dict(dbscan.fit_dbscan(df, "id", 0.2, 6).labels.select("id", "cluster").collect())
+        assert [got[i] for i in range(len(X))] == list(want)
