@@ -25,11 +25,17 @@ def _numeric_key(df: DataFrame, col: str):
     return F.col(col).cast("double")
 
 
-def with_range_bucket(df: DataFrame, order_col: str, buckets: int, out: str = "__bkt") -> DataFrame:
+def with_range_bucket(df: DataFrame, order_col: str, buckets: int, out: str = "__bkt",
+                      tiebreak: str | None = None) -> DataFrame:
     """Tag rows with a value-range bucket of ``order_col``.  The bounds (one
     ``percentile_approx``, ``buckets - 1`` numbers) come back to the driver
     and become a literal binary-search expression, so every later read of
-    the plan sees the same buckets."""
+    the plan sees the same buckets.
+
+    A value that fills several buckets (a bound repeated) would put all its
+    rows in one task; with a ``tiebreak`` column those rows are split again
+    by ranges of the tiebreak, which keeps the (order_col, tiebreak) order:
+    the bucket number is ``base * buckets + sub``."""
     from flowlake.operators.quantiles import bucket_of
     key = _numeric_key(df, order_col)
     fr = [i / buckets for i in range(1, buckets)]
@@ -38,7 +44,21 @@ def with_range_bucket(df: DataFrame, order_col: str, buckets: int, out: str = "_
     if not bnd:
         return df.withColumn(out, F.lit(0))
     expr, _ = bucket_of(key, bnd)
-    return df.withColumn(out, F.coalesce(expr, F.lit(0)))
+    hot = sorted({b for b in bnd if bnd.count(b) > 1})
+    orderable = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    if tiebreak is not None and not isinstance(df.schema[tiebreak].dataType, orderable):
+        tiebreak = None                  # only numeric / time tiebreaks have ranges
+    if not hot or tiebreak is None:
+        return df.withColumn(out, F.coalesce(expr, F.lit(0)))
+    tkey = _numeric_key(df, tiebreak)
+    sub = F.lit(0)
+    for v in hot:                        # a handful at most: repeated bounds
+        tb = df.where(key == F.lit(v)).select(tkey.alias("__t")).agg(
+            F.percentile_approx("__t", F.array(*[F.lit(x) for x in fr]), 10 * buckets)).first()[0]
+        if tb:
+            texpr, _ = bucket_of(tkey, tb)
+            sub = F.when(key == F.lit(v), texpr).otherwise(sub)
+    return df.withColumn(out, F.coalesce(expr, F.lit(0)) * F.lit(buckets) + sub)
 
 
 def global_lag(df: DataFrame, order_cols: Sequence[str], value_col: str, out: str = "prev",
@@ -47,7 +67,7 @@ def global_lag(df: DataFrame, order_cols: Sequence[str], value_col: str, out: st
     the whole table (NULL on the first row).  The first order column sets the
     bucket; the rest break ties.  Best with a near-unique first key."""
     order_cols = list(order_cols)
-    b = with_range_bucket(df, order_cols[0], buckets)
+    b = with_range_bucket(df, order_cols[0], buckets, tiebreak=order_cols[1] if len(order_cols) > 1 else None)
     w = Window.partitionBy("__bkt").orderBy(*order_cols)
     b = b.withColumn(out, F.lag(value_col).over(w)).withColumn("__rn", F.row_number().over(w))
     tail = (b.groupBy("__bkt")
@@ -64,7 +84,7 @@ def global_row_number(df: DataFrame, order_cols: Sequence[str], out: str = "row_
     """1-based row number in ``order_cols`` order: local number plus the
     prefix sum of bucket sizes (tiny table)."""
     order_cols = list(order_cols)
-    b = with_range_bucket(df, order_cols[0], buckets)
+    b = with_range_bucket(df, order_cols[0], buckets, tiebreak=order_cols[1] if len(order_cols) > 1 else None)
     b = b.withColumn("__grn", F.row_number().over(Window.partitionBy("__bkt").orderBy(*order_cols)))
     sizes = (b.groupBy("__bkt").agg(F.count(F.lit(1)).alias("__n"))
               .withColumn("__off", F.sum("__n").over(Window.orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,8 +115,8 @@ def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 10, ma
         F.struct(F.lit(c).alias("column"), F.coalesce(_q(c).cast("string"), F.lit("nan")).alias("value"))
         for c in cols])).alias("s")).select("s.column", "s.value")
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("column").orderBy(F.desc("count"), F.asc("value"))
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    from flowlake.operators.summary import top_k_per_group
+    return top_k_per_group(counts, ["column"], [F.desc("count"), F.asc("value")], k)
 
 
 def table_profile(df: DataFrame, quantiles: bool = True) -> DataFrame:

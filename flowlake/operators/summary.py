@@ -182,3 +182,17 @@ def require_rows(df: DataFrame, min_rows: int = 1, min_cols: int = 1) -> int:
     if n < min_rows:
         raise ValueError(f"need at least {min_rows} rows, got {n}")
     return n
+
+
+def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence, k: int, salts: int = 64,
+                    out: str = "rank") -> DataFrame:
+    """Top k rows per group without a task per group: rank inside
+    ``salts`` hash sub-groups first, then rank the at most k x salts
+    survivors of each group.  ``order`` are sort columns (desc/asc applied)."""
+    from pyspark.sql import Window
+    group = list(group)
+    salt = (F.abs(F.xxhash64(*[F.col(c) for c in df.columns])) % salts).alias("__salt")
+    w1 = Window.partitionBy(*group, "__salt").orderBy(*order)
+    cand = df.select("*", salt).withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= k)
+    w2 = Window.partitionBy(*group).orderBy(*order)
+    return cand.drop("__salt", "__r1").withColumn(out, F.row_number().over(w2)).where(F.col(out) <= k)

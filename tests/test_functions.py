@@ -138,3 +138,15 @@ def test_sequences_hot_key_split(spark):
     a = sorted((r.k, r.t, tuple(r.seq)) for r in plain.collect())
     b = sorted((r.k, r.t, tuple(r.seq)) for r in split.collect())
     assert a == b and len(a) == (540 - 9) + (60 - 9)
+
+
+def test_row_numbers_with_hot_value(spark):
+    """A third of the rows share one timestamp: numbering equals a plain sort."""
+    from flowlake.operators import order
+    rows = [(i, 5.0 if i % 3 == 0 else float(i)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, t double")
+    got = {r.id: r.row_no for r in order.global_row_number(df, ["t", "id"], buckets=16).collect()}
+    want = {rid: n + 1 for n, (rid, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    assert got == want
+    b = order.with_range_bucket(df, "t", 16, out="b", tiebreak="id")
+    assert b.where("t = 5.0").select("b").distinct().count() > 1
