@@ -14,7 +14,10 @@ final task per group, which does not survive a table of 100 TB.  Here:
 
 For a bounded number of groups the same idea runs as three passes whose
 small results (bounds, bucket sizes, the wanted values) come back to the
-driver; otherwise it stays one lazy distributed plan.  Nothing that grows
+driver; otherwise it stays one lazy distributed plan.  A wanted bucket that
+still holds more than ``refine_rows`` rows is cut again inside its own
+range (one small aggregate per round) before its values are ranked, so
+the final ranking never sorts more than ``refine_rows`` values in a task.  Nothing that grows
 with the rows is broadcast or collected.
 """
 
@@ -43,7 +46,8 @@ def bucket_of(value, bounds: Sequence[float]):
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     by: Sequence[str] = (), buckets: int = 64,
-                    names: Sequence[str] | None = None, max_groups: int = 10_000) -> DataFrame:
+                    names: Sequence[str] | None = None, max_groups: int = 10_000,
+                    refine_rows: int = 2_000_000) -> DataFrame:
     """One row per group: ``by`` columns then one double column per prob.
 
     NULL values are ignored; a group without values gives NULLs.  With at
@@ -51,13 +55,13 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     bucket counts come to the driver: groups x buckets numbers); beyond
     that the fully distributed lazy form is returned.
     """
-    eager = _exact_quantiles_eager(df, value_col, probs, by, buckets, names, max_groups)
+    eager = _exact_quantiles_eager(df, value_col, probs, by, buckets, names, max_groups, refine_rows)
     if eager is not None:
         return eager
     return _exact_quantiles_lazy(df, value_col, probs, by, buckets, names)
 
 
-def _exact_quantiles_eager(df, value_col, probs, by, buckets, names, max_groups):
+def _exact_quantiles_eager(df, value_col, probs, by, buckets, names, max_groups, refine_rows=2_000_000):
     import math
 
     from pyspark.sql import types as T
@@ -122,17 +126,52 @@ def _exact_quantiles_eager(df, value_col, probs, by, buckets, names, max_groups)
                 pair.append((b, rank - starts[b]))
             refs.append((pair[0], pair[1], pos - lo))
         plan[g] = refs
+    found: dict = {}
+    # a wanted bucket larger than refine_rows is cut again inside its own
+    # range until it is small; its value is then ranked on its own
+    big = {w[:-1] for w in want if sizes[w[:-2]][w[-2]] > refine_rows}
+    for w in sorted(set(want), key=str):
+        g, b, off = w[:-2], w[-2], w[-1]
+        if g + (b,) not in big:
+            continue
+        pred = F.lit(True)
+        for k, v in zip(keys, g):
+            pred = pred & (F.col(k) == F.lit(v))
+        pred = pred & (F.col("bucket") == F.lit(b))
+        size = sizes[g][b]
+        while size > refine_rows:
+            sub = tagged.where(pred).select("v")
+            sb = sub.agg(F.percentile_approx("v", F.array(*[F.lit(x) for x in fracs]), 10 * buckets)).first()[0]
+            if not sb or min(sb) == max(sb):
+                break
+            sexpr, _ = bucket_of(F.col("v"), sb)
+            acc, chosen = 0, None
+            for s_, c_ in sorted((r[0], r[1]) for r in sub.groupBy(sexpr.alias("s")).count().collect()):
+                if acc + c_ > off:
+                    chosen = (s_, c_)
+                    break
+                acc += c_
+            if chosen is None or chosen[1] >= size:
+                break
+            pred, off, size = pred & (sexpr == F.lit(chosen[0])), off - acc, chosen[1]
+        vc = tagged.where(pred).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+        wv = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)   # at most refine_rows values
+        hit = (vc.withColumn("cend", F.sum("c").over(wv))
+                 .where((F.col("cend") - F.col("c") <= F.lit(off)) & (F.lit(off) < F.col("cend"))).first())
+        found[w] = hit["v"]
+    rest = [w for w in set(want) if w[:-1] not in big]
     wschema = T.StructType(key_fields + [T.StructField("bucket", T.IntegerType()), T.StructField("off", T.LongType())])
-    wdf = spark.createDataFrame(list(set(want)), wschema)
-    # pass 3: rank the distinct values of the wanted buckets only
-    inb = tagged.join(F.broadcast(wdf.select(*keys, "bucket").distinct()), keys + ["bucket"], "left_semi")
-    vc = inb.groupBy(*keys, "bucket", "v").agg(F.count(F.lit(1)).alias("c"))
-    wv = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    vc = vc.withColumn("cend", F.sum("c").over(wv))
-    hits = (vc.join(F.broadcast(wdf), keys + ["bucket"])
-              .where((F.col("cend") - F.col("c") <= F.col("off")) & (F.col("off") < F.col("cend")))
-              .select(*keys, "bucket", "off", "v").collect())
-    found = {tuple(h[k] for k in keys) + (h["bucket"], h["off"]): h["v"] for h in hits}
+    if rest:
+        wdf = spark.createDataFrame(rest, wschema)
+        # pass 3: rank the distinct values of the wanted buckets only
+        inb = tagged.join(F.broadcast(wdf.select(*keys, "bucket").distinct()), keys + ["bucket"], "left_semi")
+        vc = inb.groupBy(*keys, "bucket", "v").agg(F.count(F.lit(1)).alias("c"))
+        wv = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        vc = vc.withColumn("cend", F.sum("c").over(wv))
+        hits = (vc.join(F.broadcast(wdf), keys + ["bucket"])
+                  .where((F.col("cend") - F.col("c") <= F.col("off")) & (F.col("off") < F.col("cend")))
+                  .select(*keys, "bucket", "off", "v").collect())
+        found.update({tuple(h[k] for k in keys) + (h["bucket"], h["off"]): h["v"] for h in hits})
     out = []
     for r in rows:
         g = tuple(r[k] for k in keys)

@@ -150,3 +150,19 @@ def test_row_numbers_with_hot_value(spark):
     assert got == want
     b = order.with_range_bucket(df, "t", 16, out="b", tiebreak="id")
     assert b.where("t = 5.0").select("b").distinct().count() > 1
+
+
+def test_quantiles_refined_buckets(spark):
+    """Forcing refinement (tiny refine_rows) gives the same exact answer."""
+    import numpy as np
+    rnd = np.random.default_rng(11)
+    vals = np.concatenate([np.full(2000, 3.0), rnd.exponential(2.0, 6000)])
+    rows = [("a" if i % 2 else "b", float(v)) for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: (r.q0, r.q1) for r in exact_quantiles(df, "x", [0.05, 0.9], by=["g"], buckets=8,
+                                                          refine_rows=50).collect()}
+    for g in ("a", "b"):
+        v = np.array([x for k, x in rows if k == g])
+        assert got[g] == pytest.approx(tuple(np.quantile(v, [0.05, 0.9])), rel=1e-12)
+    one = exact_quantiles(df, "x", [0.5], buckets=4, refine_rows=10).first()[0]
+    assert one == pytest.approx(float(np.quantile(vals, 0.5)), rel=1e-12)
