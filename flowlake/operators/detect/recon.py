@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,8 +87,9 @@ def fit_recon(df: DataFrame, features: str = "features", code_size: int = 32, pe
 
 
 def sequence_vectors(df: DataFrame, key: str, order_cols, features: str = "features", k: int = 10,
-                     out: str = "seq_features") -> DataFrame:
-    """M6 input: the k-row window ending at each row, flattened (full windows only)."""
-    w = Window.partitionBy(key).orderBy(*order_cols).rowsBetween(-(k - 1), 0)
-    s = df.withColumn("__win", F.collect_list(features).over(w)).where(F.size("__win") == k)
+                     out: str = "seq_features", hot_rows: int = 1_000_000) -> DataFrame:
+    """M6 input: the k-row window ending at each row, flattened (full windows
+    only).  Built by ``order.sequences``, which splits hot keys."""
+    from flowlake.operators.order import sequences
+    s = sequences(df, key, order_cols, features, k=k, out="__win", hot_rows=hot_rows)
     return s.withColumn(out, F.flatten("__win")).drop("__win")
