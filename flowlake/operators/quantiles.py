@@ -86,8 +86,9 @@ def _exact_quantiles_eager(df, value_col, probs, by, buckets, names, max_groups,
     if not rows:
         empty = [tuple([None] * len(names))] if not by else []
         return spark.createDataFrame(empty, out_schema)
-    if len(rows) <= 32:
+    if len(rows) <= 8:
         # literal bounds: one binary-search tree per group, chosen by key
+        # (few groups keep the generated code small)
         expr = None
         for r in rows:
             tree, _ = bucket_of(F.col("v"), r["bnd"])
