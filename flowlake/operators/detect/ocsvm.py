@@ -52,17 +52,21 @@ class OcsvmModel:
         return d.withColumn(out, F.when(F.col("ocsvm_score") < 0, -1).otherwise(1))
 
 
-def fit_ocsvm(X: DataFrame, id_col: str, nu: float = 0.1, n_features: int = 256, steps: int = 60,
+def fit_ocsvm(X: DataFrame, id_col: str, nu: float = 0.1, n_features: int = 128, steps: int = 30,
               seed: int = 42, features: str = "features") -> OcsvmModel:
-    data = X.select(features).persist(StorageLevel.MEMORY_AND_DISK)
+    d = len(X.select(features).first()[0])
+    cols = [f"f{i}" for i in range(d)]
+    # one double column per feature: the columnar cache and Arrow move plain
+    # columns far faster than an array column, and every step re-reads them
+    data = X.select(*[F.col(features)[i].alias(c) for i, c in enumerate(cols)]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        st = data.agg(F.sum(F.aggregate(features, F.lit(0.0), lambda a, x: a + x)).alias("s"),
-                      F.sum(F.aggregate(features, F.lit(0.0), lambda a, x: a + x * x)).alias("ss"),
-                      F.sum(F.size(features)).alias("m"), F.count(F.lit(1)).alias("n")).first()
-        n, m = st["n"], st["m"]
+        st = data.agg(F.sum(sum(F.col(c) for c in cols)).alias("s"),
+                      F.sum(sum(F.col(c) * F.col(c) for c in cols)).alias("ss"),
+                      F.count(F.lit(1)).alias("n")).first()
+        n = st["n"]
         if not n:
             raise ValueError("empty input")
-        d = m // n
+        m = n * d
         var = st["ss"] / m - (st["s"] / m) ** 2
         gamma = 1.0 / (d * var) if var > 0 else 1.0
         rng = np.random.default_rng(seed)
@@ -75,7 +79,7 @@ def fit_ocsvm(X: DataFrame, id_col: str, nu: float = 0.1, n_features: int = 256,
                 cnt, acc, zsum = 0, np.zeros(n_features), np.zeros(n_features)
                 for pdf in batches:
                     if len(pdf):
-                        Z = model._z(np.stack(pdf[features].to_numpy()).astype("float64"))
+                        Z = model._z(pdf[cols].to_numpy(dtype="float64"))
                         viol = Z @ w < rho
                         cnt += int(viol.sum())
                         acc += Z[viol].sum(axis=0)
@@ -94,8 +98,12 @@ def fit_ocsvm(X: DataFrame, id_col: str, nu: float = 0.1, n_features: int = 256,
             w = w - eta * (w - acc / (nu * n))
             rho = rho - eta * (cnt / (nu * n) - 1.0)
         model.w = w
-        scores = model.decision(data.select(features), out="__s")
-        (q,) = quantile_values(scores, "__s", [nu])
+
+        @F.pandas_udf(T.DoubleType())
+        def score(*cs: pd.Series) -> pd.Series:
+            Xb = np.column_stack([c.to_numpy(dtype="float64") for c in cs])
+            return pd.Series(model._z(Xb) @ model.w)
+        (q,) = quantile_values(data.select(score(*[F.col(c) for c in cols]).alias("__s")), "__s", [nu])
         model.rho = float(q)
         return model
     finally:
