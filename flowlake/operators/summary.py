@@ -32,28 +32,38 @@ def top_k(df: DataFrame, col: str, k: int = 10, out: str = "count") -> DataFrame
 
 
 def basic_features(df: DataFrame, flow: str = "flow_id", src: str = "src_ip", dst: str = "dst_ip",
-                   size: str = "packet_size") -> DataFrame:
-    """A1 (one row).  Distinct counts are exact; each plans as its own
-    partial aggregate on the key, so a hot key is combined map-side."""
+                   size: str = "packet_size", approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """A1 (one row).  Distinct counts are exact by default (each plans as its
+    own partial aggregate on the key, so a hot key is combined map-side);
+    ``approx=True`` uses HyperLogLog++ sketches (one pass, no shuffle of keys)."""
+    distinct = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.countDistinct
     return df.agg(F.count(F.lit(1)).alias("total_packets"),
-                  F.countDistinct(flow).alias("unique_flows"),
-                  F.countDistinct(src).alias("unique_src_ips"),
-                  F.countDistinct(dst).alias("unique_dst_ips"),
+                  distinct(flow).alias("unique_flows"),
+                  distinct(src).alias("unique_src_ips"),
+                  distinct(dst).alias("unique_dst_ips"),
                   F.avg(size).alias("avg_packet_size"),
                   F.sum(size).cast("long").alias("total_bytes"))
 
 
-def column_statistics(df: DataFrame, cols: Sequence[str] = ("packet_size", "tcp_window", "ip_ttl")) -> DataFrame:
+def column_statistics(df: DataFrame, cols: Sequence[str] = ("packet_size", "tcp_window", "ip_ttl"),
+                      approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """A4: mean, std (sample), min, max, median, q75, q25 per column.
 
     Columns are stacked into (column, value) rows, then one grouped aggregate
-    and the distributed exact quantiles (quantiles.py)."""
+    and the distributed exact quantiles (quantiles.py); ``approx=True`` takes
+    the quartiles from ``percentile_approx`` in the same single aggregate."""
     cols = [c for c in cols if c in df.columns]
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols
     ])).alias("s")).select("s.column", "s.value")
-    moments = long.groupBy("column").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-                                         F.min("value").alias("min"), F.max("value").alias("max"))
+    aggs = [F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"), F.max("value").alias("max")]
+    if approx:
+        q = F.percentile_approx("value", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.25)), accuracy)
+        return long.groupBy("column").agg(*aggs, q.alias("__q")).select(
+            "column", "mean", "std", "min", "max", F.col("__q")[0].alias("median"),
+            F.col("__q")[1].alias("q75"), F.col("__q")[2].alias("q25"))
+    moments = long.groupBy("column").agg(*aggs)
     qs = exact_quantiles(long, "value", [0.5, 0.75, 0.25], by=["column"], names=["median", "q75", "q25"])
     return moments.join(qs, "column", "left")
 

@@ -108,3 +108,15 @@ def test_kdd_forests(spark, tmp_path):
     assert multi["accuracy"] > 0.9
     logged = supervised.train_forest(kdd, ["logged_in"] + feats, "logged_in", "rid", test_fraction=0.2, num_trees=20)
     assert "logged_in" not in [r.feature for r in logged["importances"].collect()]
+
+
+def test_approx_options(spark):
+    rows = [(f"f{i % 50}", f"s{i % 30}", "d", i % 97) for i in range(5000)]
+    df = spark.createDataFrame(rows, "flow_id string, src_ip string, dst_ip string, packet_size long")
+    exact = summary.basic_features(df).first()
+    approx = summary.basic_features(df, approx=True).first()
+    assert (exact.unique_flows, exact.unique_src_ips) == (50, 30)
+    assert abs(approx.unique_flows - 50) <= 2 and abs(approx.unique_src_ips - 30) <= 2
+    a = {r.column: r for r in summary.column_statistics(df, ["packet_size"], approx=True).collect()}
+    e = {r.column: r for r in summary.column_statistics(df, ["packet_size"]).collect()}
+    assert abs(a["packet_size"].median - e["packet_size"].median) <= 1.0
