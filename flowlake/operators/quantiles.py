@@ -17,7 +17,9 @@ small results (bounds, bucket sizes, the wanted values) come back to the
 driver; otherwise it stays one lazy distributed plan.  A wanted bucket that
 still holds more than ``refine_rows`` rows is cut again inside its own
 range (one small aggregate per round) before its values are ranked, so
-the final ranking never sorts more than ``refine_rows`` values in a task.  Nothing that grows
+the final ranking never sorts more than ``refine_rows`` values in a task.
+The lazy form cuts each wanted bucket once more by ranges of its distinct
+values, so a task ranks about 1 / buckets^2 of a group.  Nothing that grows
 with the rows is broadcast or collected.
 """
 
@@ -233,9 +235,24 @@ def _exact_quantiles_lazy(df: DataFrame, value_col: str, probs: Sequence[float],
 
     needed = ranks.select(*keys, "bucket").distinct()
     inb = vc.join(needed, keys + ["bucket"], "left_semi")
-    wv = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    # second level: cut each wanted bucket again by ranges of its distinct
+    # values (bounds checkpointed), then rank only the wanted sub-bucket
+    sb = (inb.groupBy(*keys, "bucket")
+             .agg(F.percentile_approx("v", F.array(*[F.lit(x) for x in fracs]), 10 * buckets).alias("sbnd"))
+             .checkpoint())
+    inb = (inb.join(sb, keys + ["bucket"])
+              .withColumn("sub", F.size(F.filter("sbnd", lambda b: b < F.col("v")))).drop("sbnd"))
+    ssize = inb.groupBy(*keys, "bucket", "sub").agg(F.sum("c").alias("sn"))
+    ws = Window.partitionBy(*keys, "bucket").orderBy("sub").rowsBetween(Window.unboundedPreceding, 0)
+    ssize = ssize.withColumn("sstart", F.sum("sn").over(ws) - F.col("sn"))     # <= buckets rows per bucket
+    ranks = (ranks.join(ssize, keys + ["bucket"])
+                  .where((F.col("rank") >= F.col("bstart") + F.col("sstart"))
+                         & (F.col("rank") < F.col("bstart") + F.col("sstart") + F.col("sn")))
+                  .withColumn("bstart", F.col("bstart") + F.col("sstart")).drop("sstart", "sn"))
+    inb = inb.join(ranks.select(*keys, "bucket", "sub").distinct(), keys + ["bucket", "sub"], "left_semi")
+    wv = Window.partitionBy(*keys, "bucket", "sub").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     inb = inb.withColumn("cend", F.sum("c").over(wv))
-    hit = (inb.join(ranks, keys + ["bucket"])
+    hit = (inb.join(ranks, keys + ["bucket", "sub"])
               .where((F.col("bstart") + F.col("cend") - F.col("c") <= F.col("rank"))
                      & (F.col("rank") < F.col("bstart") + F.col("cend")))
               .groupBy(*keys, "qi")

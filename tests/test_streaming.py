@@ -1,4 +1,5 @@
 """Streaming: an availableNow replay equals the batch answer on the same rows."""
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -70,3 +71,18 @@ def test_lazy_quantiles_many_groups(spark):
     for g in range(40):
         v = np.array([x for k, x in rows if k == g])
         assert abs(got[g] - np.quantile(v, 0.3)) < 1e-9
+
+
+def test_lazy_quantiles_skewed_groups(spark):
+    import numpy as np
+    from flowlake.operators.quantiles import exact_quantiles
+    rnd = np.random.default_rng(2)
+    rows = [(0 if i < 3000 else 1 + i % 30, float(v)) for i, v in enumerate(
+        np.concatenate([rnd.normal(0, 1, 3000), rnd.exponential(1.0, 3000)]))]
+    rows += [(0, 0.25)] * 500                       # ties inside the hot group
+    df = spark.createDataFrame(rows, "g int, x double")
+    got = {r.g: (r.q0, r.q1) for r in exact_quantiles(df, "x", [0.1, 0.77], by=["g"], max_groups=5,
+                                                          buckets=8).collect()}
+    for g in range(31):
+        v = np.array([x for k, x in rows if k == g])
+        assert got[g] == pytest.approx(tuple(np.quantile(v, [0.1, 0.77])), rel=1e-12, abs=1e-12)
