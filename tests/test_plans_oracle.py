@@ -9,8 +9,6 @@ import __spark_entry__ as E
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-SLOW = {"one_class_svm", "detector_ensemble", "detector_summary", "surrogate_importance",
-        "isolation_forest", "reconstruction_flags", "random_forest", "per_group_forest"}
 
 
 def _norm(v):
