@@ -139,7 +139,7 @@ EXTRACTORS: dict[str, tuple[Sequence[str], Callable[[DataFrame], DataFrame]]] =
     "hours": (("ts",), lambda d: _long(series.hour_distribution(d), "hours", "hour")),
     "port_scans": (("src_ip", "dst_port"), lambda d: _long(
         port_scan_sources(d).agg(F.count(F.lit(1)).alias("potential_port_scans")), "behavioral")),
-    "tcp": (("protocol",), lambda d: _long(tcp_features(d), "tcp")),
+    "tcp": (("protocol", "tcp_flags", "tcp_window"), lambda d: _long(tcp_features(d), "tcp")),
     "temporal": (("timestamp",), lambda d: _long(order_ops.gap_stats(d), "temporal")),
     "dns": (("dns_query",), lambda d: _long(dns_summary(d), "dns_analysis")),
     "http": (("http_method", "http_host"), lambda d: _long(http_summary(d), "http_analysis")),
@@ -151,18 +151,24 @@ EXTRACTORS: dict[str, tuple[Sequence[str], Callable[[DataFrame], DataFrame]]] =
 
 
 def summarize(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """Run extractors and union their long rows; a missing input column
-    gives a row ``(section, 'skipped', <missing columns>, NULL)``."""
+    """Run extractors and union their long rows.  A missing input column
+    gives a row ``(section, 'skipped', <missing columns>, NULL)``; an
+    extractor that fails to plan gives ``(section, 'error', <message>, NULL)``,
+    so one failing section never hides the others."""
+    from pyspark.errors import PySparkException
     spark = df.sparkSession
+    schema = "section string, metric string, key string, value double"
     parts = []
     for name in (names or list(EXTRACTORS)):
         needs, fn = EXTRACTORS[name]
         missing = [c for c in needs if c not in df.columns]
         if missing:
-            parts.append(spark.createDataFrame([(name, "skipped", ",".join(missing), None)],
-                                               "section string, metric string, key string, value double"))
-        else:
+            parts.append(spark.createDataFrame([(name, "skipped", ",".join(missing), None)], schema))
+            continue
+        try:
             parts.append(fn(df))
+        except (PySparkException, ValueError) as e:
+            parts.append(spark.createDataFrame([(name, "error", f"{type(e).__name__}: {str(e)[:200]}", None)], schema))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -120,3 +120,20 @@ def test_approx_options(spark):
     a = {r.column: r for r in summary.column_statistics(df, ["packet_size"], approx=True).collect()}
     e = {r.column: r for r in summary.column_statistics(df, ["packet_size"]).collect()}
     assert abs(a["packet_size"].median - e["packet_size"].median) <= 1.0
+
+
+def test_empty_inputs(spark):
+    """Empty tables give empty or NULL answers, not errors."""
+    from flowlake.operators import flow, order, series
+    from flowlake.operators.quantiles import exact_quantiles, quantile_values
+    e = spark.createDataFrame([], "flow_id string, packet_size long, timestamp double, ts timestamp_ntz, "
+                                  "src_ip string, dst_ip string, dst_port int, protocol string")
+    assert flow.flow_stats(e).count() == 0
+    assert series.histogram(e, "packet_size", 5).count() == 0
+    assert series.traffic_overview(e).count() == 0
+    g = order.gap_stats(e).first()
+    assert g.avg_packet_interval is None and g.time_variance is None
+    assert quantile_values(e, "packet_size", [0.5]) == [None]
+    assert exact_quantiles(e, "packet_size", [0.5], by=["protocol"]).count() == 0
+    assert summary.basic_features(e).first().total_packets == 0
+    assert summary.summarize(e).count() >= 0
