@@ -211,4 +211,5 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence, k: int
     w1 = Window.partitionBy(*group, "__salt").orderBy(*order)
     cand = df.select("*", salt).withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= k)
     w2 = Window.partitionBy(*group).orderBy(*order)
-    return cand.drop("__salt", "__r1").withColumn(out, F.row_number().over(w2)).where(F.col(out) <= k)
+    return (cand.drop("__salt", "__r1").withColumn(out, F.row_number().over(w2).cast("long"))
+                .where(F.col(out) <= k))
