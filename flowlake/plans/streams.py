@@ -61,7 +61,9 @@ def stream_alerts(spark, sf):
     counters = monitor.scratch_path(spark, "alert-counters")
     sink = monitor.alert_writer(alerts, malicious=m, tor=t, counters_path=counters, report_every=1)
     monitor.run_available_now(_packet_stream(spark, sf), sink, ck)
-    return spark.read.parquet(alerts).select("batch_id", "alert_type", "severity", "details", "n")
+    # the partition column's type is inferred on read: restore it
+    return spark.read.parquet(alerts).select(F.col("batch_id").cast("long").alias("batch_id"), "alert_type",
+                                             "severity", "details", "n")
 
 
 @plan("stream_sessions", with_packets("""

@@ -192,6 +192,6 @@ def current_stats(spark: SparkSession, counters_path: str, alerts_path: str, las
     """ST9: totals so far and the most recent anomaly alerts."""
     c = spark.read.parquet(counters_path)
     totals = c.groupBy("kind", "key").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
-    recent = (spark.read.parquet(alerts_path).where(F.col("alert_type") == "anomaly")
-                   .orderBy(F.desc("batch_id")).limit(last))
+    recent = (spark.read.parquet(alerts_path).withColumn("batch_id", F.col("batch_id").cast("long"))
+                   .where(F.col("alert_type") == "anomaly").orderBy(F.desc("batch_id")).limit(last))
     return {"totals": totals, "recent_anomaly_alerts": recent}
