@@ -80,20 +80,30 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` evaluated once, also inside lambdas, where Spark shares nothing."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def prefix_sums(values: Column, block: int = 256) -> Column:
     """Exclusive prefix sums of an array of longs, as one array of the same length.
 
     Two levels, so that an array of m values costs about m * block steps and
     not m * m: sums of blocks first, then each block from its own start.
     """
+    none = F.array().cast("array<bigint>")
+
     def running(a: Column, start: Column) -> Column:
         return F.aggregate(
-            a, F.struct(start.cast("long").alias("s"), F.array().cast("array<bigint>").alias("o")),
+            a, F.struct(start.cast("long").alias("s"), none.alias("o")),
             lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["o"], F.array(acc["s"])).alias("o")))["o"]
-    n = F.size(values)
-    blocks = F.when(n > 0, F.transform(
-        F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")),
-        lambda b: F.slice(values, b * block + 1, F.lit(block)))).otherwise(F.array().cast("array<array<bigint>>"))
-    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + x))
-    starts = running(sums, F.lit(0))
-    return F.flatten(F.zip_with(blocks, starts, running))
+
+    def cut(v: Column) -> Column:
+        last = F.floor((F.size(v) - 1) / block).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(v, b * block + 1, F.lit(block)))
+
+    def sums(blocks: Column) -> Column:
+        return running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + x)), F.lit(0))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(cut(v), lambda b: F.flatten(F.zip_with(b, sums(b), running))))
+               .otherwise(none))

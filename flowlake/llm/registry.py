@@ -1,6 +1,6 @@
 """Imports every operator module so that its queries register."""
 
-from flowlake.llm import near_dedup  # noqa: F401
+from flowlake.llm import decontaminate, mixing, near_dedup, quality, secret_scan  # noqa: F401
 from flowlake.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
