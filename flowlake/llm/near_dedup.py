@@ -15,8 +15,12 @@ floor(k/2) + 1 values are indexed: two sketches that share half their values
 share one of those.  A passage that many documents share is a frequent value
 and leaves the index unless it makes up about half a document.
 
-Long lists (groups of copies) don't emit all pairs.  First every member is
-compared with three leaders of its list only, and components are formed.
+Long lists (groups of copies) don't emit all pairs.  A set can only be linked
+if 85 % of its shingles occur in another candidate's set, so candidates with
+more shingles of their own leave first (in a group of edited copies, the heavily
+edited ones).  Then every member is compared with three leaders of its list
+only, the member with the smallest share of own shingles and two at random,
+and components are formed.
 Lists whose members are then in one component are done.  What remains, members
 of different components in one list, is compared exactly: short lists by a
 join, long ones block by block, each block pair in a task of its own, with the
@@ -39,8 +43,9 @@ from flowlake.llm import words as W
 from flowlake.llm.common import Scratch, own_columns, query, read
 from flowlake.llm.components import components
 
-K, THRESHOLD = 32, 85           # sketch size; percent of the union
-BLOCK, SHORT = 512, 64          # members of a list in one block; lists compared by a join
+K, THRESHOLD = 32, 85           # indexed sketch size; percent of the union
+K_PAIR = 256                    # sketch size of the estimate
+BLOCK, SHORT = 1024, 64         # members of a list in one block; lists compared by a join
 
 
 def _per_text(batches: Iterator[pa.RecordBatch], n_words: int, make) -> Iterator[list]:
@@ -92,17 +97,35 @@ def _sizes_fit(a: Column, b: Column, t: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * t
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame, k: int, t: int) -> DataFrame:
-    """Pairs (a, b) whose sizes fit and whose union sketch is at least half shared."""
-    ra = reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    rb = reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
-    return (pairs.join(ra, "a").join(rb, "b").filter(_sizes_fit(F.col("na"), F.col("nb"), t))
+def _estimated(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """Pairs (a, b) whose sizes fit and whose union sketch (``K_PAIR`` values) is shared enough.
+
+    Of s values of a union sketch at least t s are shared on average if the pair is linked;
+    the bar is 4.9 standard deviations below.  A union of fewer values is whole, and the bar exact.
+    Sets are sorted, so a sketch is their beginning.
+    """
+    sk = lambda n: sets.select(F.col("node").alias(n), F.size("shingles").alias(f"n{n}"),
+                               F.slice("shingles", 1, K_PAIR).alias(f"s{n}"))
+    q = t / 100
+    union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, K_PAIR)
+    return (pairs.join(sk("a"), "a").join(sk("b"), "b").filter(_sizes_fit(F.col("na"), F.col("nb"), t))
             .withColumn("u", union)
-            .filter(F.size(F.array_intersect("u", F.array_intersect("sa", "sb"))) * 2 >= F.size("u"))
+            .withColumn("i", F.size(F.array_intersect("u", F.array_intersect("sa", "sb"))))
+            .filter(F.when(F.size("u") < K_PAIR, F.col("i") * 100 >= F.size("u") * t)
+                    .otherwise(F.col("i") >= q * F.size("u") - 4.9 * F.sqrt(q * (1 - q) * F.size("u"))))
             .select("a", "b"))
 
 
+def _viable(sets: DataFrame, t: int) -> DataFrame:
+    """(node, own, lo, hi): nodes that share enough shingles with other nodes to be linked, their
+    share of own ones, and their set sizes (two if texts share a doc_id)."""
+    rows = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("value"))
+    common = rows.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1").select("value")
+    return (rows.join(common, "value").groupBy("node", "n").agg(F.count("*").alias("c"))
+            .filter(F.col("c") * 100 >= F.col("n") * t)
+            .groupBy("node").agg(F.min(1 - F.col("c") / F.col("n")).alias("own"), F.min("n").alias("lo"), F.max("n").alias("hi")))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     sa = sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa"))
     sb = sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb"))
@@ -110,25 +133,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     return j.filter(F.col("i") * 100 >= (F.size("xa") + F.size("xb") - F.col("i")) * t).select("a", "b")
 
 
-def _block_pairs(rows: DataFrame, k: int, t: int) -> DataFrame:
-    """Pairs of one list and different components, estimated in tasks of two blocks at most."""
+def _shared(left: list[np.ndarray], right: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all left with all right value lists, by products of 0/1 matrices."""
+    def flat(x):
+        return (np.concatenate(x) if x else np.zeros(0, np.int64)), np.repeat(np.arange(len(x)), [len(v) for v in x])
+    (lv, li), (rv, ri) = flat(left), flat(right)
+    vals = np.intersect1d(lv, rv)
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for i in range(0, len(vals), step):
+        part = vals[i:i + step]
+        m = []
+        for v, r, n in ((lv, li, len(left)), (rv, ri, len(right))):
+            at = np.minimum(np.searchsorted(part, v), len(part) - 1)
+            ok = part[at] == v
+            one = np.zeros((n, len(part)), dtype=np.float32)
+            one[r[ok], at[ok]] = 1
+            m.append(one)
+        out += m[0] @ m[1].T
+    return out
+
+
+def _block_pairs(rows: DataFrame, t: int) -> DataFrame:
+    """Pairs of different components in long lists, compared in tasks of two blocks at most.
+
+    A pair that shares several long lists is compared in the first of them.
+    """
+    q = t / 100
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-        left, right = pdf[pdf["blk"] == bi], pdf[pdf["blk"] == bj]
-        out_a, out_b = [], []
-        rs = np.full((len(right), k), -1, dtype=np.int64)
-        for i, s in enumerate(right["sketch"]):
-            rs[i, :len(s)] = s
-        rn, rnode, rcomp = right["n"].to_numpy(), right["node"].to_numpy(), right["comp"].to_numpy()
-        for node, comp, n, s in zip(left["node"], left["comp"], left["n"], left["sketch"], strict=True):
-            shared = np.isin(rs, s).sum(axis=1)
-            size = np.minimum(k, np.minimum((rs >= 0).sum(axis=1), len(s)))
-            ok = ((rcomp != comp) & (shared * 2 >= size) & (np.minimum(rn, n) * 100 >= np.maximum(rn, n) * t)
-                  & ((bi != bj) | (rnode > node)))
-            out_b.append(rnode[ok])
-            out_a.append(np.full(int(ok.sum()), node))
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
+        bi, bj, value = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0]), int(pdf["value"].iloc[0])
+        x, y = pdf[pdf["blk"] == bi], pdf[pdf["blk"] == bj]
+        arr = lambda d, c: d[c].to_numpy()
+        ok = (arr(x, "comp")[:, None] != arr(y, "comp")[None, :])
+        ok &= (arr(x, "hi")[:, None] * 100 >= t * arr(y, "lo")[None, :]) & (arr(y, "hi")[None, :] * 100 >= t * arr(x, "lo")[:, None])
+        if bi == bj:
+            ok &= arr(x, "node")[:, None] < arr(y, "node")[None, :]
+        first = [[v[v < value] for v in d["lists"]] for d in (x, y)]
+        ok &= _shared(*first) == 0
+        r, c = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+        a = b = np.zeros(0, np.int64)
+        if len(r):
+            sx, sy = [arr(x, "sketch")[i] for i in r], [arr(y, "sketch")[i] for i in c]
+            nx, ny = np.array([len(s) for s in sx])[:, None], np.array([len(s) for s in sy])[None, :]
+            both, u = _shared(sx, sy), np.maximum(nx, ny)
+            whole = np.maximum(nx, ny) < K_PAIR         # then the sketches are the sets
+            bar = np.where(whole, (nx + ny - both) * t / 100 - 1e-6, q * u - 4.9 * np.sqrt(q * (1 - q) * u))
+            i, j = np.nonzero(ok[np.ix_(r, c)] & (both >= bar))
+            a, b = arr(x, "node")[r[i]], arr(y, "node")[c[j]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="int64")
     blk = F.pmod(F.xxhash64("node"), F.col("nb"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
@@ -158,36 +209,42 @@ def near_duplicates(docs: DataFrame, k: int = K, threshold: int = THRESHOLD, n_w
     classes = part.groupBy("fp").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("r"))
     classes = sc.keep(classes.select("fp", F.col("r.doc_id").alias("node"), F.col("r.n_shingles").alias("n"),
                                      F.col("r.sketch").alias("sketch")))
-    index = _index(classes, sc)
-    near = index.select("node").distinct()
+    lists = _index(classes, sc)
+    near = lists.select("node").distinct()
     sets = sc.keep(shingle_sets(
         docs.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
         .select(F.col("doc_id").alias("node"), "text"), n_words).distinct())
     # a repeated doc_id has one class row and one set for each of its texts
 
     # leaders: three members of each list stand for it
+    viable = sc.keep(_viable(sets, threshold))
+    index = sc.keep(lists.join(viable, "node"))
     lead = index.groupBy("value").agg(
         F.count("*").alias("c"),
-        F.array_distinct(F.array(F.min("node"), F.min_by("node", F.xxhash64("node", F.lit(1))),
+        F.array_distinct(F.array(F.min_by("node", F.struct("own", "node")), F.min_by("node", F.xxhash64("node", F.lit(1))),
                                  F.min_by("node", F.xxhash64("node", F.lit(2))))).alias("l"))
     lead = lead.filter("c > 1")
     star = (index.join(lead.select("value", F.explode("l").alias("lead")), "value").filter("node <> lead")
             .select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
-    links = sc.keep(_verified(_estimated(star, classes, k, threshold), sets, threshold))
+    links = sc.keep(_verified(_estimated(star, sets, threshold), sets, threshold))
     comp = sc.keep(components(links, sc))
 
     # lists that still hold several components
-    held = sc.keep(index.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-    mixed = held.groupBy("value").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-        .filter("lo < hi").select("value", "c")
-    rows = held.join(mixed, "value")
+    held = sc.keep(index.drop("own").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    mixed = held.groupBy("value").agg(F.count("*").alias("c"), F.min("comp").alias("least"), F.max("comp").alias("most")) \
+        .filter("least < most").select("value", "c")
+    rows = sc.keep(held.join(mixed, "value"))
     low = rows.filter(F.col("c") <= SHORT)
-    x, y = low.select("value", F.col("node").alias("a"), F.col("comp").alias("ca")), \
-        low.select("value", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    rest = x.join(y, "value").filter("a < b and ca <> cb").select("a", "b")
-    high = rows.filter(F.col("c") > SHORT).join(classes.select("node", "n", "sketch"), "node")
-    rest = rest.unionByName(_block_pairs(high, k, threshold)).distinct()
-    more = sc.keep(_verified(_estimated(rest, classes, k, threshold), sets, threshold))
+    side = lambda n: low.select("value", F.col("node").alias(n), F.col("comp").alias(f"c{n}"),
+                                F.col("lo").alias(f"lo{n}"), F.col("hi").alias(f"hi{n}"))
+    rest = (side("a").join(side("b"), "value").filter("a < b and ca <> cb")
+            .filter((F.col("hia") * 100 >= F.col("lob") * threshold) & (F.col("hib") * 100 >= F.col("loa") * threshold))
+            .select("a", "b"))
+    high = rows.filter(F.col("c") > SHORT)
+    own_lists = high.groupBy("node").agg(F.collect_list("value").alias("lists"))  # at most k / 2 + 1 values
+    sketch = sets.select("node", F.slice("shingles", 1, K_PAIR).alias("sketch"))
+    rest = rest.unionByName(_block_pairs(high.join(own_lists, "node").join(sketch, "node"), threshold)).distinct()
+    more = sc.keep(_verified(_estimated(rest, sets, threshold), sets, threshold))
     comp = sc.keep(components(links.unionByName(more), sc))
 
     label = classes.join(comp, "node", "left").select(
@@ -196,7 +253,7 @@ def near_duplicates(docs: DataFrame, k: int = K, threshold: int = THRESHOLD, n_w
         "component_id", F.when(F.col("doc_id").isNull(), None).otherwise(
             F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))))
     out = out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    sc.free(index, sets, held, links, more)
+    sc.free(lists, sets, viable, index, held, rows, links, more)
     return out
 
 
