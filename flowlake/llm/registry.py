@@ -1,6 +1,17 @@
 """Imports every operator module so that its queries register."""
 
-from flowlake.llm import decontaminate, mixing, near_dedup, quality, secret_scan  # noqa: F401
+from flowlake.llm import (  # noqa: F401
+    ann,
+    chat_format,
+    decontaminate,
+    license_scan,
+    mixing,
+    near_dedup,
+    quality,
+    secret_scan,
+    token_counts,
+    warc,
+)
 from flowlake.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
