@@ -80,6 +80,14 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def others(df: DataFrame, *made: str) -> list[Column]:
+    """The columns of ``df`` that an operator passes through: all but those it makes itself.
+
+    Names that begin with two underscores are the operators' own.
+    """
+    return [F.col(f"`{c}`") for c in df.columns if c not in made and not c.startswith("__")]
+
+
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then(value)`` with ``value`` evaluated once, also inside lambdas, where Spark shares nothing."""
     return F.get(F.transform(F.array(value), then), F.lit(0))

@@ -44,7 +44,6 @@ class SuffixAutomaton:
         self.next: list[dict] = [{}]
         self.link, self.length = [-1], [0]
         self.items: list[set | None] = [None]       # items whose window a state's run of that length is
-        self.short: list[int] = [-1]                # length of the short item that a state holds, or -1
 
     def _clone(self, p: int, q: int, word) -> int:
         c = len(self.next)
@@ -52,7 +51,6 @@ class SuffixAutomaton:
         self.link.append(self.link[q])
         self.length.append(self.length[p] + 1)
         self.items.append(None)
-        self.short.append(-1)
         self.link[q] = c
         while p != -1 and self.next[p].get(word) == q:
             self.next[p][word] = c
@@ -68,7 +66,6 @@ class SuffixAutomaton:
         self.link.append(0)
         self.length.append(self.length[last] + 1)
         self.items.append(None)
-        self.short.append(-1)
         p = last
         while p != -1 and word not in self.next[p]:
             self.next[p][word] = cur
@@ -93,11 +90,7 @@ class SuffixAutomaton:
                 state = self.link[state]
             if self.items[state] is None:
                 self.items[state] = set()
-            if n == self.window:
-                self.items[state].add((n, item))
-            elif run == len(ws):
-                self.items[state].add((n, item))
-                self.short[state] = n
+            self.items[state].add((n, item))
 
     def run(self, ws: list) -> Iterator[tuple[int, int]]:
         """For each word: the state and the length of the longest match that ends there."""
@@ -219,7 +212,7 @@ def _unite(iv: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _pass(df: DataFrame, block, window: int) -> DataFrame:
-    """Add the hits of one block: columns _text, _n, _iv (flat word intervals), _items."""
+    """Add the hits of one block: columns __text, __n, __iv (flat word intervals), __items."""
     shared = df.sparkSession.sparkContext.broadcast(block)
     names = df.columns
 
@@ -230,7 +223,7 @@ def _pass(df: DataFrame, block, window: int) -> DataFrame:
             n_words = np.zeros(batch.num_rows, dtype=np.int64)
             iv: dict[int, list] = {}
             items: dict[int, set] = {}
-            for first, data, offs in W.slices(t["_text"]):
+            for first, data, offs in W.slices(t["__text"]):
                 low = W.LOWER[data]
                 s, e, at = W.spans(low, offs, W.ALNUM)
                 n_words[first: first + len(offs) - 1] = np.diff(at)
@@ -243,24 +236,24 @@ def _pass(df: DataFrame, block, window: int) -> DataFrame:
                         base = a - int(at[row])
                         iv.setdefault(first + row, []).append((base + x, base + y))
                         items.setdefault(first + row, set()).update(found)
-            t["_n"] = pa.array(n_words)
-            old_iv, old_items = t["_iv"].to_pylist(), t["_items"].to_pylist()
+            t["__n"] = pa.array(n_words)
+            old_iv, old_items = t["__iv"].to_pylist(), t["__items"].to_pylist()
             for i, found in iv.items():
                 old = [(old_iv[i][k], old_iv[i][k + 1]) for k in range(0, len(old_iv[i]), 2)]
                 old_iv[i] = [x for p in _unite(old + found) for x in p]
                 old_items[i] = sorted(set(old_items[i]) | items[i])
-            t["_iv"], t["_items"] = pa.array(old_iv, pa.list_(pa.int64())), pa.array(old_items, pa.list_(pa.string()))
+            t["__iv"], t["__items"] = pa.array(old_iv, pa.list_(pa.int64())), pa.array(old_items, pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([t[n] for n in names], names)
     return df.mapInArrow(run, df.schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS,
          text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and _n (words), _iv (hit word intervals, flat:
-    start, end, start, ...), _items (ids of items with occurring windows, as strings,
+    """All columns of ``docs`` and __n (words), __iv (hit word intervals, flat:
+    start, end, start, ...), __items (ids of items with occurring windows, as strings,
     sorted).  A null text has no words; an empty benchmark hits nothing."""
-    df = docs.withColumns({"_text": F.col(f"`{text_col}`"), "_n": F.lit(0).cast("long"),
-                           "_iv": F.array().cast("array<bigint>"), "_items": F.array().cast("array<string>")})
+    df = docs.withColumns({"__text": F.col(f"`{text_col}`"), "__n": F.lit(0).cast("long"),
+                           "__iv": F.array().cast("array<bigint>"), "__items": F.array().cast("array<string>")})
     sc, kept = None, None
     for i, block in enumerate(item_blocks(benchmark, block_words)):
         if i:                                       # one block's automaton in a job at a time
@@ -270,14 +263,14 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
                 sc.free(kept)
             kept = df = done
         df = _pass(df, block, window)
-    return df.drop("_text")
+    return df.drop("__text")
 
 
 def _counts(df: DataFrame, coverage: int) -> DataFrame:
-    hit = F.aggregate(F.transform("_iv", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"),
+    hit = F.aggregate(F.transform("__iv", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"),
                       lambda s, x: s + x)
-    return df.withColumn("n_hit", hit).withColumn(
-        "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * coverage >= F.col("_n")))
+    return df.withColumn("__hit", hit).withColumn(
+        "__bad", (F.col("__hit") > 0) & (F.col("__hit") * coverage >= F.col("__n")))
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE,
@@ -289,9 +282,10 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     windows; items that repeat an id count once.
     """
     out = _counts(find(own_columns(docs, "doc_id", "text"), benchmark, window, block_words), coverage)
-    return out.select("doc_id", F.col("_n").alias("n_words"), "n_hit", F.size("_items").cast("long").alias("n_items"),
-                      F.sha2(F.concat_ws(",", "_items"), 256).alias("items_sha256"), "contaminated",
-                      F.col("_iv").alias("hits"))
+    return out.select("doc_id", F.col("__n").alias("n_words"), F.col("__hit").alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
+                      F.sha2(F.concat_ws(",", "__items"), 256).alias("items_sha256"),
+                      F.col("__bad").alias("contaminated"),
+                      F.col("__iv").alias("hits"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = COVERAGE,
@@ -306,14 +300,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     cols = docs.columns
     found = _counts(find(docs, benchmark, window, block_words), coverage)
     if action == "drop":
-        return found.filter(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in cols])
+        return found.filter(~F.col("__bad")).select(*[F.col(f"`{c}`") for c in cols])
     names, schema = found.columns, found.schema
 
     def run(batches):
         for batch in batches:
             t = {n: batch.column(i) for i, n in enumerate(names)}
             texts = t["text"].to_pylist()
-            for i, (iv, bad) in enumerate(zip(t["_iv"].to_pylist(), t["contaminated"].to_pylist(), strict=True)):
+            for i, (iv, bad) in enumerate(zip(t["__iv"].to_pylist(), t["__bad"].to_pylist(), strict=True)):
                 spans = [(iv[k], iv[k + 1]) for k in range(0, len(iv), 2)]
                 spans = [x for x in spans if bad or (max_span is not None and x[1] - x[0] > max_span)]
                 if spans:

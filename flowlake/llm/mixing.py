@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import Scratch, query, read
+from flowlake.llm.common import Scratch, others, query, read
 
 LEVELS = ("domain", "lang", "source")
 SEED, SHARE, EPOCHS = "mix-1", 1.0, 2
@@ -125,23 +125,25 @@ def mix(docs: DataFrame, levels: dict[str, Column], tokens: Column | None = None
     ``levels`` names the tree from the top.  Null levels are values of their
     own; null or empty texts have no tokens, cost nothing and come with the first
     epoch.  Rows that repeat a doc_id (or have none) in one leaf are taken or left together.
-    An empty table gives an empty table.  Extra columns pass through.
+    An empty table gives an empty table.  Extra columns pass
+    through; an ``epoch`` or ``n_tokens`` of the input is replaced.
     """
     if not levels:
         raise ValueError("at least one level")
     sc = Scratch(docs.sparkSession)
-    keys = [f"_l{i}" for i in range(len(levels))]
+    keys = [f"__level{i}" for i in range(len(levels))]
     own = {k: _name(c) for k, c in zip(keys, levels.values(), strict=True)}
     tok = n_tokens(F.col("text")) if tokens is None else tokens
     rows = sc.keep(docs.select("doc_id", *[c.alias(k) for k, c in own.items()], tok.alias("tokens")))
     if targets is not None:
         targets = targets.select(*[_name(F.col(n)).alias(k) for n, k in zip(levels, keys, strict=True)], "weight")
     leaf = plan(rows, keys, share, max_epochs, seed, targets)
-    d = docs.withColumns(own | {"_n_tokens": tok}).join(leaf, keys)
-    more = F.coalesce(order_key(F.col("full"), F.col("doc_id"), seed) <= F.col("cut"), F.lit(False))
-    last = F.col("full") + more.cast("int") - 1
-    d = d.filter(last >= 0).withColumn("_epoch", F.explode(F.sequence(F.lit(0), last)))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_epoch").alias("epoch"), F.col("_n_tokens").alias("n_tokens"))
+    leaf = leaf.select(*keys, F.col("full").alias("__full"), F.col("cut").alias("__cut"))
+    d = docs.withColumns(own | {"__tokens": tok}).join(leaf, keys)
+    more = F.coalesce(order_key(F.col("__full"), F.col("doc_id"), seed) <= F.col("__cut"), F.lit(False))
+    last = F.col("__full") + more.cast("int") - 1
+    d = d.filter(last >= 0).withColumn("__epoch", F.explode(F.sequence(F.lit(0), last)))
+    return d.select(*others(docs, "epoch", "n_tokens"), F.col("__epoch").alias("epoch"), F.col("__tokens").alias("n_tokens"))
 
 
 def _sql() -> str:

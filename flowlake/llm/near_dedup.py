@@ -226,7 +226,11 @@ def near_duplicates(docs: DataFrame, k: int = K, threshold: int = THRESHOLD, n_w
     lead = lead.filter("c > 1")
     star = (index.join(lead.select("value", F.explode("l").alias("lead")), "value").filter("node <> lead")
             .select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
-    links = sc.keep(_verified(_estimated(star, sets, threshold), sets, threshold))
+    # a doc_id with several texts ties their classes together
+    twice = part.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select("doc_id")
+    tied = part.join(twice, "doc_id").select("doc_id", "fp").join(classes.select("fp", "node"), "fp").select("doc_id", "node").distinct()
+    tied = tied.join(tied.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b")
+    links = sc.keep(_verified(_estimated(star, sets, threshold), sets, threshold).unionByName(tied))
     comp = sc.keep(components(links, sc))
 
     # lists that still hold several components

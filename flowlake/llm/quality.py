@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlake.llm import words as W
-from flowlake.llm.common import Scratch, own_columns, query, read
+from flowlake.llm.common import Scratch, others, own_columns, query, read
 
 MAX_LABELS = 20_000             # labelled rows used to fit, at most (least hashes of doc_id)
 MAX_LEXICON = 500               # words kept as evidence
 MIN_COUNT = 5                   # labelled documents a word must occur in
 N_FEATURES = 8
+#: least spread by which each feature is scaled: labelled rows that hardly differ in one must not make it decisive
+LEAST_SCALE = np.array([0.5, 0.5, 0.002, 0.02, 0.02, 0.02, 0.3, 0.5])
 MAX_STRENGTH = 1e6              # of a Beta prior, where sites do not differ
 
 
@@ -48,7 +50,10 @@ class Model:
     bias: float = -20.0         # without labels of both classes nothing is rejected
 
     def evidence(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale @ self.coef + self.bias, -30, 30)
+        return np.clip(self.scaled(x) @ self.coef + self.bias, -30, 30)
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -6, 6)
 
 
 def _hashed(data: np.ndarray, offs: np.ndarray):
@@ -169,22 +174,22 @@ def fit(labels: DataFrame, docs: DataFrame, max_labels: int = MAX_LABELS) -> Mod
     x, y = np.array([r["x"] for r in rows]), np.array([r["bad"] for r in rows], dtype=float)
     order = np.lexsort(np.column_stack([x, y]).T)     # row order must not change the last digits
     x, y = x[order], y[order]
-    m.mean, m.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    b = _logistic((x - m.mean) / m.scale, y)
+    m.mean, m.scale = x.mean(axis=0), np.maximum(x.std(axis=0), LEAST_SCALE)
+    b = _logistic(m.scaled(x), y)
     m.coef, m.bias = b[:-1], float(b[-1])
     return m
 
 
 def with_evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``_z``, the log-odds that the text is unwanted (rounded to 1e-6)."""
+    """All columns of ``docs`` and ``__z``, the log-odds that the text is unwanted (rounded to 1e-6)."""
     names = docs.columns
     at = names.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_z", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("__z", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
             z = np.round(model.evidence(features(batch.column(at), model.lex, model.weight)), 6)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(z)], [*names, "_z"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(z)], [*names, "__z"])
     return docs.mapInArrow(run, schema)
 
 
@@ -207,15 +212,15 @@ def _strength(rows: DataFrame, n: str, rate: Column, prior: Column) -> float:
 
 def sites(scored: DataFrame, scratch: Scratch) -> tuple[DataFrame, float, float]:
     """Per path: sums and the host's posterior; the global rate; the path prior's strength."""
-    path = scratch.keep(scored.groupBy("_host", "_path").agg(F.count("*").alias("n_p"), F.sum(_p(F.col("_z"))).alias("s_p")))
-    host = path.groupBy("_host").agg(F.sum("n_p").alias("n_h"), F.sum("s_p").alias("s_h"))
-    g = path.agg(F.sum("n_p").alias("n"), F.sum("s_p").alias("s")).first()
+    path = scratch.keep(scored.groupBy("__host", "__path").agg(F.count("*").alias("__n_p"), F.sum(_p(F.col("__z"))).alias("__s_p")))
+    host = path.groupBy("__host").agg(F.sum("__n_p").alias("__n_h"), F.sum("__s_p").alias("__s_h"))
+    g = path.agg(F.sum("__n_p").alias("n"), F.sum("__s_p").alias("s")).first()
     rate = min(max((g["s"] or 0.0) / g["n"], 1e-6), 1 - 1e-6) if g["n"] else 0.5
-    k_host = _strength(host, "n_h", F.col("s_h") / F.col("n_h"), F.lit(rate))
-    host = host.withColumn("q_h", (F.col("s_h") + k_host * rate) / (F.col("n_h") + k_host))
-    both = path.join(host, path["_host"].eqNullSafe(host["_host"])).drop(host["_host"])
-    k_path = _strength(both, "n_p", F.col("s_p") / F.col("n_p"), F.col("q_h"))
-    return scratch.keep(both.select("_host", "_path", "n_p", "s_p", "q_h")), rate, k_path
+    k_host = _strength(host, "__n_h", F.col("__s_h") / F.col("__n_h"), F.lit(rate))
+    host = host.withColumn("__q_h", (F.col("__s_h") + k_host * rate) / (F.col("__n_h") + k_host))
+    both = path.join(host, path["__host"].eqNullSafe(host["__host"])).drop(host["__host"])
+    k_path = _strength(both, "__n_p", F.col("__s_p") / F.col("__n_p"), F.col("__q_h"))
+    return scratch.keep(both.select("__host", "__path", "__n_p", "__s_p", "__q_h")), rate, k_path
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None,
@@ -226,25 +231,25 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     since the documents carry no URL.  Null sites form a site of their own.
     Null and empty texts are judged by their features like any text.  Repeated rows are
     judged alike.  An empty table, or one without labels of both classes,
-    rejects nothing.
+    rejects nothing.  Columns of the input with the names of the new ones are replaced.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     model = fit(labels, docs, max_labels)
     sc = Scratch(docs.sparkSession)
-    narrow = with_evidence(docs.select("text", host.alias("_host"), path.alias("_path")), model).drop("text")
+    narrow = with_evidence(docs.select("text", host.alias("__host"), path.alias("__path")), model).drop("text")
     table, rate, strength = sites(narrow, sc)
-    own = with_evidence(docs.withColumns({"_host": host, "_path": path}), model)
-    t = table.select(F.col("_host").alias("_h"), F.col("_path").alias("_q"), "n_p", "s_p", "q_h")
-    j = own.join(t, own["_host"].eqNullSafe(t["_h"]) & own["_path"].eqNullSafe(t["_q"]), "left")
-    rest = F.col("n_p") - 1
-    post = (F.greatest(F.col("s_p") - _p(F.col("_z")), F.lit(0.0)) + strength * F.col("q_h")) / (rest + strength)
+    own = with_evidence(docs.withColumns({"__host": host, "__path": path}), model)
+    t = table.select(F.col("__host").alias("__h"), F.col("__path").alias("__q"), "__n_p", "__s_p", "__q_h")
+    j = own.join(t, own["__host"].eqNullSafe(t["__h"]) & own["__path"].eqNullSafe(t["__q"]), "left")
+    rest = F.col("__n_p") - 1
+    post = (F.greatest(F.col("__s_p") - _p(F.col("__z")), F.lit(0.0)) + strength * F.col("__q_h")) / (rest + strength)
     post = F.least(F.greatest(post, F.lit(1e-6)), F.lit(1 - 1e-6))
-    j = j.withColumn("site_rate", F.round(post, 6))
-    shift = F.log(F.col("site_rate") / (1 - F.col("site_rate"))) - math.log(rate / (1 - rate))
-    j = j.withColumn("score", F.round(_p(F.col("_z") + shift), 6))
-    return j.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_z").alias("evidence"), "site_rate", "score",
-                    (F.col("score") < threshold).alias("keep"))
+    j = j.withColumn("__rate", F.round(post, 6))
+    shift = F.log(F.col("__rate") / (1 - F.col("__rate"))) - math.log(rate / (1 - rate))
+    j = j.withColumn("__score", F.round(_p(F.col("__z") + shift), 6))
+    return j.select(*others(docs, "evidence", "site_rate", "score", "keep"), F.col("__z").alias("evidence"),
+                    F.col("__rate").alias("site_rate"), F.col("__score").alias("score"), (F.col("__score") < threshold).alias("keep"))
 
 
 @query("op8_quality_classifier")

@@ -175,26 +175,26 @@ def _band(n: Column) -> Column:
 
 
 def scan(df: DataFrame, text: Column) -> DataFrame:
-    """Add ``_base`` (array of s, k, e) and ``_cand`` (s, e, enc, band, step) for a whole text; null is empty."""
+    """Add ``__base`` (array of s, k, e) and ``__cand`` (s, e, enc, band, step) for a whole text; null is empty."""
     t = F.coalesce(text, F.lit(""))
-    df = df.withColumn("_runs", t.rlike(RUN))
+    df = df.withColumn("__runs", t.rlike(RUN))
     assign = F.filter(_found(t, ASSIGN, t.rlike(KEYWORD)),
                       lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 1)) >= 6)
     base = F.concat(_spans(assign, "assign"),
-                    _spans(_found(t, ACCESS, F.col("_runs") & t.contains("AKIA")), "access"),
-                    _spans(_found(t, HEX, F.col("_runs")), "hex"))
-    df = df.withColumn("_base", F.array_sort(base)).withColumn("_run", _found(t, RUN, F.col("_runs")))
-    free = F.filter("_run", lambda x: ~F.exists("_base", lambda b: (b["s"] < x["s"] + F.length(x["m"])) & (x["s"] < b["e"])))
+                    _spans(_found(t, ACCESS, F.col("__runs") & t.contains("AKIA")), "access"),
+                    _spans(_found(t, HEX, F.col("__runs")), "hex"))
+    df = df.withColumn("__base", F.array_sort(base)).withColumn("__run", _found(t, RUN, F.col("__runs")))
+    free = F.filter("__run", lambda x: ~F.exists("__base", lambda b: (b["s"] < x["s"] + F.length(x["m"])) & (x["s"] < b["e"])))
     bare = F.transform(free, lambda x: F.struct(x["s"].alias("s"), F.regexp_replace(x["m"], "=+$", "").alias("m")))
     bare = F.filter(bare, lambda x: (F.length(x["m"]) >= LEAST) & infer_encoding(x["m"]).isNotNull())
-    df = df.withColumn("_run", F.when(F.size("_run") > 0, bare).otherwise(F.col("_run")))
-    cand = F.transform("_run", lambda x: F.struct(
+    df = df.withColumn("__run", F.when(F.size("__run") > 0, bare).otherwise(F.col("__run")))
+    cand = F.transform("__run", lambda x: F.struct(
         x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), infer_encoding(x["m"]).alias("enc"),
         _band(F.length(x["m"])).alias("band"),
         F.least(F.floor(-F.log10(F.greatest(p_random(x["m"], infer_encoding(x["m"])), F.lit(1e-15))) * STEPS),
                 F.lit(TOP)).cast("int").alias("step")))
-    return df.withColumn("_cand", F.when(F.size("_run") > 0, cand).otherwise(
-        F.array().cast("array<struct<s:int,e:int,enc:string,band:int,step:int>>"))).drop("_run", "_runs")
+    return df.withColumn("__cand", F.when(F.size("__run") > 0, cand).otherwise(
+        F.array().cast("array<struct<s:int,e:int,enc:string,band:int,step:int>>"))).drop("__run", "__runs")
 
 
 def rejection_steps(scanned: DataFrame, q: float = Q) -> dict[tuple[str, int], int]:
@@ -202,7 +202,7 @@ def rejection_steps(scanned: DataFrame, q: float = Q) -> dict[tuple[str, int], i
 
     The table that reaches the driver has at most 5 encodings x 4 bands x 241 steps, at any input size.
     """
-    n = (scanned.select(F.explode("_cand").alias("c")).groupBy("c.enc", "c.band", "c.step")
+    n = (scanned.select(F.explode("__cand").alias("c")).groupBy("c.enc", "c.band", "c.step")
          .agg(F.count("*").alias("n")).collect())
     out: dict[tuple[str, int], int] = {}
     for key in {(r["enc"], r["band"]) for r in n}:
@@ -221,7 +221,7 @@ def _random(steps: dict[tuple[str, int], int]) -> Column:
         for (enc, band), step in sorted(steps.items()):
             bar = F.when((c["enc"] == enc) & (c["band"] == band), F.lit(step)).otherwise(bar)
         return c["step"] < bar
-    return F.transform(F.filter("_cand", kept), lambda c: F.struct(
+    return F.transform(F.filter("__cand", kept), lambda c: F.struct(
         c["s"].alias("s"), F.lit(KINDS.index("random")).alias("k"), c["e"].alias("e")))
 
 
@@ -239,10 +239,10 @@ def find_secrets(docs: DataFrame, q: float = Q) -> DataFrame:
     sc = Scratch(docs.sparkSession)
     got = sc.keep(scan(docs.select("doc_id", "text"), F.col("text")).drop("text"))
     rnd = _random(rejection_steps(got, q))
-    count = lambda k: F.size(F.filter("_base", lambda x: x["k"] == KINDS.index(k))).cast("long")
+    count = lambda k: F.size(F.filter("__base", lambda x: x["k"] == KINDS.index(k))).cast("long")
     return got.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
-                      count("hex").alias("n_hex"), F.sha2(_text(F.col("_base")), 256).alias("base_sha256"),
-                      _text(F.array_sort(F.concat("_base", rnd))).alias("spans"), F.size(rnd).cast("long").alias("n_random"))
+                      count("hex").alias("n_hex"), F.sha2(_text(F.col("__base")), 256).alias("base_sha256"),
+                      _text(F.array_sort(F.concat("__base", rnd))).alias("spans"), F.size(rnd).cast("long").alias("n_random"))
 
 
 def mask(text: Column, spans: Column) -> Column:
@@ -261,14 +261,14 @@ def redact(docs: DataFrame, q: float = Q) -> DataFrame:
     """The documents with every secret masked; ``n_chars``, if present, follows the text.  No row goes."""
     cols = docs.columns
     sc = Scratch(docs.sparkSession)
-    cand = sc.keep(scan(docs.select("text"), F.col("text")).select("_cand").filter(F.size("_cand") > 0))
+    cand = sc.keep(scan(docs.select("text"), F.col("text")).select("__cand").filter(F.size("__cand") > 0))
     steps = rejection_steps(cand, q)
     sc.free(cand)
     got = scan(docs, F.col("text"))
-    got = got.withColumn("_all", F.array_sort(F.concat("_base", _random(steps))))
-    got = got.withColumn("text", mask(F.col("text"), F.col("_all")))
+    got = got.withColumn("__all", F.array_sort(F.concat("__base", _random(steps))))
+    got = got.withColumn("text", mask(F.col("text"), F.col("__all")))
     if "n_chars" in cols:
-        got = got.withColumn("n_chars", F.when(F.size("_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        got = got.withColumn("n_chars", F.when(F.size("__all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return got.select(*[F.col(f"`{c}`") for c in cols])
 
 
