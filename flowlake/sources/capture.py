@@ -2,36 +2,47 @@
 
 ``read_captures(spark, path)`` is the scalable path:
 
-1. the capture files (``.pcap``, ``.pcapng``, ``.cap``; a file, a folder
-   or a glob) become a DataFrame of paths, one task per file;
-2. a scan task walks each classic pcap's record headers (seeking over the
+1. Spark's own file listing (``binaryFile``, metadata columns only) finds the
+   capture files (``.pcap``, ``.pcapng``, ``.cap``; a file, a folder or a
+   glob) on any file system of the cluster; nothing found is an error, and files
+   of zero bytes are left out;
+2. a scan task walks each file's record or block headers (seeking over the
    packet bytes) and cuts it into byte ranges of about ``chunk_mb`` on
-   record boundaries, with each range's first packet number; pcapng files
-   are one range each (their interface blocks sit at the start);
-3. the ranges are repartitioned and every task decodes its range with
-   NumPy-free Python struct parsing into Arrow batches of the fixed packet
-   schema (Ethernet, VLAN, Linux cooked, raw IP; IPv4; TCP, UDP, ICMP; DNS
-   question; HTTP request line and Host; payload size, entropy, patterns).
+   record boundaries, each with its first packet number and, for pcapng, the
+   interfaces known at its start;
+3. the ranges are repartitioned and every task decodes its range in Arrow
+   batches of the fixed packet schema (Ethernet, VLAN, Linux cooked, raw IP;
+   IPv4; TCP, UDP, ICMP; DNS question; HTTP request line and Host; payload
+   size, entropy, patterns).
+
+``packet_id`` is unique over all files of a read: the file's number in path
+order times 2^40 plus the packet's number in its file.  Later fragments of an
+IP datagram carry no layer-4 header, so they have no ports or flags.
 
 The flow id (F1) and the payload patterns (F3) are Spark expressions added
-after decoding.  A record that fails to decode keeps its number and file
-with the error text in ``decode_error`` (PERMISSIVE); ``good_packets``
-drops those rows (P18).
+after decoding.  PERMISSIVE: a record that fails to decode keeps its number and
+file with the error text in ``decode_error``; a file that is no capture, can't be
+read, or ends inside a record gives one row that says so with the byte offset.
+``good_packets`` drops those rows (P18), ``decode_errors`` counts them per file.
+
+Local paths are opened directly, other URIs through Arrow's file systems.
 
 ``spark.read.format("capture").load(path)`` (registered by ``register``)
-reads whole files, one partition per file, with the same decoder.
+reads whole local files, one partition per file, with the same decoder.
 """
 
 from __future__ import annotations
 
 import glob
+import json
 import os
 import struct
 from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,7 +54,8 @@ DECODED_FIELDS = [f for f in PACKET_FIELDS if f[0] not in ("flow_id", "suspiciou
 DECODED_SCHEMA = T.StructType([T.StructField(n, t) for n, t in DECODED_FIELDS]
                               + [T.StructField("payload_text", T.StringType()),
                                  T.StructField("decode_error", T.StringType())])
-CHUNK_SCHEMA = "path string, chunk long, start long, stop long, first_index long"
+CHUNK_SCHEMA = "path string, file_no long, chunk long, start long, stop long, first_index long, state string, error string"
+FILE_IDS = 1 << 40              # packet numbers of one file
 
 HTTP_METHODS = (b"GET", b"POST", b"PUT", b"DELETE", b"HEAD", b"OPTIONS", b"PATCH", b"CONNECT", b"TRACE")
 
@@ -69,33 +81,108 @@ def _pcap_header(buf: bytes):
     return endian, res, linktype
 
 
+def open_capture(path: str):
+    """A seekable binary stream of a local file or of a URI."""
+    u = urlparse(path)
+    if u.scheme in ("", "file"):
+        return open(unquote(u.path) if u.scheme else path, "rb")
+    from pyarrow import fs
+    found, inner = fs.FileSystem.from_uri(path)
+    return found.open_input_file(inner)
+
+
+def capture_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file_no) of every capture under ``path``, by Spark's listing.  Raises if there is none."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).select("path")
+    found = found.where(F.lower("path").rlike(r"[.](pcap|pcapng|cap)$"))
+    # one narrow row per file; a file's number is its place in path order
+    files = found.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("file_no"))
+    if not files.take(1):
+        raise FileNotFoundError(f"no capture file ({', '.join(EXTENSIONS)}) under {path}")
+    return files
+
+
+def chunk_stream(f, size: int, chunk_bytes: int) -> list[tuple]:
+    """Byte ranges on record boundaries: (chunk, start, stop, first_index, state, error).
+
+    ``state`` holds a pcapng section's byte order and interfaces at the range's
+    start.  A file that is no capture, or ends inside a record, gives a last range with an error.
+    """
+    head = f.read(24)
+    out: list[tuple] = []
+    hdr = _pcap_header(head) if len(head) == 24 else None
+    ng = head[:4] == b"\x0a\x0d\x0d\x0a"
+    if hdr is None and not ng:
+        return [(0, 0, 0, 0, None, "not a capture file (byte 0)" if size else "empty file (byte 0)")]
+    state: dict = {"endian": "<", "ifaces": []}
+    start = pos = 0 if ng else 24
+    first = idx = 0
+    at_start, error = json.dumps(state), None
+    while pos < size:
+        f.seek(pos)
+        rec = f.read(16)
+        if ng:
+            nxt, is_packet = _pcapng_step(f, rec, pos, state)
+        else:
+            nxt = pos + 16 + struct.unpack(hdr[0] + "I", rec[8:12])[0] if len(rec) == 16 else None
+            is_packet = True
+        if nxt is None or nxt > size:
+            error = f"truncated or corrupt record at byte {pos}"
+            break
+        idx += is_packet
+        pos = nxt
+        if pos - start >= chunk_bytes:
+            out.append((len(out), start, pos, first, at_start, None))
+            start, first, at_start = pos, idx, json.dumps(state)
+    if pos > start or not out:
+        out.append((len(out), start, pos, first, at_start, None))
+    if error:
+        out.append((len(out), pos, pos, idx, None, error))
+    return out
+
+
 def chunk_file(path: str, chunk_bytes: int) -> list[tuple]:
-    """Byte ranges on record boundaries: (path, chunk, start, stop, first_index)."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
-        head = f.read(24)
-        hdr = _pcap_header(head)
-        if hdr is None:              # pcapng or unknown: one range
-            return [(path, 0, 0, size, 0)]
-        endian = hdr[0]
-        out, start, idx, first, pos = [], 24, 0, 0, 24
-        while pos + 16 <= size:
-            f.seek(pos)
-            rec = f.read(16)
-            if len(rec) < 16:
-                break
-            incl = struct.unpack(endian + "I", rec[8:12])[0]
-            nxt = pos + 16 + incl
-            if nxt > size:
-                break
-            idx += 1
-            pos = nxt
-            if pos - start >= chunk_bytes:
-                out.append((path, len(out), start, pos, first))
-                start, first = pos, idx
-        if pos > start or not out:
-            out.append((path, len(out), start, max(pos, start), first))
-        return out
+    try:
+        with open_capture(path) as f:
+            f.seek(0, 2)
+            size = f.tell()
+            f.seek(0)
+            return chunk_stream(f, size, chunk_bytes)
+    except Exception as e:  # noqa: BLE001 - kept as the file's error row
+        return [(0, 0, 0, 0, None, f"unreadable: {type(e).__name__}: {e}")]
+
+
+def _pcapng_step(f, rec: bytes, pos: int, state: dict) -> tuple[int | None, bool]:
+    """End of the block at ``pos`` (None: damaged) and whether it holds a packet; follows sections and interfaces."""
+    if len(rec) < 12:
+        return None, False
+    if rec[:4] == b"\x0a\x0d\x0d\x0a":
+        if rec[8:12] not in (b"\x4d\x3c\x2b\x1a", b"\x1a\x2b\x3c\x4d"):
+            return None, False
+        state.update(endian="<" if rec[8:12] == b"\x4d\x3c\x2b\x1a" else ">", ifaces=[])
+    btype, blen = struct.unpack(state["endian"] + "II", rec[:8])
+    if blen < 12 or blen % 4:
+        return None, False
+    if btype == 1:
+        f.seek(pos + 8)
+        body = f.read(blen - 12)
+        if len(body) >= 8:
+            state["ifaces"].append(_interface(body, state["endian"]))
+    return pos + blen, btype in (3, 6)
+
+
+def _interface(body: bytes, endian: str) -> tuple[int, float]:
+    """Link type and seconds per tick of an interface description."""
+    lt, tsres, opos = struct.unpack(endian + "H", body[:2])[0], 1e-6, 8
+    while opos + 4 <= len(body):
+        code, ln = struct.unpack(endian + "HH", body[opos:opos + 4])
+        if code == 0:
+            break
+        if code == 9 and ln >= 1 and opos + 4 < len(body):
+            v = body[opos + 4]
+            tsres = 2.0 ** -(v & 0x7F) if v & 0x80 else 10.0 ** -v
+        opos += 4 + ((ln + 3) // 4) * 4
+    return lt, tsres
 
 
 # ---- protocol decoding -------------------------------------------------------
@@ -168,6 +255,8 @@ def decode_packet(frame: bytes, linktype: int, row: dict) -> None:
                ip_version=vihl >> 4, ip_header_length=ihl, ip_tos=tos, ip_total_length=tot,
                ip_identification=ident, ip_flags=ffo >> 13, ip_fragment_offset=ffo & 0x1FFF,
                ip_ttl=ttl, ip_protocol=proto, ip_checksum=csum)
+    if ffo & 0x1FFF:                                     # a later fragment: no layer-4 header
+        return
     end = min(len(ip), tot) if tot >= ihl else len(ip)
     l4 = ip[ihl:end]
     payload = b""
@@ -231,70 +320,49 @@ def _records(buf: bytes, endian: str, res: float):
         pos += 16 + incl
 
 
-def _pcapng_records(f):
-    """(timestamp, frame, linktype) of enhanced / simple packet blocks, read
-    block by block from an open file."""
-    endian, ifaces = "<", []
-    while True:
-        head = f.read(8)
-        if len(head) < 8:
-            break
-        if head[:4] == b"\x0a\x0d\x0d\x0a":           # section header: byte order from the magic
-            bom = f.read(4)
-            endian = "<" if bom == b"\x4d\x3c\x2b\x1a" else ">"
-            ifaces = []
-            btype, blen = struct.unpack(endian + "II", head)
-            f.read(blen - 12 if blen >= 12 else 0)  # rest of the section header
-            continue
-        btype, blen = struct.unpack(endian + "II", head)
-        if blen < 12:
-            break
-        body = f.read(blen - 8)
-        if len(body) < blen - 8:
-            break
-        body = body[:-4]
-        if btype == 1 and len(body) >= 8:                # interface description
-            lt = struct.unpack(endian + "H", body[:2])[0]
-            tsres = 1e-6
-            opos = 8
-            while opos + 4 <= len(body):
-                code, ln = struct.unpack(endian + "HH", body[opos:opos + 4])
-                if code == 0:
-                    break
-                if code == 9 and ln >= 1:
-                    v = body[opos + 4]
-                    tsres = 2.0 ** -(v & 0x7F) if v & 0x80 else 10.0 ** -v
-                opos += 4 + ((ln + 3) // 4) * 4
-            ifaces.append((lt, tsres))
-        elif btype == 6 and len(body) >= 20:             # enhanced packet
+def _pcapng_records(buf: bytes, state: dict):
+    """(timestamp, frame, linktype) of the enhanced and simple packet blocks of a range."""
+    endian, ifaces, pos = state["endian"], list(state["ifaces"]), 0
+    while pos + 12 <= len(buf):
+        if buf[pos:pos + 4] == b"\x0a\x0d\x0d\x0a":
+            endian, ifaces = "<" if buf[pos + 8:pos + 12] == b"\x4d\x3c\x2b\x1a" else ">", []
+        btype, blen = struct.unpack(endian + "II", buf[pos:pos + 8])
+        body = buf[pos + 8:pos + blen - 4]
+        pos += blen
+        if btype == 1 and len(body) >= 8:
+            ifaces.append(_interface(body, endian))
+        elif btype == 6 and len(body) >= 20:
             iface, hi, lo, cap, _orig = struct.unpack(endian + "IIIII", body[:20])
             lt, res = ifaces[iface] if iface < len(ifaces) else (1, 1e-6)
             yield ((hi << 32) | lo) * res, body[20:20 + cap], lt
-        elif btype == 3 and len(body) >= 4:              # simple packet
+        elif btype in (3, 6):
             lt, res = ifaces[0] if ifaces else (1, 1e-6)
             yield None, body[4:], lt
 
 
-def iter_range(path: str, start: int, stop: int, first_index: int):
-    """Decoded rows of one byte range of a file, one at a time (memory stays flat)."""
-    with open(path, "rb") as f:
-        yield from iter_stream(f, start, stop, first_index, path)
+def iter_range(path: str, start: int, stop: int, first_index: int, state: str | None, error: str | None):
+    """Decoded rows of one byte range of a file, one at a time."""
+    try:
+        with open_capture(path) as f:
+            yield from iter_stream(f, start, stop, first_index, path, state, error)
+    except OSError as e:
+        yield {"packet_id": first_index, "source_file": path, "decode_error": error or f"unreadable: {e}"}
 
 
-def iter_stream(f, start: int, stop: int, first_index: int, source: str):
-    """Decoded rows of a byte range of any seekable binary stream (a file, or
-    an in-memory buffer for streamed captures)."""
+def iter_stream(f, start: int, stop: int, first_index: int, source: str, state: str | None, error: str | None):
+    """Decoded rows of a byte range of any seekable binary stream; a range with an error is one row."""
+    if error is not None:
+        yield {"packet_id": first_index, "source_file": source, "decode_error": error}
+        return
     f.seek(0)
-    head = f.read(24)
-    hdr = _pcap_header(head)
+    hdr = _pcap_header(f.read(24))
+    f.seek(start)
+    buf = f.read(stop - start)
     if hdr is not None:
         endian, res, linktype = hdr
-        f.seek(start)
-        buf = f.read(stop - start)
         recs = ((ts, data, linktype) for ts, data, _ in _records(buf, endian, res))
     else:
-        f.seek(0)
-        recs = _pcapng_records(f)
+        recs = _pcapng_records(buf, json.loads(state or '{"endian": "<", "ifaces": []}'))
     for i, (ts, data, lt) in enumerate(recs):
         row = {"packet_id": first_index + i, "timestamp": ts, "packet_size": len(data), "source_file": source}
         try:
@@ -304,10 +372,6 @@ def iter_stream(f, start: int, stop: int, first_index: int, source: str):
         yield row
 
 
-def decode_range(path: str, start: int, stop: int, first_index: int) -> list[dict]:
-    return list(iter_range(path, start, stop, first_index))
-
-
 def _to_frame(rows: list[dict]) -> pd.DataFrame:
     cols = [f.name for f in DECODED_SCHEMA.fields]
     pdf = pd.DataFrame.from_records(rows, columns=cols)
@@ -327,7 +391,7 @@ def _decode_chunks(batches: Iterator[pd.DataFrame], batch_rows: int = 10000) ->
     for pdf in batches:
         for r in pdf.itertuples(index=False):
             rows = []
-            for row in iter_range(r.path, int(r.start), int(r.stop), int(r.first_index)):
+            for row in iter_range(r.path, int(r.start), int(r.stop), int(r.file_no) * FILE_IDS + int(r.first_index), r.state, r.error):
                 rows.append(row)
                 if len(rows) >= batch_rows:
                     yield _to_frame(rows)
@@ -339,10 +403,8 @@ def _decode_chunks(batches: Iterator[pd.DataFrame], batch_rows: int = 10000) ->
 def _chunker(chunk_bytes: int):
     def run(batches):
         for pdf in batches:
-            out = []
-            for p in pdf["path"]:
-                out.extend(chunk_file(p, chunk_bytes))
-            yield pd.DataFrame(out, columns=["path", "chunk", "start", "stop", "first_index"])
+            out = [(p, n, *c) for p, n in zip(pdf["path"], pdf["file_no"], strict=True) for c in chunk_file(p, chunk_bytes)]
+            yield pd.DataFrame(out, columns=["path", "file_no", "chunk", "start", "stop", "first_index", "state", "error"])
     return run
 
 
@@ -354,20 +416,21 @@ def finish(decoded: DataFrame) -> DataFrame:
     return out.select(*cols, "decode_error")
 
 
-def read_captures(spark: SparkSession, path: str, chunk_mb: int = 128, files: list | None = None,
-                  chunk_bytes: int | None = None) -> DataFrame:
-    """Every capture under ``path`` as one DataFrame (schema 1.3 +
-    ``decode_error``)."""
-    files = files if files is not None else list_captures(path)
-    if not files:
-        return spark.createDataFrame([], T.StructType(
-            [T.StructField(n, t) for n, t in PACKET_FIELDS] + [T.StructField("decode_error", T.StringType())]))
-    paths = spark.createDataFrame([(f,) for f in files], "path string").repartition(min(len(files), 1024))
-    chunks = paths.mapInPandas(_chunker(chunk_bytes or chunk_mb * 1024 * 1024), CHUNK_SCHEMA)
-    chunks = chunks.repartition(max(1, spark.sparkContext.defaultParallelism), "path", "chunk")
+def decode_files(files: DataFrame, chunk_bytes: int, spread: bool = True) -> DataFrame:
+    """Packets of the captures named by (path, file_no)."""
+    chunks = files.mapInPandas(_chunker(chunk_bytes), CHUNK_SCHEMA)
+    if spread:
+        chunks = chunks.repartition("path", "chunk")
     return finish(chunks.mapInPandas(_decode_chunks, DECODED_SCHEMA))
 
 
+def read_captures(spark: SparkSession, path: str, chunk_mb: int = 128, chunk_bytes: int | None = None) -> DataFrame:
+    """Every capture under ``path`` as one DataFrame (schema 1.3 +
+    ``decode_error``).  Raises when no capture is found."""
+    files = capture_files(spark, path).repartition("path")
+    return decode_files(files, chunk_bytes or chunk_mb * 1024 * 1024)
+
+
 def good_packets(df: DataFrame, require_ip: bool = False) -> DataFrame:
     """Drop records that failed to decode (and, for the live path,
     those without an IP layer)."""
@@ -392,20 +455,20 @@ def register(spark: SparkSession) -> None:
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
     class _FilePartition(InputPartition):
-        def __init__(self, path):
-            self.path = path
+        def __init__(self, number, path):
+            self.number, self.path = number, path
 
     class CaptureReader(DataSourceReader):
         def __init__(self, options):
             self.path = options.get("path")
 
         def partitions(self):
-            return [_FilePartition(p) for p in list_captures(self.path)]
+            return [_FilePartition(i, p) for i, p in enumerate(list_captures(self.path))]
 
         def read(self, partition):
-            size = os.path.getsize(partition.path)
-            for row in iter_range(partition.path, 24, size, 0):
-                yield tuple(row.get(f.name) for f in DECODED_SCHEMA.fields)
+            for _, start, stop, first, state, error in chunk_file(partition.path, 1 << 27):
+                for row in iter_range(partition.path, start, stop, partition.number * FILE_IDS + first, state, error):
+                    yield tuple(row.get(f.name) for f in DECODED_SCHEMA.fields)
 
     class CaptureSource(DataSource):
         @classmethod

@@ -59,3 +59,53 @@ def test_datasource_prunes_files(spark, tmp_path):
     assert one.count() == 2
     assert one.rdd.getNumPartitions() == 1          # the other file was never planned
     assert df.count() == 7
+
+
+def test_ids_over_files_and_damaged_files(spark, tmp_path):
+    from tests.pcapgen import write_pcapng
+    write_pcap(str(tmp_path / "a.pcap"), sample_frames())
+    write_pcapng(str(tmp_path / "b.pcapng"), sample_frames() * 20)
+    write_pcap(str(tmp_path / "c.pcap"), sample_frames())
+    whole = (tmp_path / "c.pcap").read_bytes()
+    (tmp_path / "c.pcap").write_bytes(whole[:-7])
+    (tmp_path / "d.cap").write_bytes(b"no capture at all, just text")
+    (tmp_path / "e.pcap").write_bytes(b"")
+    for chunk in (None, 400):
+        rows = capture.read_captures(spark, str(tmp_path), chunk_bytes=chunk).select(
+            "packet_id", "source_file", "decode_error", "http_host").collect()
+        assert len({r.packet_id for r in rows}) == len(rows) == 5 + 100 + 4 + 1 + 1
+        bad = {r.source_file.rsplit("/", 1)[1]: r.decode_error for r in rows if r.decode_error}
+        assert set(bad) == {"c.pcap", "d.cap"}        # Spark's scan leaves files of zero bytes out
+        assert bad["c.pcap"].startswith("truncated or corrupt record at byte") and "not a capture" in bad["d.cap"]
+        assert sum(r.http_host == "example.com" for r in rows) == 1 + 20 + 1
+    errors = {r.source_file.rsplit("/", 1)[1]: r.bad_records for r in capture.decode_errors(
+        capture.read_captures(spark, str(tmp_path))).collect()}
+    assert errors == {"c.pcap": 1, "d.cap": 1}
+
+
+def test_nothing_found_is_an_error(spark, tmp_path):
+    import pytest
+    (tmp_path / "notes.txt").write_text("x")
+    with pytest.raises(FileNotFoundError):
+        capture.read_captures(spark, str(tmp_path))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        capture.read_captures(spark, str(tmp_path / "missing"))
+
+
+def test_later_fragments_have_no_ports(spark, tmp_path):
+    frame = bytearray(sample_frames()[0])
+    frame[20:22] = b"\x00\x10"           # fragment offset 16
+    write_pcap(str(tmp_path / "f.pcap"), [bytes(frame)])
+    r = capture.read_captures(spark, str(tmp_path)).first()
+    assert (r.src_ip, r.ip_fragment_offset, r.protocol, r.src_port, r.tcp_flags) == ("10.0.0.1", 16, None, None, None)
+
+
+def test_capture_stream_ids_are_unique(spark, tmp_path):
+    from flowlake.streaming import monitor
+    (tmp_path / "in").mkdir()
+    for n in "ab":
+        write_pcap(str(tmp_path / "in" / f"{n}.pcap"), sample_frames())
+    got = []
+    monitor.run_available_now(monitor.capture_stream(spark, str(tmp_path / "in")),
+                              lambda b, n: got.extend(b.select("packet_id").collect()), str(tmp_path / "ck"))
+    assert len(got) == 10 and len({r.packet_id for r in got}) == 10
