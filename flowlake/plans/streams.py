@@ -25,11 +25,12 @@ SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, count(*) AS pa
        CAST(sum(coalesce(packet_size, 0)) AS BIGINT) AS bytes
 FROM packets GROUP BY 1""", flows=False))
 def stream_windows(spark, sf):
-    """ST3: hourly event-time windows with a watermark, complete mode."""
+    """ST3: hourly event-time windows with a watermark, update mode."""
     agg = monitor.windowed_counts(_packet_stream(spark, sf), ts="ts", window="1 hour")
     out, ck = monitor.scratch_path(spark, "windows"), monitor.scratch_path(spark, "windows-ck")
-    monitor.complete_to_table(agg, out, ck)
-    return spark.read.parquet(out).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
+    monitor.update_to_table(agg, out, ck)
+    schema = "window struct<start: timestamp, end: timestamp>, packets long, bytes long, batch_id long"
+    return monitor.latest(spark, out, schema, ["window"]).select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
                                           "packets", "bytes")
 
 
@@ -42,16 +43,17 @@ SELECT kind, key, count(*) AS packets, CAST(sum(sz) AS BIGINT) AS bytes FROM (
   UNION ALL SELECT 'dst_ip', dst_ip, coalesce(packet_size, 0) FROM pflows WHERE dst_ip <> '') u
 GROUP BY kind, key"""))
 def stream_counters(spark, sf):
-    """ST4 / A32: running (kind, key) counters over the replayed stream."""
-    agg = monitor.stream_counters(_packet_stream(spark, sf))
+    """ST4 / A32: running (kind, key) counters over the replayed stream, without state."""
     out, ck = monitor.scratch_path(spark, "counters"), monitor.scratch_path(spark, "counters-ck")
-    monitor.complete_to_table(agg, out, ck)
-    return spark.read.parquet(out)
+    monitor.run_available_now(_packet_stream(spark, sf), monitor.counter_writer(out), ck)
+    return monitor.counter_totals(spark, out)
 
 
 @plan("stream_alerts", with_packets(f""",{_THREAT_SQL}
 SELECT CAST(0 AS BIGINT) AS batch_id, 'threat' AS alert_type, 'high' AS severity,
-       'Detected ' || CAST(count(*) AS VARCHAR) || ' high severity threats' AS details, count(*) AS n
+       'Detected ' || CAST(count(*) AS VARCHAR) || ' high severity threats' AS details, count(*) AS n,
+       (SELECT string_agg(CAST(packet_id AS VARCHAR), ',' ORDER BY packet_id)
+        FROM (SELECT packet_id FROM raw WHERE r > 60 ORDER BY packet_id LIMIT 5)) AS example_ids
 FROM raw WHERE r > 60 HAVING count(*) > 0""", flows=False).replace("\n,", ",", 1))
 def stream_alerts(spark, sf):
     """ST5-ST7: foreachBatch threat alerts, idempotent by batch id (one
@@ -61,9 +63,8 @@ def stream_alerts(spark, sf):
     counters = monitor.scratch_path(spark, "alert-counters")
     sink = monitor.alert_writer(alerts, malicious=m, tor=t, counters_path=counters, report_every=1)
     monitor.run_available_now(_packet_stream(spark, sf), sink, ck)
-    # the partition column's type is inferred on read: restore it
-    return spark.read.parquet(alerts).select(F.col("batch_id").cast("long").alias("batch_id"), "alert_type",
-                                             "severity", "details", "n")
+    ids = F.array_join(F.transform("examples", lambda x: x["packet_id"].cast("string")), ",")
+    return monitor.read_alerts(spark, alerts).select("batch_id", "alert_type", "severity", "details", "n", ids.alias("example_ids"))
 
 
 @plan("stream_sessions", with_packets("""

@@ -2,13 +2,14 @@
 
 * intake (ST1): landed packet rows (parquet/json/csv) or landed capture
   files (``binaryFile``, decoded by the capture decoder);
-* windowed counters (ST3, ST4, A32): event-time windows with a watermark so
-  state stays bounded;
+* windowed counters (ST3): event-time windows with a watermark in update mode,
+  so state stays bounded; running totals (ST4, A32) are per-batch counters,
+  summed on read, without any state;
 * flow sessions (ST11): ``session_window`` per flow id;
 * analysis per micro-batch (ST2, ST5, ST6, ST8, K7, X2): ``foreachBatch``
   scores the batch with a fitted detector and the threat rules, and appends
-  alert rows keyed by ``batch_id``; a retried batch overwrites its own
-  partition (dynamic partition overwrite), so alerts are written once;
+  alert rows to a folder per ``batch_id``; a retried batch replaces its own
+  folder, also when it has no alert any more, so alerts are written once;
 * replay (ST7): the same query with ``trigger(availableNow=True)``.
 
 The reference watches processing time only; here every window is in event
@@ -52,23 +53,14 @@ def capture_stream(spark: SparkSession, path: str) -> DataFrame:
     """ST1: landed capture files, decoded per micro-batch."""
     from flowlake.sources import capture
 
+    # metadata columns only: the contents are read in byte ranges by the decoder.
+    # A stream has no last file to number, so ids hash the path and the packet's number.
     files = (spark.readStream.format("binaryFile")
                   .schema("path string, modificationTime timestamp, length long, content binary")
                   .option("pathGlobFilter", "*.*cap*").load(path)
-                  .select(F.col("path"), F.col("content")))
-
-    def decode(batches):
-        import io
-        for pdf in batches:
-            rows = []
-            for p, content in zip(pdf["path"], pdf["content"]):
-                rows.extend(capture.iter_stream(io.BytesIO(content), 24, len(content), 0, p))
-                if len(rows) >= 10000:
-                    yield capture._to_frame(rows)
-                    rows = []
-            if rows:
-                yield capture._to_frame(rows)
-    return capture.finish(files.mapInPandas(decode, capture.DECODED_SCHEMA))
+                  .select("path", F.lit(0).cast("long").alias("file_no")))
+    out = capture.decode_files(files, 128 * 1024 * 1024, spread=False)
+    return out.withColumn("packet_id", F.xxhash64("source_file", "packet_id").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)))
 
 
 def windowed_counts(stream: DataFrame, ts: str = "ts", window: str = "300 seconds",
@@ -156,22 +148,56 @@ def alert_writer(alerts_path: str, detector=None, malicious=None, tor=None, coun
     batch_id), running counters merged, a traffic report every N batches."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         alerts = batch_alerts(batch, batch_id, detector, malicious, tor)
-        alerts.write.mode("overwrite").partitionBy("batch_id").parquet(alerts_path)
+        write_batch(alerts, alerts_path, batch_id)
         if on_alerts is not None:
-            on_alerts(spark.read.parquet(alerts_path).where(F.col("batch_id") == batch_id), batch_id)
+            on_alerts(read_alerts(spark, alerts_path).where(F.col("batch_id") == batch_id), batch_id)
         if counters_path:
-            c = counter_ops.counters(batch).withColumn("batch_id", F.lit(batch_id).cast("long"))
-            c.write.mode("overwrite").partitionBy("batch_id").parquet(counters_path)
+            write_batch(counter_ops.counters(batch), counters_path, batch_id)
             if report_every and batch_id % report_every == 0:
-                totals = (spark.read.parquet(counters_path).groupBy("kind", "key")
-                               .agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes")))
-                rep = counter_ops.traffic_report(totals).withColumn("batch_id", F.lit(batch_id).cast("long"))
-                rep.write.mode("overwrite").partitionBy("batch_id").parquet(counters_path + "_reports")
+                write_batch(counter_ops.traffic_report(counter_totals(spark, counters_path)), counters_path + "_reports", batch_id)
     return handle
 
 
+def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Replace one batch's rows of a table with a folder per batch.  A batch that has no
+    row, or none any more when it is retried, leaves an empty folder of the right schema."""
+    rows.drop("batch_id").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """K7: the alert table (explicit schema: it may hold no alert at all)."""
+    return spark.read.schema(ALERT_SCHEMA).parquet(path)
+
+
+def counter_totals(spark: SparkSession, counters_path: str) -> DataFrame:
+    """ST4: totals over all batches so far; each batch's counters replace their own when retried."""
+    return (spark.read.schema("kind string, key string, packets long, bytes long").parquet(counters_path)
+                 .groupBy("kind", "key").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes")))
+
+
+def counter_writer(counters_path: str):
+    """foreachBatch function for running counters: no state in the stream, however many keys it meets."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        write_batch(counter_ops.counters(batch), counters_path, batch_id)
+    return handle
+
+
+def update_to_table(agg: DataFrame, path: str, checkpoint: str) -> None:
+    """Run an aggregation in update mode: each batch adds the rows it changed, and
+    the watermark evicts closed windows from the state."""
+    q = (agg.writeStream.outputMode("update").foreachBatch(lambda b, n: write_batch(b, path, n))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def latest(spark: SparkSession, path: str, schema, keys: list) -> DataFrame:
+    """The newest row of each key in a table made by ``update_to_table``."""
+    rows = spark.read.schema(schema).parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v")).select(*keys, "v.*")
+
+
 def run_available_now(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """ST7: process everything landed so far, then stop."""
     q = (df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
@@ -190,8 +216,5 @@ def complete_to_table(agg: DataFrame, out_path: str, checkpoint: str) -> None:
 
 def current_stats(spark: SparkSession, counters_path: str, alerts_path: str, last: int = 20) -> dict:
     """ST9: totals so far and the most recent anomaly alerts."""
-    c = spark.read.parquet(counters_path)
-    totals = c.groupBy("kind", "key").agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
-    recent = (spark.read.parquet(alerts_path).withColumn("batch_id", F.col("batch_id").cast("long"))
-                   .where(F.col("alert_type") == "anomaly").orderBy(F.desc("batch_id")).limit(last))
-    return {"totals": totals, "recent_anomaly_alerts": recent}
+    recent = (read_alerts(spark, alerts_path).where(F.col("alert_type") == "anomaly").orderBy(F.desc("batch_id")).limit(last))
+    return {"totals": counter_totals(spark, counters_path), "recent_anomaly_alerts": recent}

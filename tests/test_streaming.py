@@ -86,3 +86,20 @@ def test_lazy_quantiles_skewed_groups(spark):
     for g in range(31):
         v = np.array([x for k, x in rows if k == g])
         assert got[g] == pytest.approx(tuple(np.quantile(v, [0.1, 0.77])), rel=1e-12, abs=1e-12)
+
+
+def test_quiet_and_retried_batches(spark, tmp_path):
+    seen = []
+    quiet = spark.createDataFrame([("1.1.1.1",)], "ip string")
+    loud = spark.createDataFrame([("9.9.9.9",)], "ip string")
+    rows = spark.createDataFrame([(1, "9.9.9.9", "9.9.9.9", 80, 10, "TCP", "f")],
+                                 "packet_id long, src_ip string, dst_ip string, dst_port int, packet_size long, protocol string, flow_id string")
+    path = str(tmp_path / "alerts")
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    monitor.alert_writer(path, malicious=quiet, tor=quiet, on_alerts=lambda a, n: seen.append(a.count()))(rows, 0)
+    assert seen == [0] and monitor.read_alerts(spark, path).count() == 0
+    monitor.alert_writer(path, malicious=loud, tor=quiet)(rows, 1)
+    assert [r.batch_id for r in monitor.read_alerts(spark, path).collect()] == [1]
+    monitor.alert_writer(path, malicious=quiet, tor=quiet)(rows, 1)      # the retry has no alert any more
+    assert monitor.read_alerts(spark, path).count() == 0
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
