@@ -108,14 +108,15 @@ def ipv4_to_long(col) -> Column:
 
 def is_private_ip(col) -> Column:
     """IPv4 private per the standard library's table; bad or missing -> false."""
-    v = ipv4_to_long(col)
-    cond = F.lit(False)
-    for net, bits in PRIVATE_V4_BLOCKS:
-        lo = _dotted_to_int(net)
-        hi = lo + (1 << (32 - bits)) - 1
-        cond = cond | v.between(lo, hi)
-    excluded = v.isin([_dotted_to_int(x) for x in PRIVATE_V4_EXCEPTIONS])
-    return F.coalesce(cond & ~excluded, F.lit(False))
+    def listed(v: Column) -> Column:
+        cond = F.lit(False)
+        for net, bits in PRIVATE_V4_BLOCKS:
+            lo = _dotted_to_int(net)
+            hi = lo + (1 << (32 - bits)) - 1
+            cond = cond | v.between(lo, hi)
+        return cond & ~v.isin([_dotted_to_int(x) for x in PRIVATE_V4_EXCEPTIONS])
+    # a lambda variable holds the parsed address: parsed once, compared with every block
+    return F.coalesce(F.get(F.transform(F.array(ipv4_to_long(col)), listed), F.lit(0)), F.lit(False))
 
 
 def with_address_flags(df: DataFrame, src="src_ip", dst="dst_ip", dst_port="dst_port") -> DataFrame:

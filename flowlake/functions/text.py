@@ -37,39 +37,44 @@ def bytes_to_text(col) -> Column:
     return F.lower(F.regexp_replace(fixed, "\ufffd", ""))
 
 
-def pattern_hits(text_col, lowered: bool = False) -> list[tuple[str, int, Column]]:
-    """(label, weight, hit) per pattern, hit is a boolean column."""
+def pattern_hits(text_col, lowered: bool = False) -> Column:
+    """array<struct<label, weight, pattern>> of the patterns in a text, in family then
+    pattern order; NULL for a NULL text.  The text is lower-cased once and each pattern searched once."""
+    table = F.array(*[F.struct(F.lit(f"{fam}:{p}").alias("label"), F.lit(w).alias("weight"), F.lit(p).alias("pattern"))
+                      for fam, pats, w in PATTERN_FAMILIES for p in pats])
     low = _c(text_col) if lowered else F.lower(_c(text_col))
-    out = []
-    for fam, pats, w in PATTERN_FAMILIES:
-        for p in pats:
-            out.append((f"{fam}:{p}", w, F.coalesce(F.contains(low, F.lit(p)), F.lit(False))))
-    return out
+    return F.get(F.transform(F.array(low), lambda t: F.when(t.isNotNull(), F.filter(
+        table, lambda p: F.contains(t, p["pattern"])))), F.lit(0))
+
+
+def hits_score(hits: Column) -> Column:
+    """F3 score of ``pattern_hits``: sum of the weights, 0 if none."""
+    return F.coalesce(F.aggregate(hits, F.lit(0), lambda s, p: s + p["weight"]), F.lit(0))
+
+
+def hits_labels(hits: Column) -> Column:
+    return F.coalesce(F.transform(hits, lambda p: p["label"]), F.array().cast("array<string>"))
 
 
 def suspicious_score(text_col) -> Column:
     """F3 score: sum of family weights of the patterns present (0 if none)."""
-    total = F.lit(0)
-    for _, w, hit in pattern_hits(text_col):
-        total = total + F.when(hit, F.lit(w)).otherwise(F.lit(0))
-    return total.cast("int")
+    return hits_score(pattern_hits(text_col))
 
 
 def suspicious_pattern_list(text_col) -> Column:
     """F3 list: array<string> of labels, in family then pattern order."""
-    return F.array_compact(F.array(*[F.when(hit, F.lit(lbl)) for lbl, _, hit in pattern_hits(text_col)]))
+    return hits_labels(pattern_hits(text_col))
 
 
 def with_payload_patterns(df: DataFrame, text_col: str, score_col="suspicious_score",
                           patterns_col="suspicious_patterns") -> DataFrame:
     """F3 + F25: score and '|'-joined list; both NULL when nothing is found,
     as a packet without hits carries no such fields."""
-    lst = suspicious_pattern_list(text_col)
-    score = suspicious_score(text_col)
-    return df.withColumns({
-        score_col: F.when(score > 0, score),
-        patterns_col: F.when(F.size(lst) > 0, F.array_join(lst, "|")),
-    })
+    out = df.withColumn("__hits", pattern_hits(text_col))
+    return out.withColumns({
+        score_col: F.when(F.size("__hits") > 0, hits_score(F.col("__hits"))),
+        patterns_col: F.when(F.size("__hits") > 0, F.array_join(hits_labels(F.col("__hits")), "|")),
+    }).drop("__hits")
 
 
 def has_code_exec(text_col) -> Column:

@@ -3,10 +3,11 @@ pipeline (M19).
 
 ``fit_per_group`` trains one isolation forest per group (e.g. per capture
 file) in a single job: the sampling key is (group, tree, row), each
-(group, tree) sample is built by ``applyInPandas``.  The node table depends
-only on groups x trees x (2 psi - 1), never on the rows; it is broadcast
-for scoring behind a size check, and beyond the limit the caller is told
-to train one shared model instead.
+(group, tree) sample is built by ``applyInPandas``.  The trees stay a table of
+one row per node; rows are scored where they meet their group's nodes in a
+cogroup, so the number of groups has no limit.  A group above ``rows_per_task``
+rows is dealt to several tasks, each with a copy of its trees (bounded by
+trees x (2 psi - 1) nodes).
 """
 
 from __future__ import annotations
@@ -23,18 +24,13 @@ from pyspark.sql import types as T
 from flowlake.operators.detect.iforest import NODE_SCHEMA, _grow, avg_path
 from flowlake.operators.quantiles import exact_quantiles
 
-MAX_BROADCAST_NODES = 5_000_000
-
 
 def fit_per_group(X: DataFrame, group: str, id_col: str, n_trees: int = 100, max_samples: int = 256,
-                  contamination: float = 0.1, seed: int = 42, features: str = "features") -> DataFrame:
+                  contamination: float = 0.1, seed: int = 42, features: str = "features",
+                  rows_per_task: int = 500_000) -> DataFrame:
     """Per-group isolation forests; returns (group, id, score, prediction)."""
-    spark = X.sparkSession
     sizes = X.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    n_groups = sizes.count()
-    if n_groups * n_trees * (2 * max_samples - 1) > MAX_BROADCAST_NODES:
-        raise ValueError("too many groups for per-group forests; fit one shared model (AnomalyDetector)")
-    tagged = X.join(F.broadcast(sizes), group)   # n_groups rows, checked above
+    tagged = X.join(sizes, group)
     psi = F.least(F.col("__n"), F.lit(max_samples))
     thr = F.least(F.lit(1.0), F.lit(4.0) * psi / F.col("__n"))
 
@@ -63,40 +59,34 @@ def fit_per_group(X: DataFrame, group: str, id_col: str, n_trees: int = 100, max
                              "left": arr[:, 2].astype("int32"), "right": arr[:, 3].astype("int32"),
                              "size": arr[:, 4].astype("int64"), "depth": arr[:, 5].astype("int32"),
                              "psi": psi_g})
-    nodes = sample.groupBy(group, "tree").applyInPandas(build, schema).toPandas()  # size checked above
-    forests = {}
-    for g, gdf in nodes.groupby(group):
-        packs = []
-        for _, t in gdf.sort_values(["tree", "node"]).groupby("tree"):
-            packs.append((t["feature"].to_numpy(), t["split"].to_numpy(), t["left"].to_numpy(),
-                          t["right"].to_numpy(), t["depth"].to_numpy() + avg_path(t["size"].to_numpy())))
-        forests[g] = (packs, float(avg_path([int(gdf["psi"].iloc[0])])[0]), int(gdf["depth"].max()) + 1)
-    bc = spark.sparkContext.broadcast(forests)
-
-    def score(batches):
-        fs = bc.value
-        for pdf in batches:
-            out = np.zeros(len(pdf))
-            for g, idx in pdf.groupby(group).indices.items():
-                packs, cpsi, steps = fs[g]
-                Xg = np.stack(pdf[features].to_numpy()[idx]).astype("float64")
-                m, rows, tot = len(idx), np.arange(len(idx)), np.zeros(len(idx))
-                for fe, sp, le, ri, lh in packs:
-                    node = np.zeros(m, dtype="int64")
-                    for _ in range(steps):
-                        f = fe[node]
-                        inner = f >= 0
-                        if not inner.any():
-                            break
-                        go = Xg[rows, np.where(inner, f, 0)] < sp[node]
-                        node = np.where(inner, np.where(go, le[node], ri[node]), node)
-                    tot += lh[node]
-                out[idx] = np.power(2.0, -(tot / len(packs)) / cpsi) if cpsi > 0 else 0.5
-            yield pd.DataFrame({group: pdf[group], id_col: pdf[id_col], "score": out})
+    nodes = sample.groupBy(group, "tree").applyInPandas(build, schema)
+    parts = F.ceil(F.col("__n") / rows_per_task).cast("int")
+    nodes = nodes.join(sizes, group).withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__n")
+    rows = tagged.select(group, id_col, features, F.pmod(F.xxhash64(id_col), parts).cast("int").alias("__part"))
+
+    def score(pdf: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({group: [], id_col: [], "score": []})
+        cpsi, steps = float(avg_path([int(trees["psi"].iloc[0])])[0]), int(trees["depth"].max()) + 1
+        Xg = np.stack(pdf[features].to_numpy()).astype("float64")
+        m, at, tot, k = len(pdf), np.arange(len(pdf)), np.zeros(len(pdf)), 0
+        for _, t in trees.sort_values(["tree", "node"]).groupby("tree"):
+            fe, sp, le, ri = (t[c].to_numpy() for c in ("feature", "split", "left", "right"))
+            lh, k, node = t["depth"].to_numpy() + avg_path(t["size"].to_numpy()), k + 1, np.zeros(m, dtype="int64")
+            for _ in range(steps):
+                f = fe[node]
+                inner = f >= 0
+                if not inner.any():
+                    break
+                go = Xg[at, np.where(inner, f, 0)] < sp[node]
+                node = np.where(inner, np.where(go, le[node], ri[node]), node)
+            tot += lh[node]
+        out = np.power(2.0, -(tot / k) / cpsi) if cpsi > 0 else np.full(m, 0.5)
+        return pd.DataFrame({group: pdf[group], id_col: pdf[id_col], "score": out})
     sch = T.StructType([T.StructField(group, gtype), X.schema[id_col], T.StructField("score", T.DoubleType())])
-    scored = X.select(group, id_col, features).mapInPandas(score, sch)
+    scored = rows.groupBy(group, "__part").cogroup(nodes.groupBy(group, "__part")).applyInPandas(score, sch)
     thr_g = exact_quantiles(scored.withColumn("ns", -F.col("score")), "ns", [contamination], by=[group], names=["thr"])
-    return (scored.join(F.broadcast(thr_g), group)   # one row per group, checked above
+    return (scored.join(thr_g, group)
                   .withColumn("prediction", F.when(-F.col("score") < F.col("thr"), -1).otherwise(1)).drop("thr"))
 
 

@@ -9,7 +9,7 @@
 3. Core = weight of the eps-neighbourhood (self included) >= min_samples.
 4. Clusters = connected components of core points: min-label propagation
    with pointer jumping, one checkpoint per round (lineage cut into the
-   cluster's checkpoint folder), stop when no label changes.
+   cluster's checkpoint folder), until no label changes.
 5. A border point takes the smallest label among its core neighbours;
    everything else is noise (-1).  Cluster labels are the smallest row id
    of a core point in the cluster.
@@ -74,14 +74,15 @@ def _neighbour_keys(df: DataFrame, k: int) -> DataFrame:
         "ncell", F.zip_with("cell", "__off", lambda a, b: a + b)).drop("__off")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, label=min node id in its component).  ``edges`` (a, b) undirected."""
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label=min node id in its component).  ``edges`` (a, b) undirected.
+    Rounds go on until no label changes, however long the longest chain is."""
     spark = nodes.sparkSession
     ensure_checkpoint_dir(spark)
     e = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     e = e.checkpoint()
     lab = nodes.select(F.col("node"), F.col("node").alias("label")).checkpoint()
-    for _ in range(max_rounds):
+    while True:
         prop = (e.join(lab.withColumnRenamed("node", "a"), "a")
                  .groupBy(F.col("b").alias("node")).agg(F.min("label").alias("cand")))
         new = (lab.join(prop, "node", "left")

@@ -9,6 +9,7 @@ per-bucket table.  Equal keys always share a bucket, so the result is exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -25,12 +26,25 @@ def _numeric_key(df: DataFrame, col: str):
     return F.col(col).cast("double")
 
 
-def with_range_bucket(df: DataFrame, order_col: str, buckets: int, out: str = "__bkt",
+ROWS_PER_BUCKET, LEAST_BUCKETS = 2_000_000, 64
+
+
+def _bounds(keys: DataFrame, buckets: int | None) -> tuple[list, int]:
+    """Bucket bounds of column ``__k`` and their number: as given, or one bucket for each
+    ``ROWS_PER_BUCKET`` rows (64 at least), so a bucket's sort stays one task's work at any input size."""
+    n = buckets or LEAST_BUCKETS
+    fr = F.array(*[F.lit(i / n) for i in range(1, n)])
+    r = keys.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("__k", fr, 10 * n).alias("b")).first()
+    need = math.ceil(r["n"] / ROWS_PER_BUCKET)
+    return _bounds(keys, need) if buckets is None and need > n else (r["b"] or [], n)
+
+
+def with_range_bucket(df: DataFrame, order_col: str, buckets: int | None = None, out: str = "__bkt",
                       tiebreak: str | None = None) -> DataFrame:
     """Tag rows with a value-range bucket of ``order_col``.  The bounds (one
-    ``percentile_approx``, ``buckets - 1`` numbers) come back to the driver
-    and become a literal binary-search expression, so every later read of
-    the plan sees the same buckets.
+    ``percentile_approx``, ``buckets - 1`` numbers; by default their number follows
+    the rows) come back to the driver and become a literal binary-search
+    expression, so every later read of the plan sees the same buckets.
 
     A value that fills several buckets (a bound repeated) would put all its
     rows in one task; with a ``tiebreak`` column those rows are split again
@@ -38,9 +52,7 @@ def with_range_bucket(df: DataFrame, order_col: str, buckets: int, out: str = "_
     the bucket number is ``base * buckets + sub``."""
     from flowlake.operators.quantiles import bucket_of
     key = _numeric_key(df, order_col)
-    fr = [i / buckets for i in range(1, buckets)]
-    bnd = df.select(key.alias("__k")).agg(
-        F.percentile_approx("__k", F.array(*[F.lit(x) for x in fr]), 10 * buckets).alias("__bnd")).first()["__bnd"]
+    bnd, buckets = _bounds(df.select(key.alias("__k")), buckets)
     if not bnd:
         return df.withColumn(out, F.lit(0))
     expr, _ = bucket_of(key, bnd)
@@ -53,8 +65,7 @@ def with_range_bucket(df: DataFrame, order_col: str, buckets: int, out: str = "_
     tkey = _numeric_key(df, tiebreak)
     sub = F.lit(0)
     for v in hot:                        # a handful at most: repeated bounds
-        tb = df.where(key == F.lit(v)).select(tkey.alias("__t")).agg(
-            F.percentile_approx("__t", F.array(*[F.lit(x) for x in fr]), 10 * buckets)).first()[0]
+        tb, _ = _bounds(df.where(key == F.lit(v)).select(tkey.alias("__k")), buckets)
         if tb:
             texpr, _ = bucket_of(tkey, tb)
             sub = F.when(key == F.lit(v), texpr).otherwise(sub)
@@ -62,7 +73,7 @@ def with_range_bucket(df: DataFrame, order_col: str, buckets: int, out: str = "_
 
 
 def global_lag(df: DataFrame, order_cols: Sequence[str], value_col: str, out: str = "prev",
-               buckets: int = 64) -> DataFrame:
+               buckets: int | None = None) -> DataFrame:
     """Value of ``value_col`` on the previous row in ``order_cols`` order over
     the whole table (NULL on the first row).  The first order column sets the
     bucket; the rest break ties.  Best with a near-unique first key."""
@@ -80,7 +91,7 @@ def global_lag(df: DataFrame, order_cols: Sequence[str], value_col: str, out: st
 
 
 def global_row_number(df: DataFrame, order_cols: Sequence[str], out: str = "row_no",
-                      buckets: int = 64) -> DataFrame:
+                      buckets: int | None = None) -> DataFrame:
     """1-based row number in ``order_cols`` order: local number plus the
     prefix sum of bucket sizes (tiny table)."""
     order_cols = list(order_cols)
@@ -99,7 +110,7 @@ def time_delta(df: DataFrame, order_col: str = "No.", time_col: str = "Time", ou
     return lagged.withColumn(out, F.coalesce(F.col(time_col) - F.col("__prev"), F.lit(0.0))).drop("__prev")
 
 
-def gap_stats(df: DataFrame, ts: str = "timestamp", buckets: int = 64) -> DataFrame:
+def gap_stats(df: DataFrame, ts: str = "timestamp", buckets: int | None = None) -> DataFrame:
     """W2 + A8: capture duration, mean gap, packet rate, gap variance (one row).
 
     Equal timestamps are collapsed first (partial aggregation); c copies of a
@@ -144,7 +155,7 @@ def first_rows_per_batch(df: DataFrame, batch: str, order_cols: Sequence[str], n
 
 
 def sequences(df: DataFrame, key: str, order_cols: Sequence[str], value: str, k: int = 10,
-              out: str = "seq", hot_rows: int = 1_000_000, buckets: int = 64) -> DataFrame:
+              out: str = "seq", hot_rows: int = 1_000_000, buckets: int | None = None) -> DataFrame:
     """Sliding windows of k rows (step 1) per key, full windows only;
     a key with fewer than k rows gives none.  One row per window, at its
     last row.

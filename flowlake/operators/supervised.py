@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,14 +35,19 @@ def hash_split(df: DataFrame, key: str, test_fraction: float = 0.3, seed: int =
 def forest_pipeline(df: DataFrame, features: Sequence[str], target: str, num_trees: int = 100,
                     max_depth: int = 30, min_instances: int = 1, seed: int = 42) -> Pipeline:
     """Index text columns (sorted order, as label encoding), assemble,
-    random forest.  The target is indexed too; it must not be a feature (D17)."""
+    random forest.  The target is indexed too; it must not be a feature (D17).
+
+    Codes enter the forest as ordinals, as a label encoder's do: as categories
+    MLlib would refuse a column with more levels than ``maxBins``."""
     features = [c for c in features if c != target]
     stages, cols = [], []
     for c in features:
         if isinstance(df.schema[c].dataType, (T.StringType, T.BooleanType)):
             stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", stringOrderType="alphabetAsc",
                                         handleInvalid="keep"))
-            cols.append(f"{c}__idx")
+            # arithmetic drops the indexer's nominal metadata
+            stages.append(SQLTransformer(statement=f"SELECT *, (`{c}__idx` + 0.0D) AS `{c}__ord` FROM __THIS__"))
+            cols.append(f"{c}__ord")
         else:
             cols.append(c)
     stages.append(StringIndexer(inputCol=target, outputCol="__label", stringOrderType="alphabetAsc"))
@@ -76,7 +81,7 @@ def importances(model: PipelineModel, spark) -> DataFrame:
     rf = model.stages[-1]
     names = model.stages[-2].getInputCols()
     vals = rf.featureImportances.toArray()
-    rows = [(n.replace("__idx", ""), float(v)) for n, v in zip(names, vals)]
+    rows = [(n.removesuffix("__ord"), float(v)) for n, v in zip(names, vals)]
     return spark.createDataFrame(rows, "feature string, importance double")
 
 

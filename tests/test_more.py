@@ -137,3 +137,36 @@ def test_empty_inputs(spark):
     assert exact_quantiles(e, "packet_size", [0.5], by=["protocol"]).count() == 0
     assert summary.basic_features(e).first().total_packets == 0
     assert summary.summarize(e).count() >= 0
+
+
+def test_forest_takes_a_feature_with_500_levels(spark):
+    from flowlake.operators import supervised
+    df = spark.range(2000).selectExpr("id", "concat('level', id % 500) as name", "cast(id % 500 < 250 as int) as label")
+    out = supervised.train_forest(df, ["name"], "label", "id", num_trees=5, max_depth=8)
+    assert out["accuracy"] > 0.9
+    assert [r["feature"] for r in out["importances"].collect()] == ["name"]
+
+
+def test_per_group_forests_have_no_group_limit(spark):
+    from pyspark.sql import functions as F
+    from flowlake.operators import batch
+    X = spark.range(6000).select((F.col("id") % 200).alias("g"), "id", F.array(F.rand(1), F.rand(2)).alias("features"))
+    out = batch.fit_per_group(X, "g", "id", n_trees=10, max_samples=16, rows_per_task=7)
+    r = out.groupBy("g").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == -1).alias("a")).collect()
+    assert len(r) == 200 and all(x["n"] == 30 and 0 < x["a"] <= 6 for x in r)
+
+
+def test_components_of_a_long_chain(spark):
+    from flowlake.operators.detect.dbscan import connected_components
+    e = spark.range(300).selectExpr("id as a", "id + 1 as b")
+    n = spark.range(301).withColumnRenamed("id", "node")
+    assert {r["label"] for r in connected_components(n, e).collect()} == {0}
+
+
+def test_bucket_number_follows_the_rows(spark, monkeypatch):
+    from flowlake.operators import order
+    monkeypatch.setattr(order, "ROWS_PER_BUCKET", 10)
+    df = spark.range(2000).selectExpr("(id * 7919) % 2000 as t")
+    out = order.global_row_number(df, ["t"])
+    assert out.filter("row_no <> t + 1").count() == 0
+    assert order.with_range_bucket(df, "t").select("__bkt").distinct().count() > 150
