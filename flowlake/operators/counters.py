@@ -6,7 +6,7 @@ function runs on a batch table and on a stream (see streaming/monitor.py).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,27 @@ def top_talkers(counter_table: DataFrame, k: int = 10) -> DataFrame:
     return (counter_table.where(F.col("kind") == "src_ip")
             .select(F.col("key").alias("ip"), "packets")
             .orderBy(F.desc("packets"), F.asc("ip")).limit(k))
+
+
+def traffic_report_rows(counter_table: DataFrame, alerts: DataFrame | None = None, window_seconds: float = 300.0,
+                        talkers: int = 10, last_alerts: int = 10) -> DataFrame:
+    """A33 in full as long rows (section, pos, key, value): totals and rates, packets per
+    protocol, the busiest sources, and the newest alerts (``alerts``: batch_id, alert_type, details, n)."""
+    t = traffic_report(counter_table, window_seconds)
+    names = ["duration", "total_packets", "total_bytes", "packets_per_second", "bytes_per_second"]
+    totals = t.select(F.posexplode(F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("double").alias("value"))
+                                             for n in names])).alias("pos", "x")).select(
+        F.lit("totals").alias("section"), F.col("pos").cast("int").alias("pos"), "x.key", "x.value")
+
+    def ranked(section: str, rows: DataFrame, *order) -> DataFrame:
+        return rows.select(F.lit(section).alias("section"), (F.row_number().over(Window.orderBy(*order)) - 1).cast("int").alias("pos"),
+                           F.col("key"), F.col("value").cast("double").alias("value"))
+    by_value = (F.desc("value"), F.asc("key"))
+    protocols = counter_table.where(F.col("kind") == "protocol").select("key", F.col("packets").alias("value"))
+    out = totals.unionByName(ranked("protocol_distribution", protocols, *by_value)).unionByName(
+        ranked("top_talkers", top_talkers(counter_table, talkers).select(F.col("ip").alias("key"), F.col("packets").alias("value")), *by_value))
+    if alerts is not None:
+        newest = alerts.orderBy(F.desc("batch_id"), "alert_type").limit(last_alerts).select(
+            "batch_id", "alert_type", F.col("details").alias("key"), F.col("n").alias("value"))
+        out = out.unionByName(ranked("recent_alerts", newest, F.desc("batch_id"), F.asc("alert_type")))
+    return out

@@ -64,6 +64,14 @@ class DetectorConfig:
     models: tuple = ("isolation_forest", "one_class_svm", "dbscan", "autoencoder")
 
 
+def load_config(saved: dict) -> DetectorConfig:
+    """The configuration from its ``dataclasses.asdict`` form (tuples come back from JSON as lists)."""
+    parts = {"isolation_forest": IForestConfig, "one_class_svm": OcsvmConfig, "dbscan": DbscanConfig,
+             "autoencoder": ReconConfig, "ensemble": EnsembleConfig}
+    fixed = {k: parts[k](**{n: tuple(v) if isinstance(v, list) else v for n, v in saved[k].items()}) for k in parts}
+    return DetectorConfig(**fixed, models=tuple(saved["models"]))
+
+
 @dataclass
 class DetectorModel:
     id_col: str

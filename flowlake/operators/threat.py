@@ -158,3 +158,27 @@ def run_alerts(spark, suspicious_count: DataFrame, pattern_counts: DataFrame,
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def capture_report(packets: DataFrame, scored: DataFrame, alerts: DataFrame, anomalies: DataFrame | None = None,
+                   ts: str = "timestamp", top: int = 10) -> DataFrame:
+    """A39 as long rows (section, pos, key, value): packets analysed and capture duration, number of alerts,
+    the most frequent threat indicators of ``scored`` (from ``threat_scores``), and per model the
+    anomalies of ``anomalies`` (model, anomalies), if given."""
+    facts = packets.agg(F.count(F.lit(1)).cast("double").alias("analyzed_packets"),
+                        F.coalesce(F.max(ts) - F.min(ts), F.lit(0.0)).cast("double").alias("duration"))
+    facts = facts.crossJoin(F.broadcast(alerts.agg(F.count(F.lit(1)).cast("double").alias("threats_detected"))))    # one row each
+    names = ["analyzed_packets", "duration", "threats_detected"]
+    out = facts.select(F.posexplode(F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).alias("value")) for n in names])).alias("pos", "x")) \
+        .select(F.lit("summary").alias("section"), F.col("pos").cast("int").alias("pos"), "x.key", "x.value")
+
+    def ranked(section: str, rows: DataFrame, *order) -> DataFrame:
+        return rows.select(F.lit(section).alias("section"), (F.row_number().over(Window.orderBy(*order)) - 1).cast("int").alias("pos"),
+                           "key", F.col("value").cast("double").alias("value"))
+    ind = indicator_counts(scored).orderBy(F.desc("count"), "indicator").limit(top).select(
+        F.col("indicator").alias("key"), F.col("count").alias("value"))
+    out = out.unionByName(ranked("top_threat_indicators", ind, F.desc("value"), F.asc("key")))
+    if anomalies is not None:                   # one row per model
+        out = out.unionByName(ranked("anomaly_summary", anomalies.select(
+            F.col("model").alias("key"), F.col("anomalies").alias("value")), F.asc("key")))
+    return out

@@ -10,21 +10,20 @@ from flowlake.plans.registry import plan, rounded, table
 
 # ---- inputs -----------------------------------------------------------------
 
-_ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+_ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 _ORDERS_TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string",
-                 "o_totalprice": "double", "o_orderpriority": "string"}
+                 "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
 _LINE_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
              "l_discount", "l_tax"]
-_CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _docs_labels(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     lab = table(spark, sf, "labels")
     return d.join(lab, "doc_id", "left")
 
 
-_DL_SQL = """dl AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
+_DL_SQL = """dl AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
@@ -32,10 +31,10 @@ def _profile_sql() -> str:
     parts = []
     for i, c in enumerate(_ORDERS_COLS):
         t = _ORDERS_TYPES[c]
-        if t == "string":
+        if t in ("string", "timestamp_ntz"):
             parts.append(f"""SELECT {i} AS position, '{c}' AS "column", '{t}' AS dtype, count({c}) AS count,
   count(*) - count({c}) AS missing, count(DISTINCT {c}) AS "unique",
-  (SELECT {c} FROM orders WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS top,
+  (SELECT CAST({c} AS VARCHAR) FROM orders WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, CAST({c} AS VARCHAR) LIMIT 1) AS top,
   (SELECT count(*) FROM orders WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC LIMIT 1) AS freq,
   NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS min, NULL::DOUBLE AS max,
   NULL::DOUBLE AS q25, NULL::DOUBLE AS median, NULL::DOUBLE AS q75 FROM orders""")
@@ -51,13 +50,13 @@ def _profile_sql() -> str:
 
 @plan("table_profile", _profile_sql())
 def table_profile(spark, sf):
-    """A18 on orders (all but the date column)."""
-    return rounded(profile.table_profile(table(spark, sf, "orders").select(*_ORDERS_COLS)))
+    """A18 on orders, every column."""
+    return rounded(profile.table_profile(table(spark, sf, "orders")))
 
 
 @plan("missing_counts", f"""WITH {_DL_SQL},
 m AS ({' UNION ALL '.join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS missing FROM dl"
-                         for c in ["doc_id", "lang", "source", "n_chars", "quality", "toxic"])})
+                         for c in ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"])})
 SELECT "column", missing FROM m WHERE missing > 0 ORDER BY missing DESC, "column" LIMIT 30""")
 def missing_counts(spark, sf):
     """A20 on documents left join labels."""
@@ -74,8 +73,8 @@ def column_sums(spark, sf):
 
 def _corr_sql() -> str:
     rows = []
-    for a in _CORR_COLS:
-        for b in _CORR_COLS:
+    for a in _LINE_NUM:
+        for b in _LINE_NUM:
             expr = (f"CASE WHEN stddev_samp(CASE WHEN {b} IS NOT NULL THEN {a} END) = 0 "
                     f"OR stddev_samp(CASE WHEN {a} IS NOT NULL THEN {b} END) = 0 THEN NULL ELSE corr({a}, {b}) END")
             rows.append(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round({expr}, 6) AS corr FROM lineitem")
@@ -84,8 +83,8 @@ def _corr_sql() -> str:
 
 @plan("correlation_matrix", _corr_sql())
 def correlation_matrix(spark, sf):
-    """A21 on lineitem's measures (one aggregate for all pairs)."""
-    return rounded(profile.correlation_matrix(table(spark, sf, "lineitem"), _CORR_COLS))
+    """A21 on lineitem's numeric columns (one aggregate for all pairs)."""
+    return rounded(profile.correlation_matrix(table(spark, sf, "lineitem"), _LINE_NUM))
 
 
 @plan("variance_rank", " UNION ALL ".join(
@@ -99,7 +98,8 @@ def variance_rank(spark, sf):
 
 @plan("top_categories", f"""WITH {_DL_SQL},
 c AS (SELECT 'lang' AS "column", coalesce(lang, 'nan') AS value, count(*) AS count FROM dl GROUP BY 2
-      UNION ALL SELECT 'source', coalesce(source, 'nan'), count(*) FROM dl GROUP BY 2)
+      UNION ALL SELECT 'source', coalesce(source, 'nan'), count(*) FROM dl GROUP BY 2
+      UNION ALL SELECT 'text', coalesce(text, 'nan'), count(*) FROM dl GROUP BY 2)
 SELECT "column", value, count, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank FROM c) r
 WHERE rank <= 10""")

@@ -73,15 +73,21 @@ def security_summary(spark, sf):
 
 
 @plan("payload_entropy", """
-WITH b AS (SELECT page_id, unnest(regexp_extract_all(hex(encode(html)), '..')) AS byte FROM pages),
-c AS (SELECT page_id, byte, count(*) AS n FROM b GROUP BY 1, 2),
-t AS (SELECT page_id, sum(n) AS tot FROM c GROUP BY 1),
-e AS (SELECT c.page_id, -sum((n / tot) * log2(n / tot)) AS h FROM c JOIN t ON c.page_id = t.page_id GROUP BY 1)
-SELECT p.page_id, round(CASE WHEN p.html IS NULL THEN NULL ELSE coalesce(e.h, 0.0) END, 6) AS payload_entropy
-FROM pages p LEFT JOIN e ON p.page_id = e.page_id""")
+WITH p AS (SELECT 'pages' AS source, page_id AS item_id, html AS payload FROM pages
+  UNION ALL SELECT 'documents', doc_id, text FROM documents),
+b AS (SELECT source, item_id, unnest(regexp_extract_all(hex(encode(payload)), '..')) AS byte FROM p),
+c AS (SELECT source, item_id, byte, count(*) AS n FROM b GROUP BY 1, 2, 3),
+t AS (SELECT source, item_id, sum(n) AS tot FROM c GROUP BY 1, 2),
+e AS (SELECT source, item_id, -sum((n / tot) * log2(n / tot)) AS h FROM c JOIN t USING (source, item_id) GROUP BY 1, 2)
+SELECT source, item_id, round(CASE WHEN p.payload IS NULL THEN NULL ELSE coalesce(e.h, 0.0) END, 6) AS payload_entropy
+FROM p LEFT JOIN e USING (source, item_id)""")
 def payload_entropy(spark, sf):
-    """F2 on every page (UTF-8 bytes)."""
-    return rounded(table(spark, sf, "pages", spread_scan=True).select("page_id", byte_entropy("html").alias("payload_entropy")))
+    """F2 on every page and document (UTF-8 bytes)."""
+    p = table(spark, sf, "pages", spread_scan=True).select(
+        F.lit("pages").alias("source"), F.col("page_id").alias("item_id"), F.col("html").alias("payload"))
+    d = table(spark, sf, "documents", spread_scan=True).select(
+        F.lit("documents").alias("source"), F.col("doc_id").alias("item_id"), F.col("text").alias("payload"))
+    return rounded(p.unionByName(d).select("source", "item_id", byte_entropy("payload").alias("payload_entropy")))
 
 
 # ---- HTTP requests from page URLs -------------------------------------------
@@ -222,3 +228,45 @@ def alerts(spark, sf):
     n = scored.agg(F.count(F.lit(1)).alias("n"))
     return threat.run_alerts(spark, n, summary.pattern_counts(scored)).select(
         F.col("alert_order").cast("int").alias("alert_order"), "severity", "title", "details")
+
+
+_HIGH_SQL = """high AS (SELECT count(*) AS n FROM raw WHERE r > 60),
+al AS (SELECT 'Detected ' || CAST(n AS VARCHAR) || ' high severity threats' AS key, CAST(n AS DOUBLE) AS value FROM high WHERE n > 0)"""
+
+
+@plan("capture_report", with_packets(f""",{_THREAT_SQL},
+{_HIGH_SQL},
+top AS (SELECT key, value FROM (SELECT key, CAST(count(*) AS DOUBLE) AS value FROM
+  (SELECT unnest(string_split(ind, '; ')) AS key FROM raw WHERE ind <> '') u GROUP BY key) x ORDER BY value DESC, key LIMIT 10)
+SELECT 'summary' AS section, 0 AS pos, 'analyzed_packets' AS key, CAST(count(*) AS DOUBLE) AS value FROM packets
+UNION ALL SELECT 'summary', 1, 'duration', round(max("timestamp") - min("timestamp"), 6) FROM packets
+UNION ALL SELECT 'summary', 2, 'threats_detected', CAST(count(*) AS DOUBLE) FROM al
+UNION ALL SELECT 'top_threat_indicators', CAST(row_number() OVER (ORDER BY value DESC, key) - 1 AS INTEGER), key, value FROM top""",
+                                     flows=False).replace("\n,", ",", 1))
+def capture_report(spark, sf):
+    """A39 over the packet view, without a detector."""
+    from flowlake.streaming.monitor import batch_alerts
+    p = packets(spark, sf, with_flow=False)
+    m, t = _lists(spark)
+    return rounded(threat.capture_report(p, threat.threat_scores(p, m, t), batch_alerts(p, 0, malicious=m, tor=t)))
+
+
+@plan("traffic_report_full", with_packets(f""",{_THREAT_SQL},
+{_HIGH_SQL},
+tot AS (SELECT CAST(count(*) AS DOUBLE) AS p, CAST(sum(coalesce(packet_size, 0)) AS DOUBLE) AS b FROM packets),
+pr AS (SELECT coalesce(protocol, 'Unknown') AS key, CAST(count(*) AS DOUBLE) AS value FROM packets GROUP BY 1),
+tk AS (SELECT src_ip AS key, CAST(count(*) AS DOUBLE) AS value FROM packets WHERE src_ip <> '' GROUP BY 1 ORDER BY value DESC, key LIMIT 10)
+SELECT 'totals' AS section, 0 AS pos, 'duration' AS key, 300.0::DOUBLE AS value
+UNION ALL SELECT 'totals', 1, 'total_packets', p FROM tot UNION ALL SELECT 'totals', 2, 'total_bytes', b FROM tot
+UNION ALL SELECT 'totals', 3, 'packets_per_second', round(p / 300.0::DOUBLE, 6) FROM tot
+UNION ALL SELECT 'totals', 4, 'bytes_per_second', round(b / 300.0::DOUBLE, 6) FROM tot
+UNION ALL SELECT 'protocol_distribution', CAST(row_number() OVER (ORDER BY value DESC, key) - 1 AS INTEGER), key, value FROM pr
+UNION ALL SELECT 'top_talkers', CAST(row_number() OVER (ORDER BY value DESC, key) - 1 AS INTEGER), key, value FROM tk
+UNION ALL SELECT 'recent_alerts', 0, key, value FROM al""", flows=False).replace("\n,", ",", 1))
+def traffic_report_full(spark, sf):
+    """A33 with every section, alerts from the threat rules."""
+    from flowlake.operators import counters
+    from flowlake.streaming.monitor import batch_alerts
+    p = packets(spark, sf, with_flow=False)
+    m, t = _lists(spark)
+    return rounded(counters.traffic_report_rows(counters.counters(p), batch_alerts(p, 0, malicious=m, tor=t)))

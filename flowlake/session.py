@@ -58,31 +58,33 @@ _SHIPPED: set = set()
 
 def ship_package(spark: SparkSession) -> None:
     """``addPyFile`` a zip of this package so that pandas UDFs and
-    ``mapInPandas`` functions unpickle on every worker.  The zip is written
-    into the checkpoint folder when that is a file-system path; a cluster
-    whose checkpoint folder is remote ships the package with ``--py-files``."""
+    ``mapInPandas`` functions unpickle on every worker.  The zip is copied into
+    the checkpoint folder through the cluster's file system, local or remote; without
+    such a folder Spark serves the driver's copy."""
     import zipfile
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
         return
-    try:
-        base = ensure_checkpoint_dir(spark)
-    except RuntimeError:
-        return
-    local = base[len("file:"):] if base.startswith("file:") else base
-    if "://" in local or not os.path.isdir(local):
-        return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(local, f"flowlake-{os.getpid()}-{len(_SHIPPED)}.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+    fd, made = tempfile.mkstemp(suffix=".zip", prefix="flowlake-")      # the driver's own copy
+    os.close(fd)
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(target)
     _SHIPPED.add(key)
+    try:
+        base = ensure_checkpoint_dir(spark)
+    except RuntimeError:                # no shared folder: Spark serves the driver's copy
+        sc.addPyFile(os.path.realpath(made))
+        return
+    path = sc._jvm.org.apache.hadoop.fs.Path
+    target = path(f"{base}/flowlake-{key}.zip")
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).copyFromLocalFile(True, True, path(f"file://{os.path.realpath(made)}"), target)
+    sc.addPyFile(target.toString())
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

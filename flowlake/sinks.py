@@ -7,6 +7,7 @@ collected data.
 
 from __future__ import annotations
 
+import dataclasses
 import json
 from collections.abc import Sequence
 
@@ -81,8 +82,11 @@ def narrative(spark: SparkSession, alerts: DataFrame, protocols: DataFrame, dns:
     unique_domains; http: total_requests, unique_hosts; security:
     suspicious_packets, high_risk_flows; patterns: pattern, count;
     total_anomalies: n)."""
-    a = (alerts.limit(10).select(F.lit(1).alias("section"), F.format_string(
-        "- [%s] %s: %s", F.upper("severity"), F.col("title"), F.col("details")).alias("line")))
+    order = ["alert_order"] if "alert_order" in alerts.columns else ["severity", "title", "details"]
+    a = alerts.orderBy(*order).limit(10)
+    a = (a.withColumn("pos", F.row_number().over(Window.orderBy(*order)))           # ten rows at most
+          .select(F.lit(1).alias("section"), "pos", F.format_string(
+              "- [%s] %s: %s", F.upper("severity"), F.col("title"), F.col("details")).alias("line")))
     an = total_anomalies.select(F.lit(2).alias("section"), F.format_string(
         "Detected %d anomalous samples across available detectors.", F.col("n")).alias("line"))
     top5 = protocols.orderBy(F.desc("count"), "protocol").limit(5).agg(
@@ -100,8 +104,10 @@ def narrative(spark: SparkSession, alerts: DataFrame, protocols: DataFrame, dns:
                                  lambda x: F.format_string("%s: %d", x["pattern"], x["count"])), ", ").alias("items"))
     p = top_p.where(F.col("items") != "").select(F.lit(7).alias("section"),
                                                 F.format_string("Top detected attack patterns: %s.", "items").alias("line"))
-    out = a.unionByName(an).unionByName(pr).unionByName(d).unionByName(h).unionByName(s).unionByName(p)
-    return out.select(F.row_number().over(Window.orderBy("section")).alias("line_no"), "line")
+    out = a
+    for part in (an, pr, d, h, s, p):                       # one row each
+        out = out.unionByName(part.withColumn("pos", F.lit(1)))
+    return out.select(F.row_number().over(Window.orderBy("section", "pos")).alias("line_no"), "line")
 
 
 def write_text(lines: DataFrame, path: str) -> None:
@@ -120,9 +126,11 @@ def _get(spark: SparkSession, path: str) -> dict:
 
 
 def save_detector(model, path: str) -> None:
-    """Prep (columns + scaler), isolation forest nodes, PCA and SVM weights."""
+    """Config, prep (columns + scaler), isolation forest nodes, PCA and SVM weights as JSON; DBSCAN's
+    core points and labels, which grow with the rows, as Parquet beside it."""
     spark = SparkSession.getActiveSession()
-    meta = {"id_col": model.id_col, "prep": json.loads(model.prep.to_json()), "models": list(model.models)}
+    meta = {"id_col": model.id_col, "prep": json.loads(model.prep.to_json()), "models": list(model.models),
+            "config": dataclasses.asdict(model.config), "failures": model.failures}
     for name, m in model.models.items():
         if name == "isolation_forest":
             meta[name] = {"psi": m.psi, "threshold": m.threshold,
@@ -131,18 +139,29 @@ def save_detector(model, path: str) -> None:
             meta[name] = {"mean": m.mean.tolist(), "components": m.components.tolist(), "threshold": m.threshold}
         elif name == "one_class_svm":
             meta[name] = {"W": m.W.tolist(), "b": m.b.tolist(), "w": m.w.tolist(), "rho": m.rho}
+        elif name == "dbscan":
+            meta[name] = {"eps": m.eps, "min_samples": m.min_samples, "dims": list(m.dims), "features": m.features}
+            m.core.write.mode("overwrite").parquet(f"{path}-dbscan/core")
+            m.labels.write.mode("overwrite").parquet(f"{path}-dbscan/labels")
+        else:
+            raise ValueError(f"no way to save the model {name!r}")
     _put(spark, path, meta)
 
 
 def load_detector(path: str):
-    from flowlake.operators.detect.detector import DetectorModel
+    from flowlake.operators.detect.dbscan import DbscanModel
+    from flowlake.operators.detect.detector import DetectorModel, load_config
     from flowlake.operators.detect.iforest import IsolationForestModel
     from flowlake.operators.detect.ocsvm import OcsvmModel
     from flowlake.operators.detect.prep import PrepModel
     from flowlake.operators.detect.recon import ReconModel
     spark = SparkSession.getActiveSession()
     meta = _get(spark, path)
-    dm = DetectorModel(meta["id_col"], PrepModel(**meta["prep"]))
+    dm = DetectorModel(meta["id_col"], PrepModel(**meta["prep"]), failures=meta["failures"], config=load_config(meta["config"]))
+    if "dbscan" in meta:
+        m = meta["dbscan"]
+        dm.models["dbscan"] = DbscanModel(m["eps"], m["min_samples"], m["dims"], spark.read.parquet(f"{path}-dbscan/core"),
+                                          spark.read.parquet(f"{path}-dbscan/labels"), m["features"])
     if "isolation_forest" in meta:
         m = meta["isolation_forest"]
         dm.models["isolation_forest"] = IsolationForestModel(pd.DataFrame(m["nodes"]), m["psi"], m["threshold"])

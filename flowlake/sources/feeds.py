@@ -64,3 +64,15 @@ def save_reputation_cache(records: DataFrame, path: str, mode: str = "append") -
 def geo_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Caller-supplied geo lookup (ip, lat, lon, country)."""
     return spark.read.format(fmt).load(path).select("ip", "lat", "lon", "country")
+
+
+def replace_list(feed: DataFrame, path: str) -> DataFrame:
+    """The list table at ``path`` becomes the newest feed (distinct, blanks dropped); returns it.
+    The feed is written beside the old list and read from there, so it may itself read ``path``."""
+    import uuid
+    spark = feed.sparkSession
+    col = feed.columns[0]
+    fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    feed.select(F.trim(F.col(col)).alias(col)).where(F.col(col) != "").distinct().write.parquet(fresh)
+    spark.read.parquet(fresh).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -170,3 +170,38 @@ def test_bucket_number_follows_the_rows(spark, monkeypatch):
     out = order.global_row_number(df, ["t"])
     assert out.filter("row_no <> t + 1").count() == 0
     assert order.with_range_bucket(df, "t").select("__bkt").distinct().count() > 150
+
+
+def test_saved_detector_keeps_dbscan_and_config(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from flowlake import sinks
+    from flowlake.operators.detect.detector import AnomalyDetector, DbscanConfig, DetectorConfig, EnsembleConfig
+    df = spark.range(200).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"))
+    cfg = DetectorConfig(dbscan=DbscanConfig(eps=0.3, min_samples=3), ensemble=EnsembleConfig(voting="hard"),
+                         models=("isolation_forest", "dbscan"))
+    m = AnomalyDetector(cfg).fit(df, "id")
+    assert not m.failures
+    sinks.save_detector(m, str(tmp_path / "m"))
+    back = sinks.load_detector(str(tmp_path / "m"))
+    assert back.config == cfg and set(back.models) == {"isolation_forest", "dbscan"}
+    key = lambda d: sorted(map(tuple, d.collect()))
+    assert key(back.transform(df)) == key(m.transform(df))
+
+
+def test_replace_list_may_read_its_own_table(spark, tmp_path):
+    from flowlake.sources import feeds
+    path = str(tmp_path / "list")
+    first = feeds.replace_list(spark.createDataFrame([("1.1.1.1",), (" 2.2.2.2 ",), ("",), ("1.1.1.1",)], "ip string"), path)
+    assert sorted(r.ip for r in first.collect()) == ["1.1.1.1", "2.2.2.2"]
+    again = feeds.replace_list(first.where("ip <> '1.1.1.1'").union(spark.createDataFrame([("3.3.3.3",)], "ip string")), path)
+    assert sorted(r.ip for r in again.collect()) == ["2.2.2.2", "3.3.3.3"]
+
+
+def test_narrative_takes_the_first_alerts_in_order(spark):
+    from flowlake import sinks
+    one = lambda **kw: spark.createDataFrame([tuple(kw.values())], list(kw))
+    alerts = spark.createDataFrame([(i, "high", f"t{i}", "d") for i in range(14, -1, -1)], "alert_order int, severity string, title string, details string").repartition(5)
+    lines = sinks.narrative(spark, alerts, one(protocol="TCP", count=1), one(total_queries=1, unique_domains=1),
+                            one(total_requests=1, unique_hosts=1), one(suspicious_packets=1, high_risk_flows=1),
+                            one(pattern="p", count=1), one(n=1)).orderBy("line_no").collect()
+    assert [r.line for r in lines[:10]] == [f"- [HIGH] t{i}: d" for i in range(10)] and lines[10].line.startswith("Detected 1")
