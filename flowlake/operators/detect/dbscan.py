@@ -1,25 +1,24 @@
-"""M4: DBSCAN (Ester et al., KDD 1996) as Spark joins.
+"""M4: DBSCAN (Ester et al., KDD 1996) as Spark joins, one form for any number of columns.
 
 1. Equal vectors collapse into one point with a weight.
-2. Grid cells of side eps on the (up to) three widest columns; each point
-   looks up the 3^k surrounding cells by an equi-join on the cell key, then
-   the exact distance over all columns filters the pairs (a distance on a
-   subset of columns never exceeds the full one, so no neighbour is lost).
-   No cross join and no pairs outside neighbouring cells.
-3. Core = weight of the eps-neighbourhood (self included) >= min_samples.
-4. Clusters = connected components of core points: min-label propagation
-   with pointer jumping, one checkpoint per round (lineage cut into the
-   cluster's checkpoint folder), until no label changes.
-5. A border point takes the smallest label among its core neighbours;
-   everything else is noise (-1).  Cluster labels are the smallest row id
-   of a core point in the cluster.
-
-With at most four columns the pure-cell form runs instead: cells of side
-eps / sqrt(d) hold points that are all within eps of each other, a point
-probes the surrounding cells by box distance and only cells crossing its
-eps sphere compare point pairs, so a dense spot costs no pairs at all.
-Wider tables use the coarse cells above, where one cell holding a large
-share of the rows still makes its pair count quadratic (see README).
+2. Fine cells of side eps / sqrt(d) over all d columns: points of one cell are
+   within eps of each other.  A cell of weight >= min_samples ("dense") holds
+   core points only, so nothing is counted there.
+3. Neighbouring cells are found between cells, not points: an equi-join on a
+   coarse grid over the (up to) three widest columns, then the
+   distance of the cells' bounding boxes over all columns.
+4. Points of the other, sparse cells (fewer than min_samples a cell) count their
+   neighbours: a cell wholly within eps adds its weight, a crossing cell compares points.
+5. Two dense cells are joined if any of their points are within eps.  A witness is
+   sought by linear passes: the point of one nearest to the other's box, the
+   point there nearest to it, and back.  Only pairs that this leaves open compare
+   points, and only those near the other's box, by sub-cells.
+6. Clusters = connected components over cells that hold core points; a border point
+   takes the smallest label among its core neighbours, everything else is noise
+   (-1).  Labels are the smallest row id of a core point in the cluster.
+
+A dense spot therefore costs passes over its points and no pairs among them,
+also where it straddles a corner of cells.
 """
 
 from __future__ import annotations
@@ -98,110 +97,106 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return lab
 
 
+def _box_near(alo, ahi, blo, bhi):
+    """Least squared distance of two boxes given as arrays (a point is its own box)."""
+    gap = F.zip_with(F.zip_with(blo, ahi, lambda x, y: x - y), F.zip_with(alo, bhi, lambda x, y: x - y),
+                     lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    return F.aggregate(gap, F.lit(0.0), lambda s, v: s + v * v)
+
+
+def _box_far(alo, ahi, blo, bhi):
+    """Greatest squared distance of two boxes."""
+    gap = F.zip_with(F.zip_with(bhi, alo, lambda x, y: x - y), F.zip_with(ahi, blo, lambda x, y: x - y),
+                     lambda x, y: F.greatest(x, y))
+    return F.aggregate(gap, F.lit(0.0), lambda s, v: s + v * v)
+
+
 def fit_dbscan(X: DataFrame, id_col: str, eps: float = 0.5, min_samples: int = 5,
-               features: str = "features", max_dims: int = 3, pure_cells_up_to: int = 4) -> DbscanModel:
-    """Exact DBSCAN.  With at most ``pure_cells_up_to`` columns the pure-cell
-    form runs (no pairs inside dense regions); otherwise the coarse-cell form."""
+               features: str = "features", max_dims: int = 3) -> DbscanModel:
+    """Exact DBSCAN for any number of columns."""
     spark = X.sparkSession
     ensure_checkpoint_dir(spark)
     d = len(X.select(features).first()[0])
-    rng = X.agg(*[(F.max(F.col(features)[j]) - F.min(F.col(features)[j])).alias(f"r{j}") for j in range(d)]).first()
+    x = lambda j: F.col(features)[j]
+    rng = X.agg(*[(F.max(x(j)) - F.min(x(j))).alias(f"r{j}") for j in range(d)]).first()
     dims = sorted(range(d), key=lambda j: (-(rng[f"r{j}"] or 0.0), j))[:min(max_dims, d)]
+    side, e2 = F.lit(eps / math.sqrt(d)), F.lit(eps * eps)
     pts = X.groupBy(features).agg(F.count(F.lit(1)).alias("w"), F.min(id_col).alias("pid"))
-    pts = _with_cell(pts, features, dims, eps).checkpoint()
-    if d <= pure_cells_up_to:
-        return _fit_pure(X, id_col, pts, d, dims, eps, min_samples, features)
-    nb = _neighbour_keys(pts.select("pid", features, "cell"), len(dims))
-    other = pts.select(F.col("pid").alias("qid"), F.col(features).alias("__qf"), F.col("cell").alias("ncell"),
-                       F.col("w").alias("qw"))
-    pairs = (nb.join(other, "ncell").where(_dist2(features, "__qf") <= F.lit(eps * eps))
-               .select("pid", "qid", "qw")).checkpoint()
-    counts = pairs.groupBy("pid").agg(F.sum("qw").alias("n_eps"))
-    core = counts.where(F.col("n_eps") >= min_samples).select("pid")
-    core_pairs = (pairs.join(core, "pid", "left_semi")
-                       .join(core.withColumnRenamed("pid", "qid"), "qid", "left_semi"))
-    comp = connected_components(core.withColumnRenamed("pid", "node"),
-                                core_pairs.select(F.col("pid").alias("a"), F.col("qid").alias("b")))
-    # border points: smallest label among core neighbours
-    border = (pairs.join(comp.select(F.col("node").alias("qid"), "label"), "qid")
-                   .groupBy("pid").agg(F.min("label").alias("blabel")))
-    plabel = (pts.select("pid", features).join(comp.select(F.col("node").alias("pid"), F.col("label").alias("clabel")),
-                                               "pid", "left")
-                 .join(border, "pid", "left")
-                 .select(features, F.coalesce("clabel", "blabel", F.lit(-1)).alias("cluster")))
-    labels = X.select(F.col(id_col).alias("id"), features).join(plabel, features).select("id", "cluster")
-    core_pts = pts.join(core, "pid", "left_semi").select("pid", features, "cell").checkpoint()
-    return DbscanModel(eps, min_samples, dims, core_pts, labels.checkpoint(), features)
-
-
-def _pure_offsets(d: int) -> list:
-    """Cell offsets whose box distance can be within eps (cells of side eps/sqrt(d))."""
-    r = math.ceil(math.sqrt(d))
-    out = []
-    for o in itertools.product(range(-r, r + 1), repeat=d):
-        if sum(max(abs(v) - 1, 0) ** 2 for v in o) <= d:
-            out.append(list(o))
-    return out
-
-
-def _fit_pure(X, id_col, pts, d, dims, eps, min_samples, features):
-    """Pure cells of side eps / sqrt(d): two points of one cell are within eps.
-    Each point probes the cells around it by box distance: a cell wholly
-    within eps adds its weight, a cell wholly beyond eps adds nothing, and
-    only cells crossing the eps sphere compare point pairs.  Components are
-    built over cells holding core points (cores of one cell are connected)."""
-    side = eps / math.sqrt(d)
-    e2 = eps * eps
-    P = pts.withColumn("fc", F.array(*[F.floor(F.col(features)[j] / F.lit(side)).cast("long") for j in range(d)]))
-    P = P.checkpoint()
-    cells = P.groupBy("fc").agg(F.sum("w").alias("W"))
-    offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in _pure_offsets(d)])
-    probe = (P.select("pid", features, "fc", F.explode(offs).alias("__o"))
-              .withColumn("nc", F.zip_with("fc", "__o", lambda a, b: a + b)).drop("__o")
-              .join(cells.withColumnRenamed("fc", "nc"), "nc"))
-    x = F.col(features)
-    lo = [F.col("nc")[j] * F.lit(side) for j in range(d)]
-    hi = [(F.col("nc")[j] + 1) * F.lit(side) for j in range(d)]
-    far = sum(F.greatest(F.abs(x[j] - lo[j]), F.abs(x[j] - hi[j])) ** 2 for j in range(d))
-    near = sum(F.greatest(lo[j] - x[j], F.lit(0.0), x[j] - hi[j]) ** 2 for j in range(d))
-    probe = probe.withColumn("__kind", F.when(far <= F.lit(e2), F.lit(2))
-                             .when(near > F.lit(e2), F.lit(0)).otherwise(F.lit(1))).where("__kind > 0")
-    probe = probe.select("pid", features, "fc", "nc", "W", "__kind").checkpoint()
-    full = probe.where("__kind = 2").select("pid", "fc", "nc", "W")
-    # boundary cells: compare with their points
-    others = P.select(F.col("pid").alias("qid"), F.col(features).alias("__qf"), F.col("fc").alias("nc"),
-                      F.col("w").alias("qw"))
-    pairs = (probe.where("__kind = 1").select("pid", features, "fc", "nc").join(others, "nc")
-                  .where(_dist2(features, "__qf") <= F.lit(e2))
-                  .select("pid", "fc", "qid", "nc", "qw")).checkpoint()
-    counts = (full.select("pid", F.col("W").alias("c")).unionByName(pairs.select("pid", F.col("qw").alias("c")))
-                  .groupBy("pid").agg(F.sum("c").alias("n_eps")))
-    core = counts.where(F.col("n_eps") >= min_samples).select("pid")
-    core_pts = P.join(core, "pid", "left_semi").select("pid", "fc")
-    # one node per cell with cores, named by its smallest core id
-    cnode = core_pts.groupBy("fc").agg(F.min("pid").alias("node")).checkpoint()
-    cn_src = cnode.select(F.col("fc"), F.col("node").alias("a"))
-    cn_dst = cnode.select(F.col("fc").alias("nc"), F.col("node").alias("b"))
-    e_full = (full.join(core, "pid", "left_semi").join(cn_src, "fc").join(cn_dst, "nc").select("a", "b"))
-    e_pair = (pairs.join(core, "pid", "left_semi").join(core.withColumnRenamed("pid", "qid"), "qid", "left_semi")
-                   .join(cn_src, "fc").join(cn_dst, "nc").select("a", "b"))
-    edges = e_full.unionByName(e_pair).where(F.col("a") != F.col("b")).distinct()
-    comp = connected_components(cnode.select("node"), edges)
-    cell_label = cnode.join(comp, "node").select("fc", "label")
-    core_label = core_pts.join(cell_label, "fc").select("pid", F.col("label").alias("clabel"))
-    # border points: smallest label among core neighbours (whole cells or pairs)
-    b_full = full.join(cell_label.withColumnRenamed("fc", "nc"), "nc").select("pid", "label")
-    b_pair = (pairs.join(core.withColumnRenamed("pid", "qid"), "qid", "left_semi")
-                   .join(core_pts.select(F.col("pid").alias("qid"), F.col("fc").alias("qfc")), "qid")
-                   .join(cell_label.withColumnRenamed("fc", "qfc"), "qfc").select("pid", "label"))
-    border = b_full.unionByName(b_pair).groupBy("pid").agg(F.min("label").alias("blabel"))
+    pts = _with_cell(pts, features, dims, eps).withColumn("fc", F.transform(features, lambda v: F.floor(v / side).cast("long")))
+    pts = pts.checkpoint()
+    cells = pts.groupBy("fc").agg(
+        F.sum("w").alias("weight"), F.min("pid").alias("cid"),
+        F.array(*[F.min(x(j)) for j in range(d)]).alias("lo"), F.array(*[F.max(x(j)) for j in range(d)]).alias("hi")).checkpoint()
+    P = pts.join(cells.select("fc", "cid", "weight"), "fc").select("pid", features, "w", "cid", (F.col("weight") >= min_samples).alias("dense")).checkpoint()
+
+    # cells with boxes within eps: their lower corners differ by eps and a side at most in each column
+    coarse = F.lit(eps + eps / math.sqrt(d))
+    cells = cells.withColumn("cell", F.array(*[F.floor(F.col("lo")[j] / coarse).cast("long") for j in dims]))
+    near_keys = _neighbour_keys(cells, len(dims)).select(F.col("cid").alias("c"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"),
+                                                         F.col("weight").alias("cW"), "ncell")
+    other = cells.select(F.col("cid").alias("n"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.col("weight").alias("nW"),
+                         F.col("cell").alias("ncell"))
+    box = [F.col(c) for c in ("alo", "ahi", "blo", "bhi")]
+    cp = (near_keys.join(other, "ncell").where(_box_near(*box) <= e2)
+          .select("c", "n", "alo", "ahi", "blo", "bhi", "cW", "nW", (_box_far(*box) <= e2).alias("full")).checkpoint())
+
+    # sparse cells count
+    S = P.where(~F.col("dense")).select("pid", F.col(features).alias("f"), F.col("cid").alias("c"))
+    probe = S.join(cp.where(F.col("cW") < min_samples).select("c", "n", "blo", "bhi", "nW", "full"), "c")
+    pf = [F.col("f"), F.col("f"), F.col("blo"), F.col("bhi")]
+    probe = probe.where(_box_near(*pf) <= e2).select("pid", "f", "c", "n", "nW", (F.col("full") | (_box_far(*pf) <= e2)).alias("full")).checkpoint()
+    full = probe.where("full").select("pid", "c", "n", "nW")
+    others = P.select(F.col("pid").alias("qid"), F.col(features).alias("g"), F.col("cid").alias("n"), F.col("w").alias("qw"))
+    pairs = probe.where("not full").select("pid", "f", "c", "n").join(others, "n").where(_dist2("f", "g") <= e2) \
+        .select("pid", "c", "qid", "n", "qw").checkpoint()
+    counts = (full.select("pid", F.col("nW").alias("k")).unionByName(pairs.select("pid", F.col("qw").alias("k")))
+              .groupBy("pid").agg(F.sum("k").alias("k")))
+    core = P.where("dense").select("pid").unionByName(counts.where(F.col("k") >= min_samples).select("pid")).checkpoint()
+    core_pts = P.join(core, "pid", "left_semi").select("pid", "cid")
+    node = core_pts.groupBy("cid").agg(F.min("pid").alias("node")).checkpoint()
+    na, nb = node.select(F.col("cid").alias("c"), F.col("node").alias("a")), node.select(F.col("cid").alias("n"), F.col("node").alias("b"))
+    joined = full.select("pid", "c", "n").unionByName(
+        pairs.join(core.withColumnRenamed("pid", "qid"), "qid", "left_semi").select("pid", "c", "n"))
+    edges = joined.join(core, "pid", "left_semi").select("c", "n").unionByName(
+        _dense_edges(P, cp.where(F.col("c") < F.col("n")), features, eps, d, min_samples)).where("c <> n").distinct()
+    comp = connected_components(node.select("node"), edges.join(na, "c").join(nb, "n").select("a", "b"))
+    label = node.join(comp, "node").select("cid", "label")
+    core_label = core_pts.join(label, "cid").select("pid", F.col("label").alias("clabel"))
+    border = joined.join(label.withColumnRenamed("cid", "n"), "n").groupBy("pid").agg(F.min("label").alias("blabel"))
     plabel = (P.select("pid", features).join(core_label, "pid", "left").join(border, "pid", "left")
-               .select(features, F.coalesce("clabel", "blabel", F.lit(-1)).alias("cluster")))
+              .select(features, F.coalesce("clabel", "blabel", F.lit(-1)).alias("cluster")))
     labels = X.select(F.col(id_col).alias("id"), features).join(plabel, features).select("id", "cluster")
     core_out = pts.join(core, "pid", "left_semi").select("pid", features, "cell").checkpoint()
     return DbscanModel(eps, min_samples, dims, core_out, labels.checkpoint(), features)
 
 
+def _dense_edges(P: DataFrame, cp: DataFrame, features: str, eps: float, d: int, min_samples: int) -> DataFrame:
+    """(c, n): pairs of dense cells with two points within eps."""
+    e2 = F.lit(eps * eps)
+    cp = cp.where((F.col("cW") >= min_samples) & (F.col("nW") >= min_samples))
+    done = cp.where("full").select("c", "n")
+    open_ = cp.where("not full").select("c", "n", "alo", "ahi", "blo", "bhi")
+    D = P.where("dense")
+    A, B = D.select(F.col("cid").alias("c"), F.col(features).alias("f")), D.select(F.col("cid").alias("n"), F.col(features).alias("g"))
+    to_b = _box_near(F.col("f"), F.col("f"), F.col("blo"), F.col("bhi"))
+    first = open_.join(A, "c").groupBy("c", "n").agg(F.min_by("f", to_b).alias("f0"))
+    there = first.join(B, "n").groupBy("c", "n").agg(F.min(_dist2("f0", "g")).alias("d1"), F.min_by("g", _dist2("f0", "g")).alias("g0")).checkpoint()
+    done = done.unionByName(there.where(F.col("d1") <= e2).select("c", "n"))
+    back = there.where(F.col("d1") > e2).select("c", "n", "g0").join(A, "c").groupBy("c", "n").agg(F.min(_dist2("f", "g0")).alias("d2")).checkpoint()
+    done = done.unionByName(back.where(F.col("d2") <= e2).select("c", "n"))
+    # still open: points near the other's box, by sub-cells of a quarter's side
+    left = back.where(F.col("d2") > e2).select("c", "n").join(open_, ["c", "n"])
+    sub = F.lit(eps / math.sqrt(d) / 4)
+    cut = lambda f: F.transform(f, lambda v: F.floor(v / sub).cast("long"))
+    fa = left.join(A, "c").where(to_b <= e2).select("c", "n", "f", cut("f").alias("sf"))
+    fb = left.join(B, "n").where(_box_near(F.col("g"), F.col("g"), F.col("alo"), F.col("ahi")) <= e2).select("c", "n", "g", cut("g").alias("sg"))
+    lo, hi = (lambda c: F.transform(c, lambda v: v * sub)), (lambda c: F.transform(c, lambda v: (v + 1) * sub))
+    subs = fa.select("c", "n", "sf").distinct().join(fb.select("c", "n", "sg").distinct(), ["c", "n"]).where(
+        _box_near(lo("sf"), hi("sf"), lo("sg"), hi("sg")) <= e2 * (1 + 1e-9))
+    found = subs.join(fa, ["c", "n", "sf"]).join(fb, ["c", "n", "sg"]).where(_dist2("f", "g") <= e2).select("c", "n").distinct()
+    return done.unionByName(found)
+
+
 def cluster_sizes(labels: DataFrame, col: str = "cluster") -> DataFrame:
     """Rows per cluster (noise is -1)."""
     return labels.groupBy(col).agg(F.count(F.lit(1)).alias("count"))

@@ -166,3 +166,27 @@ def per_group_forest(spark, sf):
     X = prep.transform(p, keep=("packet_id", "event_type"))
     pred = fit_per_group(X, "event_type", "packet_id", n_trees=100, contamination=0.1, seed=42)
     return run_summary(pred, group="event_type")
+
+
+# ---- DBSCAN on every embedding column ---------------------------------------
+
+ALL_EPS, ALL_MIN = 1.18, 4
+
+
+@plan("dbscan_all_columns", f"""
+WITH RECURSIVE pts AS (SELECT vec_id AS id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
+u AS (SELECT x, count(*) AS w, min(id) AS pid FROM pts GROUP BY x),
+pairs AS (SELECT a.pid AS p, b.pid AS q, b.w AS qw FROM u a JOIN u b
+          ON list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) <= {ALL_EPS * ALL_EPS!r}),
+core AS (SELECT p FROM pairs GROUP BY p HAVING sum(qw) >= {ALL_MIN}),
+ce AS (SELECT p, q FROM pairs WHERE p IN (SELECT p FROM core) AND q IN (SELECT p FROM core)),
+cc(node, label) AS (SELECT p, p FROM core UNION SELECT ce.q, cc.label FROM cc JOIN ce ON cc.node = ce.p),
+comp AS (SELECT node, min(label) AS label FROM cc GROUP BY node),
+border AS (SELECT pairs.p, min(comp.label) AS bl FROM pairs JOIN comp ON pairs.q = comp.node GROUP BY pairs.p),
+plabel AS (SELECT u.x, coalesce(comp.label, border.bl, -1) AS cluster
+           FROM u LEFT JOIN comp ON u.pid = comp.node LEFT JOIN border ON u.pid = border.p)
+SELECT pts.id AS vec_id, CAST(plabel.cluster AS BIGINT) AS cluster FROM pts JOIN plabel ON pts.x = plabel.x""")
+def dbscan_all_columns(spark, sf):
+    """M4 over all embedding columns."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("features"))
+    return dbscan.fit_dbscan(e, "vec_id", ALL_EPS, ALL_MIN).labels.select(F.col("id").alias("vec_id"), F.col("cluster").cast("long"))

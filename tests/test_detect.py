@@ -107,3 +107,49 @@ def test_dbscan_hot_spot_matches_brute_force(spark):
         want = _brute_dbscan(X, 0.2, 6)
         got = dict(dbscan.fit_dbscan(df, "id", 0.2, 6).labels.select("id", "cluster").collect())
         assert [got[i] for i in range(len(X))] == list(want)
+
+
+def _labels_by_definition(rows, eps, k):
+    import numpy as np
+    ids = [r[0] for r in rows]
+    x = np.array([r[1] for r in rows])
+    near = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) <= eps * eps
+    core = near.sum(axis=1) >= k
+    label = {i: i for i in range(len(ids)) if core[i]}
+    changed = True
+    while changed:
+        changed = False
+        for i in label:
+            m = min(label[j] for j in label if near[i, j])
+            if m < label[i]:
+                label[i], changed = m, True
+    out = {}
+    for i in range(len(ids)):
+        c = label.get(i, min((label[j] for j in label if near[i, j]), default=None))
+        out[ids[i]] = -1 if c is None else ids[c]
+    return out
+
+
+def test_dbscan_of_any_width_matches_brute_force(spark):
+    import random
+
+    from flowlake.operators.detect import dbscan
+    rng = random.Random(12)
+    for d, eps in ((1, 0.1), (2, 0.25), (3, 0.3), (6, 0.9), (12, 1.6)):
+        spots = [[rng.uniform(-2, 2) for _ in range(d)] for _ in range(4)] + [[0.0] * d]
+        rows = [(i, [v + rng.gauss(0, rng.choice((0.01, 0.2))) for v in rng.choice(spots)]) for i in range(180)]
+        # two slabs that face each other just beyond eps
+        rows += [(500 + i, [3.0 + 0.001 * i] + [0.0] * (d - 1)) for i in range(12)] + [(600 + i, [3.0 + 0.0111 + eps + 0.001 * i] + [0.0] * (d - 1)) for i in range(12)]
+        df = spark.createDataFrame(rows, "id long, features array<double>")
+        got = dict(dbscan.fit_dbscan(df, "id", eps, 5).labels.select("id", "cluster").collect())
+        assert got == _labels_by_definition(rows, eps, 5), d
+
+
+def test_dbscan_spot_on_a_corner_stores_no_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from flowlake.operators.detect import dbscan
+    # all pairs would be 1.6e9
+    df = spark.range(40_000).select("id", F.array(*[(F.rand(s) - 0.5) * 0.1 for s in (1, 2, 3)]).alias("features"))
+    out = dbscan.fit_dbscan(df, "id", 0.5, 5).labels.groupBy("cluster").count().collect()
+    assert [(r["cluster"], r["count"]) for r in out] == [(0, 40_000)]
