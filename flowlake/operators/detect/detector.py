@@ -158,9 +158,8 @@ def surrogate_importance(model: DetectorModel, df: DataFrame, num_trees: int = 1
     """Random forest trained on the forest's labels (anomaly = 1);
     returns (feature, importance), largest first."""
     X = model.features(df)
-    lab = model.models["isolation_forest"].predict(X, keep=(model.id_col,)).select(
-        model.id_col, F.when(F.col("isolation_forest") == -1, 1.0).otherwise(0.0).alias("label"))
-    train = X.join(lab, model.id_col).select(array_to_vector("features").alias("fv"), "label")
+    lab = model.models["isolation_forest"].predict(X, keep=(model.id_col, "features"))     # features go along: no join back
+    train = lab.select(array_to_vector("features").alias("fv"), F.when(F.col("isolation_forest") == -1, 1.0).otherwise(0.0).alias("label"))
     rf = RandomForestClassifier(featuresCol="fv", labelCol="label", numTrees=num_trees, seed=seed).fit(train)
     imp = rf.featureImportances.toArray()
     spark = df.sparkSession

@@ -53,7 +53,7 @@ class OcsvmModel:
 
 
 def fit_ocsvm(X: DataFrame, id_col: str, nu: float = 0.1, n_features: int = 128, steps: int = 30,
-              seed: int = 42, features: str = "features") -> OcsvmModel:
+              seed: int = 42, tol: float = 2e-3, features: str = "features") -> OcsvmModel:
     d = len(X.select(features).first()[0])
     cols = [f"f{i}" for i in range(d)]
     # one double column per feature: the columnar cache and Arrow move plain
@@ -95,8 +95,11 @@ def fit_ocsvm(X: DataFrame, id_col: str, nu: float = 0.1, n_features: int = 128,
         for t in range(steps):
             cnt, acc, _ = pass_stats(w, rho)
             eta = 1.0 / (t + 2)
-            w = w - eta * (w - acc / (nu * n))
+            move = eta * (w - acc / (nu * n))
+            w = w - move
             rho = rho - eta * (cnt / (nu * n) - 1.0)
+            if np.linalg.norm(move) <= tol * np.linalg.norm(w):     # settled
+                break
         model.w = w
 
         @F.pandas_udf(T.DoubleType())

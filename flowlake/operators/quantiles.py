@@ -52,7 +52,8 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     refine_rows: int = 2_000_000) -> DataFrame:
     """One row per group: ``by`` columns then one double column per prob.
 
-    NULL values are ignored; a group without values gives NULLs.  With at
+    NULL values are ignored; a group without values has no row (without ``by``
+    the one row holds NULLs).  With at
     most ``max_groups`` groups the three-pass form runs now (bounds and
     bucket counts come to the driver: groups x buckets numbers); beyond
     that the fully distributed lazy form is returned.
@@ -141,12 +142,10 @@ def _exact_quantiles_eager(df, value_col, probs, by, buckets, names, max_groups,
         for k, v in zip(keys, g):
             pred = pred & (F.col(k) == F.lit(v))
         pred = pred & (F.col("bucket") == F.lit(b))
-        size = sizes[g][b]
-        while size > refine_rows:
+        size, value = sizes[g][b], None
+        while size > refine_rows and value is None:
             sub = tagged.where(pred).select("v")
             sb = sub.agg(F.percentile_approx("v", F.array(*[F.lit(x) for x in fracs]), 10 * buckets)).first()[0]
-            if not sb or min(sb) == max(sb):
-                break
             sexpr, _ = bucket_of(F.col("v"), sb)
             acc, chosen = 0, None
             for s_, c_ in sorted((r[0], r[1]) for r in sub.groupBy(sexpr.alias("s")).count().collect()):
@@ -154,9 +153,21 @@ def _exact_quantiles_eager(df, value_col, probs, by, buckets, names, max_groups,
                     chosen = (s_, c_)
                     break
                 acc += c_
-            if chosen is None or chosen[1] >= size:
-                break
-            pred, off, size = pred & (sexpr == F.lit(chosen[0])), off - acc, chosen[1]
+            if chosen[1] < size:
+                pred, off, size = pred & (sexpr == F.lit(chosen[0])), off - acc, chosen[1]
+                continue
+            # a value that fills the range: the rank lies below it, at it or above it
+            v0 = sb[len(sb) // 2]
+            below, at = sub.agg(F.count_if(F.col("v") < v0), F.count_if(F.col("v") == v0)).first()
+            if off < below:
+                pred, size = pred & (F.col("v") < v0), below
+            elif off < below + at:
+                value = v0
+            else:
+                pred, off, size = pred & (F.col("v") > v0), off - below - at, size - below - at
+        if value is not None:
+            found[w] = value
+            continue
         vc = tagged.where(pred).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
         wv = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)   # at most refine_rows values
         hit = (vc.withColumn("cend", F.sum("c").over(wv))

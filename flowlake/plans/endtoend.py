@@ -77,8 +77,8 @@ def sequence_recon(spark, sf):
 @plan("anomalies_per_hour")
 def anomalies_per_hour(spark, sf):
     """Isolation-forest anomalies and normal packets per hour of day."""
-    p = _packet_table(spark, sf)
-    m = AnomalyDetector(DetectorConfig(models=("isolation_forest",))).fit(p, "packet_id")
-    pred = m.transform(p).select("packet_id", F.col("isolation_forest").alias("prediction"))
-    ts = packets(spark, sf, with_flow=False).select("packet_id", "ts")
-    return series.anomalies_per_hour(ts.join(pred, "packet_id"), ts="ts", pred="prediction")
+    p = packets(spark, sf, with_flow=False, spread_scan=True).select("packet_id", "ts", *PACKET_FEATURES)
+    m = AnomalyDetector(DetectorConfig(models=("isolation_forest",))).fit(p.drop("ts"), "packet_id")
+    X = m.prep.transform(p, keep=("packet_id", "ts"))          # the time goes along: no join back
+    pred = m.models["isolation_forest"].predict(X, keep=("packet_id", "ts"), out="prediction")
+    return series.anomalies_per_hour(pred, ts="ts", pred="prediction")

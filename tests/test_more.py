@@ -205,3 +205,14 @@ def test_narrative_takes_the_first_alerts_in_order(spark):
                             one(total_requests=1, unique_hosts=1), one(suspicious_packets=1, high_risk_flows=1),
                             one(pattern="p", count=1), one(n=1)).orderBy("line_no").collect()
     assert [r.line for r in lines[:10]] == [f"- [HIGH] t{i}: d" for i in range(10)] and lines[10].line.startswith("Detected 1")
+
+
+def test_quantiles_refine_around_a_value_that_fills_a_bucket(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from flowlake.operators import quantiles as Q
+    df = spark.range(6000).select(F.when(F.col("id") % 10 < 7, F.lit(5.0)).otherwise(F.col("id") / 700.0).alias("v"))
+    x = np.array([r.v for r in df.collect()])
+    probs = [0.0, 0.05, 0.2, 0.5, 0.77, 0.9, 0.999, 1.0]
+    got = Q.exact_quantiles(df, "v", probs, refine_rows=20, buckets=8).first()
+    assert np.allclose(list(got), np.quantile(x, probs))
