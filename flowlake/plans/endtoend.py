@@ -10,7 +10,7 @@ from flowlake.operators import batch, logfeatures, order, series, summary, super
 from flowlake.operators.detect import recon
 from flowlake.operators.detect.detector import AnomalyDetector, DetectorConfig
 from flowlake.operators.detect.prep import fit_prep
-from flowlake.plans.models import PACKET_FEATURES, _packet_table
+from flowlake.plans.models import PACKET_FEATURES
 from flowlake.plans.packets import packets, with_packets
 from flowlake.plans.registry import plan, rounded, table
 
