@@ -70,9 +70,13 @@ class Scratch:
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The narrow side of a join, broadcast if its counted rows are few; else a shuffle
+    join, whose hot keys Spark splits.  For written tables: the count reads file footers."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def own_columns(df: DataFrame, *names: str) -> DataFrame:

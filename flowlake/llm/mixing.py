@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import Scratch, others, query, read
+from flowlake.llm.common import Scratch, others, query, read, small_side
 
 LEVELS = ("domain", "lang", "source")
 SEED, SHARE, EPOCHS = "mix-1", 1.0, 2
@@ -100,7 +100,7 @@ def plan(rows: DataFrame, levels: list[str], share: float = SHARE, max_epochs: i
     leaf = leaf.withColumn("full", F.when(F.col("supply") > 0, F.floor(F.col("grant") / F.col("supply"))).otherwise(0).cast("int")) \
         .withColumn("rem", F.col("grant") - F.col("full") * F.col("supply"))
     leaf = sc.keep(leaf)
-    d = rows.join(leaf, levels).withColumn("key", order_key(F.col("full"), F.col("doc_id"), seed)) \
+    d = rows.join(small_side(leaf), levels).withColumn("key", order_key(F.col("full"), F.col("doc_id"), seed)) \
         .withColumn("part", F.substring("key", 1, 3))
     parts = d.groupBy(*levels, "part").agg(F.sum("tokens").alias("t"), F.max("key").alias("last"), F.first("rem").alias("rem"))
     run = Window.partitionBy(*levels).orderBy("part")
@@ -138,7 +138,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], tokens: Column | None = None
     if targets is not None:
         targets = targets.select(*[_name(F.col(n)).alias(k) for n, k in zip(levels, keys, strict=True)], "weight")
     leaf = plan(rows, keys, share, max_epochs, seed, targets)
-    leaf = leaf.select(*keys, F.col("full").alias("__full"), F.col("cut").alias("__cut"))
+    leaf = small_side(leaf.select(*keys, F.col("full").alias("__full"), F.col("cut").alias("__cut")))
     d = docs.withColumns(own | {"__tokens": tok}).join(leaf, keys)
     more = F.coalesce(order_key(F.col("__full"), F.col("doc_id"), seed) <= F.col("__cut"), F.lit(False))
     last = F.col("__full") + more.cast("int") - 1

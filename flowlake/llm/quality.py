@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowlake.llm import words as W
-from flowlake.llm.common import Scratch, others, own_columns, query, read
+from flowlake.llm.common import Scratch, others, own_columns, query, read, small_side
 
 MAX_LABELS = 20_000             # labelled rows used to fit, at most (least hashes of doc_id)
 MAX_LEXICON = 500               # words kept as evidence
@@ -158,9 +158,8 @@ def fit(labels: DataFrame, docs: DataFrame, max_labels: int = MAX_LABELS) -> Mod
     pos, neg = n[0, 1], n[0, 0]
     odds = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
     lex = (_word_counts(sample.filter("part = 0")).filter(F.col("pos") >= MIN_COUNT).withColumn("w", odds)
-           .filter(F.col("w") > 1.5).orderBy(F.col("pos").cast("double").desc(), "word")
-           .select("word", "w", (F.col("w") * F.sqrt("pos")).alias("z")).orderBy(F.desc("z"), "word")
-           .limit(MAX_LEXICON).collect())
+           .filter(F.col("w") > 1.5).orderBy(F.desc(F.col("w") * F.sqrt("pos")), "word")
+           .select("word", "w").limit(MAX_LEXICON).collect())
     order = np.argsort(np.array([r["word"] for r in lex], dtype=np.int64).view(np.uint64), kind="stable")
     m.lex = np.array([r["word"] for r in lex], dtype=np.int64).view(np.uint64)[order]
     m.weight = np.array([r["w"] for r in lex], dtype=float)[order]
@@ -240,7 +239,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     narrow = with_evidence(docs.select("text", host.alias("__host"), path.alias("__path")), model).drop("text")
     table, rate, strength = sites(narrow, sc)
     own = with_evidence(docs.withColumns({"__host": host, "__path": path}), model)
-    t = table.select(F.col("__host").alias("__h"), F.col("__path").alias("__q"), "__n_p", "__s_p", "__q_h")
+    t = small_side(table).select(F.col("__host").alias("__h"), F.col("__path").alias("__q"), "__n_p", "__s_p", "__q_h")
     j = own.join(t, own["__host"].eqNullSafe(t["__h"]) & own["__path"].eqNullSafe(t["__q"]), "left")
     rest = F.col("__n_p") - 1
     post = (F.greatest(F.col("__s_p") - _p(F.col("__z")), F.lit(0.0)) + strength * F.col("__q_h")) / (rest + strength)
