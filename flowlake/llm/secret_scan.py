@@ -8,8 +8,10 @@ lower half of the alphabet) and a lag-1 serial correlation test would each give
 a uniform p-value; Fisher's method combines them.  Benjamini-Hochberg at level
 ``Q`` decides which candidates are *not* random, separately for each encoding and
 length band: short runs give weak tests and many hypotheses, and would otherwise
-lift or sink the bar for long ones.  What isn't rejected is reported as
-``random``.  Candidates that overlap a base span are part of it and are left out.
+lift or sink the bar for long ones.  A random token is lost with a chance of up to
+the level (its p-value is uniform at any length), so the level falls with the band
+(``FALL``): long runs that aren't random have far smaller p-values.  What isn't
+rejected is reported as ``random``.  Candidates that overlap a base span are part of it and are left out.
 
 Length-awareness also sets the chi-squared bins: single symbols if each is
 expected five times or more, else a few classes of symbols (upper, lower, rest).
@@ -37,9 +39,10 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 LEAST = 20
-Q = 0.05
-STEPS, TOP = 20, 240            # p-value grid: steps per decade, last step (1e-12)
+Q = 0.05                        # level of the shortest band
+STEPS, TOP = 20, 400            # p-value grid: steps per decade, last step (1e-20)
 BANDS = (32, 64, 128)           # length bands of the strata
+FALL = (1, 50, 5_000, 500_000)  # their levels are Q over this: 0.05, 1e-3, 1e-5, 1e-7
 MASK = "[SECRET]"
 _NONE = "array<struct<s:int,k:int,e:int>>"
 
@@ -191,16 +194,17 @@ def scan(df: DataFrame, text: Column) -> DataFrame:
     cand = F.transform("__run", lambda x: F.struct(
         x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), infer_encoding(x["m"]).alias("enc"),
         _band(F.length(x["m"])).alias("band"),
-        F.least(F.floor(-F.log10(F.greatest(p_random(x["m"], infer_encoding(x["m"])), F.lit(1e-15))) * STEPS),
+        F.least(F.floor(-F.log10(F.greatest(p_random(x["m"], infer_encoding(x["m"])), F.lit(1e-20))) * STEPS),
                 F.lit(TOP)).cast("int").alias("step")))
     return df.withColumn("__cand", F.when(F.size("__run") > 0, cand).otherwise(
         F.array().cast("array<struct<s:int,e:int,enc:string,band:int,step:int>>"))).drop("__run", "__runs")
 
 
 def rejection_steps(scanned: DataFrame, q: float = Q) -> dict[tuple[str, int], int]:
-    """Benjamini-Hochberg per encoding and length band: the least grid step that rejects randomness.
+    """Benjamini-Hochberg per encoding and length band, at level ``q`` over the band's ``FALL``: the least
+    grid step that rejects randomness.
 
-    The table that reaches the driver has at most 5 encodings x 4 bands x 241 steps, at any input size.
+    The table that reaches the driver has at most 5 encodings x 4 bands x 401 steps, at any input size.
     """
     n = (scanned.select(F.explode("__cand").alias("c")).groupBy("c.enc", "c.band", "c.step")
          .agg(F.count("*").alias("n")).collect())
@@ -210,7 +214,7 @@ def rejection_steps(scanned: DataFrame, q: float = Q) -> dict[tuple[str, int], i
         m, k = sum(own.values()), 0
         for step in sorted(own, reverse=True):
             k += own[step]
-            if 10 ** (-step / STEPS) <= q * k / m:
+            if 10 ** (-step / STEPS) <= q / FALL[key[1]] * k / m:
                 out[key] = step
     return out
 
