@@ -8,10 +8,11 @@ lower half of the alphabet) and a lag-1 serial correlation test would each give
 a uniform p-value; Fisher's method combines them.  Benjamini-Hochberg at level
 ``Q`` decides which candidates are *not* random, separately for each encoding and
 length band: short runs give weak tests and many hypotheses, and would otherwise
-lift or sink the bar for long ones.  A random token is lost with a chance of up to
-the level (its p-value is uniform at any length), so the level falls with the band
-(``FALL``): long runs that aren't random have far smaller p-values.  What isn't
-rejected is reported as ``random``.  Candidates that overlap a base span are part of it and are left out.
+lift or sink the bar for long ones.  Among words, a random token is lost with a chance
+of about the level (its p-value is about uniform at any length), so the level falls
+with the band (``FALL``): long runs that aren't random have far smaller p-values.  What
+isn't rejected is reported as ``random``.  A run that overlaps base spans is cut at
+them, and every remaining piece of 20 or more characters is a candidate.
 
 Length-awareness also sets the chi-squared bins: single symbols if each is
 expected five times or more, else a few classes of symbols (upper, lower, rest).
@@ -177,6 +178,24 @@ def _band(n: Column) -> Column:
     return out
 
 
+def _outside(x: Column) -> Column:
+    """The pieces (s, m) of a run that lie outside all base spans, which are sorted."""
+    end = x["s"] + F.length(x["m"])
+    start = F.struct(x["s"].alias("at"), F.array().cast("array<struct<s:int,m:string>>").alias("out"))
+
+    def piece(at: Column, e: Column) -> Column:
+        return F.struct(at.alias("s"), F.substring(x["m"], at - x["s"] + 1, e - at).alias("m"))
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["e"]).alias("at"),
+                        F.when(b["s"] > acc["at"], F.concat(acc["out"], F.array(piece(acc["at"], b["s"])))).otherwise(acc["out"]).alias("out"))
+
+    def rest(acc: Column) -> Column:
+        return F.when(acc["at"] < end, F.concat(acc["out"], F.array(piece(acc["at"], end)))).otherwise(acc["out"])
+    hit = F.filter("__base", lambda b: (b["s"] < end) & (x["s"] < b["e"]))
+    return let(hit, lambda h: F.when(F.size(h) == 0, F.array(x)).otherwise(F.aggregate(h, start, step, rest)))
+
+
 def scan(df: DataFrame, text: Column) -> DataFrame:
     """Add ``__base`` (array of s, k, e) and ``__cand`` (s, e, enc, band, step) for a whole text; null is empty."""
     t = F.coalesce(text, F.lit(""))
@@ -187,8 +206,7 @@ def scan(df: DataFrame, text: Column) -> DataFrame:
                     _spans(_found(t, ACCESS, F.col("__runs") & t.contains("AKIA")), "access"),
                     _spans(_found(t, HEX, F.col("__runs")), "hex"))
     df = df.withColumn("__base", F.array_sort(base)).withColumn("__run", _found(t, RUN, F.col("__runs")))
-    free = F.filter("__run", lambda x: ~F.exists("__base", lambda b: (b["s"] < x["s"] + F.length(x["m"])) & (x["s"] < b["e"])))
-    bare = F.transform(free, lambda x: F.struct(x["s"].alias("s"), F.regexp_replace(x["m"], "=+$", "").alias("m")))
+    bare = F.transform(F.flatten(F.transform("__run", _outside)), lambda x: F.struct(x["s"].alias("s"), F.regexp_replace(x["m"], "=+$", "").alias("m")))
     bare = F.filter(bare, lambda x: (F.length(x["m"]) >= LEAST) & infer_encoding(x["m"]).isNotNull())
     df = df.withColumn("__run", F.when(F.size("__run") > 0, bare).otherwise(F.col("__run")))
     cand = F.transform("__run", lambda x: F.struct(
