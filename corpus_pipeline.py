@@ -41,12 +41,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sc = Scratch(ready(spark))
     found = sc.keep(near_dedup.near_duplicates(docs, **NEAR))
-    # ids in several rows are one document: one of its rows stays
+    # ids in several rows are one document: the row of the least text stays, also after a rerun
     ids = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).filter("doc_id is not null")
     gone = sc.keep(ids.filter("not kept or n > 1"))
     again = gone.filter("kept").select("doc_id")
+    bare = F.coalesce(F.trim("text"), F.lit("")) == ""          # a row without text stays only if all are
     return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns).unionByName(
-        docs.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        docs.join(again, "doc_id", "left_semi").groupBy("doc_id")
+        .agg(F.min(F.struct(bare.alias("__bare"), F.col("text").alias("__by"), *[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
+        .select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

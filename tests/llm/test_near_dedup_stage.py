@@ -52,3 +52,12 @@ def test_stage_against_brute_force(ready_spark, make_docs):
     rows = list(enumerate(texts))
     assert brute(rows) != brute(rows, 3, 85)
     assert left(ready_spark, make_docs(rows)) == brute(rows)
+
+
+def test_the_row_that_stays_of_a_repeated_id_does_not_depend_on_their_order(ready_spark, make_docs):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "cabd"]
+    for rows in ([None, *texts, ""], [*texts[::-1], None]):
+        docs = make_docs([(7, t) for t in rows] + [(8, "one two three")]).coalesce(1)
+        out = P.near_dedup_stage(ready_spark, docs, "")
+        assert out.columns == docs.columns
+        assert sorted((r["doc_id"], r["text"][:2]) for r in out.collect()) == [(7, "a0"), (8, "on")]
