@@ -123,8 +123,9 @@ def mix(docs: DataFrame, levels: dict[str, Column], tokens: Column | None = None
     (from 0; a document drawn in two epochs has two rows) and ``n_tokens``.
 
     ``levels`` names the tree from the top.  Null levels are values of their
-    own; null or empty texts have no tokens, cost nothing and come with the first
-    epoch.  Rows that repeat a doc_id (or have none) in one leaf are taken or left together.
+    own; null or empty texts have no tokens, cost nothing and are
+    drawn like the others: with every whole epoch, and with the last one if their order key is within
+    the cut (in a leaf granted less than one epoch, those beyond the cut are left out).  Rows that repeat a doc_id (or have none) in one leaf are taken or left together.
     An empty table gives an empty table.  Extra columns pass
     through; an ``epoch`` or ``n_tokens`` of the input is replaced.
     """
