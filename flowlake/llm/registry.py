@@ -9,6 +9,7 @@ from flowlake.llm import (  # noqa: F401
     near_dedup,
     quality,
     secret_scan,
+    spelling,
     token_counts,
     warc,
 )
