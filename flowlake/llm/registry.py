@@ -2,6 +2,7 @@
 
 from flowlake.llm import (  # noqa: F401
     ann,
+    bpe,
     chat_format,
     decontaminate,
     license_scan,
