@@ -9,6 +9,7 @@ from flowlake.llm import (  # noqa: F401
     mixing,
     near_dedup,
     quality,
+    ranked_search,
     secret_scan,
     spelling,
     token_counts,
