@@ -2,92 +2,49 @@
 pipeline (M19).
 
 ``fit_per_group`` trains one isolation forest per group (e.g. per capture
-file) in a single job: the sampling key is (group, tree, row), each
-(group, tree) sample is built by ``applyInPandas``.  The trees stay a table of
-one row per node; rows are scored where they meet their group's nodes in a
-cogroup, so the number of groups has no limit.  A group above ``rows_per_task``
-rows is dealt to several tasks, each with a copy of its trees (bounded by
-trees x (2 psi - 1) nodes).
+file) in a single job; ``detect.grouped`` trains every detector so.  Rows are
+scored where they meet their group's trees, so the number of groups has no limit, and
+a group above ``rows_per_task`` rows is dealt to several tasks.
 """
 
 from __future__ import annotations
 
-import math
-import zlib
-
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlake.operators.detect.iforest import NODE_SCHEMA, _grow, avg_path
+from flowlake.operators.detect.detector import IForestConfig
+from flowlake.operators.detect.grouped import grown_forests, walk
 from flowlake.operators.quantiles import exact_quantiles
 
 
 def fit_per_group(X: DataFrame, group: str, id_col: str, n_trees: int = 100, max_samples: int = 256,
                   contamination: float = 0.1, seed: int = 42, features: str = "features",
-                  rows_per_task: int = 500_000) -> DataFrame:
-    """Per-group isolation forests; returns (group, id, score, prediction)."""
-    sizes = X.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    tagged = X.join(sizes, group)
-    psi = F.least(F.col("__n"), F.lit(max_samples))
-    thr = F.least(F.lit(1.0), F.lit(4.0) * psi / F.col("__n"))
-
-    def u(t):
-        h = F.xxhash64(F.lit(seed), F.col(group), t, F.col(id_col))
-        return h.bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).cast("double") / F.lit(float(2 ** 63))
-
-    cand = tagged.select(group, id_col, features, psi.alias("__psi"), F.explode(
-        F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: u(t) < thr)).alias("tree"))
-    cand = cand.withColumn("__u", u(F.col("tree")))
-    w = Window.partitionBy(group, "tree").orderBy("__u", id_col)
-    sample = cand.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= F.col("__psi"))
-
-    gtype = X.schema[group].dataType
-    schema = T.StructType([T.StructField(group, gtype)] + NODE_SCHEMA.fields + [T.StructField("psi", T.LongType())])
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, tree = pdf[group].iloc[0], int(pdf["tree"].iloc[0])
-        Xn = np.stack(pdf[features].to_numpy()).astype("float64")
-        psi_g = len(Xn)
-        rng = np.random.default_rng([seed, zlib.crc32(str(g).encode()), tree])  # stable across processes
-        nodes = _grow(Xn, rng, int(math.ceil(math.log2(max(psi_g, 2)))))
-        arr = np.array(nodes, dtype=object)
-        return pd.DataFrame({group: g, "tree": tree, "node": np.arange(len(nodes), dtype="int32"),
-                             "feature": arr[:, 0].astype("int32"), "split": arr[:, 1].astype("float64"),
-                             "left": arr[:, 2].astype("int32"), "right": arr[:, 3].astype("int32"),
-                             "size": arr[:, 4].astype("int64"), "depth": arr[:, 5].astype("int32"),
-                             "psi": psi_g})
-    nodes = sample.groupBy(group, "tree").applyInPandas(build, schema)
+                  rows_per_task: int = 20_000) -> DataFrame:
+    """M20, the forest alone, on features that are prepared already; returns (group, id, score, prediction).
+    ``grouped.fit_detectors_per_group`` prepares each group and has all detectors."""
+    row = X.select(features).first()
+    if row is None:
+        raise ValueError("empty input")
+    cols = [f"x{i}" for i in range(len(row[0]))]
+    cfg = IForestConfig(n_trees, max_samples, contamination, seed)
+    sizes = X.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).withColumn("__g", F.monotonically_increasing_id()).checkpoint()
     parts = F.ceil(F.col("__n") / rows_per_task).cast("int")
-    nodes = nodes.join(sizes, group).withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__n")
-    rows = tagged.select(group, id_col, features, F.pmod(F.xxhash64(id_col), parts).cast("int").alias("__part"))
+    rows = X.select(group, id_col, *[F.col(features)[i].cast("double").alias(c) for i, c in enumerate(cols)]).join(sizes, group) \
+        .withColumn("__part", F.pmod(F.xxhash64(id_col), parts).cast("int")).checkpoint()
+    models = sizes.select("__g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("__part")).join(grown_forests(rows, cols, id_col, cfg), "__g")
 
-    def score(pdf: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+    def score(pdf: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame({group: [], id_col: [], "score": []})
-        cpsi, steps = float(avg_path([int(trees["psi"].iloc[0])])[0]), int(trees["depth"].max()) + 1
-        Xg = np.stack(pdf[features].to_numpy()).astype("float64")
-        m, at, tot, k = len(pdf), np.arange(len(pdf)), np.zeros(len(pdf)), 0
-        for _, t in trees.sort_values(["tree", "node"]).groupby("tree"):
-            fe, sp, le, ri = (t[c].to_numpy() for c in ("feature", "split", "left", "right"))
-            lh, k, node = t["depth"].to_numpy() + avg_path(t["size"].to_numpy()), k + 1, np.zeros(m, dtype="int64")
-            for _ in range(steps):
-                f = fe[node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                go = Xg[at, np.where(inner, f, 0)] < sp[node]
-                node = np.where(inner, np.where(go, le[node], ri[node]), node)
-            tot += lh[node]
-        out = np.power(2.0, -(tot / k) / cpsi) if cpsi > 0 else np.full(m, 0.5)
-        return pd.DataFrame({group: pdf[group], id_col: pdf[id_col], "score": out})
-    sch = T.StructType([T.StructField(group, gtype), X.schema[id_col], T.StructField("score", T.DoubleType())])
-    scored = rows.groupBy(group, "__part").cogroup(nodes.groupBy(group, "__part")).applyInPandas(score, sch)
-    thr_g = exact_quantiles(scored.withColumn("ns", -F.col("score")), "ns", [contamination], by=[group], names=["thr"])
-    return (scored.join(thr_g, group)
-                  .withColumn("prediction", F.when(-F.col("score") < F.col("thr"), -1).otherwise(1)).drop("thr"))
+            return pd.DataFrame({"__g": [], id_col: [], "score": []})
+        return pd.DataFrame({"__g": pdf["__g"], id_col: pdf[id_col], "score": walk(pdf[cols].to_numpy(dtype="float64"), model["forest"].iloc[0])})
+    models = models.withColumnsRenamed({"__g": "__mg", "__part": "__mpart"})
+    scored = rows.groupBy("__g", "__part").cogroup(models.groupBy("__mg", "__mpart")).applyInPandas(
+        score, f"__g long, `{id_col}` {X.schema[id_col].dataType.simpleString()}, score double").checkpoint()
+    thr = exact_quantiles(scored.withColumn("ns", -F.col("score")), "ns", [contamination], by=["__g"], names=["thr"])
+    return (scored.join(thr, "__g").join(sizes.select("__g", group), "__g")
+                  .select(group, id_col, "score", F.when(-F.col("score") < F.col("thr"), -1).otherwise(1).alias("prediction")))
 
 
 def run_summary(predictions: DataFrame, group: str = "source_file", failures: DataFrame | None = None) -> DataFrame:

@@ -4,9 +4,8 @@
 2. Fine cells of side eps / sqrt(d) over all d columns: points of one cell are
    within eps of each other.  A cell of weight >= min_samples ("dense") holds
    core points only, so nothing is counted there.
-3. Neighbouring cells are found between cells, not points: an equi-join on a
-   coarse grid over the (up to) three widest columns, then the
-   distance of the cells' bounding boxes over all columns.
+3. Neighbouring cells are found between cells, not points, by the distance of their bounding
+   boxes over all columns: blocks of a tree of median cuts, compared in NumPy (``boxjoin``).
 4. Points of the other, sparse cells (fewer than min_samples a cell) count their
    neighbours: a cell wholly within eps adds its weight, a crossing cell compares points.
 5. Two dense cells are joined if any of their points are within eps.  A witness is
@@ -30,6 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlake.operators.detect.boxjoin import near_boxes
 from flowlake.session import ensure_checkpoint_dir
 
 
@@ -116,7 +116,10 @@ def fit_dbscan(X: DataFrame, id_col: str, eps: float = 0.5, min_samples: int = 5
     """Exact DBSCAN for any number of columns."""
     spark = X.sparkSession
     ensure_checkpoint_dir(spark)
-    d = len(X.select(features).first()[0])
+    row = X.select(features).first()
+    if row is None:
+        raise ValueError("empty input")
+    d = len(row[0])
     x = lambda j: F.col(features)[j]
     rng = X.agg(*[(F.max(x(j)) - F.min(x(j))).alias(f"r{j}") for j in range(d)]).first()
     dims = sorted(range(d), key=lambda j: (-(rng[f"r{j}"] or 0.0), j))[:min(max_dims, d)]
@@ -129,23 +132,17 @@ def fit_dbscan(X: DataFrame, id_col: str, eps: float = 0.5, min_samples: int = 5
         F.array(*[F.min(x(j)) for j in range(d)]).alias("lo"), F.array(*[F.max(x(j)) for j in range(d)]).alias("hi")).checkpoint()
     P = pts.join(cells.select("fc", "cid", "weight"), "fc").select("pid", features, "w", "cid", (F.col("weight") >= min_samples).alias("dense")).checkpoint()
 
-    # cells with boxes within eps: their lower corners differ by eps and a side at most in each column
-    coarse = F.lit(eps + eps / math.sqrt(d))
-    cells = cells.withColumn("cell", F.array(*[F.floor(F.col("lo")[j] / coarse).cast("long") for j in dims]))
-    near_keys = _neighbour_keys(cells, len(dims)).select(F.col("cid").alias("c"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"),
-                                                         F.col("weight").alias("cW"), "ncell")
-    other = cells.select(F.col("cid").alias("n"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.col("weight").alias("nW"),
-                         F.col("cell").alias("ncell"))
-    box = [F.col(c) for c in ("alo", "ahi", "blo", "bhi")]
-    cp = (near_keys.join(other, "ncell").where(_box_near(*box) <= e2)
-          .select("c", "n", "alo", "ahi", "blo", "bhi", "cW", "nW", (_box_far(*box) <= e2).alias("full")).checkpoint())
-
-    # sparse cells count
+    cp = near_boxes(cells.select(F.col("cid").cast("long").alias("cid"), "weight", "lo", "hi"), eps).checkpoint()
+
+    # sparse cells count; boxes come along only where points must be compared
     S = P.where(~F.col("dense")).select("pid", F.col(features).alias("f"), F.col("cid").alias("c"))
-    probe = S.join(cp.where(F.col("cW") < min_samples).select("c", "n", "blo", "bhi", "nW", "full"), "c")
+    mine = cp.where(F.col("cW") < min_samples)
+    whole = S.select("pid", "c").join(mine.where("full").select("c", "n", "nW"), "c").select("pid", "c", "n", "nW")
+    box = cells.select(F.col("cid").alias("n"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
+    probe = S.join(mine.where("not full").select("c", "n", "nW"), "c").join(box, "n")
     pf = [F.col("f"), F.col("f"), F.col("blo"), F.col("bhi")]
-    probe = probe.where(_box_near(*pf) <= e2).select("pid", "f", "c", "n", "nW", (F.col("full") | (_box_far(*pf) <= e2)).alias("full")).checkpoint()
-    full = probe.where("full").select("pid", "c", "n", "nW")
+    probe = probe.where(_box_near(*pf) <= e2).select("pid", "f", "c", "n", "nW", (_box_far(*pf) <= e2).alias("full")).checkpoint()
+    full = whole.unionByName(probe.where("full").select("pid", "c", "n", "nW"))
     others = P.select(F.col("pid").alias("qid"), F.col(features).alias("g"), F.col("cid").alias("n"), F.col("w").alias("qw"))
     pairs = probe.where("not full").select("pid", "f", "c", "n").join(others, "n").where(_dist2("f", "g") <= e2) \
         .select("pid", "c", "qid", "n", "qw").checkpoint()
@@ -158,7 +155,7 @@ def fit_dbscan(X: DataFrame, id_col: str, eps: float = 0.5, min_samples: int = 5
     joined = full.select("pid", "c", "n").unionByName(
         pairs.join(core.withColumnRenamed("pid", "qid"), "qid", "left_semi").select("pid", "c", "n"))
     edges = joined.join(core, "pid", "left_semi").select("c", "n").unionByName(
-        _dense_edges(P, cp.where(F.col("c") < F.col("n")), features, eps, d, min_samples)).where("c <> n").distinct()
+        _dense_edges(P, cp.where(F.col("c") < F.col("n")), cells, features, eps, d, min_samples)).where("c <> n").distinct()
     comp = connected_components(node.select("node"), edges.join(na, "c").join(nb, "n").select("a", "b"))
     label = node.join(comp, "node").select("cid", "label")
     core_label = core_pts.join(label, "cid").select("pid", F.col("label").alias("clabel"))
@@ -170,12 +167,13 @@ def fit_dbscan(X: DataFrame, id_col: str, eps: float = 0.5, min_samples: int = 5
     return DbscanModel(eps, min_samples, dims, core_out, labels.checkpoint(), features)
 
 
-def _dense_edges(P: DataFrame, cp: DataFrame, features: str, eps: float, d: int, min_samples: int) -> DataFrame:
+def _dense_edges(P: DataFrame, cp: DataFrame, cells: DataFrame, features: str, eps: float, d: int, min_samples: int) -> DataFrame:
     """(c, n): pairs of dense cells with two points within eps."""
     e2 = F.lit(eps * eps)
     cp = cp.where((F.col("cW") >= min_samples) & (F.col("nW") >= min_samples))
     done = cp.where("full").select("c", "n")
-    open_ = cp.where("not full").select("c", "n", "alo", "ahi", "blo", "bhi")
+    box = lambda c, x: cells.select(F.col("cid").alias(c), F.col("lo").alias(f"{x}lo"), F.col("hi").alias(f"{x}hi"))
+    open_ = cp.where("not full").join(box("c", "a"), "c").join(box("n", "b"), "n").select("c", "n", "alo", "ahi", "blo", "bhi")
     D = P.where("dense")
     A, B = D.select(F.col("cid").alias("c"), F.col(features).alias("f")), D.select(F.col("cid").alias("n"), F.col(features).alias("g"))
     to_b = _box_near(F.col("f"), F.col("f"), F.col("blo"), F.col("bhi"))

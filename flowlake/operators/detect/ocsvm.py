@@ -54,7 +54,10 @@ class OcsvmModel:
 
 def fit_ocsvm(X: DataFrame, id_col: str, nu: float = 0.1, n_features: int = 128, steps: int = 30,
               seed: int = 42, tol: float = 2e-3, features: str = "features") -> OcsvmModel:
-    d = len(X.select(features).first()[0])
+    row = X.select(features).first()
+    if row is None:
+        raise ValueError("empty input")
+    d = len(row[0])
     cols = [f"f{i}" for i in range(d)]
     # one double column per feature: the columnar cache and Arrow move plain
     # columns far faster than an array column, and every step re-reads them

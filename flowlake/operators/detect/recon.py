@@ -73,7 +73,10 @@ class ReconModel:
 
 def fit_recon(df: DataFrame, features: str = "features", code_size: int = 32, percentile: float = 95.0,
               keep: tuple = ()) -> ReconModel:
-    d = len(df.select(features).first()[0])
+    row = df.select(features).first()
+    if row is None:
+        raise ValueError("empty input")
+    d = len(row[0])
     k = max(1, min(code_size, math.ceil(d / 2), d))
     vec = df.select(array_to_vector(F.col(features)).alias("__v"))
     pca = PCA(k=k, inputCol="__v", outputCol="__p").fit(vec)

@@ -160,40 +160,26 @@ def sequences(df: DataFrame, key: str, order_cols: Sequence[str], value: str, k:
     a key with fewer than k rows gives none.  One row per window, at its
     last row.
 
-    A key with more than ``hot_rows`` rows is cut into time slices (range
-    buckets of the first order column); each slice borrows the k - 1 rows
-    that precede it in its key (a halo taken from the per-slice tails, at
-    most slices x (k - 1) rows per key), so no task holds a hot key."""
-    order_cols = list(order_cols)
-    hot = (df.groupBy(key).agg(F.count(F.lit(1)).alias("__cnt"))
-             .where(F.col("__cnt") > hot_rows).select(key, F.lit(True).alias("__hot")))
-    tagged = df.join(hot, key, "left")
-    hot_rows_df = tagged.where(F.col("__hot"))
-    if hot_rows_df.limit(1).count() == 0:
-        w = Window.partitionBy(key).orderBy(*order_cols)
-        return (df.withColumn(out, F.collect_list(value).over(w.rowsBetween(-(k - 1), 0)))
-                  .where(F.size(out) == k))
+    Every key is cut into time slices: ranges of the first order column, one for
+    each ``hot_rows`` rows of the table (or ``buckets`` of them).  A slice
+    borrows the k - 1 rows of its key that precede it: the last k - 1 rows of
+    every slice form a small table, in which a running window gives each slice's end its
+    halo, so no task holds a hot key.  Equal values share a slice."""
     from flowlake.operators.quantiles import bucket_of
-    okey = _numeric_key(df, order_cols[0])
-    fr = [i / buckets for i in range(1, buckets)]
-    bnd = hot_rows_df.select(okey.alias("__k")).agg(
-        F.percentile_approx("__k", F.array(*[F.lit(x) for x in fr]), 10 * buckets)).first()[0]
-    expr, _ = bucket_of(okey, bnd)
-    sliced = tagged.withColumn("__slice", F.when(F.col("__hot"), expr).otherwise(F.lit(0))).drop("__hot")
-    # tails: last k - 1 rows of every hot slice
-    wt = Window.partitionBy(key, "__slice").orderBy(*[F.desc(c) for c in order_cols])
-    tails = (sliced.join(hot.select(key), key, "left_semi")
-                   .withColumn("__r", F.row_number().over(wt)).where(F.col("__r") < k).drop("__r"))
-    slices = sliced.select(key, "__slice").distinct().join(hot.select(key), key, "left_semi")
-    # halo of slice s: the last k - 1 tail rows of earlier slices of the key
-    cand = (slices.withColumnRenamed("__slice", "__to")
-                  .join(tails, key).where(F.col("__slice") < F.col("__to")))
-    wh = Window.partitionBy(key, "__to").orderBy(*[F.desc(c) for c in order_cols])
-    halo = (cand.withColumn("__r", F.row_number().over(wh)).where(F.col("__r") < k)
-                .drop("__r", "__slice").withColumnRenamed("__to", "__slice")
-                .withColumn("__halo", F.lit(True)))
-    body = sliced.withColumn("__halo", F.lit(False))
-    both = body.unionByName(halo)
-    w = Window.partitionBy(key, "__slice").orderBy(*order_cols)
-    res = both.withColumn(out, F.collect_list(value).over(w.rowsBetween(-(k - 1), 0)))
+    order_cols = list(order_cols)
+    n = buckets or max(1, math.ceil(df.count() / hot_rows))
+    bnd = _bounds(df.select(_numeric_key(df, order_cols[0]).alias("__k")), n)[0] if n > 1 else []
+    number = F.coalesce(bucket_of(_numeric_key(df, order_cols[0]), bnd)[0], F.lit(0)) if bnd else F.lit(0)
+    body = df.withColumn("__slice", number).withColumn("__halo", F.lit(False))
+    # the last k - 1 rows of every slice, and at the end of each the last k - 1 rows of the key so far
+    last = Window.partitionBy(key, "__slice").orderBy(*[F.desc(c) for c in order_cols])
+    tails = body.withColumn("__r", F.row_number().over(last)).where(F.col("__r") < k)
+    so_far = Window.partitionBy(key).orderBy("__slice", F.desc("__r")).rowsBetween(-max(k - 2, 0), 0)
+    ends = tails.withColumn("__rows", F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])).over(so_far)).where(F.col("__r") == 1)
+    ends = ends.select(key, F.lead("__slice").over(Window.partitionBy(key).orderBy("__slice")).alias("__slice"), "__rows").where(F.col("__slice").isNotNull())
+    halo = ends.select("__slice", F.explode("__rows").alias("__row")).select(
+        *[F.col("__row").getField(c).alias(c) for c in df.columns], "__slice", F.lit(True).alias("__halo"))
+    # the halo comes first also where order columns are equal
+    w = Window.partitionBy(key, "__slice").orderBy(F.desc("__halo"), *order_cols).rowsBetween(-(k - 1), 0)
+    res = body.unionByName(halo).withColumn(out, F.collect_list(value).over(w))
     return res.where(~F.col("__halo") & (F.size(out) == k)).drop("__halo", "__slice")

@@ -168,6 +168,17 @@ def per_group_forest(spark, sf):
     return run_summary(pred, group="event_type")
 
 
+@plan("per_group_detectors")
+def per_group_detectors(spark, sf):
+    """M20 + A38: forest, SVM, DBSCAN and reconstruction for each event type (the group stands in for a
+    capture file), each on its own scaling; anomalies of every model and of the vote per group."""
+    from flowlake.operators.detect.grouped import fit_detectors_per_group
+    p = packets(spark, sf, with_flow=False, spread_scan=True).select("packet_id", "event_type", *PACKET_FEATURES)
+    votes = fit_detectors_per_group(p, "event_type", "packet_id", PACKET_FEATURES)
+    names = ["isolation_forest", "one_class_svm", "dbscan", "autoencoder", "ensemble"]
+    return votes.groupBy("event_type").agg(F.count(F.lit(1)).alias("packets"), *[F.count_if(F.col(m) == -1).alias(m) for m in names])
+
+
 # ---- DBSCAN on every embedding column ---------------------------------------
 
 ALL_EPS, ALL_MIN = 1.18, 4
