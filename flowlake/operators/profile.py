@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,28 +85,42 @@ def variance_rank(df: DataFrame, k: int = 5) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of every ordered pair, pairwise complete.
+    """Pearson correlation of every ordered pair, pairwise complete, for any number of columns.
 
-    cov / (sd_a * sd_b) over the rows where both are present, with a safe
-    divide: a constant column gives NULL (ANSI ``corr`` would throw)."""
+    Each task adds up, for all pairs at once, the counts, sums, squares and cross products of the rows where both
+    columns are present (matrix products over Arrow batches of values less the column's mean); the partial sums are one
+    grouped aggregate by pair.  A column that is constant on a pair's rows gives NULL."""
     cols = list(cols) if cols else numeric_columns(df)
-    aggs = []
-    pairs = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            both = _q(a).isNotNull() & _q(b).isNotNull()
-            xa = F.when(both, _q(a).cast("double"))
-            xb = F.when(both, _q(b).cast("double"))
-            name = f"c{len(pairs)}"
-            aggs.append(F.try_divide(F.covar_samp(xa, xb), F.stddev_samp(xa) * F.stddev_samp(xb)).alias(name))
-            pairs.append((a, b, name))
-    one = df.agg(*aggs)
-    structs = []
-    for a, b, name in pairs:
-        structs.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(name).alias("corr")))
-        if a != b:
-            structs.append(F.struct(F.lit(b).alias("column_a"), F.lit(a).alias("column_b"), F.col(name).alias("corr")))
-    return one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    d = len(cols)
+    x = df.select(*[_q(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    mean = x.agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in x.columns]).first()
+    shift = np.array([m if m is not None else 0.0 for m in mean])
+
+    def sums(batches):
+        acc = np.zeros((4, d, d))
+        for batch in batches:
+            A = np.column_stack([c.to_numpy(zero_copy_only=False).astype("float64") for c in batch.columns]) - shift
+            for i in range(0, len(A), 4096):
+                part = A[i:i + 4096]
+                there = ~np.isnan(part)
+                V, M = np.where(there, part, 0.0), there.astype("float64")
+                acc += [M.T @ M, V.T @ M, (V * V).T @ M, V.T @ V]
+        i, j = np.triu_indices(d)
+        n, s, q, c = acc
+        cols_ = [i, j, n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], c[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols_], ["i", "j", "n", "si", "sj", "qi", "qj", "c"])
+    part = x.mapInArrow(sums, "i long, j long, n double, si double, sj double, qi double, qj double, c double")
+    tot = part.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "si", "sj", "qi", "qj", "c")])
+
+    def spread(q: str, s: str):         # what rounding leaves of a constant column counts as 0
+        v = F.col(q) - F.col(s) * F.col(s) / F.col("n")
+        return F.when((F.col("n") > 1) & (v > F.col(q) * 1e-12), v)
+    corr = (F.col("c") - F.col("si") * F.col("sj") / F.col("n")) / F.sqrt(spread("qi", "si") * spread("qj", "sj"))
+    tot = tot.select("i", "j", F.when(F.col("n") > 1, F.when(F.col("i") == F.col("j"), F.when(spread("qi", "si").isNotNull(), 1.0)).otherwise(corr)).alias("corr"))
+    names = F.array(*[F.lit(c) for c in cols])
+    ways = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return tot.select(F.explode(ways).alias("p"), "corr").select(
+        F.get(names, F.col("p.i").cast("int")).alias("column_a"), F.get(names, F.col("p.j").cast("int")).alias("column_b"), "corr")
 
 
 def top_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 10, max_cols: int = 5) -> DataFrame:

@@ -67,6 +67,37 @@ def stream_alerts(spark, sf):
     return monitor.read_alerts(spark, alerts).select("batch_id", "alert_type", "severity", "details", "n", ids.alias("example_ids"))
 
 
+def _replayed(spark, sf, **kw):
+    p = packets_from_events(table(spark, sf, "events"))
+    landed, alerts, ck = (monitor.scratch_path(spark, f"replay-{n}") for n in ("rows", "alerts", "ck"))
+    monitor.land_batches(p, landed)
+    m, t = _lists(spark)
+    schema = p.schema.add("replay_batch", "long")
+    monitor.replay(spark, landed, schema, alerts, ck, malicious=m, tor=t, **kw)
+    ids = F.array_join(F.transform("examples", lambda x: x["packet_id"].cast("string")), ",")
+    return monitor.read_replay_alerts(spark, alerts).select("batch_id", "alert_type", "severity", "details", "n", ids.alias("example_ids"))
+
+
+@plan("replay_threats", with_packets(f""",{_THREAT_SQL},
+numbered AS (SELECT packet_id, CAST(floor((row_number() OVER (ORDER BY ts, packet_id) - 1) / 1000) AS BIGINT) AS batch_id FROM packets),
+high AS (SELECT numbered.batch_id, raw.packet_id, row_number() OVER (PARTITION BY numbered.batch_id ORDER BY raw.packet_id) AS k
+         FROM raw JOIN numbered USING (packet_id) WHERE r > 60)
+SELECT batch_id, 'threat' AS alert_type, 'high' AS severity, 'Detected ' || CAST(count(*) AS VARCHAR) || ' high severity threats' AS details,
+       count(*) AS n, string_agg(CAST(packet_id AS VARCHAR), ',' ORDER BY packet_id) FILTER (WHERE k <= 5) AS example_ids
+FROM high GROUP BY batch_id""", flows=False).replace("\n,", ",", 1))
+def replay_threats(spark, sf):
+    """ST7: the events replayed in 1,000-row batches, threat alerts of every batch."""
+    return _replayed(spark, sf)
+
+
+@plan("replay_alerts")
+def replay_alerts(spark, sf):
+    """ST5 + ST7: the same replay with a forest trained on the landed rows first: anomaly and threat alerts."""
+    from flowlake.operators.detect.detector import DetectorConfig
+    from flowlake.plans.models import PACKET_FEATURES
+    return _replayed(spark, sf, features=PACKET_FEATURES, config=DetectorConfig(models=("isolation_forest",)))
+
+
 @plan("stream_sessions", with_packets("""
 SELECT flow_id, count(*) AS sessions, CAST(sum(packets) AS BIGINT) AS packets FROM (
   SELECT flow_id, sid, count(*) AS packets FROM (

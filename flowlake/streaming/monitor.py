@@ -10,7 +10,8 @@
   scores the batch with a fitted detector and the threat rules, and appends
   alert rows to a folder per ``batch_id``; a retried batch replaces its own
   folder, also when it has no alert any more, so alerts are written once;
-* replay (ST7): the same query with ``trigger(availableNow=True)``.
+* replay (ST7): landed files of numbered 1,000-row batches with ``trigger(availableNow=True)``, a
+  detector trained on them first; the clock of live analysis (ST2) is ``run_every``.
 
 The reference watches processing time only; here every window is in event
 time and rows later than the watermark (default 10 minutes) are dropped.
@@ -22,7 +23,7 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlake.operators import counters as counter_ops
@@ -205,6 +206,91 @@ def run_available_now(df: DataFrame, sink: Callable[[DataFrame, int], None], che
     q.awaitTermination()
 
 
+def run_every(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str = "5 seconds",
+              until: Callable[[dict], bool] | None = None) -> list[dict]:
+    """ST2: analyse what has arrived on a clock.  ``until`` looks at the progress of each finished batch; the query
+    stops cleanly once it says so (never, if it is missing).  Returns the progress of the finished batches."""
+    q = df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    seen: dict[int, dict] = {}
+    try:
+        while q.isActive:
+            for p in q.recentProgress:
+                if p["numInputRows"]:
+                    seen[p["batchId"]] = dict(p)
+            if until is not None and any(until(p) for p in seen.values()):
+                break
+            q.awaitTermination(0.2)
+    finally:
+        q.stop()
+    return [seen[k] for k in sorted(seen)]
+
+
+# ---- replay (ST5, ST7) ---------------------------------------------------------
+
+
+def land_batches(packets: DataFrame, path: str, order_cols=("ts", "packet_id"), size: int = 1000, batches_per_file: int = 100) -> None:
+    """Write packets as the landed files of a replay: ``replay_batch`` numbers ``size`` rows each in order,
+    and a file holds whole batches, so a stream over the files never cuts one."""
+    from flowlake.operators.order import batch_numbers
+    rows = batch_numbers(packets, list(order_cols), size, out="replay_batch")
+    chunk = F.floor(F.col("replay_batch") / batches_per_file)
+    rows.withColumn("__chunk", chunk).repartition("__chunk").sortWithinPartitions("replay_batch").write.partitionBy("__chunk").parquet(path)
+
+
+def alerts_by_batch(rows: DataFrame, detector=None, malicious: DataFrame | None = None, tor: DataFrame | None = None,
+                    id_col: str = "packet_id", batch: str = "replay_batch", examples: int = 5) -> DataFrame:
+    """ST5 / ST6 for many batches at once: the alerts that ``batch_alerts`` gives for each, ``batch_id`` being the
+    replay's batch number.  Batches hold a bounded number of rows, so their examples are ranked in one window."""
+    def per_batch(found: DataFrame, kind: str, text: str, score) -> DataFrame:
+        w = Window.partitionBy(batch).orderBy("packet_id", "src_ip", "dst_ip")
+        r = found.select(batch, F.col(id_col).alias("packet_id"), "src_ip", "dst_ip", score.alias("score")).withColumn("__r", F.row_number().over(w))
+        ex = F.array_sort(F.collect_list(F.when(F.col("__r") <= examples, F.struct("packet_id", "src_ip", "dst_ip", "score"))))
+        return r.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), ex.alias("examples")).select(
+            F.col(batch).cast("long").alias("batch_id"), F.lit(kind).alias("alert_type"), F.lit("high").alias("severity"),
+            F.format_string(text, F.col("n")).alias("details"), "n", "examples")
+    parts = []
+    if detector is not None and "isolation_forest" in detector.models:
+        pred = detector.models["isolation_forest"].predict(detector.features(rows), keep=(id_col,))
+        found = rows.join(pred.where(F.col("isolation_forest") == -1).select(id_col, "iforest_score"), id_col)
+        parts.append(per_batch(found, "anomaly", "Detected %d anomalous packets", F.col("iforest_score")))
+    if malicious is not None and tor is not None:
+        high = threat.threat_scores(rows, malicious, tor).where(F.col("threat_level") == "high")
+        parts.append(per_batch(high, "threat", "Detected %d high severity threats", F.col("threat_score").cast("double")))
+    if not parts:
+        return rows.sparkSession.createDataFrame([], ALERT_SCHEMA)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def replay(spark: SparkSession, landed: str, schema, alerts_path: str, checkpoint: str, detector=None, config=None,
+           malicious: DataFrame | None = None, tor: DataFrame | None = None, features=None, id_col: str = "packet_id",
+           files_per_trigger: int = 8):
+    """ST7: replay landed packets in order of their batches and write the alerts of every batch.
+
+    Without a ``detector`` one is trained on all landed rows first (on ``features`` columns, with ``config``).  A micro-batch
+    takes ``files_per_trigger`` files of whole batches; its alerts replace their own folder when it is retried, and a run
+    that was stopped goes on where its checkpoint stands.  Returns the detector, for the next run."""
+    from flowlake.operators.detect.detector import AnomalyDetector
+    if detector is None and features is not None:
+        rows = spark.read.schema(schema).parquet(landed)
+        detector = AnomalyDetector(config).fit(rows.select(id_col, *features), id_col)
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(landed)
+
+    def sink(batch: DataFrame, n: int) -> None:
+        found = alerts_by_batch(batch, detector, malicious, tor, id_col)
+        found.withColumnRenamed("batch_id", "replay_batch").write.mode("overwrite").parquet(f"{alerts_path}/run={n}")
+    run_available_now(files, sink, checkpoint)
+    return detector
+
+
+def read_replay_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """The alerts of a replay: one row for each batch and kind."""
+    schema = ALERT_SCHEMA.replace("batch_id", "replay_batch", 1)
+    return spark.read.schema(schema).parquet(path).withColumnRenamed("replay_batch", "batch_id").drop("run")
+
+
 def complete_to_table(agg: DataFrame, out_path: str, checkpoint: str) -> None:
     """Run an aggregation in complete mode, each batch overwriting a table."""
     def write(batch: DataFrame, _bid: int) -> None:
