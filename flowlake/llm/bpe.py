@@ -21,9 +21,10 @@ import functools
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterable
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -36,7 +37,10 @@ from flowlake.llm.token_counts import byte_letters
 TOKENIZER = "byte_bpe_50k.json"
 CHUNK = 1 << 16                 # code points fed at a time
 HOLD = 1 << 10                  # code points after which an unfinished word is streamed
-TABLE = 200_000                 # words remembered
+TABLE = 150_000                 # words in each of two tables of known ones
+LONG = 64                       # units from which merges go through a heap
+SHIFT, NONE = 20, 1 << 62       # ids below 2 ** SHIFT
+MASK = (1 << SHIFT) - 1
 
 
 def lookahead(left: list[bytes], right: list[bytes]) -> int:
@@ -66,52 +70,73 @@ class Vocabulary:
         self.bytes = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left, right = [raw(a) for a, _ in pairs], [raw(b) for _, b in pairs]
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        #: (left id, right id) as one number to (rank, merged id) as one number
+        self.rank: dict[int, int] = {}
         made = {bytes([b]) for b in range(256)}
         for k, (a, b) in enumerate(zip(left, right, strict=True)):
             if a not in made or b not in made:
                 raise ValueError(f"merge {k} joins parts that no earlier merge makes")
             made.add(a + b)
-            self.rank.setdefault((self.ids[a], self.ids[b]), (k, self.ids[a + b]))
+            self.rank.setdefault(self.ids[a] << SHIFT | self.ids[b], k << SHIFT | self.ids[a + b])
         self.lookahead, self.longest = lookahead(left, right), max(map(len, made))
         self.unit = [self.ids[bytes([b])] for b in range(256)]
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word read to its end: the merge of least rank first, of equal ones the leftmost."""
-        ids = [self.unit[b] for b in word]
-        if len(ids) < 2:
-            return ids
-        rank, n = self.rank, len(ids)
+        ids, get = [self.unit[b] for b in word], self.rank.get
+        if len(ids) > LONG:
+            return self._merge_long(ids)
+        ranks = [get(a << SHIFT | b, NONE) for a, b in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) != NONE:
+            i = ranks.index(best)
+            ids[i] = to = best & MASK
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << SHIFT | to, NONE)
+            if i < len(ranks):
+                ranks[i] = get(to << SHIFT | ids[i + 1], NONE)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap, for n log n steps."""
+        get, n = self.rank.get, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*r, i) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1])))]
+        heap = [(r, i) for i in range(n - 1) if (r := get(ids[i] << SHIFT | ids[i + 1], NONE)) != NONE]
         heapq.heapify(heap)
         while heap:
-            k, to, i = heapq.heappop(heap)
+            r, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j >= n or rank.get((ids[i], ids[j])) != (k, to):
+            if ids[i] < 0 or j >= n or get(ids[i] << SHIFT | ids[j]) != r:
                 continue                            # one of the parts has gone into another merge
+            to = r & MASK
             ids[i], ids[j] = to, -1
             after[i] = j = after[j]
             if j < n:
                 before[j] = i
-                if r := rank.get((to, ids[j])):
-                    heapq.heappush(heap, (*r, i))
-            if (h := before[i]) >= 0 and (r := rank.get((ids[h], to))):
-                heapq.heappush(heap, (*r, h))
+                if (r := get(to << SHIFT | ids[j])) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := get(ids[h] << SHIFT | to)) is not None:
+                heapq.heappush(heap, (r, h))
         return [t for t in ids if t >= 0]
 
 
+def pack(ids: Iterable[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class Known(dict):
-    """Ids of the words met so far; starts anew when full."""
+    """Packed ids of the words met of late: a full table becomes the old one, whose words come back when they are met again."""
 
     def __init__(self, vocab: Vocabulary):
         super().__init__()
-        self.vocab = vocab
+        self.vocab, self.old = vocab, {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
+        out = self.old.get(word) or pack(self.vocab.merge(word.encode()))
         if len(self) >= TABLE:
+            self.old = dict(self)
             self.clear()
-        out = self[word] = tuple(self.vocab.merge(word.encode()))
+        self[word] = out
         return out
 
 
@@ -143,9 +168,14 @@ class WordStream:
 
 
 class Encoder:
-    """``feed`` chunks of a text, then ``finish``: the ids come out in order, in pieces."""
+    """``feed`` chunks of a text, then ``finish``: the ids come out in order, in pieces.
+
+    Inside, pieces are packed 32-bit numbers, so that a known word costs one lookup, however many tokens it has.
+    """
 
     WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    #: the same where all code points are ASCII
+    ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
     KINDS = {k: regex.compile(p) for k, p in {"letter": r"\p{L}*", "number": r"\p{N}*", "space": r"\s*", "other": r"[^\s\p{L}\p{N}]*"}.items()}
     BREAK = regex.compile(r"(?r)\S(?=\s)")          # the last place where a word must end
 
@@ -161,10 +191,10 @@ class Encoder:
         self.open: str | None = None                # kind of the word that is being streamed
         self.stream: WordStream | None = None
 
-    def _words(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.known.__getitem__, self.WORDS.findall(text))))
+    def _words(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, (self.ASCII if text.isascii() else self.WORDS).findall(text)))
 
-    def _go_on(self) -> list[int]:
+    def _go_on(self) -> bytes:
         """The open word as far as ``held`` reaches."""
         end = self.KINDS[self.open].match(self.held).end()
         over = end < len(self.held)
@@ -175,11 +205,11 @@ class Encoder:
         if over:
             out += self.stream.finish()
             self.open = self.stream = None
-        return out
+        return pack(out)
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> bytes:
         """More text without special strings."""
-        out: list[int] = []
+        out = b""
         self.held += text
         if self.open:
             out += self._go_on()
@@ -202,51 +232,58 @@ class Encoder:
                 out += self.known[w]
             else:
                 s = WordStream(self.vocab)
-                out += s.feed(w.encode()) + s.finish()
+                out += pack(s.feed(w.encode()) + s.finish())
         self.held = self.held[at:]
         if len(self.held) > HOLD:
             first = self.held[1] if self.held[0] == " " and not self.held[1].isspace() else self.held[0]
             self.open = next(k for k, p in self.KINDS.items() if p.match(first).end())
             self.stream = WordStream(self.vocab)
             if self.held[0] == " " and self.open != "space":
-                out += self.stream.feed(b" ")
+                out += pack(self.stream.feed(b" "))
                 self.held = self.held[1:]
             out += self._go_on()
         return out
 
-    def _end(self) -> list[int]:
+    def _end(self) -> bytes:
         """The text ends here, or a special string begins."""
-        out: list[int] = []
+        out = b""
         if self.open:
             end = self.KINDS[self.open].match(self.held).end()
-            out += self.stream.feed(self.held[:end].encode()) + self.stream.finish()
+            out += pack(self.stream.feed(self.held[:end].encode()) + self.stream.finish())
             self.held, self.open, self.stream = self.held[end:], None, None
         out += self._words(self.held)
         self.held = ""
         return out
 
-    def feed(self, text: str) -> list[int]:
+    def _feed(self, text: str) -> bytes:
         text, self.tail = self.tail + text, ""
         if not any(c in text for c in self.first):
             return self._plain(text)
         out, at = [], 0
         for m in self.special.finditer(text):
-            out += [*self._plain(text[at:m.start()]), *self._end(), self.vocab.special[m.group()]]
+            out += [self._plain(text[at:m.start()]), self._end(), pack([self.vocab.special[m.group()]])]
             at = m.end()
         cut = next((i for i in range(max(at, len(text) - self.longest), len(text)) if text[i:] in self.heads), len(text))
         self.tail = text[cut:]
-        return out + self._plain(text[at:cut])
+        return b"".join([*out, self._plain(text[at:cut])])
 
-    def finish(self) -> list[int]:
+    def _finish(self) -> bytes:
         out = self._plain(self.tail)
         self.tail = ""
         return out + self._end()
 
+    def feed(self, text: str) -> list[int]:
+        return array("i", self._feed(text)).tolist()
+
+    def finish(self) -> list[int]:
+        return array("i", self._finish()).tolist()
+
+    def packed(self, text: str, chunk: int = CHUNK) -> bytes:
+        """All ids of a text as 32-bit numbers."""
+        return b"".join([*(self._feed(text[i:i + chunk]) for i in range(0, len(text), chunk)), self._finish()])
+
     def encode(self, text: str, chunk: int = CHUNK) -> list[int]:
-        out: list[int] = []
-        for i in range(0, len(text), chunk):
-            out += self.feed(text[i:i + chunk])
-        return out + self.finish()
+        return array("i", self.packed(text, chunk)).tolist()
 
 
 class Decoder:
@@ -282,8 +319,10 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
         vocab, known = vocabulary(path or public_tokenizers.path(TOKENIZER))
         for batch in batches:
             enc = Encoder(vocab, known)
-            ids = [enc.encode(t.as_py(), chunk) if t.is_valid else [] for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            rows = [enc.packed(t.as_py(), chunk) if t.is_valid else b"" for t in batch.column(1)]
+            ends = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
     d = own_columns(docs, "doc_id", "text")
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
@@ -296,15 +335,19 @@ def decode(tokens: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Da
     """
     def run(batches):
         vocab, _ = vocabulary(path or public_tokenizers.path(TOKENIZER))
+        has = np.zeros(max(vocab.bytes) + 1, dtype=bool)
+        has[list(vocab.bytes)] = True
         for batch in batches:
             at = batch.schema.get_field_index("ids")
             dec, texts = Decoder(vocab), []
-            for row in batch.column(at):
-                if not row.is_valid:
-                    texts.append(None)
-                    continue
-                ids = [i for i in row.values.to_pylist() if i in vocab.bytes]
-                texts.append("".join(dec.feed(ids[i:i + chunk]) for i in range(0, len(ids), chunk)) + dec.finish())
+            col = batch.column(at)
+            begin, there = col.offsets.to_numpy(), col.is_valid().to_pylist()
+            ids = col.values.fill_null(-1).to_numpy()
+            ids = np.where((ids >= 0) & (ids < len(has)) & has[np.clip(ids, 0, len(has) - 1)], ids, -1)
+            for a, b, ok in zip(begin[:-1], begin[1:], there, strict=True):
+                row = ids[a:b]
+                row = row[row >= 0].tolist()
+                texts.append("".join(dec.feed(row[i:i + chunk]) for i in range(0, len(row), chunk)) + dec.finish() if ok else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
     kept = tokens.select(*others(tokens, "text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
