@@ -283,7 +283,8 @@ def redact(docs: DataFrame, q: float = Q) -> DataFrame:
     """The documents with every secret masked; ``n_chars``, if present, follows the text.  No row goes."""
     cols = docs.columns
     sc = Scratch(docs.sparkSession)
-    cand = sc.keep(scan(docs.select("text"), F.col("text")).select("__cand").filter(F.size("__cand") > 0))
+    # with __base in the result and no filter on __cand, the base searches run once a text and not once a run
+    cand = sc.keep(scan(docs.select("text"), F.col("text")).select("__base", "__cand"))
     steps = rejection_steps(cand, q)
     sc.free(cand)
     got = scan(docs, F.col("text"))

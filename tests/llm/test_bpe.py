@@ -9,7 +9,7 @@ from flowlake.llm import bpe as B
 from tests.llm.conftest import AWKWARD
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz" * 2 + "ABCéßñİΣς'’''  \n\t0123456789<|>_-.,²½日本語🙂́\xa0　"
-BITS = ["<|endoftext|>", "<|endof", "'re", "'ll", " don't", "    ", "\n\n\n  ", " 123", "!!!!", "'''s"]
+BITS = ["a\x1cb \x1f\x1d \x85\x0b\x0c ", "<|endoftext|>", "<|endof", "'re", "'ll", " don't", "    ", "\n\n\n  ", " 123", "!!!!", "'''s"]
 
 
 @pytest.fixture(scope="module")

@@ -117,3 +117,13 @@ def test_a_run_is_cut_at_its_base_spans(make_docs):
     masked = {r["doc_id"]: r["text"] for r in S.redact(docs).collect()}
     m = S.MASK
     assert masked == {1: f"é {m * 5} end", 2: f"x {m * 2}", 3: f"{m * 2}==", 4: f"{m * 2}-short", 5: m, 6: m, 7: f"one {m}"}
+
+
+def test_redact_searches_a_text_of_many_hashes_once(ready_spark):
+    import time
+    rng = random.Random(9)
+    text = "\n".join("".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(2000))
+    df = ready_spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    out = S.redact(df).first().text
+    assert out == "\n".join([S.MASK] * 2000) and time.time() - began < 30
