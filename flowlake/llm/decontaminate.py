@@ -83,29 +83,32 @@ class SuffixAutomaton:
     def mark(self, item, ws: list) -> None:
         """After all ``add``: record the item at the states of its windows."""
         n = min(self.window, len(ws))
-        for state, run in self.run(ws):
-            if run < n:
-                continue
-            while self.length[self.link[state]] >= n:
-                state = self.link[state]
-            if self.items[state] is None:
-                self.items[state] = set()
-            self.items[state].add((n, item))
+        for state, run in self.run(ws, n):
+            if run == n:
+                if self.items[state] is None:
+                    self.items[state] = set()
+                self.items[state].add((n, item))
+
+    def run(self, ws: list, most: int) -> Iterator[tuple[int, int]]:
+        """For each word: the state and the length, ``most`` at most, of the longest match that ends there.
 
-    def run(self, ws: list) -> Iterator[tuple[int, int]]:
-        """For each word: the state and the length of the longest match that ends there."""
+        A match is cut to ``most`` words as it grows, so a state's suffix links have ``most`` steps at most."""
         state = run = 0
         for w in ws:
             while state and w not in self.next[state]:
                 state = self.link[state]
-                run = self.length[state]
+                run = min(run, self.length[state])
             if w in self.next[state]:
                 state, run = self.next[state][w], run + 1
+            if run >= most:
+                run = most
+                while self.length[self.link[state]] >= most:
+                    state = self.link[state]
             yield state, run
 
     def occurrences(self, ws: list) -> Iterator[tuple[int, int, set]]:
         """(start, end, items) of every window that occurs in ``ws``."""
-        for i, (state, run) in enumerate(self.run(ws)):
+        for i, (state, run) in enumerate(self.run(ws, self.window)):
             while state > 0:
                 found = self.items[state]
                 if found:
@@ -119,7 +122,7 @@ class SuffixAutomaton:
 class Matcher:
     """One block of items: its automaton and the hashed word pairs that bound where it can match."""
 
-    def __init__(self, block: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, block: list[tuple[str | None, list[bytes]]], window: int):
         self.auto = SuffixAutomaton(window)
         for _, ws in block:
             self.auto.add(ws)
@@ -187,15 +190,15 @@ def text_words(text: str | None) -> list[bytes]:
     return [b[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)]
 
 
-def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The items in blocks, read through the driver one at a time; items without words have no window."""
     block, n = [], 0
-    for r in own_columns(benchmark, "item_id", "text").filter("item_id is not null").toLocalIterator():
+    for r in own_columns(benchmark, "item_id", "text").toLocalIterator():
         if ws := text_words(r["text"]):
             if block and n + len(ws) > block_words:
                 yield block
                 block, n = [], 0
-            block.append((str(r["item_id"]), ws))
+            block.append((None if r["item_id"] is None else str(r["item_id"]), ws))
             n += len(ws)
     if block:
         yield block
@@ -235,7 +238,7 @@ def _pass(df: DataFrame, block, window: int) -> DataFrame:
                     for x, y, found in m.auto.occurrences(ws):
                         base = a - int(at[row])
                         iv.setdefault(first + row, []).append((base + x, base + y))
-                        items.setdefault(first + row, set()).update(found)
+                        items.setdefault(first + row, set()).update(found - {None})
             t["__n"] = pa.array(n_words)
             old_iv, old_items = t["__iv"].to_pylist(), t["__items"].to_pylist()
             for i, found in iv.items():
@@ -278,8 +281,8 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hits.
 
     ``hits`` are the hit word intervals.  Null texts and texts without words
-    are clean.  Repeated rows are judged alike.  Items with a null id or no words have no
-    windows; items that repeat an id count once.
+    are clean.  Repeated rows are judged alike.  Items without words have no windows; the windows
+    of items with a null id hit words, but these items are neither counted nor named; items that repeat an id count once.
     """
     out = _counts(find(own_columns(docs, "doc_id", "text"), benchmark, window, block_words), coverage)
     return out.select("doc_id", F.col("__n").alias("n_words"), F.col("__hit").alias("n_hit"), F.size("__items").cast("long").alias("n_items"),

@@ -27,6 +27,7 @@ def brute(rows, items):
                 if (w := tuple(ws[k:k + n])) in wins:
                     hit |= set(range(k, k + n))
                     found |= wins[w]
+        found.discard("None")               # an item without an id hits words, but is not counted or named
         out.append((doc, len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(),
                     bool(hit) and 20 * len(hit) >= len(ws)))
     return sorted(out, key=str)
@@ -60,7 +61,8 @@ def test_awkward_rows(make_docs, ready_spark):
     rows = list(enumerate(AWKWARD)) + [(None, "a"), (3, "a")]
     items = [(1, "a"), (1, "a"), (2, None), (None, "one"), (4, ""), (5, "one two")]
     bench = ready_spark.createDataFrame(items, "item_id long, text string")
-    want = brute(rows, [x for x in items if x[0] is not None])
+    # formerly the windows of an item without an id were left out; the contract hits a word inside any window
+    want = brute(rows, items)
     assert sorted((tuple(r) for r in D.judge(make_docs(rows), bench).drop("hits").collect()), key=str) == want
     empty = D.judge(make_docs(rows), bench.limit(0)).collect()
     assert len(empty) == len(rows) and not any(r["contaminated"] for r in empty)
@@ -77,3 +79,14 @@ def test_drop_and_cut(make_docs, ready_spark):
     assert {r["doc_id"]: r["text"] for r in kept.collect()} == {2: clean, 3: clean + item, 4: None}
     cut = {r["doc_id"]: r["text"] for r in D.decontaminate(docs, bench, action="cut", max_span=15).collect()}
     assert cut == {1: "start  . end", 2: clean, 3: clean + " ", 4: None}
+
+
+def test_repeated_words_stay_linear():
+    import time
+    n, began = 60_000, time.time()
+    auto = D.SuffixAutomaton(13)
+    ws = [b"a"] * n
+    auto.add(ws)
+    auto.mark("1", ws)
+    got = list(auto.occurrences(ws))
+    assert len(got) == n - 12 and got[0] == (0, 13, {"1"}) and got[-1] == (n - 13, n, {"1"}) and time.time() - began < 10
