@@ -67,6 +67,16 @@ def stream_alerts(spark, sf):
     return monitor.read_alerts(spark, alerts).select("batch_id", "alert_type", "severity", "details", "n", ids.alias("example_ids"))
 
 
+@plan("stream_recent", with_packets("""
+SELECT packet_id, ts, src_ip, dst_ip, packet_size FROM packets ORDER BY ts DESC, packet_id DESC LIMIT 10000""", flows=False))
+def stream_recent(spark, sf):
+    """ST3: the last 10,000 packets of the replayed stream, a state of as many rows."""
+    stream = _packet_stream(spark, sf).select("packet_id", "ts", "src_ip", "dst_ip", "packet_size")
+    out, ck = monitor.scratch_path(spark, "recent"), monitor.scratch_path(spark, "recent-ck")
+    monitor.run_available_now(stream, monitor.recent_writer(out), ck)
+    return monitor.recent_rows(spark, out, stream.schema)
+
+
 def _replayed(spark, sf, **kw):
     p = packets_from_events(table(spark, sf, "events"))
     landed, alerts, ck = (monitor.scratch_path(spark, f"replay-{n}") for n in ("rows", "alerts", "ck"))

@@ -225,6 +225,28 @@ def run_every(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     return [seen[k] for k in sorted(seen)]
 
 
+def recent_writer(path: str, n: int = 10_000, order_cols=("ts", "packet_id")):
+    """ST3: foreachBatch function that keeps the last ``n`` rows in ``order_cols`` order over all batches so far.
+
+    A batch's folder holds the last rows of its own and of the folder before it, so a retried batch replaces its own
+    and the state is ``n`` rows, in two folders; older ones are deleted."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id:
+            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/batch_id={batch_id - 1}"))
+        batch.orderBy(*[F.desc(c) for c in order_cols]).limit(n).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch_id - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    return handle
+
+
+def recent_rows(spark: SparkSession, path: str, schema) -> DataFrame:
+    """ST3: the rows that ``recent_writer`` holds now."""
+    rows = spark.read.schema(schema).option("basePath", path).parquet(path)
+    last = rows.agg(F.max("batch_id")).first()[0]
+    return rows.where(F.col("batch_id") == last).drop("batch_id")
+
+
 # ---- replay (ST5, ST7) ---------------------------------------------------------
 
 

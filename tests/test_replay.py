@@ -81,3 +81,18 @@ def test_correlation_of_many_columns_with_gaps(spark):
     live = [c for c in pdf.columns if c not in ("flat", "gone")]
     assert np.allclose(got.loc[live, live].to_numpy(dtype=float), want.loc[live, live].to_numpy(), atol=1e-9)
     assert got.loc["flat"].isna().all() and got["gone"].isna().all()
+
+
+def test_last_rows_are_a_state_of_constant_size(spark):
+    import random
+    path, out, ck = (monitor.scratch_path(spark, n) for n in ("ring", "ring-out", "ring-ck"))
+    ids = list(range(500))
+    random.Random(1).shuffle(ids)
+    rows = [(i, i // 3) for i in ids]
+    spark.createDataFrame(rows, "packet_id long, ts long").repartition(5).write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    keep = monitor.recent_writer(out, n=40)
+    monitor.run_available_now(s, lambda b, k: (keep(b, k), keep(b, k)), ck)       # each batch twice, as when it is retried
+    assert sorted(r.packet_id for r in monitor.recent_rows(spark, out, schema).collect()) == list(range(460, 500))
+    assert spark.read.parquet(out).count() == 80
