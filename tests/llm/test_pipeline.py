@@ -11,7 +11,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def test_registered_as_one_query():
     q = __spark_entry__.queries()
-    assert "pipeline" in q and sum(name.startswith("op") and name[2].isdigit() for name in q) == 10
+    assert "pipeline" in q and sum(name.startswith("op") and name[2].isdigit() for name in q) == 13
     assert [n for n, _ in P.STAGES] == ["quality", "near_dedup", "decontamination", "secrets", "mixing"]
 
 
