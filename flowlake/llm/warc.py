@@ -30,15 +30,16 @@ VERSION, CRLF = "WARC/1.1", "\r\n"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:flowlake:warc")
 RECORD = ("record_id string, type string, target_uri string, date string, refers_to string, "
           "header string, block binary")
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_HEAD = re.compile(r"<head\b[^>]*>.*?</head\s*>", re.S | re.I)
+_HIDDEN = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
+_HEAD, _HEAD_END = re.compile(r"<head\b", re.I), re.compile(r"</head\s*>", re.I)
 _BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|"
                     r"header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)")
 _SPACES = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b", re.I), re.compile(r"</title\s*>", re.I)
+_A = re.compile(r"<a\b", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CHARSET = re.compile(r"charset=[\"']?([\w.:-]+)", re.I)
 
 
@@ -46,9 +47,76 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def without_hidden(page: str) -> str:
+    """The page without comments, scripts, styles and templates; what is never closed is hidden to the end.
+
+    Each place is looked at a bounded number of times: a search for an end either
+    consumes what it passes or, if it fails, isn't made again.
+    """
+    out, at, done = [], 0, 0
+    last = page.rfind(">")
+    while m := _HIDDEN.search(page, at):
+        at = m.end()
+        if m[1] is None:
+            end = page.find("-->", at)
+            end = len(page) if end < 0 else end + 3
+        elif at > last:                         # its tag has no end
+            continue
+        else:
+            close = re.compile(rf"</{m[1]}\s*>", re.I).search(page, page.find(">", at) + 1)
+            end = close.end() if close else len(page)
+        out.append(page[done:m.start()])
+        at = done = end
+    return "".join([*out, page[done:]])
+
+
+def _element(page: str, start: re.Pattern, end: re.Pattern, at: int = 0) -> tuple[int, int, int, int] | None:
+    """Places of the first whole element from ``at``: start, inner start, inner end, end.
+
+    If the first start has no end behind its tag, no later one has.
+    """
+    m = start.search(page, at)
+    inner = page.find(">", m.end()) + 1 if m else 0
+    close = end.search(page, inner) if inner else None
+    return (m.start(), inner, close.start(), close.end()) if close else None
+
+
+def without_head(page: str) -> str:
+    out, done = [], 0
+    while e := _element(page, _HEAD, _HEAD_END, done):
+        out.append(page[done:e[0]])
+        done = e[3]
+    return "".join([*out, page[done:]])
+
+
+def title_of(page: str) -> str:
+    e = _element(page, _TITLE, _TITLE_END)
+    return " ".join(entities.unescape(_TAG.sub("", page[e[1]:e[2]])).split()) if e else ""
+
+
+def links(page: str) -> list[str]:
+    """Targets of the links, in order.  A link is an ``a`` with an ``href`` before the tag's end."""
+    page = without_hidden(page)
+    out, at, h = [], 0, None
+    while m := _A.search(page, at):
+        if h is None or h.start() < m.end():
+            h = _HREF.search(page, m.end())
+            if h is None:
+                break
+        end = page.find(">", m.end(), h.start())
+        if end < 0:
+            out.append(entities.unescape(h[1] or h[2] or h[3] or ""))
+            at = h.end()
+        else:                                   # the tag ends before the next href, for all starts before that end
+            at = end + 1
+    return out
+
+
 def page_text(page: str) -> str:
     """Visible text, one line per block element; no scripts, styles, comments or head."""
-    t = _TAG.sub("", _BREAK.sub("\n", _HEAD.sub("", _DROP.sub("", page))))
+    t = without_head(without_hidden(page))
+    closed = t.rfind(">") + 1                   # behind it no tag ends
+    t = _TAG.sub("", _BREAK.sub("\n", t[:closed]) + t[closed:])
     return _LINES.sub("\n", _SPACES.sub(" ", entities.unescape(t).replace("\r", "\n"))).strip()
 
 
@@ -126,7 +194,8 @@ def derive(records: DataFrame) -> DataFrame:
 
     A source digest that is missing is computed; one that doesn't fit its payload is kept, as the source says it,
     and told in the metadata (``digest-mismatch: true``).  A null block is
-    empty.  Repeated responses give repeated, equal records.
+    empty.  Repeated responses give repeated, equal records.  Time is linear in the page, also for tags, titles,
+    heads and scripts that are never closed.
     """
     def run(batches):
         for batch in batches:
@@ -139,12 +208,11 @@ def derive(records: DataFrame) -> DataFrame:
                 said = fields_of(header or "").get("warc-payload-digest", real)
                 media = fields.get("content-type", "")
                 page = decode(payload, media)
-                title = _TITLE.search(page)
                 meta = [("status", http.split("\n", 1)[0].strip()), ("media-type", media), ("payload-length", str(len(payload))),
-                        ("title", " ".join(entities.unescape(_TAG.sub("", title[1])).split()) if title else "")]
+                        ("title", title_of(page))]
                 if said != real:
                     meta.append(("digest-mismatch", "true"))
-                meta += [("outlink", entities.unescape(a or b or c)) for a, b, c in _LINK.findall(_DROP.sub("", page))]
+                meta += [("outlink", x) for x in links(page)]
                 meta += [("source-header", line.strip()) for line in http.split("\n") if line.strip()]
                 body = "".join(f"{k}: {_line(v)}{CRLF}" for k, v in meta).encode()
                 rows.append(_derived("metadata", src, "application/warc-fields", said, body))

@@ -1,5 +1,9 @@
 import base64
 import hashlib
+import html
+import random
+import re
+import time
 from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
@@ -83,3 +87,69 @@ def test_files_round_trip(ready_spark, tmp_path):
     assert {k: r["block"] for k, r in back.items()} == want
     assert all(r["whole"] for r in back.values())
     assert W.derive(W.responses(pages(ready_spark, []))).count() == 0
+
+
+#: the rules as plain patterns, quadratic on tags without an end
+DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+HEAD = re.compile(r"<head\b[^>]*>.*?</head\s*>", re.S | re.I)
+TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+
+
+def plain_text(page):
+    t = W._TAG.sub("", W._BREAK.sub("\n", HEAD.sub("", DROP.sub("", page))))
+    return W._LINES.sub("\n", W._SPACES.sub(" ", html.unescape(t).replace("\r", "\n"))).strip()
+
+
+def test_scanners_equal_the_plain_patterns():
+    rng = random.Random(21)
+    bits = ["<a ", "<a", "<A href='/x'", "href=", 'href = "/y"', "href='", '"', "'", ">", " ", "</a>", "<title>", "<title x", "</title>", "</TITLE >",
+            "<head>", "<head ", "</head>", "<header>", "<script>", "<script ", "</script>", "</style>", "<style>", "<!--", "-->", "<!-->", "<p", "<br>",
+            "text", "&amp;", "\n", "é", "<template>", "</template\n>", "<>", "</", "x=1"]
+    for _ in range(30_000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(0, 24)))
+        assert W.without_hidden(page) == DROP.sub("", page), page
+        assert W.page_text(page) == plain_text(page), page
+        assert W.links(page) == [html.unescape(a or b or c) for a, b, c in LINK.findall(DROP.sub("", page))], page
+        m = TITLE.search(page)
+        assert W.title_of(page) == (" ".join(html.unescape(W._TAG.sub("", m[1])).split()) if m else ""), page
+
+
+def test_pages_of_unclosed_tags_take_linear_time():
+    for bit in ("<a ", "<a x", "<title>", "<title ", "<head>", "<head ", "<script ", "<script>", "<!-", "<!--", "<p ", "<a>", "<a href=", "<a href='",
+                "</script ", "<", "&", "\n "):
+        for tail in ("", ">", "<a href=/x>", "</p>"):
+            page = bit * (1_000_000 // len(bit)) + tail
+            began = time.time()
+            W.page_text(page), W.title_of(page), W.links(page)
+            assert time.time() - began < 10, (bit, tail)
+
+
+class Facts(HTMLParser):
+    def __init__(self):
+        super().__init__()
+        self.title, self.links, self.inside = "", [], False
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = tag == "title"
+        self.links += [v for k, v in attrs if tag == "a" and k == "href"]
+
+    def handle_endtag(self, tag):
+        self.inside = False
+
+    def handle_data(self, data):
+        self.title += data if self.inside else ""
+
+
+def test_metadata_against_a_parser(ready_spark, sf_small):
+    src = ready_spark.read.parquet(f"{sf_small}/pages.parquet")
+    res = W.responses(src)
+    pages_of = {r["record_id"]: bytes(r["block"]).split(b"\r\n\r\n", 1)[1].decode() for r in res.collect()}
+    for r in W.derive(res).filter("type = 'metadata'").collect():
+        b = Facts()
+        b.feed(pages_of[r["refers_to"]])
+        b.close()
+        lines = bytes(r["block"]).decode().split("\r\n")
+        assert [x[9:] for x in lines if x.startswith("outlink: ")] == b.links
+        assert f"title: {' '.join(b.title.split())}" in lines and "status: HTTP/1.1 200 OK" in lines
+        assert f"payload-length: {len(pages_of[r['refers_to']].encode())}" in lines and "media-type: text/html; charset=utf-8" in lines
