@@ -178,22 +178,39 @@ def _band(n: Column) -> Column:
     return out
 
 
-def _outside(x: Column) -> Column:
-    """The pieces (s, m) of a run that lie outside all base spans, which are sorted."""
-    end = x["s"] + F.length(x["m"])
-    start = F.struct(x["s"].alias("at"), F.array().cast("array<struct<s:int,m:string>>").alias("out"))
+def _rewrite(text: Column, spans: Column, put, block: int = 256) -> Column:
+    """The text with ``put(at, x)`` in the place of each span x; spans are sorted and may overlap, ``at``
+    is where the text before x is done.
 
-    def piece(at: Column, e: Column) -> Column:
-        return F.struct(at.alias("s"), F.substring(x["m"], at - x["s"] + 1, e - at).alias("m"))
+    Two levels, so that m spans in n characters cost about m * block + n * (m / block + block) steps
+    and not m * n: the text is cut at blocks of spans, and each block's piece at its own.
+    """
+    def piece(chunk: Column, base: Column, part: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            gap = F.substring(chunk, acc["at"] - base + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
+            return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], F.array(gap, put(acc["at"], x))).alias("out"))
+        start = F.struct(base.alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.array_join(F.aggregate(part, start, step)["out"], "")
+
+    def joined(parts: Column, ats: Column) -> Column:
+        body = F.transform(parts, lambda p, i: let(F.get(ats, i), lambda base: let(
+            F.substring(text, base + 1, F.get(ats, i + 1) - base), lambda chunk: piece(chunk, base, p))))
+        return F.concat(F.array_join(body, ""), F.substring(text, F.element_at(ats, -1) + 1, F.length(text)))
+
+    def ends(parts: Column) -> Column:
+        return F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(
+            F.greatest(F.element_at(acc, -1), F.array_max(F.transform(p, lambda x: x["e"]))))))
 
-    def step(acc: Column, b: Column) -> Column:
-        return F.struct(F.greatest(acc["at"], b["e"]).alias("at"),
-                        F.when(b["s"] > acc["at"], F.concat(acc["out"], F.array(piece(acc["at"], b["s"])))).otherwise(acc["out"]).alias("out"))
+    def cut(sp: Column) -> Column:
+        last = F.floor((F.size(sp) - 1) / block).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(sp, b * block + 1, F.lit(block)))
+    return let(spans, lambda sp: F.when(F.size(sp) > 0, let(cut(sp), lambda parts: let(ends(parts), lambda ats: joined(parts, ats))))
+               .otherwise(text))
 
-    def rest(acc: Column) -> Column:
-        return F.when(acc["at"] < end, F.concat(acc["out"], F.array(piece(acc["at"], end)))).otherwise(acc["out"])
-    hit = F.filter("__base", lambda b: (b["s"] < end) & (x["s"] < b["e"]))
-    return let(hit, lambda h: F.when(F.size(h) == 0, F.array(x)).otherwise(F.aggregate(h, start, step, rest)))
+
+def _blank(text: Column, spans: Column) -> Column:
+    """The text with blanks in the place of the spans, of the same length."""
+    return _rewrite(text, spans, lambda at, x: F.repeat(F.lit(" "), F.greatest(x["e"] - F.greatest(at, x["s"]), F.lit(0))))
 
 
 def scan(df: DataFrame, text: Column) -> DataFrame:
@@ -205,8 +222,11 @@ def scan(df: DataFrame, text: Column) -> DataFrame:
     base = F.concat(_spans(assign, "assign"),
                     _spans(_found(t, ACCESS, F.col("__runs") & t.contains("AKIA")), "access"),
                     _spans(_found(t, HEX, F.col("__runs")), "hex"))
-    df = df.withColumn("__base", F.array_sort(base)).withColumn("__run", _found(t, RUN, F.col("__runs")))
-    bare = F.transform(F.flatten(F.transform("__run", _outside)), lambda x: F.struct(x["s"].alias("s"), F.regexp_replace(x["m"], "=+$", "").alias("m")))
+    df = df.withColumn("__base", F.sort_array(base))
+    # the runs outside all base spans: those of the text with these blanked out
+    pieces = let(_blank(t, F.col("__base")), lambda rest: _found(rest, RUN, F.lit(True)))
+    df = df.withColumn("__run", F.when(F.col("__runs"), pieces).otherwise(F.array().cast("array<struct<s:int,m:string>>")))
+    bare = F.transform("__run", lambda x: F.struct(x["s"].alias("s"), F.regexp_replace(x["m"], "=+$", "").alias("m")))
     bare = F.filter(bare, lambda x: (F.length(x["m"]) >= LEAST) & infer_encoding(x["m"]).isNotNull())
     df = df.withColumn("__run", F.when(F.size("__run") > 0, bare).otherwise(F.col("__run")))
     cand = F.transform("__run", lambda x: F.struct(
@@ -257,6 +277,7 @@ def find_secrets(docs: DataFrame, q: float = Q) -> DataFrame:
 
     Null and empty texts have no spans.  Repeated rows are scanned alike (and
     count as hypotheses each).  Extra columns are ignored.  An empty table gives none.
+    A text's time grows with its length and, in blocks of 256, with its spans: 40,000 spans in one text are fine.
     """
     sc = Scratch(docs.sparkSession)
     got = sc.keep(scan(docs.select("doc_id", "text"), F.col("text")).drop("text"))
@@ -264,19 +285,12 @@ def find_secrets(docs: DataFrame, q: float = Q) -> DataFrame:
     count = lambda k: F.size(F.filter("__base", lambda x: x["k"] == KINDS.index(k))).cast("long")
     return got.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
                       count("hex").alias("n_hex"), F.sha2(_text(F.col("__base")), 256).alias("base_sha256"),
-                      _text(F.array_sort(F.concat("__base", rnd))).alias("spans"), F.size(rnd).cast("long").alias("n_random"))
+                      _text(F.sort_array(F.concat("__base", rnd))).alias("spans"), F.size(rnd).cast("long").alias("n_random"))
 
 
 def mask(text: Column, spans: Column) -> Column:
     """The text with every span (sorted, may overlap) replaced by ``MASK``; overlapping spans become one."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, x):
-        piece = F.array(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(MASK))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"),
-                        F.when(x["s"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
-    done = lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), "")
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, done)).otherwise(text)
+    return _rewrite(text, spans, lambda at, x: F.when(x["s"] >= at, F.lit(MASK)).otherwise(F.lit("")))
 
 
 def redact(docs: DataFrame, q: float = Q) -> DataFrame:
@@ -288,7 +302,7 @@ def redact(docs: DataFrame, q: float = Q) -> DataFrame:
     steps = rejection_steps(cand, q)
     sc.free(cand)
     got = scan(docs, F.col("text"))
-    got = got.withColumn("__all", F.array_sort(F.concat("__base", _random(steps))))
+    got = got.withColumn("__all", F.sort_array(F.concat("__base", _random(steps))))
     got = got.withColumn("text", mask(F.col("text"), F.col("__all")))
     if "n_chars" in cols:
         got = got.withColumn("n_chars", F.when(F.size("__all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))

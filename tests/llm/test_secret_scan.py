@@ -127,3 +127,37 @@ def test_redact_searches_a_text_of_many_hashes_once(ready_spark):
     began = time.time()
     out = S.redact(df).first().text
     assert out == "\n".join([S.MASK] * 2000) and time.time() - began < 30
+
+
+def test_many_spans_in_one_text_take_about_linear_time(ready_spark):
+    import time
+    rng = random.Random(10)
+    took = {}
+    for n in (10_000, 40_000):
+        hashes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(n)]
+        df = ready_spark.createDataFrame([(1, "\n".join(hashes))], "doc_id long, text string")
+        began = time.time()
+        assert S.redact(df).first().text == "\n".join([S.MASK] * n)
+        assert S.find_secrets(df).first().n_hex == n
+        took[n] = time.time() - began
+    assert took[40_000] < 90 and took[40_000] < 6 * took[10_000] + 5
+
+
+def test_mask_and_blank_against_brute_force(ready_spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(15)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("aé🙂 x") for _ in range(rng.choice((0, 5, 900, 6000))))
+        starts = [rng.randint(0, len(text) - 1) for _ in range(rng.choice((0, 1, 300, 700)))] if text else []
+        rows.append((i, text, sorted((s, rng.randint(0, 3), min(len(text), s + rng.randint(1, 12))) for s in starts)))
+    df = ready_spark.createDataFrame(rows, "id int, text string, spans array<struct<s:int,k:int,e:int>>")
+    got = {r[0]: r[1:] for r in df.select("id", S.mask(F.col("text"), F.col("spans")), S._blank(F.col("text"), F.col("spans"))).collect()}
+    for i, text, spans in rows:
+        at, out, blank = 0, [], list(text)
+        for s, _, e in spans:
+            if s >= at:
+                out += [text[at:s], S.MASK]
+            at = max(at, e)
+            blank[s:e] = " " * (e - s)
+        assert got[i] == ("".join([*out, text[at:]]), "".join(blank))
