@@ -261,6 +261,52 @@ def near_duplicates(docs: DataFrame, k: int = K, threshold: int = THRESHOLD, n_w
     return out
 
 
+def _own_numbers(one: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """``one`` (doc_id, __text, ...; distinct texts of repeated ids) with ``__node``, a number of its own for each row.
+
+    The least text of an id keeps the id.  The others get a 64-bit hash of id and text, with the first salt
+    whose hashes meet neither each other nor an id; this is counted, not assumed.
+    """
+    least = one.groupBy("doc_id").agg(F.min("__text").alias("__least"))
+    one = scratch.keep(one.join(least, "doc_id"))
+    salt = 0
+    while True:
+        node = F.when(F.col("__text") == F.col("__least"), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "__text", F.lit(salt)))
+        out = one.withColumn("__node", node)
+        made = out.filter("__text <> __least").select("__node")
+        met = made.groupBy("__node").agg(F.count("*").alias("c")).join(ids.withColumnRenamed("doc_id", "__node").withColumn("held", F.lit(True)), "__node", "left")
+        if met.filter("c > 1 or held").isEmpty():
+            return out.drop("__least")
+        salt += 1
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = K, threshold: int = THRESHOLD, n_words: int = 3) -> DataFrame:
+    """The documents with their own columns, one of each component of near-duplicate texts.
+
+    The one with the least doc_id stays.  Rows that share a doc_id are judged by their texts: each distinct text is
+    a document of its own, so that an unrelated text stays and an equal one goes; rows without words
+    under one id count as one text.  Of rows with one id and one text the least stays, also after a rerun.
+    Further texts of an id stand in the order of a hash, not of the id.  Rows without doc_id stay.  An empty table
+    gives none.
+    """
+    sc = Scratch(docs.sparkSession)
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    ids = docs.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("__n"))
+    twice = sc.keep(ids.filter("__n > 1").select("doc_id"))
+    shared = docs.join(twice, "doc_id", "left_semi")
+    alone = docs.join(twice, "doc_id", "left_anti").select(*cols)
+    text = F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "").otherwise(F.col("text"))
+    one = (shared.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("__text"), F.struct(*cols).alias("__row"))
+           .groupBy("doc_id", "__text").agg(F.min("__row").alias("__row")))
+    one = sc.keep(_own_numbers(one, ids.select("doc_id"), sc))
+    texts = alone.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(
+        one.select(F.col("__node").alias("doc_id"), F.col("__text").alias("text")))
+    gone = sc.keep(near_duplicates(texts, k, threshold, n_words).filter("not kept").select("doc_id"))
+    rest = one.join(gone.withColumnRenamed("doc_id", "__node"), "__node", "left_anti")
+    return alone.join(gone, "doc_id", "left_anti").select(*cols).unionByName(
+        rest.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
+
+
 ORACLE = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
