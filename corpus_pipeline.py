@@ -8,6 +8,7 @@ at most the running stage.
 1. quality: documents that the classifier rejects (low quality or toxic) go.
 2. near_dedup: one document of each group of near-duplicates stays, the one with the least doc_id;
    linked are texts whose 5-word shingles have a Jaccard of 0.8 or more (op10 alone has 3 words and 0.85).
+   Texts that share a doc_id are judged apart: an unrelated one stays.
 3. decontamination: documents with too much benchmark text go; the others stay untouched.
 4. secrets: secrets are masked in the texts; every document stays.
 5. mixing: documents are drawn to the target weights of the domain-language-source tree.
@@ -39,17 +40,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sc = Scratch(ready(spark))
-    found = sc.keep(near_dedup.near_duplicates(docs, **NEAR))
-    # ids in several rows are one document: the row of the least text stays, also after a rerun
-    ids = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).filter("doc_id is not null")
-    gone = sc.keep(ids.filter("not kept or n > 1"))
-    again = gone.filter("kept").select("doc_id")
-    bare = F.coalesce(F.trim("text"), F.lit("")) == ""          # a row without text stays only if all are
-    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns).unionByName(
-        docs.join(again, "doc_id", "left_semi").groupBy("doc_id")
-        .agg(F.min(F.struct(bare.alias("__bare"), F.col("text").alias("__by"), *[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
-        .select(*[F.col("__row").getField(c).alias(c) for c in docs.columns]))
+    ready(spark)
+    return near_dedup.drop_near_duplicates(docs, **NEAR)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
