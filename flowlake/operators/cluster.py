@@ -1,10 +1,13 @@
 """Clustering and projection: K-means (M17), PCA to 2 components (M18),
-cluster sizes (A35), silhouette (A37, squared Euclidean in MLlib)."""
+cluster sizes (A35), silhouette (A37: squared Euclidean by MLlib, Euclidean by
+blocks)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -44,3 +47,68 @@ def cluster_sizes(df: DataFrame, col: str) -> DataFrame:
 def silhouette(df: DataFrame, features: str = "fv", pred: str = "kmeans_cluster") -> float:
     return ClusteringEvaluator(featuresCol=features, predictionCol=pred, metricName="silhouette",
                                distanceMeasure="squaredEuclidean").evaluate(df)
+
+
+_NEAR = 1e-6  # of the squared lengths: below it a distance is taken from the differences, as the products cancel
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of ``x`` to all rows of ``y``."""
+    scale = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
+    sq = scale - 2.0 * (x @ y.T)
+    i, j = np.nonzero(sq <= _NEAR * scale)
+    for a in range(0, len(i), 8192):
+        part = x[i[a:a + 8192]] - y[j[a:a + 8192]]
+        sq[i[a:a + 8192], j[a:a + 8192]] = (part * part).sum(1)
+    return np.sqrt(sq)
+
+
+def _sums(ids, own, d: np.ndarray, others: np.ndarray) -> pd.DataFrame:
+    """For each row of ``d`` and each cluster of its columns: the distances' sum and count."""
+    names, code = np.unique(others, return_inverse=True)
+    member = np.zeros((len(others), len(names)))
+    member[np.arange(len(others)), code] = 1.0
+    total = d @ member
+    k = len(names)
+    return pd.DataFrame({"__id": np.repeat(ids, k), "__own": np.repeat(own, k), "__other": np.tile(names, len(ids)),
+                         "__sum": total.ravel(), "__n": np.tile(member.sum(0).astype("int64"), len(ids))})
+
+
+def _block_pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    x, y = np.stack(left["__x"].tolist()), np.stack(right["__x"].tolist())
+    d = _distances(x, y)
+    out = _sums(left["__id"].to_numpy(), left["__own"].to_numpy(), d, right["__own"].to_numpy())
+    if left["__b"].iat[0] != right["__b"].iat[0]:
+        back = _sums(right["__id"].to_numpy(), right["__own"].to_numpy(), d.T, left["__own"].to_numpy())
+        out = pd.concat([out, back], ignore_index=True)
+    return out
+
+
+def silhouette_points(df: DataFrame, id_col: str, x: str, pred: str, block_rows: int = 1024) -> DataFrame:
+    """Exact Euclidean silhouette of every row: (``id_col``, ``pred``, within, nearest, silhouette).
+
+    ``id_col`` holds unique whole numbers, ``pred`` whole-number clusters, ``x`` arrays of one length without nulls;
+    rows that lack any of them are left out.  Rows are dealt by a hash of their id to blocks of about ``block_rows``;
+    a task takes a pair of blocks, each pair once, and gives distance sums per row and cluster, never pairs of rows.
+    A mean of distances has no shorter form, so the work is the square of the rows (the shuffle that over
+    ``block_rows``); ``silhouette`` costs one pass.  A row alone in its cluster has 0, as have rows whose distances
+    are all 0; with one cluster ``nearest`` and ``silhouette`` are null."""
+    rows = df.select(F.col(id_col).cast("long").alias("__id"), F.col(pred).cast("long").alias("__own"),
+                     F.col(x).cast("array<double>").alias("__x")).dropna()
+    blocks = max(1, -(-rows.count() // block_rows))
+    rows = rows.withColumn("__b", F.pmod(F.xxhash64("__id"), F.lit(blocks)).cast("int"))
+    left = rows.withColumn("__c", F.explode(F.sequence(F.col("__b"), F.lit(blocks - 1)))).withColumn("__a", F.col("__b"))
+    right = rows.withColumn("__a", F.explode(F.sequence(F.lit(0), F.col("__b")))).withColumn("__c", F.col("__b"))
+    sums = left.groupBy("__a", "__c").cogroup(right.groupBy("__a", "__c")).applyInPandas(
+        lambda a, b: _block_pair(a, b) if len(a) and len(b) else pd.DataFrame(columns=["__id", "__own", "__other", "__sum", "__n"]),
+        "__id long, __own long, __other long, __sum double, __n long")
+    per = sums.groupBy("__id", "__own", "__other").agg(F.sum("__sum").alias("__sum"), F.sum("__n").alias("__n"))
+    mine = F.col("__own") == F.col("__other")
+    per = per.groupBy("__id", "__own").agg(
+        F.max(F.when(mine, F.col("__n"))).alias("__n"),
+        F.max(F.when(mine & (F.col("__n") > 1), F.col("__sum") / (F.col("__n") - 1))).alias("within"),
+        F.min(F.when(~mine, F.col("__sum") / F.col("__n"))).alias("nearest"))
+    most = F.greatest("within", "nearest")
+    value = (F.when(F.col("nearest").isNull(), F.lit(None).cast("double")).when((F.col("__n") == 1) | (most == 0), 0.0)
+              .otherwise((F.col("nearest") - F.col("within")) / most))
+    return per.select(F.col("__id").alias(id_col), F.col("__own").alias(pred), "within", "nearest", value.alias("silhouette"))

@@ -182,6 +182,30 @@ def result_documents(spark, sf):
     return results_json(n.select("n_nationkey", "n_name", F.struct(F.col("n_regionkey").alias("region")).alias("of")))
 
 
+@plan("order_documents", """
+SELECT to_json({'o_orderkey': o_orderkey, 'o_orderpriority': o_orderpriority, 'of': {'customer': o_custkey, 'status': o_orderstatus}}) AS json
+FROM orders""")
+def order_documents(spark, sf):
+    """F30 over a table that grows: every order as a nested JSON document."""
+    o = table(spark, sf, "orders")
+    of = F.struct(F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"))
+    return results_json(o.select("o_orderkey", "o_orderpriority", of.alias("of")))
+
+
+@plan("euclidean_silhouette", """
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND label IS NOT NULL),
+d AS (SELECT a.vec_id, a.label AS own, b.label, sum(list_distance(a.x, b.x)) AS s, count(*) AS n FROM e a, e b GROUP BY a.vec_id, a.label, b.label),
+r AS (SELECT vec_id, own, max(n) FILTER (WHERE label = own) AS n, max(s / (n - 1)) FILTER (WHERE label = own AND n > 1) AS a,
+             min(s / n) FILTER (WHERE label <> own) AS b FROM d GROUP BY vec_id, own)
+SELECT vec_id, CAST(own AS BIGINT) AS label, round(a, 6) AS within, round(b, 6) AS nearest,
+       round(CASE WHEN b IS NULL THEN NULL WHEN n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette
+FROM r""")
+def euclidean_silhouette(spark, sf):
+    """The Euclidean silhouette of every embedding under its given label."""
+    return rounded(cluster.silhouette_points(table(spark, sf, "embeddings"), "vec_id", "embedding", "label"))
+
+
 @plan("label_silhouette", """
 WITH e AS (SELECT label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
 i AS (SELECT label, unnest(x) AS v, generate_subscripts(x, 1) AS k FROM e),

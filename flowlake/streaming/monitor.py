@@ -88,7 +88,7 @@ def stream_counters(stream: DataFrame, ts: str = "ts", window: str | None = None
 
 def flow_sessions(stream: DataFrame, ts: str = "ts", gap: str = "60 seconds", watermark: str = "10 minutes",
                   flow: str = "flow_id") -> DataFrame:
-    """ST11: per-flow sessions closed by a gap; state bounded by the watermark."""
+    """ST11: per-flow sessions closed by more than a gap (a row just ``gap`` later still joins); state bounded by the watermark."""
     return (event_time(stream, ts).withWatermark(ts, watermark)
                   .groupBy(F.session_window(ts, gap).alias("session"), F.col(flow))
                   .agg(F.count(F.lit(1)).alias("packets"),
@@ -313,6 +313,56 @@ def read_replay_alerts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).withColumnRenamed("replay_batch", "batch_id").drop("run")
 
 
+# ---- sessions (ST11) -----------------------------------------------------------
+
+_MERGE_LOCALLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
+
+def sessions_to_table(agg: DataFrame, out_path: str, checkpoint: str) -> int:
+    """ST11: run ``flow_sessions`` over what the source has, in append mode.
+
+    A session is written once, when the watermark has passed its end, and leaves the state, so the state holds the open
+    sessions alone.  Rows are merged into sessions inside each partition before the shuffle, so a hot flow sends its
+    sessions and not its rows.  A retried batch replaces its own folder.  Returns the rows that were dropped for coming
+    later than the watermark allows (counted after that merge); 0 says that nothing is lost."""
+    spark = agg.sparkSession
+    before = spark.conf.get(_MERGE_LOCALLY, "false")
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={n}")
+    spark.conf.set(_MERGE_LOCALLY, "true")
+    try:
+        q = (agg.writeStream.outputMode("append").foreachBatch(write)
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(_MERGE_LOCALLY, before)
+    late: dict[int, int] = {}
+    done = False
+    while not done:
+        done = q.awaitTermination(1)
+        for p in q.recentProgress:
+            late[p["batchId"]] = sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"])
+    return sum(late.values())
+
+
+def open_sessions(spark: SparkSession, checkpoint: str, flow: str = "flow_id", batch: int | None = None) -> DataFrame:
+    """ST11 / ST9: the sessions that no gap has closed yet, read from the state of the last finished batch."""
+    reader = spark.read.format("statestore")
+    state = (reader if batch is None else reader.option("batchId", batch)).load(checkpoint)
+    window, key, packets, size = state.schema["value"].dataType.names
+    return state.select(F.col("value")[window].alias("session"), F.col("value")[key].alias(flow),
+                        F.col("value")[packets].alias("packets"), F.col("value")[size].alias("bytes"))
+
+
+def all_sessions(spark: SparkSession, out_path: str, checkpoint: str, flow: str = "flow_id") -> DataFrame:
+    """ST11: closed and open sessions as of the last finished batch.  Folders of a batch that wrote its sessions but did
+    not finish are left out: its sessions are still open in the state that is read."""
+    last = spark.read.format("state-metadata").load(checkpoint).agg(F.max("maxBatchId")).first()[0]
+    closed = spark.read.option("basePath", out_path).parquet(out_path).where(F.col("batch_id") <= last).drop("batch_id")
+    return (closed.withColumn("closed", F.lit(True))
+                  .unionByName(open_sessions(spark, checkpoint, flow, last).withColumn("closed", F.lit(False))))
+
+
 def complete_to_table(agg: DataFrame, out_path: str, checkpoint: str) -> None:
     """Run an aggregation in complete mode, each batch overwriting a table."""
     def write(batch: DataFrame, _bid: int) -> None:
