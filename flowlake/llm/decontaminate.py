@@ -8,8 +8,9 @@ window's occurrence are hit; a document with too large a share of hit words is
 contaminated, and ``decontaminate`` drops it or cuts the hit spans out.
 
 The benchmark is the stated query set: it goes to the tasks in blocks of
-``BLOCK_WORDS`` words at most, and only one block's automaton exists on the
-driver or in a task at a time.  Each block is one pass over the documents; its
+``BLOCK_WORDS`` words at most.  The driver builds a block's automaton once and
+broadcasts it as flat arrays, and only one block's exists on the driver or in
+a worker process at a time.  Each block is one pass over the documents; its
 hits are intervals, united over the blocks.  The documents aren't shuffled.
 
 Streaming every word through a Python automaton would be slow, so a run of
@@ -21,6 +22,8 @@ words themselves.
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +39,90 @@ COVERAGE = 20                   # contaminated from 1 / 20 of the words on
 BLOCK_WORDS = 1_000_000         # item words in one block: bounds the automaton
 
 
-class SuffixAutomaton:
+class Walk:
+    """Reading words through a suffix automaton; ``step`` and ``found`` say how its states are kept."""
+
+    window: int
+
+    def step(self, state: int, word) -> int:
+        """The state after ``word``, or -1."""
+        raise NotImplementedError
+
+    def found(self, state: int) -> set | None:
+        """(length, item) of the windows that are runs of this state."""
+        raise NotImplementedError
+
+    def run(self, ws: list, most: int) -> Iterator[tuple[int, int]]:
+        """For each word: the state and the length, ``most`` at most, of the longest match that ends there.
+
+        A match is cut to ``most`` words as it grows, so a state's suffix links have ``most`` steps at most."""
+        state = run = 0
+        for w in ws:
+            to = self.step(state, w)
+            while to < 0 and state:
+                state = self.link[state]
+                run = min(run, self.length[state])
+                to = self.step(state, w)
+            if to >= 0:
+                state, run = to, run + 1
+            if run >= most:
+                run = most
+                while self.length[self.link[state]] >= most:
+                    state = self.link[state]
+            yield state, run
+
+    def occurrences(self, ws: list) -> Iterator[tuple[int, int, set]]:
+        """(start, end, items) of every window that occurs in ``ws``."""
+        for i, (state, run) in enumerate(self.run(ws, self.window)):
+            while state > 0:
+                found = self.found(state)
+                if found:
+                    for n in {m for m, _ in found}:
+                        if self.length[self.link[state]] < n <= min(run, self.length[state]):
+                            yield i + 1 - n, i + 1, {x for m, x in found if m == n}
+                state = self.link[state]
+                run = min(run, self.length[state])
+
+
+class PackedAutomaton(Walk):
+    """A built automaton over the words 0 to ``words`` - 1, as flat arrays: transitions sorted by (state, word) and
+    searched by bisection, the items of a marked state side by side.  It is what the tasks get."""
+
+    def __init__(self, built: SuffixAutomaton, words: int):
+        self.window, self.words = built.window, words
+        n = sum(map(len, built.next))
+        keys = np.fromiter((s * words + w for s, d in enumerate(built.next) for w in d), np.int64, n)
+        to = np.fromiter((t for d in built.next for t in d.values()), np.int32, n)
+        order = np.argsort(keys)
+        self.keys, self.to = array("q", keys[order].tobytes()), array("i", to[order].tobytes())
+        self.link, self.length = array("i", built.link), array("i", built.length)
+        self.marked, self.first, self.runs, self.item = array("i"), array("i", [0]), array("i"), array("i")
+        self.names: list = []
+        code: dict = {}
+        for s, items in enumerate(built.items):
+            if items:
+                self.marked.append(s)
+                for m, x in items:
+                    if x not in code:
+                        code[x] = len(self.names)
+                        self.names.append(x)
+                    self.runs.append(m)
+                    self.item.append(code[x])
+                self.first.append(len(self.item))
+
+    def step(self, state: int, word: int) -> int:
+        k = state * self.words + word
+        i = bisect_left(self.keys, k)
+        return self.to[i] if i < len(self.keys) and self.keys[i] == k else -1
+
+    def found(self, state: int) -> set | None:
+        i = bisect_left(self.marked, state)
+        if i == len(self.marked) or self.marked[i] != state:
+            return None
+        return {(self.runs[j], self.names[self.item[j]]) for j in range(self.first[i], self.first[i + 1])}
+
+
+class SuffixAutomaton(Walk):
     """Generalised suffix automaton of word sequences; ``window`` marks what counts as an occurrence."""
 
     def __init__(self, window: int):
@@ -45,6 +131,12 @@ class SuffixAutomaton:
         self.link, self.length = [-1], [0]
         self.items: list[set | None] = [None]       # items whose window a state's run of that length is
 
+    def step(self, state: int, word) -> int:
+        return self.next[state].get(word, -1)
+
+    def found(self, state: int) -> set | None:
+        return self.items[state]
+
     def _clone(self, p: int, q: int, word) -> int:
         c = len(self.next)
         self.next.append(dict(self.next[q]))
@@ -89,45 +181,24 @@ class SuffixAutomaton:
                     self.items[state] = set()
                 self.items[state].add((n, item))
 
-    def run(self, ws: list, most: int) -> Iterator[tuple[int, int]]:
-        """For each word: the state and the length, ``most`` at most, of the longest match that ends there.
-
-        A match is cut to ``most`` words as it grows, so a state's suffix links have ``most`` steps at most."""
-        state = run = 0
-        for w in ws:
-            while state and w not in self.next[state]:
-                state = self.link[state]
-                run = min(run, self.length[state])
-            if w in self.next[state]:
-                state, run = self.next[state][w], run + 1
-            if run >= most:
-                run = most
-                while self.length[self.link[state]] >= most:
-                    state = self.link[state]
-            yield state, run
-
-    def occurrences(self, ws: list) -> Iterator[tuple[int, int, set]]:
-        """(start, end, items) of every window that occurs in ``ws``."""
-        for i, (state, run) in enumerate(self.run(ws, self.window)):
-            while state > 0:
-                found = self.items[state]
-                if found:
-                    for n in {m for m, _ in found}:
-                        if self.length[self.link[state]] < n <= min(run, self.length[state]):
-                            yield i + 1 - n, i + 1, {x for m, x in found if m == n}
-                state = self.link[state]
-                run = min(run, self.length[state])
-
 
 class Matcher:
-    """One block of items: its automaton and the hashed word pairs that bound where it can match."""
+    """One block of items: its automaton over word numbers and the hashed word pairs that bound where it can match.
+
+    Built once, on the driver; the tasks get its arrays by broadcast, one copy a worker process."""
 
     def __init__(self, block: list[tuple[str | None, list[bytes]]], window: int):
-        self.auto = SuffixAutomaton(window)
+        self.ids: dict[bytes, int] = {}
+        for _, ws in block:
+            for w in ws:
+                self.ids.setdefault(w, len(self.ids))
+        built = SuffixAutomaton(window)
         for _, ws in block:
-            self.auto.add(ws)
+            built.add([self.ids[w] for w in ws])
         for item, ws in block:
-            self.auto.mark(item, ws)
+            built.mark(item, [self.ids[w] for w in ws])
+        self.auto = PackedAutomaton(built, len(self.ids) + 1)  # the last number stands for all other words
+        del built
         self.least = min(min(window, len(ws)) for _, ws in block)
         one, two = [], []
         for _, ws in block:
@@ -139,6 +210,10 @@ class Matcher:
         self.bits = np.zeros(1 << 16, dtype=bool)
         self.bits[(self.known >> np.uint64(48)).astype(np.int64)] = True
 
+    def occurrences(self, ws: list[bytes]) -> Iterator[tuple[int, int, set]]:
+        other = len(self.ids)
+        return self.auto.occurrences([self.ids.get(w, other) for w in ws])
+
     def runs(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
         """Word runs (start, end) of one row each that may hold a window."""
         ok = self.bits[(h >> np.uint64(48)).astype(np.int64)]
@@ -216,11 +291,11 @@ def _unite(iv: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _pass(df: DataFrame, block, window: int) -> DataFrame:
     """Add the hits of one block: columns __text, __n, __iv (flat word intervals), __items."""
-    shared = df.sparkSession.sparkContext.broadcast(block)
+    shared = df.sparkSession.sparkContext.broadcast(Matcher(block, window))
     names = df.columns
 
     def run(batches):
-        m = Matcher(shared.value, window)
+        m = shared.value
         for batch in batches:
             t = {n: batch.column(i) for i, n in enumerate(names)}
             n_words = np.zeros(batch.num_rows, dtype=np.int64)
@@ -235,7 +310,7 @@ def _pass(df: DataFrame, block, window: int) -> DataFrame:
                 for a, b in m.runs(W.hashes(low, s, e), at):
                     ws = [low[x:y].tobytes() for x, y in zip(s[a:b].tolist(), e[a:b].tolist(), strict=True)]
                     row = int(np.searchsorted(at, a, side="right")) - 1
-                    for x, y, found in m.auto.occurrences(ws):
+                    for x, y, found in m.occurrences(ws):
                         base = a - int(at[row])
                         iv.setdefault(first + row, []).append((base + x, base + y))
                         items.setdefault(first + row, set()).update(found - {None})

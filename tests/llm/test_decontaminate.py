@@ -90,3 +90,31 @@ def test_repeated_words_stay_linear():
     auto.mark("1", ws)
     got = list(auto.occurrences(ws))
     assert len(got) == n - 12 and got[0] == (0, 13, {"1"}) and got[-1] == (n - 13, n, {"1"}) and time.time() - began < 10
+
+
+def test_packed_automaton_finds_what_the_built_one_finds():
+    rng = random.Random(5)
+    words = [b"a", b"b", b"c", b"d"]
+    for n in range(40):
+        block = [(rng.choice([None, "x", f"i{k}"]), [rng.choice(words) for _ in range(rng.randint(1, 12))]) for k in range(rng.randint(1, 8))]
+        built = D.SuffixAutomaton(4)
+        for _, ws in block:
+            built.add(ws)
+        for item, ws in block:
+            built.mark(item, ws)
+        text = [rng.choice([*words, b"other"]) for _ in range(120)]
+        matcher = D.Matcher(block, 4)
+        want = set()
+        for item, ws in block:
+            for i in range(max(1, len(ws) - 3)):
+                run = ws[i:i + 4]
+                want |= {(j, j + len(run), item) for j in range(len(text)) if text[j:j + len(run)] == run}
+        got = [(a, b, x) for a, b, xs in matcher.occurrences(text) for x in xs]
+        assert set(got) == want == {(a, b, x) for a, b, xs in built.occurrences(text) for x in xs}, n
+
+
+def test_broadcast_automaton_is_small():
+    import pickle
+    rng = random.Random(6)
+    block = [(str(k), [b"w%d" % int(2000 * rng.random() ** 3) for _ in range(100)]) for k in range(500)]
+    assert len(pickle.dumps(D.Matcher(block, 13))) < 100 * 50_000   # bytes an item word
