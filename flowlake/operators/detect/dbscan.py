@@ -4,15 +4,16 @@
 2. Fine cells of side eps / sqrt(d) over all d columns: points of one cell are
    within eps of each other.  A cell of weight >= min_samples ("dense") holds
    core points only, so nothing is counted there.
-3. Neighbouring cells are found between cells, not points, by the distance of their bounding
-   boxes over all columns: blocks of a tree of median cuts, compared in NumPy (``boxjoin``).
-4. Points of the other, sparse cells (fewer than min_samples a cell) count their
-   neighbours: a cell wholly within eps adds its weight, a crossing cell compares points.
-5. Two dense cells are joined if any of their points are within eps.  A witness is
-   sought by linear passes: the point of one nearest to the other's box, the
+3. Units are the points of the other, sparse cells and the dense cells.  Blocks of units from a tree of median
+   cuts meet if their bounding boxes do, two in a task, and are compared in NumPy (``unitpairs``).
+4. A sparse point counts the points and whole cells within eps.  Only one that this leaves undecided looks
+   into the dense cells which the distance crosses.
+5. Core units are linked by one known point each, merged inside a block, then between the components
+   of two blocks, so the pairs within eps are never written.  Units of different components whose boxes are near
+   seek a witness by linear passes: the point of one nearest to the other's box, the
    point there nearest to it, and back.  Only pairs that this leaves open compare
    points, and only those near the other's box, by sub-cells.
-6. Clusters = connected components over cells that hold core points; a border point
+6. Clusters = connected components over core units; a border point
    takes the smallest label among its core neighbours, everything else is noise
    (-1).  Labels are the smallest row id of a core point in the cluster.
 
@@ -29,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.operators.detect.boxjoin import near_boxes
+from flowlake.operators.detect import unitpairs
 from flowlake.session import ensure_checkpoint_dir
 
 
@@ -104,13 +105,6 @@ def _box_near(alo, ahi, blo, bhi):
     return F.aggregate(gap, F.lit(0.0), lambda s, v: s + v * v)
 
 
-def _box_far(alo, ahi, blo, bhi):
-    """Greatest squared distance of two boxes."""
-    gap = F.zip_with(F.zip_with(bhi, alo, lambda x, y: x - y), F.zip_with(ahi, blo, lambda x, y: x - y),
-                     lambda x, y: F.greatest(x, y))
-    return F.aggregate(gap, F.lit(0.0), lambda s, v: s + v * v)
-
-
 def fit_dbscan(X: DataFrame, id_col: str, eps: float = 0.5, min_samples: int = 5,
                features: str = "features", max_dims: int = 3) -> DbscanModel:
     """Exact DBSCAN for any number of columns."""
@@ -126,60 +120,69 @@ def fit_dbscan(X: DataFrame, id_col: str, eps: float = 0.5, min_samples: int = 5
     side, e2 = F.lit(eps / math.sqrt(d)), F.lit(eps * eps)
     pts = X.groupBy(features).agg(F.count(F.lit(1)).alias("w"), F.min(id_col).alias("pid"))
     pts = _with_cell(pts, features, dims, eps).withColumn("fc", F.transform(features, lambda v: F.floor(v / side).cast("long")))
-    pts = pts.checkpoint()
+    pts = pts.withColumn("u", F.monotonically_increasing_id()).checkpoint()
     cells = pts.groupBy("fc").agg(
-        F.sum("w").alias("weight"), F.min("pid").alias("cid"),
+        F.sum("w").alias("weight"), F.min("u").alias("cid"), F.min_by(features, "u").alias("rep"), F.min_by("w", "u").alias("wr"),
         F.array(*[F.min(x(j)) for j in range(d)]).alias("lo"), F.array(*[F.max(x(j)) for j in range(d)]).alias("hi")).checkpoint()
-    P = pts.join(cells.select("fc", "cid", "weight"), "fc").select("pid", features, "w", "cid", (F.col("weight") >= min_samples).alias("dense")).checkpoint()
-
-    cp = near_boxes(cells.select(F.col("cid").cast("long").alias("cid"), "weight", "lo", "hi"), eps).checkpoint()
-
-    # sparse cells count; boxes come along only where points must be compared
-    S = P.where(~F.col("dense")).select("pid", F.col(features).alias("f"), F.col("cid").alias("c"))
-    mine = cp.where(F.col("cW") < min_samples)
-    whole = S.select("pid", "c").join(mine.where("full").select("c", "n", "nW"), "c").select("pid", "c", "n", "nW")
-    box = cells.select(F.col("cid").alias("n"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-    probe = S.join(mine.where("not full").select("c", "n", "nW"), "c").join(box, "n")
-    pf = [F.col("f"), F.col("f"), F.col("blo"), F.col("bhi")]
-    probe = probe.where(_box_near(*pf) <= e2).select("pid", "f", "c", "n", "nW", (_box_far(*pf) <= e2).alias("full")).checkpoint()
-    full = whole.unionByName(probe.where("full").select("pid", "c", "n", "nW"))
-    others = P.select(F.col("pid").alias("qid"), F.col(features).alias("g"), F.col("cid").alias("n"), F.col("w").alias("qw"))
-    pairs = probe.where("not full").select("pid", "f", "c", "n").join(others, "n").where(_dist2("f", "g") <= e2) \
-        .select("pid", "c", "qid", "n", "qw").checkpoint()
-    counts = (full.select("pid", F.col("nW").alias("k")).unionByName(pairs.select("pid", F.col("qw").alias("k")))
-              .groupBy("pid").agg(F.sum("k").alias("k")))
-    core = P.where("dense").select("pid").unionByName(counts.where(F.col("k") >= min_samples).select("pid")).checkpoint()
-    core_pts = P.join(core, "pid", "left_semi").select("pid", "cid")
-    node = core_pts.groupBy("cid").agg(F.min("pid").alias("node")).checkpoint()
-    na, nb = node.select(F.col("cid").alias("c"), F.col("node").alias("a")), node.select(F.col("cid").alias("n"), F.col("node").alias("b"))
-    joined = full.select("pid", "c", "n").unionByName(
-        pairs.join(core.withColumnRenamed("pid", "qid"), "qid", "left_semi").select("pid", "c", "n"))
-    edges = joined.join(core, "pid", "left_semi").select("c", "n").unionByName(
-        _dense_edges(P, cp.where(F.col("c") < F.col("n")), cells, features, eps, d, min_samples)).where("c <> n").distinct()
-    comp = connected_components(node.select("node"), edges.join(na, "c").join(nb, "n").select("a", "b"))
-    label = node.join(comp, "node").select("cid", "label")
-    core_label = core_pts.join(label, "cid").select("pid", F.col("label").alias("clabel"))
-    border = joined.join(label.withColumnRenamed("cid", "n"), "n").groupBy("pid").agg(F.min("label").alias("blabel"))
-    plabel = (P.select("pid", features).join(core_label, "pid", "left").join(border, "pid", "left")
+    dense = F.col("weight") >= min_samples
+    P = pts.join(cells.select("fc", "cid", dense.alias("dense")), "fc")
+    P = P.select("u", "pid", features, "w", F.when(F.col("dense"), F.col("cid")).otherwise(F.col("u")).alias("unit"), "dense").checkpoint()
+
+    spots = cells.where(dense).select(F.col("cid").alias("u"), F.col("weight").alias("w"), "wr", F.lit(True).alias("dense"), "rep", "lo", "hi")
+    units = spots.unionByName(P.where(~F.col("dense")).select(
+        "u", "w", F.col("w").alias("wr"), "dense", *[F.col(features).alias(c) for c in ("rep", "lo", "hi")]))
+    blocks = unitpairs.packed_blocks(units, units.count(), d)
+    pairs = unitpairs.near_blocks(blocks, eps)
+
+    # counts; only points that they leave undecided look into the cells which the distance crosses
+    k = unitpairs.counts(blocks, pairs, eps).checkpoint()
+    enough, more = F.col("least") >= min_samples, None
+    probe = k.where(~enough & (F.col("crossing") > 0)).select("block", "u")
+    if not probe.isEmpty():
+        inside = P.where("dense").select(F.col("unit").alias("n"), F.col(features).alias("g"), F.col("w").alias("qw"))
+        more = (unitpairs.crossed_cells(blocks, pairs, probe, eps).join(P.select("u", F.col(features).alias("f")), "u").join(inside, "n")
+                .where(_dist2("f", "g") <= e2).groupBy("u", "n").agg(F.sum("qw").alias("more")).checkpoint())
+        k = k.join(more.groupBy("u").agg(F.sum("more").alias("more")), "u", "left")
+        enough = enough | (F.col("k") + F.coalesce("more", F.lit(0)) >= min_samples)
+    blocks = unitpairs.with_cores(blocks, k.where(enough).select("block", "u"), eps)
+    local = blocks.select("block", F.explode(F.arrays_zip("core", "comp")).alias("z")).select("block", "z.core", "z.comp").toDF("block", "u", "comp").checkpoint()
+
+    # components of units: by their known points, then between components by any point of a dense cell
+    linked = unitpairs.links(blocks, pairs, eps).checkpoint()
+    comp = connected_components(local.select(F.col("comp").alias("node")).distinct(), linked.where("not border").select("a", "b"))
+    whole = local.join(comp.withColumnRenamed("node", "comp"), "comp").select("block", "u", F.col("label").alias("comp")).checkpoint()
+    if not spots.isEmpty():
+        left = unitpairs.open_pairs(blocks, pairs, whole, eps).checkpoint()
+        if not left.isEmpty():
+            at = lambda c, n: whole.select(F.col("u").alias(c), F.col("comp").alias(n))
+            edges = _dense_edges(P, left, units, features, eps, d).join(at("c", "a"), "c").join(at("n", "b"), "n").select("a", "b")
+            comp = connected_components(whole.select(F.col("comp").alias("node")).distinct(), edges)
+            whole = whole.join(comp.withColumnRenamed("node", "comp"), "comp").select("u", F.col("label").alias("comp")).checkpoint()
+    core_pts = P.join(whole.select(F.col("u").alias("unit"), "comp"), "unit").select("u", "pid", "unit", "comp")
+    name = core_pts.groupBy("comp").agg(F.min("pid").alias("label")).checkpoint()
+    core_label = core_pts.join(name, "comp").select("u", F.col("label").alias("clabel"))
+    beside = linked.where("border").select(F.col("a").alias("u"), F.col("b").alias("unit"))
+    if more is not None:
+        beside = beside.unionByName(more.select("u", F.col("n").alias("unit")))
+    border = (beside.join(whole.select(F.col("u").alias("unit"), "comp"), "unit").join(name, "comp")
+              .groupBy("u").agg(F.min("label").alias("blabel")))
+    plabel = (P.select("u", features).join(core_label, "u", "left").join(border, "u", "left")
               .select(features, F.coalesce("clabel", "blabel", F.lit(-1)).alias("cluster")))
     labels = X.select(F.col(id_col).alias("id"), features).join(plabel, features).select("id", "cluster")
-    core_out = pts.join(core, "pid", "left_semi").select("pid", features, "cell").checkpoint()
+    core_out = pts.join(core_pts.select("u"), "u", "left_semi").select("pid", features, "cell").checkpoint()
     return DbscanModel(eps, min_samples, dims, core_out, labels.checkpoint(), features)
 
 
-def _dense_edges(P: DataFrame, cp: DataFrame, cells: DataFrame, features: str, eps: float, d: int, min_samples: int) -> DataFrame:
-    """(c, n): pairs of dense cells with two points within eps."""
+def _dense_edges(P: DataFrame, left: DataFrame, units: DataFrame, features: str, eps: float, d: int) -> DataFrame:
+    """(c, n): those pairs of units ``left`` with two points within eps."""
     e2 = F.lit(eps * eps)
-    cp = cp.where((F.col("cW") >= min_samples) & (F.col("nW") >= min_samples))
-    done = cp.where("full").select("c", "n")
-    box = lambda c, x: cells.select(F.col("cid").alias(c), F.col("lo").alias(f"{x}lo"), F.col("hi").alias(f"{x}hi"))
-    open_ = cp.where("not full").join(box("c", "a"), "c").join(box("n", "b"), "n").select("c", "n", "alo", "ahi", "blo", "bhi")
-    D = P.where("dense")
-    A, B = D.select(F.col("cid").alias("c"), F.col(features).alias("f")), D.select(F.col("cid").alias("n"), F.col(features).alias("g"))
+    box = lambda c, x: units.select(F.col("u").alias(c), F.col("lo").alias(f"{x}lo"), F.col("hi").alias(f"{x}hi"))
+    open_ = left.join(box("c", "a"), "c").join(box("n", "b"), "n").select("c", "n", "alo", "ahi", "blo", "bhi")
+    A, B = P.select(F.col("unit").alias("c"), F.col(features).alias("f")), P.select(F.col("unit").alias("n"), F.col(features).alias("g"))
     to_b = _box_near(F.col("f"), F.col("f"), F.col("blo"), F.col("bhi"))
     first = open_.join(A, "c").groupBy("c", "n").agg(F.min_by("f", to_b).alias("f0"))
     there = first.join(B, "n").groupBy("c", "n").agg(F.min(_dist2("f0", "g")).alias("d1"), F.min_by("g", _dist2("f0", "g")).alias("g0")).checkpoint()
-    done = done.unionByName(there.where(F.col("d1") <= e2).select("c", "n"))
+    done = there.where(F.col("d1") <= e2).select("c", "n")
     back = there.where(F.col("d1") > e2).select("c", "n", "g0").join(A, "c").groupBy("c", "n").agg(F.min(_dist2("f", "g0")).alias("d2")).checkpoint()
     done = done.unionByName(back.where(F.col("d2") <= e2).select("c", "n"))
     # still open: points near the other's box, by sub-cells of a quarter's side
