@@ -63,39 +63,61 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(sq)
 
 
-def _sums(ids, own, d: np.ndarray, others: np.ndarray) -> pd.DataFrame:
-    """For each row of ``d`` and each cluster of its columns: the distances' sum and count."""
-    names, code = np.unique(others, return_inverse=True)
-    member = np.zeros((len(others), len(names)))
-    member[np.arange(len(others)), code] = 1.0
-    total = d @ member
+TILE, BLOCKS, LARGEST = 1024, 16, 65_536    # rows of a matrix held at a time; blocks of a table that is large enough; rows of a block
+ENTRIES = 1 << 21                           # sums of a block: rows times clusters
+
+
+def _sums(ids, own, total: np.ndarray, names: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    """A row for each id and cluster of the other block: the distances' sum and count."""
     k = len(names)
     return pd.DataFrame({"__id": np.repeat(ids, k), "__own": np.repeat(own, k), "__other": np.tile(names, len(ids)),
-                         "__sum": total.ravel(), "__n": np.tile(member.sum(0).astype("int64"), len(ids))})
+                         "__sum": total.ravel(), "__n": np.tile(n, len(ids))})
 
 
 def _block_pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    x, y = np.stack(left["__x"].tolist()), np.stack(right["__x"].tolist())
-    d = _distances(x, y)
-    out = _sums(left["__id"].to_numpy(), left["__own"].to_numpy(), d, right["__own"].to_numpy())
-    if left["__b"].iat[0] != right["__b"].iat[0]:
-        back = _sums(right["__id"].to_numpy(), right["__own"].to_numpy(), d.T, left["__own"].to_numpy())
-        out = pd.concat([out, back], ignore_index=True)
-    return out
-
-
-def silhouette_points(df: DataFrame, id_col: str, x: str, pred: str, block_rows: int = 1024) -> DataFrame:
+    """Distance sums per row and cluster, both ways; the rows are sorted by cluster and the distances taken in tiles."""
+    sides = []
+    for pdf in (left, right):
+        pdf = pdf.sort_values("__own", kind="stable")
+        x, own = np.stack(pdf["__x"].tolist()), pdf["__own"].to_numpy()
+        names, code, n = np.unique(own, return_inverse=True, return_counts=True)
+        sides.append((pdf["__id"].to_numpy(), own, x, names, code, n.astype("int64")))
+    (ids, own, x, names, code, n), (ids2, own2, y, names2, code2, n2) = sides
+    same = left["__b"].iat[0] == right["__b"].iat[0]
+    total, back = np.zeros((len(x), len(names2))), None if same else np.zeros((len(y), len(names)))
+
+    def add(to, d, codes):              # columns of d by cluster
+        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        to[:, codes[first]] += np.add.reduceat(d, first, axis=1)
+    for i in range(0, len(x), TILE):
+        for j in range(0, len(y), TILE):
+            d = _distances(x[i:i + TILE], y[j:j + TILE])
+            add(total[i:i + TILE], d, code2[j:j + TILE])
+            if not same:
+                add(back[j:j + TILE], d.T, code[i:i + TILE])
+    out = _sums(ids, own, total, names2, n2)
+    return out if same else pd.concat([out, _sums(ids2, own2, back, names, n)], ignore_index=True)
+
+
+def silhouette_points(df: DataFrame, id_col: str, x: str, pred: str, block_rows: int | None = None) -> DataFrame:
     """Exact Euclidean silhouette of every row: (``id_col``, ``pred``, within, nearest, silhouette).
 
     ``id_col`` holds unique whole numbers, ``pred`` whole-number clusters, ``x`` arrays of one length without nulls;
-    rows that lack any of them are left out.  Rows are dealt by a hash of their id to blocks of about ``block_rows``;
+    rows that lack any of them are left out.  Rows are dealt by a hash of their id to ``BLOCKS`` blocks, or more where one
+    would hold over ``LARGEST`` rows, or over ``ENTRIES`` rows times clusters (``block_rows`` fixes the size);
     a task takes a pair of blocks, each pair once, and gives distance sums per row and cluster, never pairs of rows.
-    A mean of distances has no shorter form, so the work is the square of the rows (the shuffle that over
-    ``block_rows``); ``silhouette`` costs one pass.  A row alone in its cluster has 0, as have rows whose distances
+    A mean of distances has no shorter form, so the work is the square of the rows; the shuffle is the rows times the
+    blocks, in proportion to the rows up to ``BLOCKS * LARGEST``.  ``silhouette`` costs one pass.  A row alone in its cluster has 0, as have rows whose distances
     are all 0; with one cluster ``nearest`` and ``silhouette`` are null."""
     rows = df.select(F.col(id_col).cast("long").alias("__id"), F.col(pred).cast("long").alias("__own"),
                      F.col(x).cast("array<double>").alias("__x")).dropna()
-    blocks = max(1, -(-rows.count() // block_rows))
+    if block_rows is None:
+        size = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("__own").alias("k")).first()
+        most = min(LARGEST, max(TILE, ENTRIES // max(1, size["k"])))
+        block_rows, n = max(TILE, min(most, -(-size["n"] // BLOCKS))), size["n"]
+    else:
+        n = rows.count()
+    blocks = max(1, -(-n // block_rows))
     rows = rows.withColumn("__b", F.pmod(F.xxhash64("__id"), F.lit(blocks)).cast("int"))
     left = rows.withColumn("__c", F.explode(F.sequence(F.col("__b"), F.lit(blocks - 1)))).withColumn("__a", F.col("__b"))
     right = rows.withColumn("__a", F.explode(F.sequence(F.lit(0), F.col("__b")))).withColumn("__c", F.col("__b"))

@@ -96,3 +96,16 @@ def test_euclidean_silhouette_of_little(spark):
     assert [(r["within"], r["nearest"], r["silhouette"]) for r in one] == [(1.0, None, None)] * 2
     same = cluster.silhouette_points(spark.createDataFrame([(i, [2.0], i % 2) for i in range(6)], schema), "id", "x", "c").collect()
     assert [r["silhouette"] for r in same] == [0.0] * 6
+
+
+def test_euclidean_silhouette_deals_rows_to_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "TILE", 8)
+    rng = np.random.default_rng(3)
+    x, own = rng.normal(size=(600, 4)), rng.integers(0, 5, 600)
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, own))], "id long, x array<double>, c int")
+    seen = spark.sparkContext.accumulator(0)
+    pair = cluster._block_pair
+    monkeypatch.setattr(cluster, "_block_pair", lambda a, b: (seen.add(len(a)), pair(a, b))[1])
+    got = cluster.silhouette_points(df, "id", "x", "c").orderBy("id").collect()
+    assert [r["silhouette"] for r in got] == pytest.approx(_silhouettes(x, own), abs=1e-9)
+    assert 0 < seen.value <= 600 * (cluster.BLOCKS + 1)        # with blocks of a tile: 600 * 75 / 2
