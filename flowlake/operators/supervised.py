@@ -6,6 +6,7 @@ is partitioned or recomputed (``randomSplit`` depends on partition order).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -17,12 +18,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlake.session import ensure_checkpoint_dir
+
 # The reference's grid (depth 'unlimited' becomes MLlib's maximum, 30).
 GRID_TREES = [100, 200, 300]
 GRID_DEPTH = [30, 10, 20, 30]
 GRID_MIN_SPLIT = [2, 5, 10]
 
 
+FEW_ROWS, MOST_ROWS = 10_000, 250_000   # rows of a training task: enough to start one for, and its bound
+
+
+def spread_rows(df: DataFrame, key: str, n: int, parts: int) -> DataFrame:
+    """Training rows over the cores, ``MOST_ROWS`` a task at most: a forest keeps a count per tree for each row and
+    reads all of them in every pass.  ``n`` rows in ``parts`` partitions that are enough, or that are few, stay as they are;
+    others are dealt by a hash of ``key`` and sorted, so that the same rows are drawn in every run."""
+    need = max(math.ceil(n / MOST_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n / FEW_ROWS)))
+    return df if parts >= need else df.repartition(need, key).sortWithinPartitions(key)
+
+
 def hash_split(df: DataFrame, key: str, test_fraction: float = 0.3, seed: int = 42) -> tuple:
     """(train, test) by xxhash64 of the key."""
     u = (F.xxhash64(F.lit(seed), F.col(key)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).cast("double")
@@ -66,8 +80,10 @@ def train_forest(df: DataFrame, features: Sequence[str], target: str, key: str,
                  num_trees: int = 100, seed: int = 42, max_depth: int = 30) -> dict:
     """Fit on the train side; accuracy on the test side,
     importances per feature.  Returns model, accuracy, importances, test predictions."""
-    data = prepare_target(df, target)
+    ensure_checkpoint_dir(df.sparkSession)
+    data = prepare_target(df, target).checkpoint()          # every stage of the pipeline and the test read it
     train, test = hash_split(data, key, test_fraction, seed)
+    train = spread_rows(train, key, train.count(), data.rdd.getNumPartitions())
     model = forest_pipeline(data, features, target, num_trees, max_depth=max_depth, seed=seed).fit(train)
     pred = model.transform(test)
     acc = MulticlassClassificationEvaluator(labelCol="__label", predictionCol="prediction",
