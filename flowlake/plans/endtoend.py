@@ -13,6 +13,7 @@ from flowlake.operators.detect.prep import fit_prep
 from flowlake.plans.models import PACKET_FEATURES
 from flowlake.plans.packets import packets, with_packets
 from flowlake.plans.registry import plan, rounded, table
+from flowlake.session import ensure_checkpoint_dir
 
 
 @plan("replay_batches", with_packets("""
@@ -57,7 +58,8 @@ def log_model(spark, sf):
     """M13 + M12: traffic-log features, heuristic label, forest (70/30 by
     hash of the row number); importances with the test accuracy."""
     from flowlake.plans.analytics import _log
-    lab = logfeatures.heuristic_label(logfeatures.log_features(_log(spark, sf)))
+    ensure_checkpoint_dir(spark)
+    lab = logfeatures.heuristic_label(logfeatures.log_features(_log(spark, sf)).checkpoint())     # joins and lag once, for two thresholds and the rows
     res = supervised.train_forest(lab, logfeatures.FEATURES, "label", "no", test_fraction=0.3, num_trees=100)
     return rounded(res["importances"].withColumn("accuracy", F.lit(float(res["accuracy"]))))
 
@@ -67,9 +69,10 @@ def sequence_recon(spark, sf):
     """M6: reconstruction error of 10-packet windows per user (flattened
     scaled features), flag at the window's last packet."""
     p = packets(spark, sf, with_flow=False, spread_scan=True).select("packet_id", "user_id", "ts", *PACKET_FEATURES)
+    ensure_checkpoint_dir(spark)
     prep = fit_prep(p.drop("user_id"), exclude=("packet_id",))
     X = prep.transform(p, keep=("packet_id", "user_id", "ts"))
-    seqs = recon.sequence_vectors(X, "user_id", ["ts", "packet_id"], k=10).select("packet_id", "seq_features")
+    seqs = recon.sequence_vectors(X, "user_id", ["ts", "packet_id"], k=10).select("packet_id", "seq_features").checkpoint()   # read by five passes
     model = recon.fit_recon(seqs, features="seq_features", keep=("packet_id",))
     return rounded(model.predict(seqs, keep=("packet_id",), out="sequence_autoencoder"))
 
