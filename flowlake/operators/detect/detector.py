@@ -11,6 +11,7 @@ from __future__ import annotations
 import traceback
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from flowlake.operators import ensemble
 from flowlake.operators.detect.prep import PrepModel, fit_prep
+from flowlake.operators.supervised import spread_rows
 
 
 @dataclass(frozen=True)
@@ -134,7 +136,7 @@ class AnomalyDetector:
         from flowlake.operators.detect import dbscan, iforest, ocsvm, recon
         prep = fit_prep(df, exclude=(id_col,), target_col=target_col)
         model = DetectorModel(id_col, prep, config=self.config)
-        X = prep.transform(df, keep=(id_col,))
+        X = prep.transform(df, keep=(id_col,)).persist(StorageLevel.MEMORY_AND_DISK)       # every trainer reads it several times
         cfg = self.config
         trainers = {
             "isolation_forest": lambda: iforest.fit_iforest(
@@ -146,18 +148,21 @@ class AnomalyDetector:
             "autoencoder": lambda: recon.fit_recon(X, code_size=cfg.autoencoder.code_size,
                                                    percentile=cfg.autoencoder.percentile, keep=(id_col,)),
         }
-        for name in cfg.models:
-            try:
-                model.models[name] = trainers[name]()
-            except Exception as e:  # noqa: BLE001 - recorded, not swallowed
-                model.failures[name] = f"{type(e).__name__}: {e}\n{traceback.format_exc(limit=3)}"
+        try:
+            for name in cfg.models:
+                try:
+                    model.models[name] = trainers[name]()
+                except Exception as e:  # noqa: BLE001 - recorded, not swallowed
+                    model.failures[name] = f"{type(e).__name__}: {e}\n{traceback.format_exc(limit=3)}"
+        finally:
+            X.unpersist()
         return model
 
 
 def surrogate_importance(model: DetectorModel, df: DataFrame, num_trees: int = 100, seed: int = 42) -> DataFrame:
     """Random forest trained on the forest's labels (anomaly = 1);
     returns (feature, importance), largest first."""
-    X = model.features(df)
+    X = spread_rows(model.features(df), model.id_col, df.count(), df.sparkSession.sparkContext.defaultParallelism)
     lab = model.models["isolation_forest"].predict(X, keep=(model.id_col, "features"))     # features go along: no join back
     train = lab.select(array_to_vector("features").alias("fv"), F.when(F.col("isolation_forest") == -1, 1.0).otherwise(0.0).alias("label"))
     rf = RandomForestClassifier(featuresCol="fv", labelCol="label", numTrees=num_trees, seed=seed).fit(train)

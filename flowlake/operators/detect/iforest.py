@@ -95,9 +95,14 @@ class IsolationForestModel:
         packs = []
         for _, g in self.nodes.sort_values(["tree", "node"]).groupby("tree"):
             leaf_h = g["depth"].to_numpy() + avg_path(g["size"].to_numpy())
-            packs.append((g["feature"].to_numpy(), g["split"].to_numpy(), g["left"].to_numpy(),
-                          g["right"].to_numpy(), leaf_h))
-        return packs, float(avg_path([self.psi])[0]), int(self.nodes["depth"].max()) + 1
+            left, right, inner = g["left"].to_numpy(), g["right"].to_numpy(), g["feature"].to_numpy() >= 0
+            at, kids = np.zeros(len(g), dtype="int64"), np.flatnonzero(inner)       # siblings side by side
+            at[left[kids]], at[right[kids]] = 2 * np.arange(len(kids)) + 1, 2 * np.arange(len(kids)) + 2
+            fe, sp, kid, lh = np.zeros(len(g), dtype="int64"), np.full(len(g), np.nan), np.arange(len(g)), np.empty(len(g))
+            fe[at[kids]], sp[at[kids]], kid[at[kids]] = g["feature"].to_numpy()[kids], g["split"].to_numpy()[kids], at[left[kids]]
+            lh[at] = leaf_h
+            packs.append((fe, sp, kid, lh))         # a leaf's split is no number: nothing is beyond it, it leads to itself
+        return packs, float(avg_path([self.psi])[0]), int(self.nodes["depth"].max())
 
     def score(self, df: DataFrame, keep: tuple = (), out: str = "iforest_score") -> DataFrame:
         """Anomaly score s = 2^(-E[h] / c(psi)) per row (higher = more anomalous)."""
@@ -110,17 +115,14 @@ class IsolationForestModel:
                 X = np.stack(pdf[feat].to_numpy()).astype("float64") if len(pdf) else np.zeros((0, 1))
                 m = len(pdf)
                 total = np.zeros(m)
-                rows = np.arange(m)
-                for fe, sp, le, ri, lh in packs:
+                X = np.where(np.isnan(X), np.inf, X)        # on the right of every split, as no number is
+                rows, flat = np.arange(m) * X.shape[1], X.ravel()
+                for fe, sp, kid, lh in packs:
                     node = np.zeros(m, dtype="int64")
                     for _ in range(steps):
-                        f = fe[node]
-                        inner = f >= 0
-                        if not inner.any():
-                            break
-                        go_left = X[rows, np.where(inner, f, 0)] < sp[node]
-                        node = np.where(inner, np.where(go_left, le[node], ri[node]), node)
-                    total += lh[node]
+                        right = flat.take(rows + fe.take(node)) >= sp.take(node)
+                        node = kid.take(node) + right
+                    total += lh.take(node)
                 s = np.power(2.0, -(total / len(packs)) / cpsi) if cpsi > 0 else np.full(m, 0.5)
                 res = pdf[keep].copy()
                 res[out] = s

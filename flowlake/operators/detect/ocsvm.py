@@ -34,7 +34,11 @@ class OcsvmModel:
 
     def _z(self, X: np.ndarray) -> np.ndarray:
         D = self.W.shape[1]
-        return np.sqrt(2.0 / D) * np.cos(X @ self.W + self.b)
+        Z = X @ self.W
+        Z += self.b
+        np.cos(Z, out=Z)
+        Z *= np.sqrt(2.0 / D)
+        return Z
 
     def decision(self, df: DataFrame, keep: tuple = (), out: str = "ocsvm_score") -> DataFrame:
         model = self
@@ -77,7 +81,7 @@ def fit_ocsvm(X: DataFrame, id_col: str, nu: float = 0.1, n_features: int = 128,
         b = rng.uniform(0.0, 2 * np.pi, size=n_features)
         model = OcsvmModel(W, b, np.zeros(n_features), 0.0, features)
 
-        def pass_stats(w, rho):
+        def pass_stats(w, rho, first=False):
             def run(batches):
                 cnt, acc, zsum = 0, np.zeros(n_features), np.zeros(n_features)
                 for pdf in batches:
@@ -86,13 +90,14 @@ def fit_ocsvm(X: DataFrame, id_col: str, nu: float = 0.1, n_features: int = 128,
                         viol = Z @ w < rho
                         cnt += int(viol.sum())
                         acc += Z[viol].sum(axis=0)
-                        zsum += Z.sum(axis=0)
+                        if first:
+                            zsum += Z.sum(axis=0)
                 yield pd.DataFrame({"cnt": [cnt], "acc": [acc.tolist()], "zsum": [zsum.tolist()]})
             rows = data.mapInPandas(run, "cnt long, acc array<double>, zsum array<double>").collect()
             return (sum(r["cnt"] for r in rows), np.sum([r["acc"] for r in rows], axis=0),
                     np.sum([r["zsum"] for r in rows], axis=0))
 
-        _, _, zsum = pass_stats(np.zeros(n_features), -1.0)
+        _, _, zsum = pass_stats(np.zeros(n_features), -1.0, first=True)
         w = zsum / n                       # start at the mean embedding
         rho = 0.0
         for t in range(steps):
