@@ -119,7 +119,7 @@ def fit_dbscan(X: DataFrame, id_col: str, eps: float = 0.5, min_samples: int = 5
     dims = sorted(range(d), key=lambda j: (-(rng[f"r{j}"] or 0.0), j))[:min(max_dims, d)]
     side, e2 = F.lit(eps / math.sqrt(d)), F.lit(eps * eps)
     pts = X.groupBy(features).agg(F.count(F.lit(1)).alias("w"), F.min(id_col).alias("pid"))
-    pts = _with_cell(pts, features, dims, eps).withColumn("fc", F.transform(features, lambda v: F.floor(v / side).cast("long")))
+    pts = _with_cell(pts, features, dims, eps).withColumn("fc", F.transform(features, lambda v: F.when(~F.isnan(v), F.floor(v / side).cast("long"))))
     pts = pts.withColumn("u", F.monotonically_increasing_id()).checkpoint()
     cells = pts.groupBy("fc").agg(
         F.sum("w").alias("weight"), F.min("u").alias("cid"), F.min_by(features, "u").alias("rep"), F.min_by("w", "u").alias("wr"),
@@ -128,8 +128,11 @@ def fit_dbscan(X: DataFrame, id_col: str, eps: float = 0.5, min_samples: int = 5
     P = pts.join(cells.select("fc", "cid", dense.alias("dense")), "fc")
     P = P.select("u", "pid", features, "w", F.when(F.col("dense"), F.col("cid")).otherwise(F.col("u")).alias("unit"), "dense").checkpoint()
 
-    spots = cells.where(dense).select(F.col("cid").alias("u"), F.col("weight").alias("w"), "wr", F.lit(True).alias("dense"), "rep", "lo", "hi")
-    units = spots.unionByName(P.where(~F.col("dense")).select(
+    # vectors that lack a number are near nothing: they stay out of the blocks, and only copies make them core
+    real = lambda c: F.coalesce(F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(False))
+    lone = cells.where(dense & ~real("rep")).select(F.lit(-1).cast("long").alias("block"), F.col("cid").alias("u"), F.col("cid").alias("comp"))
+    spots = cells.where(dense & real("rep")).select(F.col("cid").alias("u"), F.col("weight").alias("w"), "wr", F.lit(True).alias("dense"), "rep", "lo", "hi")
+    units = spots.unionByName(P.where(~F.col("dense") & real(features)).select(
         "u", "w", F.col("w").alias("wr"), "dense", *[F.col(features).alias(c) for c in ("rep", "lo", "hi")]))
     blocks = unitpairs.packed_blocks(units, units.count(), d)
     pairs = unitpairs.near_blocks(blocks, eps)
@@ -145,7 +148,7 @@ def fit_dbscan(X: DataFrame, id_col: str, eps: float = 0.5, min_samples: int = 5
         k = k.join(more.groupBy("u").agg(F.sum("more").alias("more")), "u", "left")
         enough = enough | (F.col("k") + F.coalesce("more", F.lit(0)) >= min_samples)
     blocks = unitpairs.with_cores(blocks, k.where(enough).select("block", "u"), eps)
-    local = blocks.select("block", F.explode(F.arrays_zip("core", "comp")).alias("z")).select("block", "z.core", "z.comp").toDF("block", "u", "comp").checkpoint()
+    local = blocks.select("block", F.explode(F.arrays_zip("core", "comp")).alias("z")).select("block", "z.core", "z.comp").toDF("block", "u", "comp").unionByName(lone).checkpoint()
 
     # components of units: by their known points, then between components by any point of a dense cell
     linked = unitpairs.links(blocks, pairs, eps).checkpoint()

@@ -40,3 +40,13 @@ def test_dbscan_over_many_small_blocks(spark, monkeypatch, eps, least):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
     got = dict(dbscan.fit_dbscan(df, "id", eps, least).labels.collect())
     assert [got[i] for i in range(len(x))] == list(_brute_dbscan(x, eps, least))
+
+
+def test_vectors_without_a_number_disturb_no_others(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 0.1, (60, 2)), rng.uniform(-2, 2, (60, 2))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [(200 + i, [None, None]) for i in range(6)] + [(300, [float("nan"), 0.0]), (301, [None, 1.0]), (302, None)]
+    got = dict(dbscan.fit_dbscan(spark.createDataFrame(rows + odd, "id long, features array<double>"), "id", 0.3, 5).labels.collect())
+    assert [got[i] for i in range(len(x))] == list(_brute_dbscan(x, 0.3, 5))
+    assert [got[200 + i] for i in range(6)] == [200] * 6 and got[300] == got[301] == -1
