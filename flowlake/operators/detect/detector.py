@@ -2,8 +2,9 @@
 
 ``AnomalyDetector(config).fit(df, id_col)`` returns a ``DetectorModel``;
 a model that fails to train is recorded in ``failures`` with its error
-instead of being swallowed.  ``transform`` scores any table with the fitted
-columns and scaler and adds the ensemble vote.
+instead of being swallowed, and ``complete`` refuses such a model where the
+result is meant to hold every detector.  ``transform`` scores any table with the
+fitted columns and scaler and adds the ensemble vote.
 """
 
 from __future__ import annotations
@@ -86,6 +87,13 @@ class DetectorModel:
     def model_names(self) -> list:
         return [m for m in ensemble.DEFAULT_MODEL_ORDER if m in self.models]
 
+    def complete(self) -> DetectorModel:
+        """This model if every configured detector was trained; else an error that names those that failed and why."""
+        missing = [m for m in self.config.models if m not in self.models]
+        if missing:
+            raise RuntimeError("not trained: " + "; ".join(f"{m} ({self.failures.get(m, 'no error recorded').strip()})" for m in missing))
+        return self
+
     def features(self, df: DataFrame) -> DataFrame:
         return self.prep.transform(df, keep=(self.id_col,))
 

@@ -22,7 +22,7 @@ def _packet_table(spark, sf):
 
 def _detector(spark, sf, models):
     p = _packet_table(spark, sf)
-    return AnomalyDetector(DetectorConfig(models=models)).fit(p, "packet_id"), p
+    return AnomalyDetector(DetectorConfig(models=models)).fit(p, "packet_id").complete(), p
 
 
 @plan("isolation_forest")
