@@ -5,8 +5,9 @@ error (M5) and ensemble vote (M7), as if it were fitted alone; no job runs per g
 
 * Preparation: variances as one grouped aggregate, medians and quartiles as exact quantiles by (group, column).
 * Forest: the rows of least ``xxhash64(seed, tree, id)`` in a group are a tree's sample; a task grows one tree.
-* SVM: random Fourier features as in ``ocsvm``, trained on at most ``max_rows`` rows of a group (10,000, the
-  reference's own limit), those of least hash; a group's training is one bounded task.
+* SVM: random Fourier features and subgradient steps as in ``ocsvm``, over every row of a group.  Rows are packed once, a part of a
+  group in a row.  A group of ``ALONE`` rows at most is trained by one task; of larger ones, ``WAVE`` at a time, every step is one pass
+  in which each part gives its violators' sum.  The bar is the exact quantile of all scores of the group.
 * Reconstruction: sums and cross products of a part of a group are added over its parts; the components are the
   leading eigenvectors of that covariance.
 * DBSCAN: the group's number, times more than eps, is one more coordinate, so that it enters every cell key
@@ -33,7 +34,8 @@ from flowlake.operators.encode import clean_number
 from flowlake.operators.quantiles import exact_quantiles
 from flowlake.session import ensure_checkpoint_dir
 
-SVM_ROWS = 10_000               # rows of a group that train its SVM
+ALONE, WAVE = 50_000, 256       # rows of a group that one task trains an SVM on, and larger groups that take their steps together
+PACKS = 8                       # packed parts of groups in a task
 WALK = 1 << 21                  # tree places looked at together
 
 
@@ -119,30 +121,104 @@ def _fourier(d: int, n_features: int, gamma: float, seed: int) -> tuple[np.ndarr
 
 
 def _lift(X: np.ndarray, W: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(2.0 / W.shape[1]) * np.cos(X @ W + b)
-
-
-def _svms(X: DataFrame, cols: list, id_col: str, cfg, max_rows: int) -> DataFrame:
-    """(__g, gamma, w, rho, kept)."""
-    sample = _least(X, ["__g"], F.least(F.col("__n"), F.lit(max_rows)), _unit_hash(cfg.seed, F.lit(-1), F.col(id_col)), id_col)
+    Z = X @ W
+    Z += b
+    np.cos(Z, out=Z)
+    Z *= np.sqrt(2.0 / W.shape[1])
+    return Z
+
+
+def _packed(X: DataFrame, cols: list) -> DataFrame:
+    """(__g, __n, __d, block): the numbers of a part of a group as one row, ``PACKS`` parts a task, checkpointed."""
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"__g": pdf["__g"].iloc[:1], "__n": pdf["__n"].iloc[:1], "__d": pdf["__d"].iloc[:1],
+                             "block": [pdf[cols].to_numpy(dtype="float64").tobytes()]})
+    packs = X.select("__g", "__part", "__n", "__d", *cols).groupBy("__g", "__part").applyInPandas(
+        pack, "__g long, __n long, __d int, block binary").checkpoint()
+    tasks = max(X.sparkSession.sparkContext.defaultParallelism, math.ceil(packs.count() / PACKS))
+    return packs.repartition(tasks).checkpoint()
+
+
+def _kernel(n: int, total: float, squares: float, nonzero: np.ndarray, d: int) -> tuple[np.ndarray, float]:
+    """The columns a group's SVM looks at, of which ``d`` vary, and its gamma by the 'scale' rule."""
+    kept = np.flatnonzero(nonzero) if d < len(nonzero) else np.arange(len(nonzero))
+    m = n * len(kept)
+    var = squares / m - (total / m) ** 2 if m else 0.0
+    return kept, 1.0 / (len(kept) * var) if var > 0 else 1.0
+
+
+class _Steps:
+    """Subgradient steps of one group: what it needs of its rows comes in as sums over all of them."""
+
+    def __init__(self, n: int, gamma: float, kept: np.ndarray, cfg):
+        self.n, self.gamma, self.kept, self.cfg, self.w, self.rho, self.t, self.done = n, gamma, kept, cfg, None, 0.0, 0, cfg.steps == 0
+
+    def take(self, count: int, violators: np.ndarray) -> None:
+        if self.w is None:                  # start at the mean embedding
+            self.w = violators / self.n
+            return
+        eta = 1.0 / (self.t + 2)
+        move = eta * (self.w - violators / (self.cfg.nu * self.n))
+        self.w, self.rho, self.t = self.w - move, self.rho - eta * (count / (self.cfg.nu * self.n) - 1.0), self.t + 1
+        self.done = self.t >= self.cfg.steps or bool(np.linalg.norm(move) <= 2e-3 * np.linalg.norm(self.w))
+
+    def sums(self, Z: np.ndarray) -> tuple[int, np.ndarray]:
+        if self.w is None:
+            return len(Z), Z.sum(axis=0)
+        bad = Z @ self.w < self.rho
+        return int(bad.sum()), Z[bad].sum(axis=0)
+
+
+def _svms(X: DataFrame, cols: list, cfg, alone: int = ALONE, wave: int = WAVE) -> DataFrame:
+    """(__g, gamma, w, kept), trained on every row of each group."""
+    packs, spark = _packed(X, cols), X.sparkSession
+    schema = "__g long, gamma double, w array<double>, kept array<int>"
+    open_ = lambda raw: np.frombuffer(raw).reshape(-1, len(cols))
+    row = lambda g, s: (int(g), float(s.gamma), s.w.tolist(), s.kept.tolist())
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        A = pdf.sort_values("__rn")[cols].to_numpy(dtype="float64")
-        kept = np.flatnonzero(A.any(axis=0)) if pdf["__d"].iloc[0] < len(cols) else np.arange(len(cols))
-        A = A[:, kept]
-        n, var = len(A), A.var() if A.size else 0.0
-        gamma = 1.0 / (len(kept) * var) if var > 0 else 1.0
-        Z = _lift(A, *_fourier(len(kept), cfg.n_features, gamma, cfg.seed))
-        w, rho = Z.sum(axis=0) / n, 0.0
-        for t in range(cfg.steps):
-            bad, eta = Z @ w < rho, 1.0 / (t + 2)
-            move = eta * (w - Z[bad].sum(axis=0) / (cfg.nu * n))
-            w, rho = w - move, rho - eta * (bad.sum() / (cfg.nu * n) - 1.0)
-            if np.linalg.norm(move) <= 2e-3 * np.linalg.norm(w):
-                break
-        return pd.DataFrame({"__g": [pdf["__g"].iloc[0]], "gamma": [gamma], "w": [w.tolist()], "rho": [float(np.quantile(Z @ w, cfg.nu))],
-                             "kept": [kept.tolist()]})
-    return sample.select("__g", "__d", "__rn", *cols).groupBy("__g").applyInPandas(train, "__g long, gamma double, w array<double>, rho double, kept array<int>")
+        A = np.concatenate([open_(x) for x in pdf["block"]])
+        kept, gamma = _kernel(len(A), A.sum(), (A * A).sum(), A.any(axis=0), int(pdf["__d"].iloc[0]))
+        s, Z = _Steps(len(A), gamma, kept, cfg), _lift(A[:, kept], *_fourier(len(kept), cfg.n_features, gamma, cfg.seed))
+        while s.w is None or not s.done:
+            s.take(*s.sums(Z))
+        return pd.DataFrame([row(pdf["__g"].iloc[0], s)], columns=["__g", "gamma", "w", "kept"])
+    out = packs.where(F.col("__n") <= alone).groupBy("__g").applyInPandas(train, schema)
+
+    def first(batches):
+        for pdf in batches:
+            for g, raw in zip(pdf["__g"], pdf["block"], strict=True):
+                A = open_(raw)
+                yield pd.DataFrame({"__g": [g], "s": [A.sum()], "ss": [(A * A).sum()], "nz": [A.any(axis=0).astype(int).tolist()]})
+    large = packs.where(F.col("__n") > alone)
+    sizes = large.groupBy("__g").agg(F.first("__n").alias("n"), F.first("__d").alias("d")).orderBy("__g").collect()      # a row per large group
+    for i in range(0, len(sizes), wave):
+        state, own = {}, large.where(F.col("__g").isin([r["__g"] for r in sizes[i:i + wave]]))
+        stats = own.mapInPandas(first, "__g long, s double, ss double, nz array<int>").groupBy("__g").agg(
+            F.sum("s").alias("s"), F.sum("ss").alias("ss"), *[F.max(F.col("nz")[j]).alias(f"z{j}") for j in range(len(cols))])
+        seen = {r["__g"]: r for r in stats.collect()}
+        for r in sizes[i:i + wave]:
+            st = seen[r["__g"]]
+            kept, gamma = _kernel(r["n"], st["s"], st["ss"], np.array([st[f"z{j}"] for j in range(len(cols))]), r["d"])
+            state[r["__g"]] = _Steps(r["n"], gamma, kept, cfg)
+        while going := {g: s for g, s in state.items() if s.w is None or not s.done}:
+            def step(batches, going=going):
+                sums, kernels = {}, {}
+                for pdf in batches:
+                    for g, raw in zip(pdf["__g"], pdf["block"], strict=True):
+                        s = going[g]
+                        if g not in kernels:
+                            kernels[g] = _fourier(len(s.kept), cfg.n_features, s.gamma, cfg.seed)
+                        count, acc = s.sums(_lift(open_(raw)[:, s.kept], *kernels[g]))
+                        sums[g] = (sums[g][0] + count, sums[g][1] + acc) if g in sums else (count, acc)
+                yield pd.DataFrame([(int(g), c, a.tolist()) for g, (c, a) in sums.items()], columns=["__g", "count", "acc"])
+            found: dict = {}
+            for r in own.where(F.col("__g").isin(list(going))).mapInPandas(step, "__g long, count long, acc array<double>").collect():
+                found.setdefault(r["__g"], []).append(r)
+            for g, rows in found.items():
+                state[g].take(sum(r["count"] for r in rows), np.sum([r["acc"] for r in rows], axis=0))
+        out = out.unionByName(spark.createDataFrame([row(g, s) for g, s in state.items()], schema))
+    return out
 
 
 def _components(X: DataFrame, cols: list, cfg) -> DataFrame:
@@ -166,7 +242,7 @@ def _components(X: DataFrame, cols: list, cfg) -> DataFrame:
 
 
 def fit_detectors_per_group(df: DataFrame, group: str, id_col: str, columns: list, config: DetectorConfig | None = None,
-                            rows_per_task: int = 20_000, svm_rows: int = SVM_ROWS) -> DataFrame:
+                            rows_per_task: int = 20_000) -> DataFrame:
     """One row per input row: group, id, a vote (1 normal, -1 anomaly) of each model in ``config.models``, ensemble.
 
     ``id_col`` is a whole number, unique in its group.  Values that are missing or no number count as 0.  Rows without a
@@ -184,7 +260,7 @@ def fit_detectors_per_group(df: DataFrame, group: str, id_col: str, columns: lis
         return X.select(group, id_col, *[F.lit(1).alias(m) for m in [*names, "ensemble"]])
     row_wise = [m for m in names if m != "dbscan"]
     made = {"isolation_forest": lambda: grown_forests(X, cols, id_col, cfg.isolation_forest),
-            "one_class_svm": lambda: _svms(X, cols, id_col, cfg.one_class_svm, svm_rows),
+            "one_class_svm": lambda: _svms(X, cols, cfg.one_class_svm),
             "autoencoder": lambda: _components(X, cols, cfg.autoencoder)}
     models = X.groupBy("__g").agg(F.first("__n").alias("__n")).select("__g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("__part"))
     for m in row_wise:
@@ -199,7 +275,8 @@ def fit_detectors_per_group(df: DataFrame, group: str, id_col: str, columns: lis
         if "one_class_svm" in row_wise:
             kept = np.asarray(m["kept"], dtype=int)
             svm = cfg.one_class_svm
-            out["one_class_svm"] = _lift(A[:, kept], *_fourier(len(kept), svm.n_features, m["gamma"], svm.seed)) @ np.asarray(m["w"]) - m["rho"]
+            score = _lift(A[:, kept], *_fourier(len(kept), svm.n_features, m["gamma"], svm.seed)) @ np.asarray(m["w"])
+            out["one_class_svm"] = np.round(score, 12)          # equal rows score the same wherever they stand in a part
         if "autoencoder" in row_wise:
             P, R = np.asarray(m["axes"]).reshape(len(cols), -1), A - np.asarray(m["mean"])
             R = R - (R @ P) @ P.T
@@ -208,13 +285,13 @@ def fit_detectors_per_group(df: DataFrame, group: str, id_col: str, columns: lis
     schema = ", ".join(["__g long", f"`{id_col}` {kind}", *[f"{m} double" for m in row_wise]])
     models = models.withColumnsRenamed({"__g": "__mg", "__part": "__mpart"})
     scored = X.groupBy("__g", "__part").cogroup(models.groupBy("__mg", "__mpart")).applyInPandas(score, schema).checkpoint()
-    limits = {"isolation_forest": cfg.isolation_forest.contamination, "autoencoder": cfg.autoencoder.percentile / 100.0}
-    for m in row_wise:
-        if m in limits:         # one number per group
-            bar = exact_quantiles(scored, m, [limits[m]], by=["__g"], names=[f"__{m}"])
-            scored = scored.join(bar, "__g")
+    limits = {"isolation_forest": cfg.isolation_forest.contamination, "one_class_svm": cfg.one_class_svm.nu, "autoencoder": cfg.autoencoder.percentile / 100.0}
+    rows = scored
+    for m in row_wise:          # one number per group
+        bar = exact_quantiles(rows, m, [limits[m]], by=["__g"], names=[f"__{m}"])
+        scored = scored.join(bar, "__g")
     away = {"isolation_forest": lambda: F.col("isolation_forest") < F.col("__isolation_forest"),
-            "one_class_svm": lambda: F.col("one_class_svm") < 0,
+            "one_class_svm": lambda: F.col("one_class_svm") < F.col("__one_class_svm"),
             "autoencoder": lambda: F.col("autoencoder") > F.col("__autoencoder")}
     votes = scored.select("__g", id_col, *[F.when(away[m](), -1).otherwise(1).alias(m) for m in row_wise])
     if "dbscan" in names:

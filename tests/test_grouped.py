@@ -92,3 +92,19 @@ def test_near_boxes_equal_brute_force(spark, d, eps):
             if (gap ** 2).sum() <= eps * eps:
                 want.append((i, j, i % 5 + 1, j % 5 + 1, bool((np.maximum(hi[j] - lo[i], hi[i] - lo[j]) ** 2).sum() <= eps * eps)))
     assert got == sorted(want) and near_boxes(df.limit(0), eps).count() == 0
+
+
+@pytest.mark.parametrize("alone, wave", [(50_000, 256), (500, 1)])
+def test_svm_of_a_large_group_is_trained_on_all_rows(spark, monkeypatch, alone, wave):
+    """12,000 rows a group: one task's training, the passes over large groups and the SVM of that group alone agree."""
+    from flowlake.operators.detect import grouped
+    monkeypatch.setattr(grouped._svms, "__defaults__", (alone, wave))
+    df = spark.range(24_000).select("id", (F.col("id") % 2).alias("g"), *[(F.randn(i) * (F.col("id") % 2 + 1)).alias(c) for i, c in enumerate(COLS)]).checkpoint()
+    cfg = DetectorConfig(models=("one_class_svm",))
+    mine = fit_detectors_per_group(df, "g", "id", COLS, cfg, rows_per_task=5000).toPandas().set_index("id")["one_class_svm"]
+    assert len(mine) == 24_000
+    for g in (0, 1):
+        X = prepare(df.where(F.col("g") == g), "g", "id", COLS).select("id", F.array("x0", "x1", "x2").alias("features")).checkpoint()
+        c = cfg.one_class_svm
+        alone_ = ocsvm.fit_ocsvm(X, "id", c.nu, c.n_features, c.steps, c.seed).predict(X, keep=("id",)).toPandas().set_index("id")["one_class_svm"]
+        assert (alone_ == -1).sum() == 1200 and (mine.loc[alone_.index] != alone_).sum() <= 1
