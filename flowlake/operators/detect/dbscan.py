@@ -138,7 +138,7 @@ def fit_dbscan(X: DataFrame, id_col: str, eps: float = 0.5, min_samples: int = 5
     pairs = unitpairs.near_blocks(blocks, eps)
 
     # counts; only points that they leave undecided look into the cells which the distance crosses
-    k = unitpairs.counts(blocks, pairs, eps).checkpoint()
+    k = unitpairs.counts(blocks, pairs, eps, min_samples).checkpoint()
     enough, more = F.col("least") >= min_samples, None
     probe = k.where(~enough & (F.col("crossing") > 0)).select("block", "u")
     if not probe.isEmpty():

@@ -36,6 +36,7 @@ from flowlake.session import ensure_checkpoint_dir
 
 ALONE, WAVE = 50_000, 256       # rows of a group that one task trains an SVM on, and larger groups that take their steps together
 PACKS = 8                       # packed parts of groups in a task
+TASK_ROWS, FEW_GROUPS = 500_000, 10_000         # rows of the prepared table in a task; groups whose numbers, some 500 bytes each, are broadcast
 WALK = 1 << 21                  # tree places looked at together
 
 
@@ -58,6 +59,8 @@ def prepare(df: DataFrame, group: str, id_col: str, columns: list) -> DataFrame:
     """
     own = [f"x{i}" for i in range(len(columns))]
     clean = df.select(group, id_col, *[clean_number(F.col(f"`{c}`")).alias(x) for c, x in zip(columns, own, strict=True)])
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / TASK_ROWS))
+    clean = clean.repartition(tasks, id_col).checkpoint()       # read by every pass of the quantiles; few bytes would be drawn into few tasks
     long = clean.select(group, F.explode(F.array(*[F.struct(F.lit(x).alias("column"), F.col(x).alias("value")) for x in own])).alias("s")) \
         .select(group, "s.column", "s.value")
     q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by=[group, "column"], names=["q1", "med", "q3"])
@@ -65,7 +68,7 @@ def prepare(df: DataFrame, group: str, id_col: str, columns: list) -> DataFrame:
     q = q.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("med", scale.alias("scale"))))).alias("__q"))
     stats = clean.groupBy(group).agg(F.count(F.lit(1)).alias("__n"), F.array(*[F.coalesce(F.var_samp(x) != 0, F.lit(True)) for x in own]).alias("__varies"))
     stats = stats.join(q, group).withColumn("__g", F.monotonically_increasing_id()).checkpoint()
-    out = clean.join(stats, group)
+    out = clean.join(F.broadcast(stats) if stats.count() <= FEW_GROUPS else stats, group)        # else a few groups would make a few tasks
     scaled = [F.when(F.col("__varies")[i], (F.col(x) - F.col("__q")[x]["med"]) / F.col("__q")[x]["scale"]).otherwise(0.0).alias(x)
               for i, x in enumerate(own)]
     return out.select(group, id_col, *scaled, "__n", "__g", F.size(F.filter("__varies", lambda v: v)).alias("__d"))
@@ -75,8 +78,8 @@ def grown_forests(X: DataFrame, cols: list, id_col: str, cfg) -> DataFrame:
     """(__g, forest): the nodes of all trees of a group as one row of arrays."""
     size = F.least(F.col("__n"), F.lit(cfg.max_samples))
     thr = F.lit(4.0) * size / F.col("__n") + 64.0 / F.col("__n")
-    cand = X.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(cfg.n_trees - 1)),
-                                                   lambda t: _unit_hash(cfg.seed, t, F.col(id_col)) < thr)))
+    cand = X.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(cfg.n_trees - 1)))).where(     # compiled, unlike a filter inside an array
+        _unit_hash(cfg.seed, F.col("tree"), F.col(id_col)) < thr)
     sample = _least(cand, ["__g", "tree"], size, _unit_hash(cfg.seed, F.col("tree"), F.col(id_col)), id_col)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -93,24 +96,30 @@ def grown_forests(X: DataFrame, cols: list, id_col: str, cfg) -> DataFrame:
 
 
 def walk(X: np.ndarray, forest: list) -> np.ndarray:
-    """Anomaly scores 2^(-mean height / c(psi)), all trees together."""
-    begin = np.concatenate([[0], np.cumsum([len(t["feature"]) for t in forest])[:-1]])
-    cat = lambda c: np.concatenate([np.asarray(t[c]) for t in forest])
-    shift = np.repeat(begin, [len(t["feature"]) for t in forest])
-    fe, sp, le, ri, h = cat("feature"), cat("split"), cat("left") + shift, cat("right") + shift, cat("height")
+    """Anomaly scores 2^(-mean height / c(psi)); a tree's siblings stand side by side, so that a step is one comparison."""
     c = float(avg_path([forest[0]["psi"]])[0])
     if c <= 0:
         return np.full(len(X), 0.5)
+    packs = []
+    for t in forest:
+        left, right, inner = np.asarray(t["left"]), np.asarray(t["right"]), np.asarray(t["feature"]) >= 0
+        n, kids = len(inner), np.flatnonzero(inner)
+        at = np.zeros(n, dtype="int64")
+        at[left[kids]], at[right[kids]] = 2 * np.arange(len(kids)) + 1, 2 * np.arange(len(kids)) + 2
+        fe, sp, kid, h = np.zeros(n, dtype="int64"), np.full(n, np.nan), np.arange(n), np.empty(n)
+        fe[at[kids]], sp[at[kids]], kid[at[kids]] = np.asarray(t["feature"])[kids], np.asarray(t["split"])[kids], at[left[kids]]
+        h[at] = np.asarray(t["height"])
+        packs.append((fe, sp, kid, h, t["depth"]))          # a leaf's split is no number: nothing is beyond it, it leads to itself
     out, step = np.empty(len(X)), max(1, WALK // len(forest))
     for i in range(0, len(X), step):
-        rows = X[i:i + step]
-        node = np.broadcast_to(begin, (len(rows), len(begin))).copy()
-        at = np.arange(len(rows))[:, None]
-        for _ in range(max(t["depth"] for t in forest)):
-            f = fe[node]
-            go = rows[at, np.maximum(f, 0)] < sp[node]
-            node = np.where(f >= 0, np.where(go, le[node], ri[node]), node)
-        out[i:i + step] = np.power(2.0, -h[node].mean(axis=1) / c)
+        rows = np.where(np.isnan(X[i:i + step]), np.inf, X[i:i + step])         # on the right of every split, as no number is
+        base, flat, heights = np.arange(len(rows)) * rows.shape[1], rows.ravel(), np.empty((len(rows), len(packs)))
+        for j, (fe, sp, kid, h, depth) in enumerate(packs):
+            node = np.zeros(len(rows), dtype="int64")
+            for _ in range(depth):
+                node = kid.take(node) + (flat.take(base + fe.take(node)) >= sp.take(node))
+            heights[:, j] = h.take(node)
+        out[i:i + step] = np.power(2.0, -heights.mean(axis=1) / c)
     return out
 
 
@@ -253,7 +262,8 @@ def fit_detectors_per_group(df: DataFrame, group: str, id_col: str, columns: lis
     cols = [f"x{i}" for i in range(len(columns))]
     parts = F.ceil(F.col("__n") / rows_per_task).cast("int")
     X = prepare(df.where(F.col(group).isNotNull()), group, id_col, columns)
-    X = X.withColumn("__part", F.pmod(F.xxhash64(id_col), parts).cast("int")).withColumn("__row", F.monotonically_increasing_id()).checkpoint()
+    X = X.withColumn("__part", F.pmod(F.xxhash64(id_col), parts).cast("int")).withColumn("__row", F.monotonically_increasing_id())
+    X = X.checkpoint()
     names = [m for m in ensemble.DEFAULT_MODEL_ORDER if m in cfg.models]
     kind = X.schema[id_col].dataType.simpleString()
     if X.isEmpty():

@@ -3,7 +3,8 @@
 A unit is a point of a sparse cell, or a dense cell as its box with one of its points (``rep``).  Units are dealt by
 a tree of median cuts to blocks of ``BYTES`` at most; a block travels as one row of packed numbers and a task holds two.
 Inside, parts of ``boxjoin.BLOCK`` units meet only if their boxes do.  Neighbours are counted and links merged where they are
-found, so what leaves a task is a row per unit or per pair of components, never the pairs within the distance.
+found, so what leaves a task is a row per unit or per pair of components, never the pairs within the distance.  A point whose own part
+or block already shows enough neighbours looks no further, and parts that are one component are not compared again.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from flowlake.operators.detect.boxjoin import BLOCK, SAMPLE, _cuts, _gap2, _leaf_of, _parts
 
 BYTES, FEWEST = 8 << 20, 16     # of a block, and the blocks that a table is cut into where they are large enough
+ROWS = 2048                     # units looked at together against the parts of a block
 FIELDS = "block long, blo array<double>, bhi array<double>, points int, starts array<int>, u binary, w binary, wr binary, rep binary, lo binary, hi binary"
 
 
@@ -118,13 +120,27 @@ def _open(pdf: pd.DataFrame) -> SimpleNamespace:
     return b
 
 
+def _boxes(b) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([p[2] for p in b.parts]), np.array([p[3] for p in b.parts])
+
+
 def _touching(a, b, e2: float):
     """Parts (s, e) of ``a`` and (t, f) of ``b`` whose boxes lie within the distance; one order only inside one block."""
-    for k, (s, e, lo, hi) in enumerate(a.parts):
-        for t, f, lo2, hi2 in b.parts[k if a is b else 0:]:
-            g = np.maximum(np.maximum(lo2 - hi, lo - hi2), 0.0)
-            if (g * g).sum() <= e2 * (1 + 1e-12):
-                yield s, e, t, f
+    near = _gap2(*_boxes(a), *_boxes(b)) <= e2 * (1 + 1e-12)
+    if a is b:
+        near &= np.tri(len(a.parts), dtype=bool).T
+    for k, j in zip(*np.nonzero(near), strict=True):
+        yield *a.parts[k][:2], *b.parts[j][:2]
+
+
+def _beside_parts(p, rows: np.ndarray, q, e2: float):
+    """Units ``rows`` of ``p`` and each part (t, f) of ``q`` whose box they lie near, ``ROWS`` units at a time."""
+    lo, hi = _boxes(q)
+    for i in range(0, len(rows), ROWS):
+        at = rows[i:i + ROWS]
+        near = _gap2(p.rep[at], p.rep[at], lo, hi) <= e2 * (1 + 1e-12)
+        for j in np.flatnonzero(near.any(axis=0)):
+            yield at[near[:, j]], *q.parts[j][:2]
 
 
 def _pair(one: pd.DataFrame, two: pd.DataFrame) -> tuple:
@@ -133,42 +149,70 @@ def _pair(one: pd.DataFrame, two: pd.DataFrame) -> tuple:
     return (first, first) if a["block"].iat[0] == b["block"].iat[0] else (first, _open(pd.DataFrame(b)))
 
 
-def counts(blocks: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
+def _add(p, rows: np.ndarray, q, t: int, f: int, sums: np.ndarray, e2: float) -> None:
+    """Adds what points ``rows`` of ``p`` find in the part (t, f) of ``q`` to their ``sums``."""
+    if t < q.points:
+        sums[:2, rows] += _near2(p.rep[rows], q.rep[t:f], e2) @ q.w[t:f]
+        return
+    gap = _gap2(p.rep[rows], p.rep[rows], q.lo[t:f], q.hi[t:f]) <= e2
+    full = gap & (_span2_all(p.rep[rows], p.rep[rows], q.lo[t:f], q.hi[t:f]) <= e2)
+    some = gap & ~full
+    sums[0, rows] += full @ q.w[t:f]
+    sums[2, rows] += some.sum(axis=1)
+    sums[1, rows] += full @ q.w[t:f] + (some & _near2(p.rep[rows], q.rep[t:f], e2)) @ q.wr[t:f]
+
+
+def _alone(blocks: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on each block, over as many tasks as there are blocks."""
+    return blocks.repartition(max(1, min(4096, blocks.count())), "block").groupBy("block").applyInPandas(work, schema)
+
+
+def counts(blocks: DataFrame, pairs: DataFrame, eps: float, enough: int | None = None) -> DataFrame:
     """(block, u, k, least, crossing) for every point unit: the weight of points and whole dense cells within ``eps``, that
-    weight with the points known in cells which the distance crosses, and the number of these cells."""
-    e2 = eps * eps
+    weight with the points known in cells which the distance crosses, and the number of these cells.
 
-    def work(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+    With ``enough``, a point whose ``least`` has reached it stops there: its numbers may then be smaller than the whole."""
+    e2, bar = eps * eps, math.inf if enough is None else enough
+    names = ["block", "u", "k", "least", "crossing"]
+    schema = "block long, u long, k long, least long, crossing long"
+
+    def rows_of(x, rows, sums):
+        return pd.DataFrame({"block": x.id, "u": x.u[rows], **{c: v[rows] for c, v in zip(names[2:], sums, strict=True)}}, columns=names)
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = _open(pdf)
+        sums = np.zeros((3, len(a.u)), dtype=np.int64)
+        own = np.zeros(len(a.u), dtype=np.int64)
+        for s, e, *_ in a.parts:            # the own part first: it decides most points
+            own[s:e] = s
+            if s < a.points:
+                _add(a, np.arange(s, e), a, s, e, sums, e2)
+        left = np.flatnonzero(sums[1, :a.points] < bar)
+        for rows, t, f in _beside_parts(a, left, a, e2):
+            rows = rows[(own[rows] != t) & (sums[1, rows] < bar)]
+            if len(rows):
+                _add(a, rows, a, t, f, sums, e2)
+        return rows_of(a, np.arange(a.points), sums)
+
+    def across(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         a, b = _pair(one, two)
-        sums = {id(x): np.zeros((3, len(x.u)), dtype=np.int64) for x in (a, b)}
-
-        def beside(p, s, e, c, t, f):           # points of p beside dense cells of c
-            gap = _gap2(p.rep[s:e], p.rep[s:e], c.lo[t:f], c.hi[t:f]) <= e2
-            full = gap & (_span2_all(p.rep[s:e], p.rep[s:e], c.lo[t:f], c.hi[t:f]) <= e2)
-            some, out = gap & ~full, sums[id(p)]
-            out[0, s:e] += full @ c.w[t:f]
-            out[2, s:e] += some.sum(axis=1)
-            out[1, s:e] += full @ c.w[t:f] + (some & _near2(p.rep[s:e], c.rep[t:f], e2)) @ c.wr[t:f]
-        for s, e, t, f in _touching(a, b, e2):
-            pa, pb = s < a.points, t < b.points
-            if pa and pb:
-                near = _near2(a.rep[s:e], b.rep[t:f], e2)
-                out = near @ b.w[t:f]
-                sums[id(a)][:2, s:e] += out
-                if not (a is b and s == t):
-                    sums[id(b)][:2, t:f] += a.w[s:e] @ near
-            elif pa:
-                beside(a, s, e, b, t, f)
-            elif pb:
-                beside(b, t, f, a, s, e)
-        made = []
-        for x in ((a,) if a is b else (a, b)):
-            v = sums[id(x)][:, :x.points]
-            keep = np.ones(x.points, dtype=bool) if a is b else v.any(axis=0)
-            made.append(pd.DataFrame({"block": x.id, "u": x.u[:x.points][keep], "k": v[0][keep], "least": v[1][keep], "crossing": v[2][keep]}))
+        made = [pd.DataFrame({c: [] for c in names}, dtype="int64")]
+        for p, q in ((a, b), (b, a)):
+            sums, left = np.zeros((3, len(p.u)), dtype=np.int64), np.flatnonzero(np.isin(p.u[:p.points], p.probe))
+            for rows, t, f in _beside_parts(p, left, q, e2):
+                rows = rows[sums[1, rows] < bar]
+                if len(rows):
+                    _add(p, rows, q, t, f, sums, e2)
+            made.append(rows_of(p, left[sums[:, left].any(axis=0)], sums))
         return pd.concat(made, ignore_index=True)
-    return _over(blocks, pairs, work, "block long, u long, k long, least long, crossing long").groupBy("block", "u").agg(
-        *[F.sum(c).alias(c) for c in ("k", "least", "crossing")])
+    first = _alone(blocks, inside, schema).checkpoint()
+    more = first if enough is None else first.where(F.col("least") < enough)
+    open_ = more.groupBy("block").agg(F.collect_list("u").alias("probe")).checkpoint()
+    given, some = blocks.join(open_, "block", "left"), open_.select("block")
+    apart = pairs.where("block <> block2").join(some.withColumn("one", F.lit(True)), "block", "left").join(
+        some.select(F.col("block").alias("block2"), F.lit(True).alias("two")), "block2", "left")
+    apart = apart.where("one or two").select("block", "block2").checkpoint()
+    return first.unionByName(_over(given, apart, across, schema)).groupBy("block", "u").agg(*[F.sum(c).alias(c) for c in names[2:]])
 
 
 def crossed_cells(blocks: DataFrame, pairs: DataFrame, probe: DataFrame, eps: float) -> DataFrame:
@@ -199,7 +243,7 @@ class _Sets:
     """Disjoint sets over 0..n-1; the least number is the root."""
 
     def __init__(self, n: int):
-        self.up = np.arange(n)
+        self.up, self.joined = np.arange(n), 0
 
     def roots(self, x: np.ndarray) -> np.ndarray:
         r = self.up[x]
@@ -216,6 +260,7 @@ class _Sets:
                 j = self.up[j]
             if i != j:
                 self.up[max(i, j)] = min(i, j)
+                self.joined += 1
 
 
 def _merge(sets: _Sets, x: np.ndarray, y: np.ndarray, near: np.ndarray) -> None:
@@ -236,16 +281,51 @@ def _merge(sets: _Sets, x: np.ndarray, y: np.ndarray, near: np.ndarray) -> None:
     sets.join(y, x[col])
 
 
+def _core_parts(x) -> dict:
+    """The core units of each part that has any, by the part's begin."""
+    return {s: s + np.flatnonzero(x.is_core[s:e]) for s, e, *_ in x.parts if x.is_core[s:e].any()}
+
+
+def _box(x, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x.lo[rows].min(axis=0), x.hi[rows].max(axis=0)
+
+
+def _unlike(x: np.ndarray, y: np.ndarray):
+    """Numbers of rows of ``x`` and of ``y`` that hold every pair of unequal ones; the commonest value meets no other of its own."""
+    names, n = np.unique(np.concatenate([x, y]), return_counts=True)
+    i, j = x != names[n.argmax()], y != names[n.argmax()]
+    if i.any():
+        yield np.flatnonzero(i), np.arange(len(y))
+    if j.any() and not i.all():
+        yield np.flatnonzero(~i), np.flatnonzero(j)
+
+
+def _near_part(x, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, e2: float) -> np.ndarray:
+    """Which units ``rows`` of ``x`` have a box near the box of a part."""
+    return _gap2(x.lo[rows], x.hi[rows], lo[None], hi[None])[:, 0] <= e2 * (1 + 1e-12)
+
+
 def _link(a, b, la, lb, sets: _Sets, e2: float) -> None:
     """Joins the sets ``la`` and ``lb`` of the core units of two blocks by their points ``rep``."""
+    ca, cb = _core_parts(a), _core_parts(b)
+    most = len(np.unique(np.concatenate([la[a.is_core], lb[b.is_core]]))) - 1          # joins that make one set of all
+    one: dict = {}              # parts whose units are one set, which stays so
     for s, e, t, f in _touching(a, b, e2):
-        i, j = s + np.flatnonzero(a.is_core[s:e]), t + np.flatnonzero(b.is_core[t:f])
-        if not len(i) or not len(j):
+        if sets.joined >= most:
+            return
+        if s not in ca or t not in cb:
             continue
-        x, y = sets.roots(la[i]), sets.roots(lb[j])
-        if x.min() == x.max() == y.min() == y.max():
+        i, j = ca[s], cb[t]
+        x, y = (sets.roots(l[k][:1] if one.get((n, p)) else l[k]) for l, k, n, p in ((la, i, 0, s), (lb, j, 1, t)))
+        one[0, s], one[1, t] = x.min() == x.max(), y.min() == y.max()
+        if one[0, s] and one[1, t] and x[0] == y[0]:
             continue
-        _merge(sets, x, y, _near2(a.rep[i], b.rep[j], e2))
+        x, y = (np.broadcast_to(v, len(k)) for v, k in ((x, i), (y, j)))
+        for u, v in _unlike(x, y):
+            u = u[_near_part(a, i[u], *_box(b, j[v]), e2)]
+            v = v[_near_part(b, j[v], *_box(a, i[u]), e2)] if len(u) else v
+            if len(u) and len(v):
+                _merge(sets, sets.roots(x[u]), sets.roots(y[v]), _near2(a.rep[i[u]], b.rep[j[v]], e2))
 
 
 def with_cores(blocks: DataFrame, core: DataFrame, eps: float) -> DataFrame:
@@ -260,7 +340,7 @@ def with_cores(blocks: DataFrame, core: DataFrame, eps: float) -> DataFrame:
         k = np.flatnonzero(a.is_core)
         return pdf.assign(core=[a.u[k].tolist()], comp=[a.u[sets.roots(k)].tolist()])
     given = blocks.join(core.groupBy("block").agg(F.collect_list("u").alias("core")), "block", "left")
-    return given.groupBy("block").applyInPandas(work, FIELDS + ", core array<long>, comp array<long>").checkpoint()
+    return _alone(given, work, FIELDS + ", core array<long>, comp array<long>").checkpoint()
 
 
 def links(blocks: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
@@ -279,14 +359,12 @@ def links(blocks: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
             up = sets.roots(at)
             moved = up != at
             made.append(pd.DataFrame({"a": names[moved], "b": names[up[moved]]}).assign(border=False))
-        for s, e, t, f in _touching(a, b, e2):
-            if s >= a.points or t >= b.points:
-                continue
-            for p, ps, pe, q, qs, qe in ((a, s, e, b, t, f), (b, t, f, a, s, e))[:1 if a is b and s == t else 2]:
-                i, j = ps + np.flatnonzero(~p.is_core[ps:pe]), qs + np.flatnonzero(q.is_core[qs:qe])
-                if len(i) and len(j):
-                    x, y = np.nonzero(_near2(p.rep[i], q.rep[j], e2))
-                    made.append(pd.DataFrame({"a": p.u[i[x]], "b": q.u[j[y]]}).assign(border=True))
+        for p, q in ((a, b), (b, a))[:1 if a is b else 2]:
+            cores = _core_parts(q)
+            for i, t, _ in _beside_parts(p, np.flatnonzero(~p.is_core), q, e2):
+                if t in cores and t < q.points:
+                    x, y = np.nonzero(_near2(p.rep[i], q.rep[cores[t]], e2))
+                    made.append(pd.DataFrame({"a": p.u[i[x]], "b": q.u[cores[t][y]]}).assign(border=True))
         return pd.concat(made, ignore_index=True)
     return _over(blocks, pairs, work, "a long, b long, border boolean")
 
@@ -299,16 +377,22 @@ def open_pairs(blocks: DataFrame, pairs: DataFrame, whole: DataFrame, eps: float
     def work(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         a, b = _pair(one, two)
         made = [pd.DataFrame({"c": [], "n": []}, dtype="int64")]
+        ca, cb = _core_parts(a), _core_parts(b)
+        span = lambda x, k: (x.label[k].min(), x.label[k].max())
+        la, lb = {s: span(a, k) for s, k in ca.items()}, {t: span(b, k) for t, k in cb.items()}
+        if len({v for x in (*la.values(), *lb.values()) for v in x}) < 2:
+            return made[0]
         for s, e, t, f in _touching(a, b, e2):
-            if s < a.points and t < b.points:
-                continue
-            i, j = s + np.flatnonzero(a.is_core[s:e]), t + np.flatnonzero(b.is_core[t:f])
-            if not len(i) or not len(j):
+            if (s < a.points and t < b.points) or s not in ca or t not in cb or len({*la[s], *lb[t]}) < 2:
                 continue
-            apart = a.label[i][:, None] != b.label[j][None, :]
-            if apart.any():
-                x, y = np.nonzero(apart & (_gap2(a.lo[i], a.hi[i], b.lo[j], b.hi[j]) <= e2))
-                made.append(pd.DataFrame({"c": a.u[i[x]], "n": b.u[j[y]]}))
+            i, j = ca[s], cb[t]
+            for u, v in _unlike(a.label[i], b.label[j]):
+                u = u[_near_part(a, i[u], *_box(b, j[v]), e2)]
+                v = v[_near_part(b, j[v], *_box(a, i[u]), e2)] if len(u) else v
+                if len(u) and len(v):
+                    iu, jv = i[u], j[v]
+                    x, y = np.nonzero((a.label[iu][:, None] != b.label[jv][None, :]) & (_gap2(a.lo[iu], a.hi[iu], b.lo[jv], b.hi[jv]) <= e2))
+                    made.append(pd.DataFrame({"c": a.u[iu[x]], "n": b.u[jv[y]]}))
         return pd.concat(made, ignore_index=True)
     lists = whole.groupBy("block").agg(F.collect_list(F.struct("u", "comp")).alias("__l"))
     given = blocks.drop("core", "comp").join(lists.select("block", F.col("__l.u").alias("core"), F.col("__l.comp").alias("comp")), "block", "left")

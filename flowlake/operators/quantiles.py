@@ -46,6 +46,12 @@ def bucket_of(value, bounds: Sequence[float]):
     return node(0, len(b)).cast("int"), b
 
 
+def _below(bounds: str, value: str):
+    """How many of the sorted ``bounds`` (1,023 at most) lie strictly below ``value``, by halving."""
+    step = lambda at, s: F.when(F.get(bounds, at + s - 1) < F.col(value), at + s).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(9, -1, -1)]), F.lit(0), step)
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                     by: Sequence[str] = (), buckets: int = 64,
                     names: Sequence[str] | None = None, max_groups: int = 10_000,
@@ -105,7 +111,7 @@ def _exact_quantiles_eager(df, value_col, probs, by, buckets, names, max_groups,
         bdf = spark.createDataFrame([tuple(r[k] for k in keys) + ([float(x) for x in r["bnd"]],) for r in rows],
                                     bschema)
         tagged = (vals.join(F.broadcast(bdf), keys)      # one row per group, at most max_groups
-                      .withColumn("bucket", F.size(F.filter("bnd", lambda b: b < F.col("v")))).drop("bnd"))
+                      .withColumn("bucket", _below("bnd", "v")).drop("bnd"))
     # pass 2: exact bucket sizes (groups x buckets rows)
     sizes: dict = {}
     for r in tagged.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("c")).collect():
@@ -223,7 +229,7 @@ def _exact_quantiles_lazy(df: DataFrame, value_col: str, probs: Sequence[float],
     vc = vals.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
     ap = F.broadcast(approx) if not by else approx  # one row when there is no group
     vc = (vc.join(ap.select(*keys, "bnd"), keys)
-            .withColumn("bucket", F.size(F.filter("bnd", lambda b: b < F.col("v"))))
+            .withColumn("bucket", _below("bnd", "v"))
             .drop("bnd"))
 
     bsize = vc.groupBy(*keys, "bucket").agg(F.sum("c").alias("bn"))
@@ -252,7 +258,7 @@ def _exact_quantiles_lazy(df: DataFrame, value_col: str, probs: Sequence[float],
              .agg(F.percentile_approx("v", F.array(*[F.lit(x) for x in fracs]), 10 * buckets).alias("sbnd"))
              .checkpoint())
     inb = (inb.join(sb, keys + ["bucket"])
-              .withColumn("sub", F.size(F.filter("sbnd", lambda b: b < F.col("v")))).drop("sbnd"))
+              .withColumn("sub", _below("sbnd", "v")).drop("sbnd"))
     ssize = inb.groupBy(*keys, "bucket", "sub").agg(F.sum("c").alias("sn"))
     ws = Window.partitionBy(*keys, "bucket").orderBy("sub").rowsBetween(Window.unboundedPreceding, 0)
     ssize = ssize.withColumn("sstart", F.sum("sn").over(ws) - F.col("sn"))     # <= buckets rows per bucket

@@ -50,3 +50,37 @@ def test_vectors_without_a_number_disturb_no_others(spark):
     got = dict(dbscan.fit_dbscan(spark.createDataFrame(rows + odd, "id long, features array<double>"), "id", 0.3, 5).labels.collect())
     assert [got[i] for i in range(len(x))] == list(_brute_dbscan(x, 0.3, 5))
     assert [got[200 + i] for i in range(6)] == [200] * 6 and got[300] == got[301] == -1
+
+
+def test_a_point_that_has_enough_neighbours_looks_no_further(spark, monkeypatch):
+    """Equal decisions with and without the bar, and only the undecided leave their block."""
+    monkeypatch.setattr(unitpairs, "BLOCK", 40)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 0.3, (400, 3)), rng.uniform(-3, 3, (60, 3))])
+    blocks = unitpairs.packed_blocks(_units(spark, x), len(x), 3)
+    pairs = unitpairs.near_blocks(blocks, 0.5)
+    whole = {r.u: r.least for r in unitpairs.counts(blocks, pairs, 0.5).collect()}
+    d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    assert [whole[i] for i in range(len(x))] == (d2 <= 0.25).sum(axis=1).tolist()
+    probed = []
+    over = unitpairs._over
+    monkeypatch.setattr(unitpairs, "_over", lambda b, p, *a: (probed.extend(u for r in b.collect() for u in r.probe or []), over(b, p, *a))[1])
+    short = {r.u: r.least for r in unitpairs.counts(blocks, pairs, 0.5, 5).collect()}
+    assert all((short[u] >= 5) == (n >= 5) and short[u] <= n and (n >= 5 or short[u] == n) for u, n in whole.items())
+    assert 0 < len(probed) < len(x) / 2
+
+
+def test_unlike_meets_every_unequal_pair_once():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        x, y = rng.integers(0, 4, rng.integers(1, 9)), rng.integers(0, 4, rng.integers(1, 9))
+        met = [(i, j) for r, c in unitpairs._unlike(x, y) for i in r for j in c]
+        assert len(met) == len(set(met)) and {(i, j) for i in range(len(x)) for j in range(len(y)) if x[i] != y[j]} <= set(met)
+
+
+def test_quantile_buckets_by_halving(spark):
+    from flowlake.operators.quantiles import _below
+    rng = np.random.default_rng(1)
+    rows = [(sorted(float(v) for v in rng.integers(0, 30, n)), float(v)) for n in (1, 2, 63, 255) for v in (-1, 0, 7, 15, 29, 31)] + [([], 1.0)]
+    got = spark.createDataFrame(rows, "b array<double>, v double").select("b", "v", _below("b", "v").alias("n")).collect()
+    assert [r.n for r in got] == [sum(x < r.v for x in r.b) for r in got]
